@@ -142,7 +142,7 @@ def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
-def min_label(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def min_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable: (id, component) for each end of an edge (a, b).
 
     Alternating large-star and small-star steps: each keeps the components and

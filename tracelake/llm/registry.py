@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
