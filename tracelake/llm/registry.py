@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join
+from . import exact_dedup, jaccard_join, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_packing": packing.op3_packing,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     }
 
