@@ -2,6 +2,7 @@
 
 import zlib
 from array import array
+from functools import cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,11 +11,15 @@ from hypothesis import strategies as st
 from tracelake.llm import packing as P
 
 
-def whole(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.default_tokenizer())
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(P.default_tokenizer())
+
+
+def whole(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check(rows, docs):

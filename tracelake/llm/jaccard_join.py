@@ -30,6 +30,7 @@ from .common import attach, cut, min_label, mix, rows_of, shingles, table, words
 
 FLUSH = 1 << 20  # signatures combined in a task at once
 A_BUCKET = 1_500_000  # signatures a reduce group gets on average
+BLOCK_DOCS, BLOCK_BYTES = 64, 4 << 20  # of a block of the second pass, on average
 BROADCAST_BYTES = 32 << 20
 _SIG_BYTES = 6  # a signature is cut to 48 bits; a chance meeting is verified like any other
 
@@ -74,6 +75,8 @@ class PartEnum:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
+            return False
         both = len(np.intersect1d(a, b, assume_unique=True))
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
@@ -205,6 +208,36 @@ def _verify(pe: PartEnum):
     return run
 
 
+def _across_blocks(pe: PartEnum, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b, ok) across components between documents that share a signature of ``held`` (sig, id, component).
+
+    Documents are gathered into blocks of about BLOCK_DOCS, those with a common
+    least signature together; blocks that share a signature meet once, so a
+    large group makes a row for each pair of its blocks, not of its documents.
+    """
+    one = cut(held.groupBy("id").agg(F.min("sig").alias("cluster"), F.min("component").alias("component")).join(sets, "id"))
+    size = one.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.length("features")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES)).alias("parts")
+    placed = attach(one.select("id", "cluster"), cut(size.select("cluster", "docs", parts)), "cluster", "docs", one.count())
+    placed = cut(placed.select("id", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    seen = cut(held.join(placed, "id").select("sig", "block").distinct())
+    x, y = (seen.select("sig", F.col("block").alias(c)) for c in ("p", "q"))
+    met = x.join(y, "sig").filter("p <= q").select("p", "q").distinct()
+    body = one.join(placed, "id").groupBy("block").agg(F.collect_list(F.struct("id", "component", "features")).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
+    body = cut(body)
+    left = body.select(F.col("block").alias("p"), F.col("docs").alias("dp"), F.col("low").alias("lp"), F.col("high").alias("hp"))
+    right = body.select(F.col("block").alias("q"), F.col("docs").alias("dq"), F.col("low").alias("lq"), F.col("high").alias("hq"))
+    rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("p", "q", "dp", "dq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, q, dp, dq in rows_of(batches, "p", "q", "dp", "dq"):
+            us, vs = ([(d["id"], d["component"], np.frombuffer(d["features"], np.uint64)) for d in docs] for docs in (dp, dq))
+            ok = [(max(i, j), min(i, j)) for i, ci, f in us for j, cj, g in vs if ci != cj and (p != q or i < j) and pe.linked(f, g)]
+            yield pa.record_batch({"a": pa.array([x for x, _ in ok], pa.int64()), "b": pa.array([x for _, x in ok], pa.int64()), "ok": pa.array([True] * len(ok), pa.bool_())})
+
+    return rows.mapInArrow(run, "a long, b long, ok boolean")
+
+
 def without(docs: DataFrame, ids: DataFrame, count: int, column: str) -> DataFrame:
     """Documents whose id isn't in ``ids``: looked up where they lie if the ids are small, else by a shuffle."""
     return docs.join(F.broadcast(ids) if count * 16 <= BROADCAST_BYTES else ids, column, "left_anti")
@@ -299,10 +332,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
                 yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
 
         held = cut(own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long").join(mixed, "sig", "left_semi"))
-        one = held.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
-        two = held.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-        cross = one.join(two, (one["sig"] == two["sig"]) & (one["ca"] < two["cb"])).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = verified(cross.join(done, ["a", "b"], "left_anti"))
+        more = cut(_across_blocks(pe, held, sets))
         if more.filter("ok").count():
             label = labels(links.unionByName(more.filter("ok")))
     joined = cut(label.filter("id <> component"))

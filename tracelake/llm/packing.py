@@ -1,7 +1,7 @@
 """Packing tokenised documents into fixed-length sequences as a cutting-stock problem.
 
-Documents are cut at multiples of the capacity; what remains is an item. Item
-lengths form a histogram of a few hundred classes. A linear program over
+Documents are cut at multiples of the capacity, and the rest at half of it;
+what remains are items. Item lengths form a histogram of a few hundred classes. A linear program over
 patterns (how many items of each class share a sequence) minimises the number
 of sequences; its columns are generated by a knapsack dynamic program that
 prices patterns with the dual values (Gilmore and Gomory, 1961). Patterns are
@@ -28,7 +28,7 @@ from .common import cut, rows_of, table
 CAPACITY = 2048
 END_ID = 1
 RANK_CHUNK = 20_000  # items ranked in one window
-GAP = 0.0005  # the linear program stops within this share of its bound
+GAP = 0.001  # the linear program stops within this share of its bound
 
 # ------------------------------------------------------------------ tokens
 
@@ -83,7 +83,8 @@ def _cache(path: str) -> WordCache:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Each document's ids with END_ID after them, cut at multiples of ``capacity``.
 
-    Null text counts as empty (one piece: END_ID). Columns doc_id, start,
+    What remains is cut once more at half the capacity if it is longer, so
+    that every item has partners. Null text counts as empty (one piece: END_ID). Columns doc_id, start,
     length, ids_crc32, doc_tokens and, if asked for, ids (little-endian
     unsigned 32-bit).
     """
@@ -96,8 +97,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             out: list[tuple] = []
             for (doc, _), ids in zip(held, cache.encode([t for _, t in held])):
                 ids += end
-                for a in range(0, len(ids), 4 * capacity):
-                    part = ids[a : a + 4 * capacity]
+                last = len(ids) // 4 % capacity
+                half = [len(ids) - 4 * last + 4 * (capacity // 2)] if last > capacity // 2 else []
+                bounds = [*range(0, len(ids), 4 * capacity), *half, len(ids)]
+                for a, b in zip(bounds, bounds[1:]):
+                    part = ids[a:b]
                     out.append((doc, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)[: 5 + keep_ids])
             cols = list(zip(*out, strict=True))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids]
@@ -120,16 +124,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
 
 def size_classes(capacity: int) -> list[int]:
-    """Upper ends of the length classes: every length up to 64, then steps of at most a 64th of the length and at most 8."""
-    ends, at = [], 0
-    while at < capacity:
-        at += 1 if at < 64 else min(8, 1 << (at.bit_length() - 6))
-        ends.append(min(at, capacity))
-    return ends
+    """Upper ends of the length classes: a 512th of the capacity apart."""
+    step = max(1, capacity // 512)
+    return [min(x, capacity) for x in range(step, capacity + step, step)]
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Best value of any number of each item within capacity, and how many of each."""
+    unit = int(np.gcd.reduce([*sizes, capacity]))
+    sizes, capacity = sizes // unit, capacity // unit
     use = np.flatnonzero(values > 1e-12)
     s, v = sizes[use], values[use]
     order = np.argsort(s, kind="stable")
@@ -220,17 +223,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     spark = docs.sparkSession
     ends = size_classes(capacity)
     items = cut(pieces(docs, capacity, tokenizer, text, doc_id, keep_ids))
-    runs: list[tuple[int, int, int]] = []  # (from, to, step): lengths in (from, to] round up by step
-    for lo, hi in zip([0, *ends], ends):
-        if runs and runs[-1][2] == hi - lo:
-            runs[-1] = (runs[-1][0], hi, hi - lo)
-        else:
-            runs.append((lo, hi, hi - lo))
-    over = None
-    for lo, hi, by in runs:
-        up = F.lit(lo) + F.ceil((F.col("length") - lo) / by) * by
-        over = F.when(F.col("length") <= hi, up) if over is None else over.when(F.col("length") <= hi, up)
-    items = items.withColumn("class", over.cast("long"))
+    step = ends[0]
+    up = F.least(F.ceil(F.col("length") / step) * step, F.lit(capacity))
+    items = items.withColumn("class", up.cast("long"))
     histogram = {r["class"]: r["n"] for r in items.groupBy("class").agg(F.count("*").alias("n")).collect()}
     sizes = sorted(k for k in histogram if k < capacity)
     used = cutting_stock(sizes, [histogram[k] for k in sizes], capacity)
