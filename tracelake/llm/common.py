@@ -58,6 +58,17 @@ def utf8(text: Column | str) -> Column:
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")
 
 
+def held_out(doc_id: Column | str) -> Column:
+    """True for the quarter of documents that no model here learns from."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 4 == 2
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them chosen by a hash of ``key``: what a model is fitted on."""
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) < F.lit(most * (1 << 20) // n)).limit(2 * most)
+
+
 # ---------------------------------------------------------------- word hashing
 
 _SEPARATOR = np.zeros(256, bool)
@@ -88,10 +99,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Separators of tokens of letters and digits: every ASCII byte that is neither.
+SIGNS = np.ones(256, bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def _block_words(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.empty(len(data) + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(_SEPARATOR[data], out=word[1:-1])
+    np.logical_not(separator[data], out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
@@ -100,8 +116,8 @@ def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h + (end - start).astype(np.uint64)), start, end
 
 
-def words(text: bytes | str | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, first byte and end byte of each run of bytes that aren't ASCII white space; A-Z count as a-z.
+def words(text: bytes | str | None, lower: bool = True, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end byte of each run of bytes that aren't separators (by default, ASCII white space); A-Z count as a-z.
 
     Any length of text: BLOCK bytes are worked on at a time.
     """
@@ -109,17 +125,17 @@ def words(text: bytes | str | None, lower: bool = True) -> tuple[np.ndarray, np.
     if lower:
         data = _LOWER[data]
     if len(data) <= BLOCK:
-        return _block_words(data)
+        return _block_words(data, separator)
     parts, at = [], 0
     while at < len(data):
         stop = min(at + BLOCK, len(data))
         if stop < len(data):
-            gap = np.flatnonzero(_SEPARATOR[data[at:stop]])
+            gap = np.flatnonzero(separator[data[at:stop]])
             while not len(gap) and stop < len(data):  # one word longer than a block
                 begin, stop = stop, min(stop + BLOCK, len(data))
-                gap = np.flatnonzero(_SEPARATOR[data[begin:stop]]) + (begin - at)
+                gap = np.flatnonzero(separator[data[begin:stop]]) + (begin - at)
             stop = at + int(gap[-1]) + 1 if len(gap) else stop
-        h, s, e = _block_words(data[at:stop])
+        h, s, e = _block_words(data[at:stop], separator)
         parts.append((h, s + at, e + at))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
