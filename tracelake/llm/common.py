@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files that nothing refers to; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """Left join on ``key`` with ``right``, one row a key, whose column ``rows`` says how many left rows carry it.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, min_label, mix, rows_of, shingles, table, words
+from .common import attach, cut, min_label, mix, release, rows_of, shingles, table, words
 
 FLUSH = 1 << 20  # signatures combined in a task at once
 A_BUCKET = 1_500_000  # signatures a reduce group gets on average
@@ -296,6 +296,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
         for batch in batches:
             yield pa.record_batch({"id": batch.column("id"), "features": pa.array([feature_set(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
 
+    release(spark)
     sets = cut(within(distinct, ends, near, "id").mapInArrow(pack, "id long, features binary").dropDuplicates(["id"]))
 
     def verified(some: DataFrame) -> DataFrame:
@@ -322,6 +323,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
         done, links = done.unionByName(more), links.unionByName(more.filter("ok"))
         label = labels(links)
 
+    release(spark)
     own = sets.join(label, "id")
     mixed = cut(own.select("features", "component").mapInArrow(_spread(pe, buckets), "bucket long, sig binary, low binary, high binary").groupBy("bucket").applyInArrow(_mixed, "sig long"))
     if mixed.count():
@@ -332,6 +334,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
                 yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
 
         held = cut(own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long").join(mixed, "sig", "left_semi"))
+        release(spark)
         more = cut(_across_blocks(pe, held, sets))
         if more.filter("ok").count():
             label = labels(links.unionByName(more.filter("ok")))

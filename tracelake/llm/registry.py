@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, url_filter
+from . import exact_dedup, jaccard_join, language_id, packing, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_packing": packing.op3_packing,
+        "op4_language_id": language_id.op4_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
