@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, packing, secret_scan, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_packing": packing.op3_packing,
         "op4_language_id": language_id.op4_language_id,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op9_toxicity": toxicity.op9_toxicity,
