@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+        "op8_sharding": sharding.op8_sharding,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
