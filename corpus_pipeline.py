@@ -1,4 +1,59 @@
-"""Corpus pipeline (stages are added as the operators land)."""
+"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, decontamination, packing.
 
-STAGES = []
+Every stage works on all that its predecessor kept; all but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelake.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from tracelake.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 stay; the model learns from the labels of the documents given."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.clean(docs, toxicity.train(docs.select("doc_id", "text"), labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays, the one with the largest doc_id."""
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at similarity 0.8 stays, the one with the least doc_id."""
+    return jaccard_join.keep_one(docs, n=5, num=80, den=100)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold four fifths of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row per piece of a document."""
+    return packing.pack(docs.select("doc_id", "text"), keep_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: Learned scores, signatures and a linear program: no SQL expresses the rows; tests/llm/test_pipeline.py checks each stage by brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
