@@ -208,14 +208,15 @@ def _verify(pe: PartEnum):
     return run
 
 
-def _across_blocks(pe: PartEnum, held: DataFrame, sets: DataFrame) -> DataFrame:
+def _across_blocks(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """Links (a, b, ok) across components between documents that share a signature of ``held`` (sig, id, component).
 
-    Documents are gathered into blocks of about BLOCK_DOCS, those with a common
-    least signature together; blocks that share a signature meet once, so a
+    Documents are gathered into blocks of about BLOCK_DOCS, those of one of
+    ``clusters`` (id, component over all candidate pairs) together; blocks that share a signature meet once, so a
     large group makes a row for each pair of its blocks, not of its documents.
     """
-    one = cut(held.groupBy("id").agg(F.min("sig").alias("cluster"), F.min("component").alias("component")).join(sets, "id"))
+    one = held.groupBy("id").agg(F.min("component").alias("component")).join(clusters.select("id", F.col("component").alias("cluster")), "id", "left")
+    one = cut(one.withColumn("cluster", F.coalesce("cluster", "id")).join(sets, "id"))
     size = one.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.length("features")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES)).alias("parts")
     placed = attach(one.select("id", "cluster"), cut(size.select("cluster", "docs", parts)), "cluster", "docs", one.count())
@@ -317,10 +318,9 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
     done = verified(best)
     links = done.filter("ok")
     label = labels(links)
-    rest = cut(across(pairs, label).join(done, ["a", "b"], "left_anti").select("a", "b"))
+    rest = cut(across(pairs, label).join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     if rest.count():
-        more = verified(rest)
-        done, links = done.unionByName(more), links.unionByName(more.filter("ok"))
+        links = links.unionByName(verified(rest).filter("ok"))
         label = labels(links)
 
     release(spark)
@@ -335,7 +335,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
 
         held = cut(own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long").join(mixed, "sig", "left_semi"))
         release(spark)
-        more = cut(_across_blocks(pe, held, sets))
+        more = cut(_across_blocks(pe, held, sets, min_label(pairs.select("a", "b"))))
         if more.filter("ok").count():
             label = labels(links.unionByName(more.filter("ok")))
     joined = cut(label.filter("id <> component"))

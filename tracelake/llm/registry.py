@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_packing": packing.op3_packing,
         "op4_language_id": language_id.op4_language_id,
         "op5_decontaminate": decontaminate.op5_decontaminate,
