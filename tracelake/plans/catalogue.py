@@ -1,19 +1,391 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with an oracle written apart from it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelake.functions import expr
+from tracelake.functions import refs as R
+from tracelake.operators import attributes, coverage, diff, graph, tree, verify, views
+from tracelake.plans.projection import BLOCKS_SQL, CTES, Model, model, on_spark, plain
 
-def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: bool = True, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = (CTES if ctes else "") + sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def on_model(sql: str, name: str, f: Callable[[Model], DataFrame]) -> None:
+    query(sql, name=name)(lambda spark, sf_dir: f(model(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ resolution, pins, identity
+
+on_model(
+    "SELECT 'WARNING' AS level, 'broken-ref' AS code, from_id AS req_id, n_.file, concat('broken reference: ', ref) AS message FROM t_ JOIN n_ ON n_.id = from_id WHERE to_id IS NULL",
+    "findings_broken_ref", graph.broken)
+on_model(
+    "SELECT from_id, to_id, n_.doc_path, ref, n_.file, coalesce(pin, 0) AS pin, to_id IS NOT NULL AS resolved FROM t_ JOIN n_ ON n_.id = from_id",
+    "traces_export", graph.traces)
+on_model("SELECT from_id, to_id, ref, pin, pos FROM e_", "edges", graph.edges)
+on_model("SELECT from_id, to_id, ref, pin FROM l_", "last_refs", graph.last_refs)
+on_model(
+    "SELECT from_id, to_id, pin, version, CASE WHEN pin < version THEN 'outdated' ELSE 'predated' END AS direction FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin <> version",
+    "pin_health", graph.pin_health)
+for _promote, _name in ((False, "repin_deltas"), (True, "repin_deltas_unpinned")):
+    on_model(
+        f"""SELECT f.file, from_id AS req_id, ref AS source_ref, CASE WHEN pin IS NULL THEN 'unpinned' WHEN pin < p_.version THEN 'outdated' ELSE 'predated' END AS kind,
+        concat(regexp_replace(ref, '~[0-9]+$', ''), '~', p_.version) AS new_ref FROM l_ JOIN p_ ON p_.id = to_id JOIN n_ f ON f.id = from_id
+        WHERE NOT external AND p_.version <> 0 AND (pin <> p_.version {"OR pin IS NULL" if _promote else ""})""",
+        _name, lambda m, p=_promote: graph.repin_deltas(m, p))
+on_model(
+    """, x AS (SELECT DISTINCT from_id, to_id FROM e_) SELECT id, (SELECT count(*) FROM x WHERE from_id = id) AS upstream, (SELECT count(*) FROM x WHERE to_id = id) AS downstream FROM n_""",
+    "neighbors_degree", graph.degrees)
+
+
+def _twice(m: Model) -> Model:
+    """A second copy of parts 0 to 9 under another document."""
+    again = m.nodes.filter("doc_path = 'parts' AND ord < 10").withColumns({"doc_path": F.lit("tests"), "file": F.lit("tests/again.md")})
+    return m.with_(nodes=m.nodes.unionByName(again))
+
+
+on_model("SELECT id, 'tests' AS doc_path, 'parts' AS first_doc FROM n_ WHERE doc_path = 'parts' AND ord < 10", "duplicate_ids", lambda m: graph.duplicate_ids(_twice(m)))
+on_model(
+    "SELECT from_id, ref, cast(2 AS bigint) AS dirs FROM q_ JOIN n_ ON n_.id = lid WHERE q IS NULL AND n_.doc_path IN ('suppliers') AND n_.ord < 10",
+    "ambiguous_refs", lambda m: graph.ambiguous(m.with_(nodes=m.nodes.unionByName(m.nodes.filter("doc_path = 'suppliers' AND ord < 10").withColumn("doc_path", F.lit("tests"))))))
+on_model(
+    "SELECT id AS req_id, 'tests/again.md' AS file, 'mismatch' AS problem FROM n_ WHERE doc_path = 'parts' AND ord < 10 UNION ALL SELECT 'ORD-', 'tests/orders.md', 'collision'",
+    "prefix_checks", lambda m: graph.prefix_checks(_twice(m)))
+
+
+@query("""SELECT id FROM n_ WHERE id IN ('REG-000000000') OR id IN (SELECT id FROM n_ WHERE doc_path = 'system' AND id IN (SELECT from_id FROM e_ WHERE to_id = 'REG-000000000'))""", name="cyclic_nodes")
+def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region 0 and its nations, made to refer to each other: exactly those lie on cycles."""
+    e = graph.edges(model(spark, sf_dir)).select("from_id", "to_id")
+    back = e.filter("to_id = 'REG-000000000'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return graph.cyclic_nodes(e.unionByName(back))
+
+
+# ------------------------------------------------------------ coverage
+
+_TOKENS = """, w AS (SELECT id, doc_path, unnest(string_split(rtf, ',')) AS token FROM p_ JOIN d_ USING (doc_path) WHERE rtf <> ''),
+i AS (SELECT to_id AS id, s.doc_path AS src, s.provider, row_number() OVER (PARTITION BY to_id ORDER BY s.doc_ord, s.file, s.ord, min(pos)) AS k
+      FROM e_ JOIN p_ s ON s.id = from_id GROUP BY to_id, s.doc_path, s.provider, s.doc_ord, s.file, s.ord, s.id),
+f AS (SELECT w.id, w.token, min(k) FILTER (src = token AND provider) AS first FROM w LEFT JOIN i USING (id) GROUP BY ALL),
+s AS (SELECT f.id, f.token, f.first IS NOT NULL AS covered, cast(count(*) FILTER (NOT provider AND (f.first IS NULL OR k < f.first)) AS int) AS drafts FROM f LEFT JOIN i USING (id) GROUP BY ALL)
+"""
+_STATE = _TOKENS + """, c AS (SELECT p_.id, p_.doc_path, CASE WHEN rtf IS NULL THEN CASE WHEN EXISTS (FROM e_ WHERE to_id = p_.id) THEN 'covered' WHEN is_root THEN 'not-required' ELSE 'missing-coverage' END
+  WHEN rtf = '' THEN 'not-required' WHEN EXISTS (FROM s WHERE s.id = p_.id AND NOT covered) THEN 'missing-coverage' ELSE 'covered' END AS state,
+  coalesce((SELECT cast(sum(drafts) AS bigint) FROM s WHERE s.id = p_.id), 0) AS drafts, coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM s WHERE s.id = p_.id AND NOT covered), '') AS misses
+  FROM p_ JOIN d_ USING (doc_path))
+"""
+on_model("SELECT id, p_.doc_path, rtf FROM p_ JOIN d_ USING (doc_path)", "effective_rtf", lambda m: coverage.effective_rtf(m).select("id", "doc_path", F.array_join("rtf", ",").alias("rtf")))
+on_model("SELECT doc_path, is_root, is_leaf FROM d_", "doc_boundaries", coverage.boundaries)
+on_model(_TOKENS + "SELECT id, token, covered, drafts FROM s", "draft_counts", lambda m: coverage.token_state(m).select("id", "token", "covered", "drafts"))
+on_model(_STATE + "SELECT * FROM c", "coverage_state", coverage.coverage_state)
+on_model(
+    _STATE + """SELECT 'requires-trace-from' AS code, s.id AS req_id, concat('no upstream trace: no approved requirement from "', token, '" traces to this item', CASE WHEN c.drafts > 0 THEN concat(' (', c.drafts, ' draft downstreams ignored)') ELSE '' END) AS message FROM s JOIN c USING (id) WHERE NOT covered
+    UNION ALL SELECT 'untraced', id, 'untraced: no downstream reference' FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_root AND id NOT IN (SELECT to_id FROM e_)
+    UNION ALL SELECT 'no-upstream', id, 'no upstream reference' FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_leaf AND id NOT IN (SELECT from_id FROM e_)""",
+    "coverage_findings", coverage.findings)
+on_model(
+    "SELECT id AS req_id FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_root AND id NOT IN (SELECT to_id FROM e_)",
+    "untraced", lambda m: coverage.findings(m).filter("code = 'untraced'").select("req_id"))
+on_model(
+    _STATE + "SELECT doc_path, count(*) AS total, count(*) FILTER (state = 'covered') AS covered, count(*) FILTER (state = 'missing-coverage') AS missing, count(*) FILTER (state = 'unresolved') AS unresolved, count(*) FILTER (state = 'not-required') AS not_required FROM c GROUP BY ROLLUP (doc_path)",
+    "coverage_summary", coverage.summary)
+on_model(
+    ", g AS (SELECT id FROM p_ WHERE provider AND doc_path = 'tests') SELECT id, doc_path, EXISTS (FROM e_ WHERE to_id = p_.id AND from_id IN (FROM g)) AS covered FROM p_ WHERE doc_path = 'software' AND verify IS NOT NULL",
+    "filtered_coverage",
+    lambda m: coverage.coverage_state(m, m.nodes.filter("doc_path = 'tests' OR (doc_path = 'software' AND verify IS NOT NULL)").select("id")).filter("doc_path = 'software'").select("id", "doc_path", (F.col("state") == "covered").alias("covered")))
+
+# ------------------------------------------------------------ verification
+
+_LATEST = """, x AS (SELECT regexp_replace(measure_id, '~[0-9]+$', '') AS measure_id, case_key, outcome, verified_at, source, load_ord FROM v_),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY measure_id, case_key ORDER BY verified_at DESC, source, load_ord) = 1),
+z AS (SELECT measure_id AS id, case_key, CASE outcome WHEN 'pass' THEN 1 WHEN 'skipped' THEN 2 WHEN 'inconclusive' THEN 3 ELSE 4 END AS sev FROM y WHERE measure_id IN (SELECT id FROM n_)),
+u AS (SELECT id, case_key, sev FROM z UNION SELECT e_.to_id, u.case_key, u.sev FROM u JOIN e_ ON e_.from_id = u.id JOIN p_ ON p_.id = u.id AND p_.provider),
+ev AS (SELECT id, case_key, max(sev) AS sev FROM u GROUP BY ALL),
+vd AS (SELECT id, max(sev) AS sev, count(*) AS cases, coalesce(string_agg(case_key, ',' ORDER BY case_key) FILTER (sev = 4), '') AS failing FROM ev GROUP BY id),
+ms AS (SELECT id, doc_path, verify, provider AND coalesce(disposition, '') NOT IN ('deferred', 'rejected') AS gated FROM p_ WHERE coalesce(verify, '') <> '')
+"""
+_NAME = "CASE {} WHEN 1 THEN 'pass' WHEN 2 THEN 'skipped' WHEN 3 THEN 'inconclusive' WHEN 4 THEN 'fail' END"
+on_model(_LATEST + "SELECT * FROM y", "latest_results", lambda m: verify.latest(m.results))
+on_model(
+    _LATEST + "SELECT measure_id, outcome, source FROM y QUALIFY row_number() OVER (PARTITION BY measure_id ORDER BY verified_at DESC, source, load_ord) = 1",
+    "latest_per_target", lambda m: verify.latest_per_target(m.results))
+on_model(_LATEST + "SELECT * FROM ev", "evidence_closure", verify.evidence)
+on_model(_LATEST + f"SELECT ms.id, ms.doc_path, {_NAME.format('sev')} AS verdict, coalesce(cases, 0) AS cases FROM ms LEFT JOIN vd USING (id)", "rollup_verdict", verify.rollup)
+on_model(_LATEST + f"SELECT id, {_NAME.format('sev')} AS verdict, cases, failing FROM vd", "verdicts", lambda m: verify.verdicts(verify.evidence(m)))
+on_model(_LATEST + "SELECT id, doc_path FROM ms WHERE gated AND id NOT IN (SELECT id FROM ev)", "missing_verdict", verify.missing)
+on_model(_LATEST + "SELECT ms.id, failing FROM ms JOIN vd USING (id) WHERE gated AND sev = 4", "failing_verdict", verify.failing)
+on_model(
+    _LATEST + "SELECT doc_path, count(*) AS measures, count(*) FILTER (sev = 1) AS n_pass, count(*) FILTER (sev = 2) AS n_skipped, count(*) FILTER (sev = 3) AS n_inconclusive, count(*) FILTER (sev = 4) AS n_fail, count(*) FILTER (sev IS NULL) AS n_missing FROM ms LEFT JOIN vd USING (id) WHERE gated GROUP BY doc_path",
+    "verdict_summary", verify.summary)
+on_model(
+    _LATEST + f"SELECT ms.id AS measure_id, any_value(verify) AS verify, {_NAME.format('max(sev)')} AS outcome, string_agg(concat(case_key, '=', {_NAME.format('sev')}), ',' ORDER BY case_key) AS cases FROM ms JOIN ev USING (id) GROUP BY ms.id",
+    "results_export", verify.export)
+
+
+def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage state and rolled-up verdict of every measure."""
+    m = model(spark, sf_dir)
+    return verify.rollup(m).join(coverage.coverage_state(m).drop("doc_path"), "id").select("id", "doc_path", "verdict", "cases", "state", "misses")
+
+
+query(_LATEST + _STATE + f"SELECT ms.id, ms.doc_path, {_NAME.format('sev')} AS verdict, coalesce(cases, 0) AS cases, state, misses FROM ms LEFT JOIN vd USING (id) JOIN c ON c.id = ms.id")(project_health)
+
+# ------------------------------------------------------------ attributes and filters
+
+_ATTR = ", a AS (SELECT * FROM (SELECT doc_path, id, unnest(['status', 'verify', 'disposition', 'disposition_reason']) AS attr, unnest([status, verify, disposition, disposition_reason]) AS value FROM n_) WHERE value IS NOT NULL) "
+on_model(_ATTR + "SELECT doc_path, attr, value, count(*) AS n FROM a GROUP BY ALL", "attribute_histogram", attributes.histogram)
+on_model(_ATTR + "SELECT doc_path, attr, string_agg(DISTINCT value, ',' ORDER BY value) AS values FROM a GROUP BY doc_path, attr HAVING count(DISTINCT value) >= 2", "facets", attributes.facets)
+on_model(
+    "SELECT doc_path, coalesce(nullif(status, ''), 'approved') AS status, count(*) AS n, CASE coalesce(nullif(status, ''), 'approved') WHEN 'draft' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END AS rank FROM n_ GROUP BY ALL",
+    "status_breakdown", attributes.status_breakdown)
+on_model("SELECT id, doc_path, disposition FROM n_ WHERE disposition IN ('deferred', 'rejected') AND trim(coalesce(disposition_reason, '')) = ''", "disposition_reasons", attributes.disposition_reasons)
+on_model("SELECT id, doc_path FROM n_ JOIN d_ USING (doc_path) WHERE mandatory AND coalesce(disposition, '') = ''", "mandatory_disposition", attributes.mandatory_dispositions)
+on_model("SELECT doc_path, count(*) AS requirements, cast(0 AS bigint) AS items FROM n_ GROUP BY doc_path", "document_summary", attributes.document_summary)
+on_model(
+    """, ph AS (SELECT from_id, to_id, pin < version AS old FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin <> version)
+    SELECT n_.doc_path, count(*) AS links, count(*) FILTER (t_.to_id IS NOT NULL) AS resolved, count(*) FILTER (t_.to_id IS NULL) AS broken, count(*) FILTER (coalesce(pin, 0) <> 0) AS pinned, count(*) FILTER (old) AS outdated
+    FROM t_ JOIN n_ ON n_.id = t_.from_id LEFT JOIN ph ON ph.from_id = t_.from_id AND ph.to_id = t_.to_id GROUP BY n_.doc_path""",
+    "link_summary", attributes.link_summary)
+SCHEMAS = {
+    "parts": {"required": ["title", "status"], "properties": {"version": {"type": "integer", "minimum": 2, "maximum": 45}, "title": {"pattern": "a", "maxLength": 18}}},
+    "tests": {"properties": {"status": {"enum": ["approved"]}, "title": {"minLength": 6, "pattern": "^[1-5]-"}, "verify": {"const": "Test"}}},
+}
+on_model(
+    """SELECT * FROM (SELECT doc_path, id, unnest(['status', 'version', 'version', 'title', 'title']) AS attr, unnest(['required', 'minimum', 'maximum', 'pattern', 'maxLength']) AS problem,
+      unnest([status IS NULL, version < 2, version > 45, NOT contains(title, 'a'), length(title) > 18]) AS bad FROM n_ WHERE doc_path = 'parts'
+    UNION ALL SELECT doc_path, id, unnest(['status', 'title', 'title', 'verify']), unnest(['enum', 'minLength', 'pattern', 'const']), unnest([status <> 'approved', length(title) < 6, NOT regexp_matches(title, '^[1-5]-'), verify <> 'Test']) FROM n_ WHERE doc_path = 'tests') WHERE bad""".replace("SELECT * FROM (SELECT doc_path", "SELECT doc_path, id, attr, problem FROM (SELECT doc_path", 1),
+    "schema_validation", lambda m: attributes.schema_errors(m, SCHEMAS))
+
+_TAGS = "SELECT {id} AS id, {tags} AS tags FROM {{{table}}}"
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT concat('CUS-', lpad(cast(c_custkey as string), 9, '0')) AS id, {f}(lower(c_mktsegment), CASE WHEN c_custkey % 3 = 0 THEN 'building' ELSE 'all' END) AS vals FROM {{customer}} UNION ALL SELECT concat('ORD-', lpad(cast(o_orderkey as string), 9, '0')), {f}(CASE WHEN o_orderkey % 2 = 0 THEN 'all' ELSE 'machinery' END) FROM {{orders}}"
+    return on_spark(spark, sf_dir, sql.format(f="array"))
+
+
+@query(
+    """, g AS (SELECT concat('CUS-', lpad(cast(c_custkey as string), 9, '0')) AS id, [lower(c_mktsegment), CASE WHEN c_custkey % 3 = 0 THEN 'building' ELSE 'all' END] AS vals FROM customer
+    UNION ALL SELECT concat('ORD-', lpad(cast(o_orderkey as string), 9, '0')), [CASE WHEN o_orderkey % 2 = 0 THEN 'all' ELSE 'machinery' END] FROM orders)
+    SELECT DISTINCT from_id, to_id FROM e_ JOIN g a ON a.id = from_id JOIN g b ON b.id = to_id WHERE NOT list_has_any(a.vals, b.vals)"""
+)
+def disjoint_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attributes.disjoint(graph.edges(model(spark, sf_dir)), _tags(spark, sf_dir))
+
+
+FILTERS = {
+    "filter_eq": ("status == 'draft'", "status = 'draft'"),
+    "filter_nil": ("status == nil and verify != nil", "status IS NULL AND verify IS NOT NULL"),
+    "filter_in": ("disposition in ['deferred', 'rejected'] or status in ['Approved']", "coalesce(disposition IN ('deferred', 'rejected'), false) OR coalesce(status IN ('Approved'), false)"),
+    "filter_cmp": ("version >= 2 and not (version > 40)", "version >= 2 AND version <= 40"),
+    "filter_startswith": ("id startsWith 'NAT-' || title contains '#00000001'", "starts_with(id, 'NAT-') OR contains(title, '#00000001')"),
+    "filter_len": ("len(title) > 12 && len(id) == 13", "length(title) > 12 AND length(id) = 13"),
+    "filter_any": ("any(tags, {# startsWith 'ap'}) or none(tags, # != 'draft')", "starts_with(coalesce(status, 'x'), 'ap') OR status = 'draft'"),
+    "filter_count": ("count(filter(tags, {# == 'draft' or # == 'approved'}), {true}) == 1 and one(tags, {# != 'draft'})", "coalesce(status, 'x') = 'approved'"),
+}
+for _name, (_text, _where) in FILTERS.items():
+    on_model(f"SELECT DISTINCT id FROM n_ WHERE {_where}", _name, lambda m, t=_text: expr.matching_ids(m.nodes.withColumn("tags", F.array(F.coalesce("status", F.lit("x")))), t))
+
+# ------------------------------------------------------------ snapshots
+
+_OLD = "SELECT o_orderkey AS id, 'tests' AS doc_path, o_orderpriority AS priority, o_orderstatus AS status FROM {orders} WHERE o_orderdate < timestamp '1999-01-01 00:00:00'"
+_NEW = "SELECT o_orderkey AS id, 'tests' AS doc_path, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderpriority END AS priority, o_orderstatus AS status FROM {orders}"
+_SNAP = f"WITH a AS ({plain(_OLD)}), b AS ({plain(_NEW)}), j AS (SELECT id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.priority IS DISTINCT FROM b.priority OR a.status IS DISTINCT FROM b.status THEN 'modified' ELSE 'unchanged' END AS category, doc_path FROM a FULL JOIN b USING (doc_path, id)) "
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return on_spark(spark, sf_dir, _OLD), on_spark(spark, sf_dir, _NEW)
+
+
+@query(_SNAP + "SELECT doc_path, id, category FROM j", ctes=False)
+def diff_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.requirements(*_snapshots(spark, sf_dir), ["doc_path", "id"], ["priority", "status"])
+
+
+@query(_SNAP + "SELECT doc_path, id, 'priority' AS attr, a.priority AS old_value, b.priority AS new_value FROM a JOIN b USING (doc_path, id) WHERE a.priority IS DISTINCT FROM b.priority", ctes=False)
+def diff_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.attributes(*_snapshots(spark, sf_dir), ["doc_path", "id"], ["priority", "status"])
+
+
+@query(_SNAP + "SELECT doc_path, count(*) FILTER (category = 'added') AS added, count(*) FILTER (category = 'removed') AS removed, count(*) FILTER (category = 'modified') AS modified, count(*) FILTER (category = 'unchanged') AS unchanged FROM j GROUP BY ROLLUP (doc_path)", ctes=False)
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.summary(diff_requirements(spark, sf_dir), "doc_path")
+
+
+@query(
+    ", a AS (SELECT id, doc_path FROM n_ WHERE status = 'draft'), b AS (SELECT id, doc_path FROM n_ WHERE verify = 'Test') SELECT doc_path, id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'unchanged' END AS category FROM a FULL JOIN b USING (doc_path, id)"
+)
+def two_view_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = model(spark, sf_dir).nodes
+    views_ = [n.filter(expr.Filter(t, n.schema).column) for t in ("status == 'draft'", "verify == 'Test'")]
+    return diff.requirements(*views_, ["doc_path", "id"], ["status", "verify"])
+
+
+_PROPS = "SELECT user_id AS doc_path, event_type AS path, {agg} AS value FROM {{events}} WHERE {where} GROUP BY user_id, event_type"
+_S_OLD, _S_NEW = _PROPS.format(agg="max(props)", where="event_id % 2 = 0"), _PROPS.format(agg="max(props)", where="event_id % 3 = 0")
+
+
+@query(
+    f"WITH a AS ({plain(_S_OLD)}), b AS ({plain(_S_NEW)}) SELECT doc_path, path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS old_value, b.value AS new_value FROM a FULL JOIN b USING (doc_path, path) WHERE a.value IS DISTINCT FROM b.value",
+    ctes=False,
+)
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.schemas(on_spark(spark, sf_dir, _S_OLD), on_spark(spark, sf_dir, _S_NEW))
+
+
+_M_OLD = "SELECT p_name AS path, concat(p_brand, '0123456789') AS sha FROM {part} WHERE p_partkey % 5 <> 0"
+_M_NEW = "SELECT p_name AS path, concat(CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_brand END, '0123456789') AS sha FROM {part} WHERE p_partkey % 7 <> 0"
+
+
+@query(
+    f"WITH a AS ({plain(_M_OLD)}), b AS ({plain(_M_NEW)}) SELECT path, CASE WHEN a.sha IS NULL THEN 'added' WHEN b.sha IS NULL THEN 'removed' ELSE 'updated' END AS change, left(a.sha, 7) AS old_sha, left(b.sha, 7) AS new_sha FROM a FULL JOIN b USING (path) WHERE a.sha IS DISTINCT FROM b.sha",
+    ctes=False,
+)
+def submodule_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.submodules(on_spark(spark, sf_dir, _M_OLD), on_spark(spark, sf_dir, _M_NEW))
+
+
+# ------------------------------------------------------------ trees and documents
+
+_B = f"WITH RECURSIVE k AS ({plain(BLOCKS_SQL)}), "
+_PARENT = _B + "t AS (SELECT *, (SELECT max(p.ord) FROM k p WHERE p.file = k.file AND p.ord < k.ord AND p.level < k.level) AS parent_ord FROM k)"
+
+
+@query(_PARENT + "SELECT file, ord, level, kind, id, parent_ord FROM t", ctes=False)
+def tree_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.parents(on_spark(spark, sf_dir, BLOCKS_SQL))
+
+
+_UP = ", w AS (SELECT file, ord, parent_ord AS at FROM t UNION ALL SELECT w.file, w.ord, t.parent_ord FROM w JOIN t ON t.file = w.file AND t.ord = w.at WHERE NOT {stop})"
+
+
+@query(_PARENT + _UP.format(stop="t.kind = 'req'") + "SELECT t.file, t.ord, (SELECT max(w.at) FROM w JOIN t p ON p.file = w.file AND p.ord = w.at WHERE w.file = t.file AND w.ord = t.ord AND p.kind = 'req') AS req_parent_ord FROM t", ctes=False)
+def req_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.requirement_parents(on_spark(spark, sf_dir, BLOCKS_SQL)).select("file", "ord", "req_parent_ord")
+
+
+@query(_PARENT + "SELECT file, ord, CASE WHEN kind = 'info' AND EXISTS (FROM t c WHERE c.file = t.file AND c.parent_ord = t.ord) THEN 'container' ELSE kind END AS kind FROM t", ctes=False)
+def container_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.promote_containers(on_spark(spark, sf_dir, BLOCKS_SQL)).select("file", "ord", "kind")
+
+
+@query(_PARENT + _UP.format(stop="(t.kind <> 'req' OR t.ord % 3 = 0)") + ", s AS (SELECT * FROM t WHERE kind <> 'req' OR ord % 3 = 0) SELECT s.file, s.ord, (SELECT max(w.at) FROM w JOIN s p ON p.file = w.file AND p.ord = w.at WHERE w.file = s.file AND w.ord = s.ord) AS parent_ord FROM s", ctes=False)
+def prune_reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.prune(on_spark(spark, sf_dir, BLOCKS_SQL), F.col("ord") % 3 == 0).select("file", "ord", "parent_ord")
+
+
+@query(_B + "x AS (SELECT 1) SELECT file, ord, CASE WHEN kind = 'req' THEN id ELSE concat('item-', count(*) FILTER (kind <> 'req') OVER (PARTITION BY file ORDER BY ord)) END AS anchor FROM k", ctes=False)
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.anchors(on_spark(spark, sf_dir, BLOCKS_SQL), "file").select("file", "ord", "anchor")
+
+
+@query(", x AS (SELECT id, (SELECT min(to_id) FROM e_ WHERE from_id = id AND pos = 1) AS parent_id FROM n_ WHERE doc_path IN ('stakeholder', 'system', 'software')), y AS (SELECT id, 0 AS depth FROM x WHERE parent_id IS NULL UNION ALL SELECT x.id, depth + 1 FROM y JOIN x ON x.parent_id = y.id) SELECT id, depth FROM y")
+def order_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model(spark, sf_dir)
+    up = graph.edges(m).filter("pos = 1").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("parent_id"))
+    return tree.by_depth(m.nodes.filter("doc_path IN ('stakeholder', 'system', 'software')").select("id").join(up, "id", "left"))
+
+
+@query(", x AS (SELECT DISTINCT a.doc_path AS f, b.doc_path AS t FROM e_ JOIN n_ a ON a.id = from_id JOIN n_ b ON b.id = to_id), y AS (SELECT 'tests' AS id, 0 AS depth UNION SELECT x.t, depth + 1 FROM y JOIN x ON x.f = y.id WHERE depth < 9) SELECT id, min(depth) AS depth FROM y GROUP BY id")
+def doc_chain_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model(spark, sf_dir)
+    at = m.nodes.select("id", "doc_path")
+    e = graph.edges(m).join(at.withColumnsRenamed({"id": "from_id", "doc_path": "f"}), "from_id").join(at.withColumnsRenamed({"id": "to_id", "doc_path": "t"}), "to_id")
+    e = e.select(F.col("f").alias("from_id"), F.col("t").alias("to_id")).distinct()
+    return graph.tiers(e, F.col("id") == "tests")
+
+
+# ------------------------------------------------------------ search and views
+
+_ITEMS = "SELECT concat('PRT-', lpad(cast(p_partkey as string), 9, '0')) AS id, p_name AS title, p_partkey AS ord, p_type, p_brand, p_size FROM {part}"
+
+
+@query(f"WITH x AS ({plain(_ITEMS)}), y AS (SELECT *, CASE WHEN lower(id) = 'art' THEN 0 WHEN starts_with(lower(id), 'art') THEN 1 WHEN starts_with(lower(title), 'art') THEN 2 WHEN contains(lower(id), 'art') THEN 3 WHEN contains(lower(title), 'art') THEN 4 END AS tier FROM x) SELECT id, title, tier FROM y WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 40", ctes=False)
+def search_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.palette(on_spark(spark, sf_dir, _ITEMS), " ART ")
+
+
+@query()
+def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.fuzzy(on_spark(spark, sf_dir, _ITEMS), "p07")
+
+
+@query(f"WITH x AS ({plain(_ITEMS)}) SELECT id FROM x WHERE contains(lower(concat_ws(' ', id, title, p_type)), '1') AND p_brand IN ('Brand#11', 'Brand#23') AND p_size IN (1, 5, 9, 13, 17, 21)", ctes=False)
+def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.facet_search(on_spark(spark, sf_dir, _ITEMS), "1", {"p_brand": ["Brand#11", "Brand#23"], "p_size": [1, 5, 9, 13, 17, 21]}, ["id", "title", "p_type"]).select("id")
+
+
+@query(_STATE + ", x AS (SELECT state AS queue, id FROM c WHERE state = 'missing-coverage' UNION ALL SELECT 'broken', from_id FROM t_ WHERE to_id IS NULL), y AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY id) AS position, count(*) OVER (PARTITION BY queue) AS total FROM x) SELECT queue, id, cast(position AS int) AS position, total FROM y WHERE position <= 50")
+def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model(spark, sf_dir)
+    lost = coverage.coverage_state(m).filter("state = 'missing-coverage'").select(F.col("state").alias("queue"), "id")
+    bad = graph.broken(m).select(F.lit("broken").alias("queue"), F.col("req_id").alias("id"))
+    return views.queue(lost.unionByName(bad), ["id"]).select("queue", "id", "position", "total")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY status IS NULL, lower(status), id) AS position FROM n_ WHERE doc_path = 'software'")
+def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the software table sorted by status, empties last."""
+    from pyspark.sql import Window
+
+    n = model(spark, sf_dir).nodes.filter("doc_path = 'software'")
+    return n.select("id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*views.table_order(F.col("status")), "id")).cast("long").alias("position"))
+
+
+@query(", x AS (SELECT DISTINCT from_id, to_id FROM e_ WHERE starts_with(from_id, 'NAT')) SELECT from_id, " + ", ".join(f"max(1) FILTER (to_id = 'REG-00000000{i}') AS \"REG-00000000{i}\"" for i in range(5)) + " FROM x GROUP BY from_id")
+def trace_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.matrix(graph.edges(model(spark, sf_dir)).filter("from_id LIKE 'NAT%'").select("from_id", "to_id").distinct())
+
+
+# ------------------------------------------------------------ text
+
+_H = "SELECT doc_id, concat(upper(source), '-', cast(doc_id as string), CASE WHEN doc_id % 3 = 0 THEN ': ' ELSE ' ' END, ' ', lang, ': x ') AS h FROM {documents}"
+
+
+@query(f"WITH x AS ({plain(_H)}) SELECT doc_id, trim(CASE WHEN strpos(h, ': ') > 0 THEN left(h, strpos(h, ': ') - 1) ELSE h END) AS id, trim(CASE WHEN strpos(h, ': ') > 0 THEN substr(h, strpos(h, ': ') + 2) ELSE '' END) AS title FROM x", ctes=False)
+def split_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = on_spark(spark, sf_dir, _H)
+    return h.select("doc_id", R.heading_id(F.col("h")).alias("id"), R.heading_title(F.col("h")).alias("title"))
+
+
+_T = "SELECT o_orderkey, concat('see ORD-', lpad(cast(o_orderkey as string), 4, '0'), ' and CUS-', cast(o_custkey as string), ', ORD-', lpad(cast(o_orderkey as string), 4, '0')) AS t FROM {orders}"
+
+
+@query(rf"WITH x AS ({plain(_T)}) SELECT o_orderkey, array_to_string(list_distinct(regexp_extract_all(t, '\b[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-[0-9]{{3,}}\b')).list_sort(), ',') AS ids FROM x", ctes=False)
+def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = on_spark(spark, sf_dir, _T)
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(R.HEURISTIC_ID), F.lit(0))))
+    return t.select("o_orderkey", F.array_join(found, ",").alias("ids"))
+
+
+@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'pass' WHEN 'signup' THEN 'skipped' ELSE 'inconclusive' END AS outcome FROM events", ctes=False)
+def ctrf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "signup", "skipped").otherwise("other")
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), R.ctrf_outcome(status, F.lit(False)).alias("outcome"))
