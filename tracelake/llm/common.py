@@ -187,6 +187,9 @@ def _forest(batches: Iterator) -> Iterator:
     yield pa.record_batch({"a": pa.array(own, pa.int64()), "b": pa.array([find(x) for x in own], pa.int64())})
 
 
+EDGES_A_PART = 100_000  # edges worked on in one task, about
+
+
 def min_label(edges: DataFrame, local: bool = True, rounds: int = 80) -> DataFrame:
     """Smallest id reachable: (id, component) for each id with a smaller one in its component.
 
@@ -198,10 +201,17 @@ def min_label(edges: DataFrame, local: bool = True, rounds: int = 80) -> DataFra
     only DataFrame operations run.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    for _ in range(rounds):
-        e = cut(e.mapInArrow(_forest, "a long, b long").filter("a <> b").distinct() if local else e)
+    for turn in range(rounds):
+        if turn % 4 == 3:
+            release(edges.sparkSession)
+        e = cut(e)
+        parts = -(-e.count() // EDGES_A_PART)
+        if parts < e.rdd.getNumPartitions():
+            e = e.coalesce(max(1, parts))
+        if local:
+            e = cut(e.mapInArrow(_forest, "a long, b long").filter("a <> b"))
         total, ids = e.agg(F.count("*"), F.countDistinct("a")).first()
-        if total == ids and not e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi").limit(1).count():
+        if total == ids and (local and parts <= 1 or not e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi").limit(1).count()):
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
         star = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(star.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n")))
