@@ -389,3 +389,25 @@ def ctrf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "signup", "skipped").otherwise("other")
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), R.ctrf_outcome(status, F.lit(False)).alias("outcome"))
+
+
+# ------------------------------------------------------------ streaming
+
+
+@query(_LATEST + "SELECT measure_id, case_key, outcome, source FROM y")
+def stream_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of one batch, upserted into the latest-wins state; equals the batch merge."""
+    import uuid
+
+    from tracelake.plans.projection import RESULTS_SQL
+    from tracelake.streaming.results import latest_stream
+
+    folder, glob = sf_dir.rstrip("/"), "events.parquet*"
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    name = f"events_{uuid.uuid4().hex}"
+    stream.createOrReplaceTempView(name)
+    out = latest_stream(spark.sql(RESULTS_SQL.replace("{events}", name)))
+    q = out.writeStream.format("memory").queryName(f"latest_{name}").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(f"latest_{name}").select("measure_id", "case_key", "outcome", "source")
