@@ -7,7 +7,10 @@ k = floor(r (1 - t) / t) features. PartEnum (Arasu, Ganti, Kaushik, VLDB 2006)
 splits the feature domain into n1 = ceil((k + 1) / 2) parts, of which one has
 at most one difference, and each part into three, of which two then agree: a
 set signs every choice of two of three in every part, and two sets within k
-differences share a signature, always.
+differences share a signature, always. Two thirds without a feature would be
+signed alike by unrelated sets; so there are a few parts more than that proof
+needs, and a set signs such thirds only if it has more parts with them than
+that surplus (one of its other parts meets every similar set otherwise).
 
 Equal sets become one class first. A first pass turns shared signatures into
 few pairs per document, verified exactly; links give components. A second pass
@@ -30,7 +33,9 @@ from .common import attach, cut, min_label, mix, release, rows_of, shingles, tab
 
 FLUSH = 1 << 20  # signatures combined in a task at once
 A_BUCKET = 1_500_000  # signatures a reduce group gets on average
-BLOCK_DOCS, BLOCK_BYTES = 64, 4 << 20  # of a block of the second pass, on average
+SKETCH = 256
+SMALL = 16  # documents of a signature whose pairs the second pass forms one by one; more are compared by blocks
+BLOCK_DOCS = 64  # documents of a block, on average
 BROADCAST_BYTES = 32 << 20
 _SIG_BYTES = 6  # a signature is cut to 48 bits; a chance meeting is verified like any other
 
@@ -39,6 +44,11 @@ def feature_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingles(words(text)[0], n))
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """How many features fall in each of SKETCH classes (255 at most): sums of differences bound the sets' difference from below."""
+    return np.minimum(np.bincount(((features >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
 class PartEnum:
     """Bands and signatures for Jaccard similarity >= num / den."""
 
@@ -66,14 +76,25 @@ class PartEnum:
             if not k:
                 continue  # only equal sets link
             n1 = (k + 2) // 2
+            spare = n1 // 16
+            n1 += spare  # so in at least 1 + spare parts two similar sets differ once at most
             cells = np.zeros(3 * n1, np.uint64)
             np.add.at(cells, (((g * np.uint64(n1)) >> np.uint64(32)) * np.uint64(3) + third).astype(np.int64), features)
             cells = cells.reshape(n1, 3)
+            bare = (cells != 0).sum(axis=1) < 2  # some choice of two thirds holds no feature
+            mute = bare if bare.sum() <= spare else None
             tag = np.arange(n1, dtype=np.uint64) * np.uint64(3) + np.uint64((i << 32) + 1)
             for drop, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                out.append(mix(mix(cells[:, a] + np.uint64(1)) * np.uint64(3) + mix(cells[:, b] + np.uint64(2)) + mix(tag + np.uint64(drop))))
+                sig = mix(mix(cells[:, a] + np.uint64(1)) * np.uint64(3) + mix(cells[:, b] + np.uint64(2)) + mix(tag + np.uint64(drop)))
+                out.append(sig if mute is None else sig[(cells[:, a] != 0) | (cells[:, b] != 0)])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    def possible(self, size: int, sketch: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+        """Whether sets can be similar by their sizes and sketches; never false for sets that are."""
+        fits = self.den * np.minimum(size, sizes) >= self.num * np.maximum(size, sizes)
+        apart = np.abs(sketches.astype(np.int16) - sketch.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+        return fits & ((self.den + self.num) * apart <= (self.den - self.num) * (size + sizes))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
             return False
@@ -208,35 +229,71 @@ def _verify(pe: PartEnum):
     return run
 
 
-def _across_blocks(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (a, b, ok) across components between documents that share a signature of ``held`` (sig, id, component).
+def _prune(pe: PartEnum):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.array(batch.column(c).to_pylist(), np.int64) for c in ("na", "nb")]
+            s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb")]
+            yield batch.filter(pa.array(pe.possible(n[0], s[0], n[1], s[1]), pa.bool_())).select([x for x in batch.schema.names if x not in ("na", "nb", "sa", "sb")])
+
+    return run
+
+
+def _possible(pe: PartEnum, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sizes and sketches allow a link."""
+    left = sets.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    schema = ", ".join(f"{n} {t}" for n, t in pairs.dtypes)
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "na", "sa", "nb", "sb").mapInArrow(_prune(pe), schema)
 
-    Documents are gathered into blocks of about BLOCK_DOCS, those of one of
-    ``clusters`` (id, component over all candidate pairs) together; blocks that share a signature meet once, so a
-    large group makes a row for each pair of its blocks, not of its documents.
+
+def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that share a signature of ``held`` (sig, id, component) and that sketches allow.
+
+    Signatures of few documents give their pairs one by one. Documents of a
+    larger one are gathered into blocks of about BLOCK_DOCS, those of one size
+    and one of ``clusters`` (id, component over all candidate pairs) together; blocks that
+    share a signature meet once, so a large group makes a row for each pair of
+    its blocks, not of its documents.
     """
-    one = held.groupBy("id").agg(F.min("component").alias("component")).join(clusters.select("id", F.col("component").alias("cluster")), "id", "left")
-    one = cut(one.withColumn("cluster", F.coalesce("cluster", "id")).join(sets, "id"))
-    size = one.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.length("features")).alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES)).alias("parts")
-    placed = attach(one.select("id", "cluster"), cut(size.select("cluster", "docs", parts)), "cluster", "docs", one.count())
-    placed = cut(placed.select("id", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
-    seen = cut(held.join(placed, "id").select("sig", "block").distinct())
+    size = cut(held.groupBy("sig").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig", "docs"))
+    few = held.join(size.filter(F.col("docs") <= SMALL).select("sig"), "sig")
+    x, y = (few.select("sig", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("p", "cp"), ("q", "cq")))
+    pairs = x.join(y, (x["sig"] == y["sig"]) & (x["cp"] < y["cq"])).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+    out = _possible(pe, pairs, sets)
+    big = size.filter(F.col("docs") > SMALL)
+    if not big.limit(1).count():
+        return out
+    total = held.count()
+    many = cut(attach(held, big, "sig", "docs", total).filter("docs IS NOT NULL").select("sig", "id", "component"))
+    one = many.groupBy("id").agg(F.min("component").alias("component")).join(clusters.select("id", F.col("component").alias("cluster")), "id", "left")
+    band = F.floor(F.log(F.lit(pe.den / pe.num), F.greatest("size", F.lit(1))))
+    one = one.join(sets.select("id", "size"), "id").withColumn("cluster", F.xxhash64(F.coalesce("cluster", "id"), band)).drop("size")
+    one = cut(one)
+    parts = one.groupBy("cluster").agg(F.count("*").alias("docs")).select("cluster", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).alias("parts"))
+    placed = attach(one, cut(parts), "cluster", "docs", one.count())
+    placed = cut(placed.select("id", "component", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    seen = cut(many.select("sig", "id").join(placed, "id").select("sig", "block").distinct())
     x, y = (seen.select("sig", F.col("block").alias(c)) for c in ("p", "q"))
-    met = x.join(y, "sig").filter("p <= q").select("p", "q").distinct()
-    body = one.join(placed, "id").groupBy("block").agg(F.collect_list(F.struct("id", "component", "features")).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
-    body = cut(body)
+    met = x.join(y, (x["sig"] == y["sig"]) & (x["p"] <= y["q"])).select("p", "q").distinct()
+    docs = F.collect_list(F.struct("id", "component", "size", "sketch")).alias("docs")
+    body = cut(placed.join(sets.select("id", "size", "sketch"), "id").groupBy("block").agg(docs, F.min("component").alias("low"), F.max("component").alias("high")))
     left = body.select(F.col("block").alias("p"), F.col("docs").alias("dp"), F.col("low").alias("lp"), F.col("high").alias("hp"))
     right = body.select(F.col("block").alias("q"), F.col("docs").alias("dq"), F.col("low").alias("lq"), F.col("high").alias("hq"))
-    rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("p", "q", "dp", "dq")
+    rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("dp", "dq")
+
+    def arrays(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = [np.array([d[c] for d in docs], np.int64) for c in ("id", "component", "size")]
+        return *n, np.frombuffer(b"".join(d["sketch"] for d in docs), np.uint8).reshape(-1, SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, q, dp, dq in rows_of(batches, "p", "q", "dp", "dq"):
-            us, vs = ([(d["id"], d["component"], np.frombuffer(d["features"], np.uint64)) for d in docs] for docs in (dp, dq))
-            ok = [(max(i, j), min(i, j)) for i, ci, f in us for j, cj, g in vs if ci != cj and (p != q or i < j) and pe.linked(f, g)]
-            yield pa.record_batch({"a": pa.array([x for x, _ in ok], pa.int64()), "b": pa.array([x for _, x in ok], pa.int64()), "ok": pa.array([True] * len(ok), pa.bool_())})
+        for dp, dq in rows_of(batches, "dp", "dq"):
+            (i, ci, ni, si), (j, cj, nj, sj) = arrays(dp), arrays(dq)
+            ok = np.stack([pe.possible(n, k, nj, sj) & (c != cj) & (d != j) for d, c, n, k in zip(i, ci, ni, si)])
+            x, y = np.nonzero(ok)
+            yield pa.record_batch({"a": pa.array(np.maximum(i[x], j[y]), pa.int64()), "b": pa.array(np.minimum(i[x], j[y]), pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long, ok boolean")
+    return out.unionByName(rows.mapInArrow(run, "a long, b long")).distinct()
 
 
 def without(docs: DataFrame, ids: DataFrame, count: int, column: str) -> DataFrame:
@@ -295,10 +352,12 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"id": batch.column("id"), "features": pa.array([feature_set(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
+            f = [feature_set(t, n) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"id": batch.column("id"), "size": pa.array([len(x) for x in f], pa.int64()), "features": pa.array([x.tobytes() for x in f], pa.binary()), "sketch": pa.array([sketch(x).tobytes() for x in f], pa.binary())})
 
     release(spark)
-    sets = cut(within(distinct, ends, near, "id").mapInArrow(pack, "id long, features binary").dropDuplicates(["id"]))
+    sets = cut(within(distinct, ends, near, "id").mapInArrow(pack, "id long, size long, features binary, sketch binary").dropDuplicates(["id"]))
+    likely = cut(_possible(pe, pairs, sets))
 
     def verified(some: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
@@ -314,11 +373,11 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
         y = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         return some.join(x, "a").join(y, "b").filter("ca <> cb")
 
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    best = likely.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     done = verified(best)
     links = done.filter("ok")
     label = labels(links)
-    rest = cut(across(pairs, label).join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    rest = cut(across(likely, label).join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     if rest.count():
         links = links.unionByName(verified(rest).filter("ok"))
         label = labels(links)
@@ -335,7 +394,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
 
         held = cut(own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long").join(mixed, "sig", "left_semi"))
         release(spark)
-        more = cut(_across_blocks(pe, held, sets, min_label(pairs.select("a", "b"))))
+        more = verified(cut(_across(pe, held, sets, min_label(pairs.select("a", "b"))).join(done, ["a", "b"], "left_anti")))
         if more.filter("ok").count():
             label = labels(links.unionByName(more.filter("ok")))
     joined = cut(label.filter("id <> component"))
