@@ -76,3 +76,18 @@ def test_signatures_never_miss(size, changes, rnd):
     b = np.unique(np.r_[a[min(changes, len(a)) // 2 :], rng.integers(0, 1 << 63, changes - changes // 2, dtype=np.uint64)])
     if pe.linked(a, b) and not np.array_equal(a, b) and len(b):
         assert set(pe.signatures(a).tolist()) & set(pe.signatures(b).tolist())
+
+
+def test_large_group_over_many_components(spark):
+    """Near copies round one text, many just too far apart to link: signatures of many documents span components."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for j in rng.choice(200, 7, replace=False):
+            w[j] = f"x{d}_{j}"
+        rows.append((d, " ".join(w)))
+    want = brute(rows, 3, 80, 100)
+    assert 1 < len({c for _, c in want.values()})
+    assert run(spark, rows, 3, 80, 100) == want

@@ -267,7 +267,7 @@ def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame)
     total = held.count()
     many = cut(attach(held, big, "sig", "docs", total).filter("docs IS NOT NULL").select("sig", "id", "component"))
     one = many.groupBy("id").agg(F.min("component").alias("component")).join(clusters.select("id", F.col("component").alias("cluster")), "id", "left")
-    band = F.floor(F.log(F.lit(pe.den / pe.num), F.greatest("size", F.lit(1))))
+    band = F.floor(F.log(pe.den / pe.num, F.greatest("size", F.lit(1))))
     one = one.join(sets.select("id", "size"), "id").withColumn("cluster", F.xxhash64(F.coalesce("cluster", "id"), band)).drop("size")
     one = cut(one)
     parts = one.groupBy("cluster").agg(F.count("*").alias("docs")).select("cluster", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).alias("parts"))
