@@ -11,7 +11,8 @@ from tracelake.model import SEVERITY
 
 #: Patterns of the requirement format (fixed values).
 TRACE_ITEM = r"^([A-Za-z0-9._-]+/)?[A-Z][A-Z0-9]*(-[A-Z0-9]+)*-[0-9]+(~[0-9]+)?$"
-HEURISTIC_ID = r"\b[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-[0-9]{3,}\b"
+HEURISTIC_ID = r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*-[0-9]{3,}(?:~[0-9]+)?\b"
+MARKED_ID = r"^([a-z0-9_-]+/)?[A-Z][A-Z0-9-]+(~[0-9]+)?$"
 
 _PIN = r"(?s)^(.*)~([+-]?[0-9]+)$"
 
@@ -92,3 +93,15 @@ def epoch_ms(stop: Column, start: Column) -> Column:
 
 def case_key(suite: Column, name: Column) -> Column:
     return F.concat_ws("/", F.nullif(suite, F.lit("")), name)
+
+
+def marked_traces(text: Column) -> Column:
+    """Ids on ``<tool>:trace`` directive lines, comma-separated or one a line; first seen first, invalid ones skipped."""
+    lines = F.regexp_extract_all(text, F.lit(r"(?m)^[a-z]+:trace[ \t]+(.+?)$"), F.lit(1))
+    ids = F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, ","))), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(ids, lambda x: x.rlike(MARKED_ID)))
+
+
+def heuristic_traces(text: Column) -> Column:
+    """Bare ids in a text that no directive names."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(HEURISTIC_ID), F.lit(0))), marked_traces(text))

@@ -377,7 +377,7 @@ def split_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = "SELECT o_orderkey, concat('see ORD-', lpad(cast(o_orderkey as string), 4, '0'), ' and CUS-', cast(o_custkey as string), ', ORD-', lpad(cast(o_orderkey as string), 4, '0')) AS t FROM {orders}"
 
 
-@query(rf"WITH x AS ({plain(_T)}) SELECT o_orderkey, array_to_string(list_distinct(regexp_extract_all(t, '\b[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-[0-9]{{3,}}\b')).list_sort(), ',') AS ids FROM x", ctes=False)
+@query(rf"WITH x AS ({plain(_T)}) SELECT o_orderkey, array_to_string(list_distinct(regexp_extract_all(t, '\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*-[0-9]{{3,}}(?:~[0-9]+)?\b')).list_sort(), ',') AS ids FROM x", ctes=False)
 def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = on_spark(spark, sf_dir, _T)
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(R.HEURISTIC_ID), F.lit(0))))
@@ -391,6 +391,23 @@ def ctrf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), R.ctrf_outcome(status, F.lit(False)).alias("outcome"))
 
 
+@query()
+def short_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short ids of (type, name) of the parts; tests/test_functions.py has a plain version (no SQL: 64-bit wrapping products)."""
+    from tracelake.functions.hashes import short_hash as h
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", h(F.col("p_type"), F.col("p_name")).alias("hash"))
+
+
+@query("SELECT nation.n_nationkey + 25 * i AS n_nationkey, concat(n_name, '-', i) AS name, n_regionkey + 5 * i AS n_regionkey FROM nation, range(4) r(i)", ctes=False)
+def replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four copies of the nations with renamed ids and references."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    c = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    return c.select((F.col("n_nationkey") + 25 * F.col("i")).alias("n_nationkey"), F.concat_ws("-", "n_name", "i").alias("name"), (F.col("n_regionkey") + 5 * F.col("i")).alias("n_regionkey"))
+
+
 # ------------------------------------------------------------ streaming
 
 
