@@ -26,7 +26,7 @@ PROMOTED = ("trace", "requires-trace-from", "status", "version", "verify", "disp
 
 
 def _text(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
@@ -42,7 +42,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 blocks, title, _ = markdown.parse(text, path)
             except markdown.MarkdownError as e:
-                rows.append({"file": path, "ord": -1, "kind": "error", "error": str(e)})
+                rows.append(dict.fromkeys(names) | {"file": path, "ord": -1, "kind": "error", "error": str(e)})
                 continue
             for k, b in enumerate(blocks):
                 a = b.attrs
@@ -76,12 +76,11 @@ def read_tree(spark: SparkSession, root: str) -> tuple[Model, DataFrame, dict[st
         raise ValueError(f"no documents under {root}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
-    relative = lambda d: d.removeprefix(base).lstrip("/") or "."
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    relative = lambda d: d.partition(base)[2].lstrip("/") or "."
     schemas = {relative(d): s for d, s in found.items()}
     documents = spark.createDataFrame([document_row(d, i, schemas[d]) for i, d in enumerate(sorted(schemas))], DOCUMENTS)
-    cut = F.substring("file", len(base) + 2, 1 << 20)
+    cut = F.substr("file", F.instr("file", base) + len(base) + 1)
     blocks = _text(spark, root, "*.md").mapInPandas(_parse, PARSED).withColumn("file", cut)
     blocks = blocks.withColumn("doc_path", F.when(F.instr("file", "/") > 0, F.regexp_replace("file", "/[^/]*$", "")).otherwise("."))
     blocks = blocks.join(F.broadcast(documents.select("doc_path")), "doc_path", "left_semi")

@@ -226,7 +226,7 @@ def read_symbols(spark: SparkSession, root: str) -> DataFrame:
                     rows.append((path, None, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"start_line": "Int32", "end_line": "Int32"})
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(sorted(_LANGUAGES)) + "}").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(sorted(_LANGUAGES)) + "}").text(root, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value").filter(~F.col("path").rlike("/(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
     return files.mapInPandas(run, SCHEMA)
 

@@ -34,7 +34,7 @@ def rebuild_on_change(stream: DataFrame, rebuild: Callable[[SparkSession, int],
 
     def swap(batch: DataFrame, batch_id: int) -> None:
         if batch.limit(1).count():
-            rebuild(batch.sparkSession, batch_id).createOrReplaceTempView(view)
+            rebuild(stream.sparkSession, batch_id).createOrReplaceTempView(view)
 
     return stream.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
