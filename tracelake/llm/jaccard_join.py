@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import attach, cut, min_label, mix, release, rows_of, shingles, table, words
 
-FLUSH = 1 << 20  # signatures combined in a task at once
-A_BUCKET = 1_500_000  # signatures a reduce group gets on average
+FLUSH = 1 << 19  # signatures combined in a task at once
+A_BUCKET = 1_000_000  # signatures a reduce group gets on average
 SKETCH = 256
 SMALL = 16  # documents of a signature whose pairs the second pass forms one by one; more are compared by blocks
 BLOCK_DOCS = 64  # documents of a block, on average
