@@ -84,13 +84,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BLOCK = 1 << 20  # bytes hashed at once; a longer text goes through in parts cut at white space
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 _CODE = np.random.default_rng(20240613).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     have = _tables.get(str(base))
     if have is None or len(have) < n:
         x = np.full(max(n, BLOCK + 4096), base, np.uint64)
@@ -118,8 +118,8 @@ def _block_words(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, n
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * _powers(_BASE, len(data))[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start]
+    np.cumsum(_CODE[data] * powers(BASE, len(data))[: len(data)], out=total[1:])
+    h = (total[end] - total[start]) * powers(INVERSE, len(data) + 1)[start]
     return mix(h + (end - start).astype(np.uint64)), start, end
 
 
