@@ -357,12 +357,19 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
 
     release(spark)
     sets = cut(within(distinct, ends, near, "id").mapInArrow(pack, "id long, size long, features binary, sketch binary").dropDuplicates(["id"]))
+    release(spark)
     likely = cut(_possible(pe, pairs, sets))
+    release(spark)
 
     def verified(some: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
-        right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
-        return cut(some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_verify(pe), "a long, b long, ok boolean"))
+        some = some.select("a", "b")
+        ids = some.select(F.col("a").alias("id")).union(some.select("b")).distinct()
+        own = within(sets.select("id", "features"), ids, 2 * some.count(), "id")
+        left = own.select(F.col("id").alias("a"), F.col("features").alias("fa"))
+        right = own.select(F.col("id").alias("b"), F.col("features").alias("fb"))
+        out = cut(some.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_verify(pe), "a long, b long, ok boolean"))
+        release(spark)
+        return out
 
     def labels(links: DataFrame) -> DataFrame:
         found = min_label(links)
@@ -373,7 +380,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
         y = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         return some.join(x, "a").join(y, "b").filter("ca <> cb")
 
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    best = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     done = verified(best)
     links = done.filter("ok")
     label = labels(links)
