@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import expr
+from tracelake.functions import text as T
 from tracelake.functions.hashes import short_hash_text
 from tracelake.project import Project
-from tracelake.sources import markdown, readers, sinks, symbols
+from tracelake.sources import imports, markdown, readers, sinks, symbols
 from tracelake.streaming import results as streams
 
 
@@ -159,3 +160,30 @@ def test_streams(spark, tmp_path):
 def test_report_shape(spark):
     df = spark.createDataFrame([('{"results": {}}',), ('{"results": []}',), ("x",)], "v string")
     assert [r[0] for r in df.select(readers.looks_like_report(F.col("v"))).collect()] == [True, False, False]
+
+
+def test_import_build_and_guards():
+    doc = {"id-prefix": "P-", "dir": "pkg", "requirements": [{"native-id": "2", "parent": "1", "native-trace": ["1"]}, {"native-id": "1", "title": "top", "attrs": {"k": "v"}}]}
+    text = imports.build([doc])["pkg/requirements.md"]
+    blocks, _, _ = markdown.parse(text)
+    assert [(b.level, b.id, b.attrs.get("trace")) for b in blocks if b.kind == "req"] == [(2, "P-1", []), (3, "P-2", ["P-1"])]
+    bad = {"id-prefix": "P-", "dir": "../x", "file": "a/b", "requirements": [{"native-id": "a b", "title": "x\ny", "attrs": {"1 k": 1}, "body": "```attr\n```"}]}
+    assert len(imports.guard([bad, bad])) == 13
+    with pytest.raises(ValueError):
+        imports.by_depth([{"native-id": "1", "parent": "2"}, {"native-id": "2", "parent": "1"}])
+
+
+def test_texts(spark):
+    one = spark.createDataFrame([("T-1", "c", "TC:x")], "t string, c string, tc string")
+    r = one.select(T.result_id(F.col("t"), F.col("c")).alias("a"), T.result_id(F.col("t"), F.lit("")).alias("b"), T.case_of(F.lit("RESULT:T-1#c"), F.col("t")).alias("d"), T.case_of(F.lit("RESULT:x"), F.col("tc")).alias("e"), T.schema_title(F.lit("i"), F.lit("t")).alias("f")).first()
+    assert tuple(r) == ("RESULT:T-1#c", "RESULT:T-1", "c", "x", "i — t")
+    sel = {"a": ["x:y", "&"], "state.coverage": ["covered"]}
+    assert T.decode_filters("?" + T.encode_filters(sel)) == sel
+    assert T.ordered_properties(["z", "b"], ["a", "b", "z"], ["trace", "a"]) == ["z", "b", "a", "trace"]
+
+
+def test_manual_results_and_config(spark):
+    blocks = spark.createDataFrame([("req", "R-1", ["M-1~2"], '{"x-tool.outcome": "pass", "x-tool.verified-at": "2024-02-30"}', "f", 3), ("req", "R-2", [], '{"x-tool.outcome": "fail", "x-tool.verified-at": "2024-02-03"}', "f", 4), ("req", "R-3", [], None, "f", 5)], "kind string, id string, trace array<string>, attrs string, file string, ord long")
+    got = {r["measure_id"]: (r["outcome"], str(r["verified_at"])[:10]) for r in readers.manual_results(blocks).collect()}
+    assert got == {"M-1~2": ("pass", "None"), "R-2": ("fail", "2024-02-03")}
+    assert len(readers.config_errors({"a": {"x-t": {"requires-trace-from": 3, "additional-status-values": [""]}}})) == 3

@@ -84,3 +84,22 @@ def export(m: Model) -> DataFrame:
     each = F.concat_ws("=", "case_key", R.outcome_of(F.col("sev")))
     rows = ev.groupBy("id").agg(F.max("sev").alias("sev"), F.array_join(F.array_sort(F.collect_list(each)), ",").alias("cases"))
     return measures(m).join(rows, "id").select(F.col("id").alias("measure_id"), "verify", R.outcome_of(F.col("sev")).alias("outcome"), "cases")
+
+
+def representative(m: Model) -> DataFrame:
+    """Where each measure's verdict comes from: its own latest result's source, else that of the worst evidence; id, source."""
+    last = latest(m.results).withColumnRenamed("measure_id", "id")
+    own = last.groupBy("id").agg(F.min_by("source", "load_ord").alias("own"))
+    seeds = last.select("id", F.struct(R.severity(F.col("outcome")).alias("sev"), (-F.col("load_ord")).alias("o"), F.col("source").alias("source")).alias("w"))
+    ok = graph.definitions(m).filter(R.is_provider(F.col("status"), F.col("ignore_status"))).select(F.col("id").alias("child"))
+    up = graph.edges(m).select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")).join(ok, "child", "left_semi")
+    worst = graph.propagate(up, seeds, [], "w")
+    return measures(m).join(worst, "id").join(own, "id", "left").select("id", F.coalesce("own", F.col("w")["source"]).alias("source"))
+
+
+def mirror(m: Model) -> DataFrame:
+    """Links seen from their targets: id, from_id, title of the source, pin health (ok, outdated, predated)."""
+    p = graph.pin_health(m).select("from_id", "to_id", "direction")
+    t = graph.definitions(m).select(F.col("id").alias("from_id"), "title")
+    x = graph.last_refs(m).join(p, ["from_id", "to_id"], "left").join(t, "from_id")
+    return x.select(F.col("to_id").alias("id"), "from_id", "title", F.coalesce("direction", F.lit("ok")).alias("health"))

@@ -428,3 +428,12 @@ def stream_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = out.writeStream.format("memory").queryName(f"latest_{name}").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(f"latest_{name}").select("measure_id", "case_key", "outcome", "source")
+
+
+on_model(
+    """, ph AS (SELECT from_id, to_id, CASE WHEN pin < version THEN 'outdated' ELSE 'predated' END AS h FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin <> version)
+    SELECT l_.to_id AS id, l_.from_id, n_.title, coalesce(h, 'ok') AS health FROM l_ JOIN n_ ON n_.id = l_.from_id LEFT JOIN ph ON ph.from_id = l_.from_id AND ph.to_id = l_.to_id""",
+    "downstream_mirror", verify.mirror)
+on_model(
+    _LATEST + ", o AS (SELECT measure_id AS id, arg_min(source, load_ord) AS source FROM y GROUP BY 1) SELECT ms.id, o.source FROM ms JOIN o USING (id)",
+    "verdict_source", verify.representative)

@@ -165,3 +165,27 @@ def git_submodules(spark: SparkSession, repository: str, tag: str) -> DataFrame:
     out = subprocess.run(["git", "-C", repository, "ls-tree", "-r", "-t", tag], check=True, capture_output=True, text=True).stdout
     rows = [(p, meta.split()[2]) for meta, _, p in (x.partition("\t") for x in out.splitlines()) if meta.startswith("160000 commit")]
     return spark.createDataFrame(rows, "path string, sha string")
+
+
+def manual_results(blocks: DataFrame) -> DataFrame:
+    """Results written as requirements: an ``x-<tool>.outcome`` attribute; the measure is the first trace, else the own id; the date ``verified-at``."""
+    values = lambda end: F.expr(f"try_element_at(map_values(map_filter(from_json(attrs, 'map<string,string>'), (k, v) -> k LIKE 'x-%.{end}')), 1)")
+    x = blocks.filter("kind = 'req' AND attrs IS NOT NULL").withColumn("outcome", values("outcome")).filter("outcome IS NOT NULL")
+    return x.select(
+        F.coalesce(F.get("trace", F.lit(0)), F.col("id")).alias("measure_id"), F.lit("").alias("case_key"), "outcome",
+        F.try_to_timestamp(values("verified-at"), F.lit("yyyy-MM-dd")).alias("verified_at"), F.col("file").alias("source"), F.col("ord").alias("load_ord"),
+    )
+
+
+def config_errors(schemas: dict[str, dict]) -> list[str]:
+    """Malformed extension blocks: status additions and coverage defaults that aren't lists of texts, a missing ``$schema``."""
+    bad = []
+    for d, s in sorted(schemas.items()):
+        x = next((v for k, v in s.items() if k.startswith("x-") and isinstance(v, dict)), {})
+        if "$schema" not in s:
+            bad.append(f"{d}: $schema is missing")
+        for key in ("additional-status-values", "requires-trace-from"):
+            v = x.get(key, [])
+            if not isinstance(v, str) and not (isinstance(v, list) and all(isinstance(i, str) and i for i in v)):
+                bad.append(f"{d}: {key} must be a text or a list of texts")
+    return bad

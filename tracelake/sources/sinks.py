@@ -72,7 +72,7 @@ def markdown(title: str, notice: str, items: Iterable[dict]) -> str:
     """A document of requirements (id, title, body, status, trace, attrs, depth), headings two levels below their depth."""
     parts = [f"# {title}", f"<!-- {notice} -->"] if notice else [f"# {title}"]
     for r in items:
-        head = "#" * min(6, 2 + r.get("depth", 0)) + f" {r['id']}: {r.get('title', '')}".rstrip()
+        head = "#" * min(6, 2 + r.get("depth", 0)) + (f" {r['id']}: {r['title']}" if r.get("title") else f" {r['id']}")
         parts += [head, attr_block(r.get("status", ""), r.get("trace", ()), r.get("attrs", {}))] + ([r["body"]] if r.get("body") else [])
     return "\n\n".join(parts) + "\n"
 
