@@ -55,8 +55,8 @@ class WordCache:
     """Ids of texts by a lower-casing word BPE tokenizer, word by word where that is the same thing.
 
     Texts of Latin-1 letters, digits and signs are split as the tokenizer's own
-    pre-tokenizer splits them and each distinct word is encoded once (the cache
-    starts afresh beyond ``most`` words); any other
+    pre-tokenizer splits them and each distinct word is encoded once (the first
+    ``most`` words stay for later calls); any other
     text, or one with a special token's opening, goes to the tokenizer whole.
     """
 
@@ -70,12 +70,13 @@ class WordCache:
         """Little-endian unsigned 32-bit ids of each text."""
         pack = lambda e: array("I", e.ids).tobytes()
         lists = [_WORD.findall(t.lower()) if _plain(t) else None for t in texts]
-        seen = set().union(*(x for x in lists if x))
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        new = list(seen.difference(self.ids))
+        new = list(set().union(*(x for x in lists if x)).difference(self.ids))
         self.ids.update(zip(new, map(pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return [b"".join(map(self.ids.__getitem__, x)) if x is not None else pack(self.tokenizer.encode(t, add_special_tokens=False)) for x, t in zip(lists, texts)]
+        out = [b"".join(map(self.ids.__getitem__, x)) if x is not None else pack(self.tokenizer.encode(t, add_special_tokens=False)) for x, t in zip(lists, texts)]
+        if len(self.ids) > self.most:
+            for w in new:
+                del self.ids[w]
+        return out
 
 
 _caches: dict[str, WordCache] = {}
