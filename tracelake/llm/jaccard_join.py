@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, min_label, mix, release, rows_of, shingles, table, words
+from .common import attach, batches_of, cut, min_label, mix, release, rows_of, shingles, table, words
 
 FLUSH = 1 << 19  # signatures combined in a task at once
 A_BUCKET = 1_000_000  # signatures a reduce group gets on average
 SKETCH = 256
 SMALL = 16  # documents of a signature whose pairs the second pass forms one by one; more are compared by blocks
 BLOCK_DOCS = 64  # documents of a block, on average
+BATCH_ROWS = 500  # documents or pairs of sets that Python holds at once
 BROADCAST_BYTES = 32 << 20
 _SIG_BYTES = 6  # a signature is cut to 48 bits; a chance meeting is verified like any other
 
@@ -314,6 +315,11 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
     empty; a row with a null id gets itself (null). Rows repeated with one id
     are one document if their sets are equal. No documents give no rows.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, n, num, den, text, doc_id)
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     pe = PartEnum(num, den)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
