@@ -398,14 +398,20 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
     release(spark)
     own = sets.join(label, "id")
     mixed = cut(own.select("features", "component").mapInArrow(_spread(pe, buckets), "bucket long, sig binary, low binary, high binary").groupBy("bucket").applyInArrow(_mixed, "sig long"))
-    if mixed.count():
+    release(spark)
+    if spanning := mixed.count():
+        small = spanning * 8 <= BROADCAST_BYTES // 4
+        wanted = spark.sparkContext.broadcast(np.sort(mixed.toArrow().column("sig").to_numpy()) if small else None)
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, comp, blob in rows_of(batches, "id", "component", "features"):
                 s = np.unique(pe.signatures(np.frombuffer(blob, np.uint64)) & _CUT).astype(np.int64)
+                if wanted.value is not None:
+                    s = s[np.isin(s, wanted.value)]
                 yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
 
-        held = cut(own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long").join(mixed, "sig", "left_semi"))
+        held = own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long")
+        held = cut(held if small else held.join(mixed, "sig", "left_semi"))
         release(spark)
         more = verified(cut(_across(pe, held, sets, min_label(pairs.select("a", "b"))).join(done, ["a", "b"], "left_anti")))
         if more.filter("ok").count():
