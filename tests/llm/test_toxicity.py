@@ -40,6 +40,17 @@ def test_held_out(spark):
     assert np.mean(other) < 0.01
 
 
+def test_held_out_recall_of_each_language(spark):
+    d = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in T.op9_toxicity(spark, d).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    rate = {(x, y): np.mean([r["predicted"] for r in rows if lang[r["doc_id"]] == x and toxic[r["doc_id"]] == y]) for x in ("en", "de", "fr", "es") for y in (0, 1)}
+    print(rate)
+    assert all(rate[x, 0] < 0.02 for x in ("en", "de", "fr", "es"))
+    assert rate["en", 1] > 0.9 and rate["de", 1] > 0.5 and rate["fr", 1] > 0.5 and rate["es", 1] > 0
+
+
 def test_odd_texts(spark):
     docs = [(i, f"you vile beast x{i} y{i} " * 3 + "and the rest of it") for i in range(40)] + [(i, f"a calm day x{i} and the rest of it " * 3) for i in range(40, 200)]
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")

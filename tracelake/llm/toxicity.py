@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens score by their log-odds between toxic and other labelled documents with
-an informative Dirichlet prior (Monroe, Colaresi, Quinn, 2008); those without
-a difference that stands out among so many tokens score a small negative drift. A linear-time scan
+an informative Dirichlet prior (Monroe, Colaresi, Quinn, 2008), less SOFT
+standard errors. Prefixes of a token have log-odds too, so that compounds of
+one stem share evidence, and the one that stands out most counts; a token of
+which none does scores a small negative drift. A linear-time scan
 (Ruzzo and Tompa, 1999) finds every maximal-scoring segment of a text. Segment
 scores are normalised by the extreme-value law of Karlin and Altschul, fitted
 on the scores of non-toxic tokens, and a logistic map turns the text's best
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SIGNS, bounded_sample, cut, held_out, rows_of, shingles, table, words
+from .common import _LOWER, BASE, SIGNS, bounded_sample, cut, held_out, mix, rows_of, shingles, table, words
 
 MAX_TRAIN = 20_000  # labelled documents that the model is fitted on at most, about
 MAX_VOCABULARY = 50_000  # tokens with the most significant log-odds that the model holds at most
 PRIOR = 1.0  # weight of the Dirichlet prior, as a share of the toxic texts' tokens
 DRIFT = -0.05
+SOFT = 2.0  # standard errors that log-odds are shrunk by towards nought
+PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes; of tokens longer than that
 SIGNIFICANT = 0.01  # chance that a clean text of this length has such a segment
 
 
@@ -54,22 +58,48 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in stack]
 
 
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of hashes for each token, of itself and its PREFIXES (0 where it is no longer than that), with its first byte and end byte."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    h, start, end = words(raw, separator=SIGNS)
+    out = np.zeros((len(h), 1 + len(PREFIXES)), np.uint64)
+    out[:, 0] = h
+    data = _LOWER[np.frombuffer(raw, np.uint8)].astype(np.uint64)
+    rows, x = np.arange(len(h)), np.zeros(len(h), np.uint64)
+    for j in range(max(PREFIXES)):
+        more = end[rows] - start[rows] > j + 1
+        rows, x = rows[more], x[more]
+        x = (x + data[start[rows] + j] + np.uint64(1)) * np.uint64(BASE)
+        if j + 1 in PREFIXES:
+            out[rows, 1 + PREFIXES.index(j + 1)] = mix(x)
+    return out, start, end
+
+
 @dataclass
 class Model:
-    tokens: np.ndarray  # sorted token hashes
+    tokens: np.ndarray  # sorted hashes of tokens and prefixes
     odds: np.ndarray
+    strength: np.ndarray  # standard errors between the log-odds and nought
     rate: float  # lambda and K of the extreme-value law
     k: float
     weights: tuple[float, float, float]  # logistic: offset, best normalised score, significant segments
 
+    def values(self, h: np.ndarray) -> np.ndarray:
+        """For each row of ``features`` the place of its strongest one in ``tokens``, or -1."""
+        at = np.searchsorted(self.tokens, h)
+        at[at == len(self.tokens)] = 0
+        known = self.tokens[at] == h
+        best = np.where(known, self.strength[at], 0).argmax(axis=1)
+        rows = np.arange(len(h))
+        return np.where(known[rows, best], at[rows, best], -1)
+
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], float, int]:
         """Segments (first byte, end byte, score, chance), the best normalised score, and the number that are significant."""
-        h, start, end = words(text, separator=SIGNS)
+        h, start, end = features(text)
         if not len(h) or not len(self.tokens):
             return [], 0.0, 0
-        at = np.searchsorted(self.tokens, h)
-        at[at == len(self.tokens)] = 0
-        found = segments(np.where(self.tokens[at] == h, self.odds[at], DRIFT))
+        at = self.values(h)
+        found = segments(np.where(at >= 0, self.odds[at], DRIFT))
         if not found:
             return [], 0.0, 0
         size = math.log(max(self.k * len(h), 1e-9))
@@ -89,10 +119,10 @@ def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic documents with it, other documents with it) of this part, and the numbers of documents at token 0."""
+    """(token or prefix, toxic documents with it, other documents with it) of this part, and the numbers of documents at token 0."""
     seen: list[list[np.ndarray]] = [[], []]
     for text, y in rows_of(batches, "t", "y"):
-        seen[y].append(np.unique(words(text, separator=SIGNS)[0]))
+        seen[y].append(np.setdiff1d(features(text)[0], np.zeros(1, np.uint64)))
     got = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, int)) for x in seen]
     token = np.union1d(got[0][0], got[1][0])
     n = [np.zeros(len(token) + 1, np.int64) for _ in got]
@@ -126,23 +156,34 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = use.mapInArrow(_count, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = cut(counts)
     docs_of = counts.filter("token = 0").select("clean", "toxic").first()
-    n0, n1, kinds = counts.filter("token <> 0").agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
+    n0, n1 = counts.filter("token <> 0").agg(F.sum("clean"), F.sum("toxic")).first()
     if not docs_of or not docs_of[0] or not docs_of[1] or not n0 or not n1:
         share = (docs_of[1] + 1) / (docs_of[0] + docs_of[1] + 2) if docs_of and docs_of[0] is not None else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, (math.log(share / (1 - share)), 0.0, 0.0))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 1.0, 1.0, (math.log(share / (1 - share)), 0.0, 0.0))
     weight = PRIOR * n1
     prior = weight * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a1 / (n1 + weight - a1)) - F.log(a0 / (n0 + weight - a0))
-    scored = counts.filter("token <> 0").select("token", "clean", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    kept = scored.filter(F.abs("z") >= math.sqrt(2 * math.log(max(kinds, 100)))).orderBy(F.desc(F.abs("z")), "token").limit(MAX_VOCABULARY).collect()
+    scored = counts.filter("token <> 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
+    kept = scored.filter(F.abs("z") > SOFT).orderBy(F.desc(F.abs("z")), "token").limit(MAX_VOCABULARY).collect()
     kept.sort(key=lambda r: r["token"] % (1 << 64))
     tokens = np.array([r["token"] % (1 << 64) for r in kept], np.uint64)
-    values = np.array([r["odds"] for r in kept])
-    clean = np.array([r["clean"] for r in kept], float)
-    chance = np.r_[clean, max(n0 - clean.sum(), 1)] / max(n0, clean.sum() + 1)
-    rate = karlin_altschul(np.r_[values, DRIFT], chance) if (values > 0).any() else 1.0
-    model = Model(tokens, values, rate, 1.0, (0.0, 1.0, 0.0))
+    strength = np.abs(np.array([r["z"] for r in kept]))
+    values = np.array([r["odds"] for r in kept]) * (1 - SOFT / strength)
+    model = Model(tokens, values, strength, 1.0, 1.0, (0.0, 1.0, 0.0))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(tokens) + 1, np.int64)
+        for text, y in rows_of(batches, "t", "y"):
+            if not y and len(tokens):
+                n += np.bincount(model.values(features(text)[0]) + 1, minlength=len(n))
+        yield pa.record_batch({"at": pa.array(np.flatnonzero(n) - 1, pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
+
+    clean = np.zeros(len(tokens) + 1)
+    for r in use.mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        clean[r["at"]] = r["n"]  # the last place is that of tokens that score the drift
+    if (values > 0).any():
+        model.rate = karlin_altschul(np.r_[values, DRIFT], clean / max(clean.sum(), 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
