@@ -407,7 +407,8 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
             for doc, comp, blob in rows_of(batches, "id", "component", "features"):
                 s = np.unique(pe.signatures(np.frombuffer(blob, np.uint64)) & _CUT).astype(np.int64)
                 if wanted.value is not None:
-                    s = s[np.isin(s, wanted.value)]
+                    at = np.minimum(np.searchsorted(wanted.value, s), len(wanted.value) - 1)
+                    s = s[wanted.value[at] == s]
                 yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
 
         held = own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long")
