@@ -22,12 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary one is made.
+    and Spark runs in one process (tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelake-"))
     return df.checkpoint()
 
 
@@ -55,7 +58,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -
     Keys with over ``total / HOT_KEYS`` left rows (fewer than HOT_KEYS keys, so
     safe to broadcast) join where the left rows lie; all others shuffle.
     """
-    most = max(2000, total // HOT_KEYS)
+    most = max(1, total // HOT_KEYS)
     hot = right.filter(F.col(rows) > most)
     found = hot.limit(HOT_KEYS + 1).collect()
     if not found:
