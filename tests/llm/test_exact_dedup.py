@@ -24,6 +24,12 @@ def test_report(spark, size, monkeypatch):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == plain(rows)
 
 
+def test_cleared_rows_do_not_shuffle(spark):
+    rows, _ = X.groups(spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(900, "text 1")], "doc_id long, text string"))
+    assert "Exchange" not in rows.filter("NOT maybe")._jdf.queryExecution().executedPlan().toString()
+    assert rows.filter("NOT maybe").count() > 400 and rows.count() == 501
+
+
 def test_filter_keeps_columns_and_one_row(spark):
     rows = [(1, "a", 1.0), (2, "a", 2.0), (2, "a", 2.0), (3, "b", None), (None, "c", 3.0), (None, "c", 4.0), (4, None, 5.0), (5, "", 6.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, dedup_sha double")

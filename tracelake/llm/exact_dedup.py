@@ -60,8 +60,8 @@ def _merge(key, parts):
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "again": pa.array([np.packbits(again).tobytes()], pa.binary())})
 
 
-def possible_repeats(hashes: DataFrame, column: str, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """The rows of ``hashes`` whose 64-bit ``column`` (not null) may occur more than once; never misses one that does.
+def probed(hashes: DataFrame, column: str, rows: int, flag: str, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """Adds the boolean ``flag`` to ``hashes``: whether the 64-bit ``column`` (not null) may occur more than once; true for all that do.
 
     The filter has BITS_A_ROW bits a row. Within ``max_filter_bytes`` it is
     broadcast; beyond, slices of its blocks of that size are broadcast one
@@ -72,7 +72,7 @@ def possible_repeats(hashes: DataFrame, column: str, rows: int, max_filter_bytes
     per = max(1, max_filter_bytes * 8 // BLOCK_BITS)
     bits = hashes.select(column).mapInArrow(_set_bits(blocks), "block long, bits binary, again binary")
     merged = cut(bits.groupBy("block").applyInArrow(_merge, "block long, again binary"))
-    schema, out = hashes.schema, None
+    schema, out = hashes.withColumn(flag, F.lit(True)).schema, None
     for first in range(0, blocks, per):
         last = min(first + per, blocks)
         held = {r["block"]: np.frombuffer(r["again"], np.uint8) for r in merged.filter(F.col("block").between(first, last - 1)).collect()}
@@ -88,7 +88,7 @@ def possible_repeats(hashes: DataFrame, column: str, rows: int, max_filter_bytes
                 mine = (block >= first) & (block < last)
                 at = np.where(mine, block - first, 0) * BLOCK_BITS
                 hit = lambda x: (flat[(at + x) >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1  # noqa: B023, E731
-                yield batch.filter(pa.array(mine & (hit(p) & hit(q)).astype(bool)))
+                yield batch.append_column(flag, pa.array((hit(p) & hit(q)).astype(bool))).filter(pa.array(mine))
 
         part = hashes.mapInArrow(probe, schema)
         part = cut(part) if blocks > per else part
@@ -98,13 +98,19 @@ def possible_repeats(hashes: DataFrame, column: str, rows: int, max_filter_bytes
     return out
 
 
+def possible_repeats(hashes: DataFrame, column: str, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """The rows of ``hashes`` that ``probed`` flags."""
+    flag = free_name(hashes, "maybe")
+    return probed(hashes, column, rows, flag, max_filter_bytes).filter(flag).drop(flag)
+
+
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeated): a row (doc_id, sha, h) for each document; (sha, keep_id, group_size) for each text found more than once."""
+    """(rows, repeated): a row (doc_id, sha, h, maybe) for each document, ``maybe`` if the filter can't clear it; (sha, keep_id, group_size) for each text found more than once."""
     sha = F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
     rows = docs.select(F.col(doc_id).alias("doc_id"), sha.alias("sha"))
     rows = cut(rows.withColumn("h", F.xxhash64("sha")))
-    maybe = possible_repeats(rows, "h", rows.count(), max_filter_bytes)
-    repeated = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    rows = probed(rows, "h", rows.count(), "maybe", max_filter_bytes)
+    repeated = rows.filter("maybe").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     return rows, cut(repeated)
 
 
@@ -117,9 +123,10 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filt
     ``dedup`` returns one. No document gives no row.
     """
     rows, repeated = groups(docs, text, doc_id, max_filter_bytes)
-    n = rows.count()
-    spark = docs.sparkSession
-    seen = attach(rows, repeated, "sha", "group_size", n)
+    maybe = rows.filter("maybe").select("doc_id", "sha")
+    size, keep = F.lit(None).cast("long"), F.lit(None).cast(rows.schema["doc_id"].dataType)
+    cleared = rows.filter("NOT maybe").select("doc_id", "sha", keep.alias("keep_id"), size.alias("group_size"))
+    seen = cleared.unionByName(attach(maybe, repeated, "sha", "group_size", maybe.count()).select(*cleared.columns))
     one = F.col("group_size").isNull()
     return seen.select(
         "doc_id",
@@ -134,9 +141,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filte
     """The documents with all their columns, one of each text: that with the largest doc_id (null ids last).
 
     Of rows repeated with one doc_id and text the least by the hash of the
-    whole row stays. Documents whose text occurs once never move: the few
-    repeated texts are looked up where the documents lie if they fit
-    MAX_FILTER_BYTES, and joined by hash beyond.
+    whole row stays. The repeated texts are looked up where the documents lie
+    if they fit MAX_FILTER_BYTES; beyond, documents that the filter clears pass
+    straight through and the others are joined by hash.
     """
     _, repeated = groups(docs, text, doc_id, max_filter_bytes)
     k = {c: free_name(docs, f"dedup_{c}") for c in ("sha", "keep", "n", "row")}
@@ -146,7 +153,11 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filte
     if count * 64 <= max_filter_bytes:
         seen = tagged.join(F.broadcast(known), k["sha"], "left")
     else:
-        seen = attach(tagged, known, k["sha"], k["n"], docs.count())
+        hashed, mark = tagged.withColumn(k["row"], F.xxhash64(k["sha"])), free_name(docs, "dedup_maybe")
+        flagged = probed(hashed, k["row"], docs.count(), mark, max_filter_bytes).drop(k["row"])
+        maybe, none = flagged.filter(mark).drop(mark), {c: F.lit(None).cast(known.schema[c].dataType) for c in (k["keep"], k["n"])}
+        seen = attach(maybe, known, k["sha"], k["n"], maybe.count())
+        seen = seen.unionByName(flagged.filter(~F.col(mark)).drop(mark).withColumns(none))
     once = seen.filter(F.col(k["n"]).isNull()).select(*docs.columns)
     left = seen.filter(F.col(k["n"]).isNotNull() & F.col(doc_id).eqNullSafe(F.col(k["keep"])))
     best = left.groupBy(k["sha"]).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(k["row"]))
