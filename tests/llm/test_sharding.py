@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import sharding as S
 
@@ -49,8 +50,35 @@ def test_hot_group_and_odd_rows(spark, law):
     spread = check(S.shard(df, 10, law).collect(), docs, 10, law)
     assert len(spread["hot"]) <= 6
     assert sum(len(s) == 1 for t, s in spread.items() if t.startswith("pair")) >= 140
+    placed = S.shard(df, 10, law).join(df.fillna("", ["text"]).dropDuplicates(["doc_id"]), "doc_id")
+    random = placed.withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)))
+    assert S.cut_links(placed, ["text"], "shard") < S.cut_links(random, ["text"], "at")
     odd = [(None, "a"), (1, "b"), (1, "b"), (2, None)]
     rows = S.shard(spark.createDataFrame(odd, "doc_id long, text string"), 2, law).collect()
     assert len(rows) == 4
     assert S.shard(df.limit(0), 3, law).count() == 0
     assert {r["shard"] for r in S.shard(df, 1, law).collect()} == {0}
+
+
+def test_labels_follow_neighbours_under_capacity(spark):
+    """Ten groups of twelve whose members start anywhere, no shard with room for more than two: all are united."""
+    cells = spark.createDataFrame([(g, (g * 7 + 3 * i) % 8, 1, 1) for g in range(10) for i in range(12)], "key int, start int, w long, n long").groupBy("key", "start").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    got, load = S.propagate(cells, 8, 30)
+    rows = got.collect()
+    assert max(load) <= 30 and sum(load) == sum(r["w"] for r in rows if r["now"] is not None)
+    at = defaultdict(set)
+    for r in rows:
+        at[r["key"]].add(r["now"])
+    assert sum(len(s) == 1 and None not in s for s in at.values()) >= 9
+
+
+def test_running_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_ROWS", 20)
+    df = spark.range(500).selectExpr("id % 3 AS k", "id", "id % 7 AS v")
+    for by in ([], ["k"]):
+        rows = sorted(S.running(df, by, F.xxhash64("id"), "v", 500, [F.col("id")]).withColumn("o", F.xxhash64("id")).collect(), key=lambda r: r["o"])
+        total = Counter()
+        for r in rows:
+            k = r["k"] if by else 0
+            assert r["before"] == total[k]
+            total[k] += r["v"]
