@@ -240,8 +240,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     shares = _deal(sizes, used)
     if capacity in histogram:
         shares.append((capacity, 0, histogram[capacity], 1, sum(n for _, n in used)))
-    chunks = max(1, sum(histogram.values()) // RANK_CHUNK)
-    items = items.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.lit(chunks)))
+    chunks = spark.createDataFrame([(k, max(1, n // RANK_CHUNK)) for k, n in histogram.items()], "class long, chunks long")
+    items = items.join(F.broadcast(chunks), "class").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.col("chunks"))).drop("chunks")
     counts = items.groupBy("class", "chunk").agg(F.count("*").alias("n"))
     before = cut(counts.select("class", "chunk", (F.sum("n").over(Window.partitionBy("class").orderBy("chunk")) - F.col("n")).alias("before")))
     own = F.row_number().over(Window.partitionBy("class", "chunk").orderBy("doc_id", "start")) - 1
