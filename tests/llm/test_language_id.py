@@ -26,9 +26,9 @@ def test_tables_equal_convolution():
 
 
 def test_odd_texts(spark):
-    rows = [(1, "the of and ing", "en"), (2, "der die und ein", "de"), (3, None, "de"), (4, "", None), (5, "12 % 3", "en"), (6, "the " * 30000, "en"), (None, "die und", None), (2, "der die und ein", "de")]
+    rows = [(1, "the of and ing", "en"), (2, "der die und ein", "de"), (3, None, "de"), (4, "", None), (5, "12 % 3", "en"), (6, "the " * 30000, "en"), (7, "½ ² ① 3", "de"), (None, "die und", None), (2, "der die und ein", "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {(r["doc_id"], r["lang_pred"]) for r in L.identify(df, L.train(df)).collect()}
-    assert {d for d, p in got if p == "und"} == {3, 4, 5}
+    got = {(r["doc_id"], r["lang_pred"]) for r in L.identify(df.withColumn("score", df.doc_id), L.train(df)).collect()}
+    assert {d for d, p in got if p == "und"} == {3, 4, 5, 7}
     assert L.identify(df.limit(0), L.train(df)).count() == 0
     assert {r["lang_pred"] for r in L.identify(df, L.train(df.limit(0))).collect()} == {"und"}

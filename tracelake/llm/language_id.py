@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, bounded_sample, held_out, table
+from .common import _LOWER, held_out, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-MAX_TRAIN = 4000  # documents that the network is fitted on at most, about
+MAX_TRAIN = 1000  # documents of each language that the network is fitted on at most, about
 WINDOWS_EACH, EPOCHS, BATCH, RATE = 2, 8, 64, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions
 
 
 def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,11 @@ def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (category L)."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 def _bytes(text: str) -> np.ndarray:
     return _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
 
@@ -135,7 +142,7 @@ class ByteConv:
                 out[i] = (self.classes[k], float(min(1.0, q[k])))
 
         for i, t in enumerate(texts):
-            if t and _LETTER.search(t) and self.classes:
+            if t and has_letter(t) and self.classes:
                 held.append((i, *windows(_bytes(t))))
                 size += len(held[-1][1])
                 if size > 4096:
@@ -147,7 +154,7 @@ class ByteConv:
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = MAX_TRAIN) -> ByteConv:
-    """Fit on a sample of about ``most`` labelled rows, chosen by a hash of ``key``; WINDOWS_EACH windows of each."""
+    """Fit on all labelled rows of a language, or on about ``most`` of them chosen by a hash of ``key``; WINDOWS_EACH windows of each."""
     use = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +163,14 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "
             for k, t, y in zip(*(batch.column(c).to_pylist() for c in "kty")):
                 w, _ = windows(_bytes(t))
                 at = sorted({(hash((k, j)) if k is not None else j) % len(w) for j in range(WINDOWS_EACH)})
-                got += [(w[i].tobytes(), y) for i in at if _LETTER.search(t)]
+                got += [(w[i].tobytes(), y) for i in at if has_letter(t)]
             yield pa.record_batch({"w": pa.array([w for w, _ in got], pa.binary()), "y": pa.array([y for _, y in got], pa.string())})
 
-    found = sorted((r["w"], r["y"]) for r in bounded_sample(use, "k", most).mapInArrow(cut_windows, "w binary, y string").collect())
+    share = use.groupBy("y").agg(F.count("*").alias("n")).collect()
+    near = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 20))
+    kept = [F.lit(False)] + [(F.col("y") == r["y"]) & (F.lit(r["n"] <= most) | (near < F.lit(most * (1 << 20) // r["n"]))) for r in share]
+    use = use.filter(reduce(or_, kept))
+    found = sorted((r["w"], r["y"]) for r in use.mapInArrow(cut_windows, "w binary, y string").collect())
     classes = sorted({y for _, y in found})
     net = ByteConv(classes)
     if len(classes) > 1:
