@@ -1,5 +1,7 @@
 """URL filter: hosts, paths, rules and reputation on odd rows."""
 
+from pyspark.sql import functions as F
+
 from tracelake.llm import url_filter as U
 
 
@@ -20,3 +22,13 @@ def test_reputation_shrinks_to_the_level_above(spark):
     hosts = [(f"good{i}.a.net", 40.0, 39.0) for i in range(20)] + [("bad.a.net", 40.0, 1.0), ("new.a.net", 0.0, 0.0), ("one.a.net", 1.0, 0.0)]
     got = {r["host"]: r for r in U.reputations(spark.createDataFrame(hosts, "host string, n double, y double")).collect()}
     assert got["bad.a.net"]["low"] < got["bad.a.net"]["mean"] < 0.3 < got["one.a.net"]["mean"] < got["new.a.net"]["mean"] < got["good1.a.net"]["mean"]
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "www.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.co.de.net": ("de.net", "net"), "localhost": ("localhost", "localhost"),
+        "10.1.2.3:8080": ("10.1.2.3", "10.1.2.3"), "[::1]:80": ("[::1]", "[::1]"), "me@www.example.org:443": ("example.org", "org"), "example.org.": ("example.org", "org"), "": ("", ""),
+    }
+    domain, suffix = U.site(F.col("h"))
+    got = {r["h"]: (r["d"], r["s"]) for r in spark.createDataFrame([(h,) for h in want], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == want

@@ -1,7 +1,9 @@
 """URL filter: rules first, then an empirical-Bayes reputation of the host.
 
 Labelled page outcomes (good or not) are summed by host, registered domain
-(the last two labels) and suffix (the last label). Each level's rate is shrunk
+(one label and the suffix) and suffix (the last label, or two where the last
+but one is a registry such as ``co`` under a country). Ports and user names
+count for nothing; an address in numbers is its own domain. Each level's rate is shrunk
 towards the posterior mean of the level above by a beta-binomial prior whose
 strength is estimated from the level itself by moments; a host is allowed if
 the lower bound of its posterior, ``z`` standard deviations below the mean,
@@ -20,6 +22,9 @@ from .common import attach, cut, table
 #: (verdict, host/path): fixed values of the query's contract.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 Z, LEAST_GOOD = 1.645, 0.5
+#: Labels under a two-letter country that registries keep for themselves.
+REGISTRIES = "ac co com edu go gob gov gv id ltd me mil ne net nhs nom or org plc sch".split()
+_UNDER = rf"(^|\.)({'|'.join(REGISTRIES)})\.[a-z][a-z]$"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -40,6 +45,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (F.lit(None).cast("string"),) * 2 if rule is None else (rule, verdict)
 
 
+def site(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+    number = name.rlike(r"^[0-9.]*$") | name.startswith("[")
+    suffix = F.when(number, name).when(name.rlike(_UNDER), F.regexp_extract(name, r"([^.]*\.[^.]*)$", 1)).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
+    rest = F.regexp_extract(F.left(name, F.length(name) - F.length(suffix) - 1), r"([^.]*)$", 1)
+    return F.when(name == suffix, name).otherwise(F.concat(rest, F.lit("."), suffix)), suffix
+
+
 def _strength(level: DataFrame) -> float:
     """Prior strength a + b of units (n, y) round their parents' means m (columns n, y, m), by moments."""
     p = level.filter("n > 0").withColumn("m", F.least(F.greatest("m", F.lit(1e-6)), F.lit(1 - 1e-6)))
@@ -56,18 +70,18 @@ def reputations(hosts: DataFrame) -> DataFrame:
 
     Without any outcome every host has the prior of one good and one bad page.
     """
-    domain = F.when(F.size(F.split("host", r"\.")) >= 2, F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)).otherwise(F.col("host"))
-    h = hosts.withColumn("domain", domain).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
-    d = cut(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
-    s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    domain, suffix = site(F.col("host"))
+    h = cut(hosts.select("host", "n", "y", domain.alias("domain"), suffix.alias("suffix")))
+    d = cut(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("hosts")))
+    s = cut(d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("domains")))
     n, y = d.agg(F.sum("n"), F.sum("y")).first()
     m0 = (y + 1) / (n + 2) if n else 0.5
     k = _strength(s.withColumn("m", F.lit(m0)))
-    s = cut(s.select("suffix", ((F.lit(k * m0) + F.col("y")) / (k + F.col("n"))).alias("m")))
-    d = d.join(s, "suffix")
+    s = s.select("suffix", "domains", ((F.lit(k * m0) + F.col("y")) / (k + F.col("n"))).alias("m"))
+    d = cut(attach(d, s, "suffix", "domains", d.count()))
     k = _strength(d)
-    d = cut(d.select("domain", ((k * F.col("m") + F.col("y")) / (k + F.col("n"))).alias("m")))
-    h = cut(h.select("host", "domain", "n", "y").join(d, "domain"))
+    d = d.select("domain", "hosts", ((k * F.col("m") + F.col("y")) / (k + F.col("n"))).alias("m"))
+    h = cut(attach(h.select("host", "domain", "n", "y"), d, "domain", "hosts", h.count()))
     k = _strength(h)
     a, b = k * F.col("m") + F.col("y"), k * (1 - F.col("m")) + F.col("n") - F.col("y")
     low = a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
@@ -111,10 +125,13 @@ WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 l AS (SELECT doc_id, max(quality)::BIGINT AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS y,
-             CASE WHEN contains(host, '.') THEN regexp_extract(host, '([^.]*\\.[^.]*)$', 1) ELSE host END AS domain,
-             regexp_extract(host, '([^.]*)$', 1) AS suffix
-      FROM p LEFT JOIN l ON l.doc_id = p.page_id GROUP BY host),
+h2 AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS y,
+              regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name
+       FROM p LEFT JOIN l ON l.doc_id = p.page_id GROUP BY host),
+h3 AS (SELECT *, CASE WHEN regexp_full_match(name, '[0-9.]*') OR starts_with(name, '[') THEN name
+                      WHEN regexp_matches(name, '{_UNDER}') THEN regexp_extract(name, '([^.]*\\.[^.]*)$', 1)
+                      ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix FROM h2),
+h AS (SELECT host, n, y, suffix, CASE WHEN name = suffix THEN name ELSE concat(regexp_extract(left(name, length(name) - length(suffix) - 1), '([^.]*)$', 1), '.', suffix) END AS domain FROM h3),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM h GROUP BY ALL),
 g AS (SELECT (sum(y) + 1) / (sum(n) + 2) AS m FROM d),
 s0 AS (SELECT suffix, sum(n) AS n, sum(y) AS y, any_value(m) AS m FROM d, g GROUP BY suffix),
