@@ -48,3 +48,25 @@ def ordered_properties(required: list[str], properties: list[str], builtins: lis
     """Required ones in schema order, then the others A to Z, then built-ins that aren't listed yet."""
     out = list(dict.fromkeys(required)) + sorted(set(properties) - set(required))
     return out + [b for b in builtins if b not in out]
+
+
+def format_scalar(value: Column, kind: Column) -> Column:
+    """An attribute for display: texts plain, numbers without an exponent, lists and maps as compact JSON, null as nothing.
+
+    ``value`` is the value as text, ``kind`` its variant type.
+    """
+    number = F.regexp_replace(F.format_string("%.15f", value.try_cast("double")), r"\.?0+$", "")
+    plain = F.when(kind.rlike("^(DOUBLE|FLOAT)") & value.rlike("[eE]"), number).when(kind.startswith("DOUBLE"), F.regexp_replace(value, r"\.0$", "")).otherwise(value)
+    return F.coalesce(plain, F.lit(""))
+
+
+def attribute_label(name: Column) -> Column:
+    """Words of an attribute's name, the first letter large."""
+    words = F.regexp_replace(name, "[-_]+", " ")
+    return F.concat(F.upper(F.left(words, F.lit(1))), F.substr(words, F.lit(2)))
+
+
+def relative_link(from_page: Column, to_page: Column, anchor: Column) -> Column:
+    """Link from one page to an anchor of another, both paths from the root: up to the root, then down; the anchor alone within a page."""
+    up = F.repeat(F.lit("../"), F.size(F.split(from_page, "/")) - 1)
+    return F.when(from_page == to_page, F.concat(F.lit("#"), anchor)).otherwise(F.concat(up, to_page, F.lit("#"), anchor))

@@ -6,18 +6,22 @@ documents  one row per document: doc_path, doc_ord, document_id, level,
            upstream_sources
 nodes      one row per requirement, container or info block: doc_path, file,
            ord, kind, id, title, status, version, verify, disposition,
-           disposition_reason, suppressions, requires_trace_from
+           disposition_reason, suppressions, requires_trace_from, and, where
+           requirements nest, parent_id (the enclosing requirement's id)
 refs       declared trace references: from_id, pos, ref
 results    verification results: measure_id, case_key, outcome, verified_at,
-           source, load_ord
+           source, load_ord, and, where results synthesise test cases
+           (measure_id ``TC:<case>``), verifies (what the case exercises),
+           name, description
 """
 
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DOCUMENTS = (
     "doc_path string, doc_ord int, document_id string, level string, id_prefix string, external boolean, mandatory_disposition boolean, "
@@ -38,15 +42,25 @@ class Model:
     nodes: DataFrame
     refs: DataFrame
     results: DataFrame | None = None
+    #: Frames derived once for all checks (``graph.prepared``): definitions, edges.
+    derived: dict[str, DataFrame] = field(default_factory=dict, init=False, compare=False, repr=False)
 
     def with_(self, **frames: DataFrame) -> Model:
         return replace(self, **frames)
 
 
+def column(df: DataFrame, name: str, kind: str) -> Column:
+    """An optional column: null of type ``kind`` where the frame has none of that name."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage through the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only if unset)."""
+    """Cut a loop's lineage through the shared checkpoint folder ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelake-"))
     return df.checkpoint()

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
-from tracelake.model import Model
+from tracelake.model import Model, column
 from tracelake.operators import graph
 
 
 def effective_rtf(m: Model) -> DataFrame:
     """id, doc_path, rtf: the own list if present, even empty, else the document's, else null."""
     d = m.documents.select("doc_path", F.col("requires_trace_from").alias("_d"))
-    return graph.definitions(m).join(d, "doc_path").select("id", "doc_path", "file", "suppressions", F.coalesce("requires_trace_from", "_d").alias("rtf"))
+    own = graph.definitions(m)
+    child = F.coalesce(column(own, "parent_id", "string"), F.lit("")) != ""
+    return own.join(d, "doc_path").select("id", "doc_path", "file", "suppressions", F.coalesce("requires_trace_from", "_d").alias("rtf"), child.alias("is_child"))
 
 
 def sources_of(m: Model) -> DataFrame:
@@ -31,19 +33,20 @@ def boundaries(m: Model, resolve_paths: bool = False) -> DataFrame:
     """
     named = m.documents.select("doc_path", F.explode("upstream_sources").alias("source"))
     if resolve_paths:
-        up = F.regexp_replace(F.concat_ws("/", "doc_path", "source"), r"(^|/)\./", "$1")
-        for _ in range(8):  # each pass removes one `dir/..`; sources nest no deeper
-            up = F.regexp_replace(up, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-        named = named.select(F.rtrim(up, F.lit("/")).alias("source"))
+        steps = F.filter(F.split(F.concat_ws("/", "doc_path", "source"), "/"), lambda p: (p != "") & (p != "."))
+        inner = lambda acc: (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != "..")
+        walk = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, p: F.when((p == "..") & inner(acc), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.array_append(acc, p)))
+        named = named.select(F.array_join(walk, "/").alias("source"))
     used = named.select(F.col("source").alias("doc_path")).distinct().withColumn("_used", F.lit(True))
     root = (F.size(F.coalesce("upstream_sources", F.array())) == 0) | F.coalesce("external", F.lit(False))
     return m.documents.join(used, "doc_path", "left").select("doc_path", root.alias("is_root"), F.col("_used").isNull().alias("is_leaf"))
 
 
 def _inbound(m: Model, in_filter: DataFrame | None) -> DataFrame:
-    """Distinct inbound edges with the source's directory and whether it provides coverage; in order."""
-    own = graph.definitions(m).select(F.col("id").alias("from_id"), F.col("doc_path").alias("src_dir"), F.struct("doc_ord", "file", "ord").alias("src_at"), R.is_provider(F.col("status"), F.col("ignore_status")).alias("provider"))
-    e = graph.edges(m).groupBy("from_id", "to_id").agg(F.min("pos").alias("pos")).join(own, "from_id")
+    """Inbound edges (a repeated reference counts each time) with the source's directory and whether it provides coverage; in order, parents last."""
+    own = graph.definitions(m).select(F.col("id").alias("from_id"), F.col("doc_path").alias("src_dir"), "doc_ord", "file", "ord", R.is_provider(F.col("status"), F.col("ignore_status")).alias("provider"))
+    at = F.struct((F.col("kind") == "parent").alias("last"), "doc_ord", "file", "ord", "pos")
+    e = graph.edges(m).select("from_id", "to_id", "kind", "pos").join(own, "from_id").select("from_id", "to_id", "src_dir", "provider", at.alias("at"))
     return e if in_filter is None else e.join(in_filter.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
 
 
@@ -53,16 +56,18 @@ def token_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     dirs = sources_of(m)
     known = dirs.select("token").distinct().withColumn("known", F.lit(True))
     want = want.join(known, "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    inbound = _inbound(m, in_filter).select(F.col("to_id").alias("id"), "src_dir", "provider", F.struct("src_at", "pos").alias("at"))
+    inbound = _inbound(m, in_filter).select(F.col("to_id").alias("id"), "src_dir", "provider", "at")
     x = want.join(inbound, "id", "left").join(dirs.select("token", F.col("dir").alias("src_dir"), F.lit(True).alias("hit")), ["token", "src_dir"], "left")
     covers = F.coalesce(F.col("provider") & F.col("hit"), F.lit(False))
-    x = x.groupBy("id", "token", "known").agg(F.min(F.when(covers, F.col("at"))).alias("first"), F.collect_list(F.when(~F.col("provider"), F.col("at"))).alias("draft_at"))
-    before = F.size(F.filter("draft_at", lambda a: F.col("first").isNull() | (a < F.col("first"))))
-    return x.select("id", "token", "known", F.col("first").isNotNull().alias("covered"), F.when(F.col("known"), before).otherwise(0).alias("drafts"))
+    x = x.groupBy("id", "token", "known").agg(F.min(F.when(covers, F.col("at"))).alias("first"))
+    drafts = inbound.filter("NOT provider").select("id", F.col("at").alias("draft"))
+    y = x.join(drafts, "id", "left").groupBy("id", "token", "known").agg(F.count_if(F.col("draft").isNotNull() & (F.col("first").isNull() | (F.col("draft") < F.col("first")))).alias("n"), F.bool_or(F.col("first").isNotNull()).alias("covered"))
+    return y.select("id", "token", "known", "covered", F.when(F.col("known"), F.col("n")).otherwise(0).cast("int").alias("drafts"))
 
 
 def coverage_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     """id, doc_path, state (covered, missing-coverage, unresolved, not-required), drafts, misses (comma-joined)."""
+    m = graph.prepared(m)
     rtf = effective_rtf(m).join(boundaries(m).select("doc_path", "is_root"), "doc_path")
     t = token_state(m, in_filter).groupBy("id").agg(
         F.max(F.when(~F.col("known"), 2).when(~F.col("covered"), 1).otherwise(0)).alias("worst"),
@@ -71,7 +76,7 @@ def coverage_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     )
     has = _inbound(m, in_filter).select(F.col("to_id").alias("id")).distinct().withColumn("has", F.lit(True))
     x = rtf.join(t, "id", "left").join(has, "id", "left")
-    generic = F.when(F.col("has"), "covered").when(F.col("is_root") | R.suppressed(F.col("suppressions"), "untraced"), "not-required").otherwise("missing-coverage")
+    generic = F.when(F.col("has"), "covered").when(F.col("is_root") | F.col("is_child") | R.suppressed(F.col("suppressions"), "untraced"), "not-required").otherwise("missing-coverage")
     state = (
         F.when(R.suppressed(F.col("suppressions"), "requires-trace-from-coverage"), "not-required").when(F.col("rtf").isNull(), generic)
         .when(F.size("rtf") == 0, "not-required").when(F.col("worst") == 2, "unresolved").when(F.col("worst") == 1, "missing-coverage").otherwise("covered")
@@ -80,18 +85,21 @@ def coverage_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     return x if in_filter is None else x.join(in_filter.select("id").distinct(), "id", "left_semi")
 
 
-def findings(m: Model) -> DataFrame:
-    """Coverage findings of all requirements: code, req_id, message."""
+def findings(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
+    """Coverage findings of all requirements, or of those in ``in_filter`` as seen within it: code, req_id, message."""
+    m = graph.prepared(m)
     rtf = effective_rtf(m)
+    if in_filter is not None:
+        rtf = rtf.join(in_filter.select("id").distinct(), "id", "left_semi")
     bounds = boundaries(m)
     drafts = F.sum("drafts").over(Window.partitionBy("id"))
-    t = token_state(m).withColumn("all_drafts", drafts).join(rtf.select("id", "suppressions"), "id").filter(~R.suppressed(F.col("suppressions"), "requires-trace-from-coverage"))
+    t = token_state(m, in_filter).withColumn("all_drafts", drafts).join(rtf.select("id", "suppressions"), "id").filter(~R.suppressed(F.col("suppressions"), "requires-trace-from-coverage"))
     unknown = t.filter("NOT known").select(F.lit("unknown-source").alias("code"), F.col("id").alias("req_id"), F.concat(F.lit('unknown coverage source: "'), "token", F.lit('"')).alias("message"))
     note = F.when(F.col("all_drafts") > 0, F.concat(F.lit(" ("), F.col("all_drafts"), F.lit(" draft downstreams ignored)"))).otherwise("")
     text = F.concat(F.lit('no upstream trace: no approved requirement from "'), "token", F.lit('" traces to this item'), note)
     missed = t.filter("known AND NOT covered").select(F.lit("requires-trace-from").alias("code"), F.col("id").alias("req_id"), text.alias("message"))
-    free = rtf.filter("rtf IS NULL").join(bounds, "doc_path").join(graph.degrees(m), "id")
-    lost = free.filter("downstream = 0 AND NOT is_root").filter(~R.suppressed(F.col("suppressions"), "untraced"))
+    free = rtf.filter("rtf IS NULL").join(bounds, "doc_path").join(graph.degrees(m, in_filter), "id")
+    lost = free.filter("downstream = 0 AND NOT is_root AND NOT is_child").filter(~R.suppressed(F.col("suppressions"), "untraced"))
     lost = lost.select(F.lit("untraced").alias("code"), F.col("id").alias("req_id"), F.lit("untraced: no downstream reference").alias("message"))
     top = free.filter("upstream = 0 AND NOT is_leaf").filter(~R.suppressed(F.col("suppressions"), "no-downstream"))
     top = top.select(F.lit("no-upstream").alias("code"), F.col("id").alias("req_id"), F.lit("no upstream reference").alias("message"))

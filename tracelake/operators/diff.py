@@ -26,6 +26,14 @@ def attributes(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str]
     return x.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+def elements(old: DataFrame, new: DataFrame, keys: list[str], attr: str) -> DataFrame:
+    """Elements of a list attribute that differ at their place: keys, attr, index, old_value, new_value."""
+    own = lambda df, name: df.select(*keys, F.posexplode(attr).alias("index", name))
+    both = old.select(*keys).join(new.select(*keys), keys)
+    x = own(old.join(both, keys, "left_semi"), "old_value").join(own(new.join(both, keys, "left_semi"), "new_value"), [*keys, "index"], "full_outer")
+    return x.filter(~F.col("old_value").eqNullSafe(F.col("new_value"))).select(*keys, F.lit(attr).alias("attr"), "index", F.col("old_value").cast("string").alias("old_value"), F.col("new_value").cast("string").alias("new_value"))
+
+
 def summary(changes: DataFrame, by: str) -> DataFrame:
     """Categories counted by ``by`` and, with a null ``by``, in total."""
     many = lambda c: F.count_if(F.col("category") == c).alias(c)

@@ -7,20 +7,35 @@ partition by requirement or reference pair, and loops cut their lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
-from tracelake.model import Model, cut
+from tracelake.model import Model, column, cut
+
+
+PARENT_POS = (1 << 31) - 1  # parent edges come after all references
 
 
 def definitions(m: Model) -> DataFrame:
     """Requirements, first definition of each id (documents in order, then position)."""
+    if "definitions" in m.derived:
+        return m.derived["definitions"]
     at = m.nodes.filter("kind = 'req'").join(m.documents.select("doc_path", "doc_ord", "external", "ignore_status"), "doc_path")
     w = Window.partitionBy("id").orderBy("doc_ord", "file", "ord")
     return at.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def prepared(m: Model) -> Model:
+    """The model with its definitions and edges written once, for operators that read them several times."""
+    if "edges" not in m.derived:
+        m.derived.setdefault("definitions", cut(definitions(m)))
+        m.derived["edges"] = cut(edges(m))
+    return m
+
+
 def duplicate_ids(m: Model) -> DataFrame:
     """Every later definition of an id: id, doc_path, first_doc."""
     at = m.nodes.filter("kind = 'req'").join(m.documents.select("doc_path", "doc_ord"), "doc_path")
@@ -49,9 +64,30 @@ def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     return r.select("from_id", "pos", "ref", "pin", F.when(F.coalesce(fits, F.lit(False)), F.col("to_id")).alias("to_id"))
 
 
+def parent_edges(m: Model) -> DataFrame:
+    """Edges from nested requirements to the requirement around them: from_id, to_id; to_id is null if there is none of that id."""
+    own = m.nodes.filter("kind = 'req'").select(F.col("id").alias("from_id"), column(m.nodes, "parent_id", "string").alias("_p")).filter("coalesce(_p, '') <> ''")
+    return own.join(definitions(m).select(F.col("id").alias("_p"), F.col("id").alias("to_id")), "_p", "left").select("from_id", "to_id", F.col("_p").alias("parent_id"))
+
+
 def edges(m: Model) -> DataFrame:
-    """Resolved references as edges: from_id, to_id, ref, pin, pos."""
-    return resolve(m).filter("to_id IS NOT NULL").select("from_id", "to_id", "ref", "pin", "pos")
+    """Resolved references and, after them, parents as edges: from_id, to_id, ref, pin, pos, kind (trace or parent)."""
+    if "edges" in m.derived:
+        return m.derived["edges"]
+    traces = resolve(m).filter("to_id IS NOT NULL").select("from_id", "to_id", "ref", "pin", "pos", F.lit("trace").alias("kind"))
+    if "parent_id" not in m.nodes.columns:
+        return traces
+    up = parent_edges(m).filter("to_id IS NOT NULL")
+    return traces.unionByName(up.select("from_id", "to_id", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("pin"), F.lit(PARENT_POS).alias("pos"), F.lit("parent").alias("kind")))
+
+
+def trace_edges(m: Model) -> DataFrame:
+    return edges(m).filter("kind = 'trace'")
+
+
+def lost_parents(m: Model) -> DataFrame:
+    """Nested requirements whose parent isn't defined: req_id, parent_id."""
+    return parent_edges(m).filter("to_id IS NULL").select(F.col("from_id").alias("req_id"), "parent_id")
 
 
 def broken(m: Model) -> DataFrame:
@@ -69,7 +105,7 @@ def traces(m: Model) -> DataFrame:
 def last_refs(m: Model) -> DataFrame:
     """For each (from, to): the last reference and the last pin that any of them has."""
     last = lambda c, key: F.max_by(c, key)
-    return edges(m).groupBy("from_id", "to_id").agg(last("ref", "pos").alias("ref"), last("pin", F.when(F.col("pin").isNotNull(), F.col("pos"))).alias("pin"))
+    return trace_edges(m).groupBy("from_id", "to_id").agg(last("ref", "pos").alias("ref"), last("pin", F.when(F.col("pin").isNotNull(), F.col("pos"))).alias("pin"))
 
 
 def pin_health(m: Model) -> DataFrame:
@@ -89,13 +125,19 @@ def repin_deltas(m: Model, promote_unpinned: bool = False) -> DataFrame:
     kind = F.when(F.col("pin").isNull(), "unpinned").when(F.col("pin") < F.col("version"), "outdated").when(F.col("pin") > F.col("version"), "predated")
     x = x.withColumn("kind", kind).filter("kind IS NOT NULL")
     x = x if promote_unpinned else x.filter("kind <> 'unpinned'")
+    x = x.filter("from_id NOT RLIKE '^(RESULT|TC):'")  # synthetic nodes have no file of their own
     return x.select("file", F.col("from_id").alias("req_id"), F.col("ref").alias("source_ref"), "kind", F.concat(R.strip_pin(F.col("ref")), F.lit("~"), F.col("version")).alias("new_ref"))
 
 
-def degrees(m: Model) -> DataFrame:
-    """Distinct neighbours of every requirement: id, upstream, downstream."""
+def degrees(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
+    """Distinct neighbours of every requirement, or those in ``in_filter`` (id): id, upstream, downstream."""
     e = edges(m).select("from_id", "to_id").distinct()
-    ends = e.select(F.col("from_id").alias("id"), F.lit(1).alias("u"), F.lit(0).alias("d")).unionByName(e.select(F.col("to_id").alias("id"), F.lit(0).alias("u"), F.lit(1).alias("d")))
+    seen = lambda c: F.lit(1) if in_filter is None else F.col(c)
+    if in_filter is not None:
+        ids = in_filter.select("id", F.lit(1).alias("in")).distinct()
+        for c in ("from", "to"):
+            e = e.join(ids.withColumnsRenamed({"id": f"{c}_id", "in": f"{c}_in"}), f"{c}_id", "left").fillna(0, [f"{c}_in"])
+    ends = e.select(F.col("from_id").alias("id"), seen("to_in").alias("u"), F.lit(0).alias("d")).unionByName(e.select(F.col("to_id").alias("id"), F.lit(0).alias("u"), seen("from_in").alias("d")))
     n = ends.groupBy("id").agg(F.sum("u").alias("upstream"), F.sum("d").alias("downstream"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return definitions(m).select("id").join(n, "id", "left").select("id", zero("upstream"), zero("downstream"))
@@ -119,49 +161,119 @@ def prefix_checks(m: Model) -> DataFrame:
     return wrong.unionByName(clash.select(F.col("id_prefix").alias("req_id"), "file", F.lit("collision").alias("problem")))
 
 
-def cyclic_nodes(e: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Ids on or between cycles: what is left when nodes without an incoming or outgoing edge are peeled off again and again."""
-    e = cut(e.select("from_id", "to_id").distinct())
+def neighbours(m: Model) -> DataFrame:
+    """Distinct neighbours in order of first mention: id, direction (up, down), neighbour, position from 1."""
+    e = edges(m).join(definitions(m).select(F.col("id").alias("from_id"), "doc_ord", "file", "ord"), "from_id")
+    at = F.struct((F.col("kind") == "parent").alias("last"), "doc_ord", "file", "ord", "pos")
+    up = e.select(F.col("from_id").alias("id"), F.lit("up").alias("direction"), F.col("to_id").alias("neighbour"), at.alias("at"))
+    down = e.select(F.col("to_id").alias("id"), F.lit("down").alias("direction"), F.col("from_id").alias("neighbour"), at.alias("at"))
+    first = up.unionByName(down).groupBy("id", "direction", "neighbour").agg(F.min("at").alias("at"))
+    return first.select("id", "direction", "neighbour", F.row_number().over(Window.partitionBy("id", "direction").orderBy("at")).alias("position"))
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges left when nodes without an incoming or outgoing edge go, again and again."""
     n = e.count()
-    for _ in range(rounds):
+    while n:
         sources, targets = e.select(F.col("from_id").alias("to_id")).distinct(), e.select(F.col("to_id").alias("from_id")).distinct()
         e = cut(e.join(sources, "to_id", "left_semi").join(targets, "from_id", "left_semi").select("from_id", "to_id"))
         before, n = n, e.count()
-        if n in (0, before):
+        if n == before:
             break
-    return e.select(F.col("from_id").alias("id")).intersect(e.select(F.col("to_id").alias("id")))
+    return e
+
 
+def cyclic_nodes(e: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
+    """Ids that lie on a cycle of ``e`` (from_id, to_id); ``suppressed`` (id) are nodes that no cycle is followed through.
 
-def propagate(e: DataFrame, seeds: DataFrame, keys: list[str], value: str, rounds: int = 100) -> DataFrame:
+    Strongly connected components by colouring: what is left after trimming
+    takes the largest id that reaches it as its colour; the component of that
+    id is what reaches it back within the colour. Components with an edge
+    inside are cycles; they go, and the rest is trimmed and coloured again.
+    """
+    e = e.select("from_id", "to_id").distinct()
+    if suppressed is not None:
+        gone = suppressed.select(F.col("id").alias("from_id")).distinct()
+        e = e.join(gone, "from_id", "left_anti").join(gone.withColumnRenamed("from_id", "to_id"), "to_id", "left_anti").select("from_id", "to_id")
+    e = _trimmed(cut(e))
+    found = e.select(F.col("from_id").alias("id")).limit(0)
+    while e.limit(1).count():
+        ids = e.select(F.col("from_id").alias("id")).distinct()
+        colour = cut(propagate(e.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), ids.withColumn("c", F.col("id")), [], "c"))
+        inside = e.join(colour.withColumnsRenamed({"id": "from_id", "c": "cf"}), "from_id").join(colour.withColumnsRenamed({"id": "to_id", "c": "ct"}), "to_id").filter("cf = ct")
+        inside = cut(inside.select("from_id", "to_id"))
+        whole = cut(tiers(inside.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), colour.filter("id = c").select("id")).select("id"))
+        on = inside.join(whole.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(whole.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+        found = found.unionByName(cut(on.select(F.col("from_id").alias("id")).union(on.select("to_id")).distinct()))
+        done = colour.filter("id = c").select("id").unionByName(whole).distinct()
+        rest = e.join(done.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(done.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        e = _trimmed(cut(rest.select("from_id", "to_id")))
+    return found.distinct()
+
+
+def circular(m: Model) -> DataFrame:
+    """Requirements on a cycle of traces and parents; those that suppress ``circular`` break it: id."""
+    off = definitions(m).filter(R.suppressed(F.col("suppressions"), "circular")).select("id")
+    return cyclic_nodes(edges(m), off)
+
+
+def propagate(e: DataFrame, seeds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Least fixpoint of (id, keys..., value) under ``value = max`` along edges child -> parent.
 
     ``e`` (child, parent), ``seeds`` (id, keys..., value). Only entries that
     are new or have risen move on, so each round's join is as small as the
-    change; the maximum is idempotent, so cycles end too.
+    change, and the maximum is idempotent, so cycles end too. The state is the
+    union of the rounds' changes, merged only now and then.
     """
     e = cut(e.select("child", "parent").distinct())
-    state = cut(seeds.groupBy("id", *keys).agg(F.max(value).alias(value)))
-    front = state
-    for _ in range(rounds):
-        moved = front.withColumnRenamed("id", "child").join(e, "child").select(F.col("parent").alias("id"), *keys, value).groupBy("id", *keys).agg(F.max(value).alias("_new"))
-        risen = moved.join(state, ["id", *keys], "left").filter(F.col(value).isNull() | (F.col("_new") > F.col(value))).select("id", *keys, F.col("_new").alias(value))
-        front = cut(risen)
-        if not front.limit(1).count():
-            break
-        state = cut(state.unionByName(front).groupBy("id", *keys).agg(F.max(value).alias(value)))
+    front = cut(seeds.groupBy("id", *keys).agg(F.max(value).alias(value)))
+    parts = [front]
+    while front.limit(1).count():
+        state = reduce(DataFrame.unionByName, parts)
+        if len(parts) > 4:
+            state = cut(state.groupBy("id", *keys).agg(F.max(value).alias(value)))
+            parts = [state]
+        moved = front.withColumnRenamed("id", "child").join(e, "child").select(F.col("parent").alias("id"), *keys, F.col(value).alias("_new"))
+        both = moved.withColumn("_old", F.lit(None).cast(state.schema[value].dataType)).unionByName(state.select("id", *keys, F.lit(None).cast(state.schema[value].dataType).alias("_new"), F.col(value).alias("_old")))
+        risen = both.groupBy("id", *keys).agg(F.max("_new").alias(value), F.max("_old").alias("_old")).filter(F.col(value).isNotNull() & (F.col("_old").isNull() | (F.col(value) > F.col("_old"))))
+        front = cut(risen.select("id", *keys, value))
+        parts.append(front)
+    return reduce(DataFrame.unionByName, parts).groupBy("id", *keys).agg(F.max(value).alias(value))
+
+
+def tiers(e: DataFrame, start: DataFrame) -> DataFrame:
+    """Breadth-first distance from the ids of ``start`` (id): (id, depth), along from_id -> to_id, until nothing new is reached."""
+    e = cut(e.select("from_id", "to_id").distinct())
+    front = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    state, depth = front, 0
+    while front.limit(1).count():
+        depth += 1
+        step = front.select(F.col("id").alias("from_id")).join(e, "from_id").select(F.col("to_id").alias("id")).distinct()
+        front = cut(step.join(state, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        state = state.unionByName(front)
+        if depth % 8 == 0:
+            state = cut(state)
     return state
 
 
-def tiers(e: DataFrame, start: Column, rounds: int = 100) -> DataFrame:
-    """Breadth-first distance from the ids where ``start`` holds: (id, depth), least depth first found, along from_id -> to_id."""
-    e = e.select("from_id", "to_id").distinct()
-    ids = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct()
-    state = cut(ids.filter(start).withColumn("depth", F.lit(0)))
-    front = state
-    for depth in range(1, rounds):
-        step = front.select(F.col("id").alias("from_id")).join(e, "from_id").select(F.col("to_id").alias("id")).distinct().join(state, "id", "left_anti").withColumn("depth", F.lit(depth))
-        front = cut(step)
-        if not front.limit(1).count():
-            break
-        state = state.unionByName(front)
-    return state
+def chain(links: DataFrame, doc: str) -> DataFrame:
+    """The document chain around ``doc`` (links: from_id, to_id of documents): id, depth, direction.
+
+    Breadth first upstream, then downstream over what upstream hasn't reached.
+    """
+    here = links.sparkSession.createDataFrame([(doc,)], "id string")
+    up = cut(tiers(links, here))
+    down = tiers(links.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), here).filter("depth > 0")
+    down = down.join(up.select("id"), "id", "left_anti").select("id", "depth")
+    return up.withColumn("direction", F.when(F.col("depth") == 0, "self").otherwise("up")).unionByName(down.withColumn("direction", F.lit("down")))
+
+
+def counters(m: Model) -> DataFrame:
+    """nodes, trace_edges, parent_edges, documents of the graph, in one row."""
+    n, e, d = definitions(m).agg(F.count("*").alias("nodes")), edges(m), m.documents.agg(F.count("*").alias("documents"))
+    return n.join(e.agg(F.count_if(F.col("kind") == "trace").alias("trace_edges"), F.count_if(F.col("kind") == "parent").alias("parent_edges"))).join(d)
+
+
+def repin_summary(deltas: DataFrame) -> DataFrame:
+    """References to rewrite counted by file and kind; a null file is the total of a kind, a null kind that of a file."""
+    return deltas.cube("file", "kind").agg(F.count("*").alias("n"))

@@ -59,14 +59,23 @@ def anchors(nodes: DataFrame, by: str = "doc_path") -> DataFrame:
     return nodes.withColumn("anchor", F.when(F.col("kind") == "req", F.col("id")).otherwise(F.concat(F.lit("item-"), n)))
 
 
-def by_depth(items: DataFrame, rounds: int = 100) -> DataFrame:
-    """Adds depth below the roots to (id, parent_id); rows on a cycle, or under one, are missing from the result."""
+def by_depth(items: DataFrame) -> DataFrame:
+    """Adds depth below the roots to (id, parent_id); a row that no root leads to (a cycle, a parent that isn't there) is an error."""
     x = cut(items.select("id", "parent_id"))
     front = cut(x.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth")))
-    out = front
-    for depth in range(1, rounds):
+    out, depth = front, 0
+    while True:
+        depth += 1
         front = cut(x.join(front.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(depth).alias("depth")))
         if not front.limit(1).count():
             break
         out = out.unionByName(front)
+    lost = x.join(out, "id", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"no root leads to {', '.join(r['id'] for r in lost)}: a cycle or a missing parent")
     return out
+
+
+def flatten(nodes: DataFrame) -> DataFrame:
+    """Requirements in document order, depth first: adds position, from 1 within a file."""
+    return nodes.filter("kind = 'req'").withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("ord")))

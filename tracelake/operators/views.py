@@ -1,11 +1,15 @@
 """Ranked search, facet search, queues, table order, trace matrix."""
 
+from __future__ import annotations
+
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.model import Model, cut
+from tracelake.operators import attributes, coverage, graph, verify
+
 
 def palette(items: DataFrame, query: str, most: int = 40) -> DataFrame:
     """The best ``most`` items (id, title, ord) for a query: exact id, id prefix, title prefix, id or title substring.
@@ -30,15 +34,24 @@ def subsequence_score(text: str, query: str) -> int | None:
     return score
 
 
+def subsequence(text: Column, query: str) -> Column:
+    """``subsequence_score`` as a Column."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(-1).alias("last"))
+
+    def step(s: Column, c: Column) -> Column:
+        i = F.call_function("locate", c, text, s["at"] + 1) - 1
+        gap = F.when(s["last"] < 0, i).otherwise(i - s["last"] - 1)
+        score = F.when(s["score"].isNull() | (i < 0), F.lit(None).cast("int")).otherwise(s["score"] + gap)
+        return F.struct((i + 1).cast("int").alias("at"), score.cast("int").alias("score"), i.cast("int").alias("last"))
+
+    return F.aggregate(F.array(*(F.lit(c) for c in query)), start, step)["score"] if query else F.lit(0)
+
+
 def fuzzy(items: DataFrame, query: str, most: int = 30) -> DataFrame:
     """The best ``most`` items whose id or title holds the query's characters in order: id, title, score."""
     q = query.strip().lower()
 
-    @F.pandas_udf("int")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: subsequence_score(s or "", q)).astype("Int32")
-
-    s = items.withColumn("score", score(F.lower(F.concat_ws(" ", "id", "title")))).filter("score IS NOT NULL")
+    s = items.withColumn("score", subsequence(F.lower(F.concat_ws(" ", "id", "title")), q)).filter("score IS NOT NULL")
     return s.orderBy("score", "ord").limit(most).select("id", "title", "score")
 
 
@@ -61,6 +74,20 @@ def queue(items: DataFrame, order: list[str], most: int = 50, by: str = "queue")
     return top.join(F.broadcast(total), by)
 
 
+def work(m: Model) -> DataFrame:
+    """What needs attention: queue (missing-coverage, unresolved, broken, stale, missing-verdict, failing), id."""
+    m = graph.prepared(m)
+    named = lambda df, queue, id_="id": df.select(F.lit(queue).alias("queue"), F.col(id_).alias("id"))
+    lost = coverage.coverage_state(m).filter("state IN ('missing-coverage', 'unresolved')").select(F.col("state").alias("queue"), "id")
+    parts = [named(graph.broken(m), "broken", "req_id"), named(graph.pin_health(m).filter("direction = 'outdated'").select("from_id").distinct(), "stale", "from_id")]
+    if m.results is not None:
+        ev = cut(verify.evidence(m))
+        gated = verify.measures(m).filter("gated")
+        parts.append(named(gated.join(ev.select("id").distinct(), "id", "left_anti"), "missing-verdict"))
+        parts.append(named(gated.join(verify.verdicts(ev).filter("verdict = 'fail'"), "id"), "failing"))
+    return reduce(DataFrame.unionByName, parts, lost)
+
+
 def table_order(column: Column, descending: bool = False) -> list[Column]:
     """Sort keys: empties last either way, numbers by value before texts in any case."""
     text = F.nullif(F.trim(column.cast("string")), F.lit(""))
@@ -69,6 +96,68 @@ def table_order(column: Column, descending: bool = False) -> list[Column]:
     return [text.isNull().asc(), number.isNull().asc(), *(k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys)]
 
 
+def positions(items: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds position, from 1, in the order of the keys.
+
+    A range partitioning sorts; sizes of the partitions before give each row's
+    place, so no task sees all rows.
+    """
+    p = cut(items.repartitionByRange(items.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    before = p.groupBy("_part").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = before.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return p.join(F.broadcast(before), "_part").withColumn("position", (rank + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
+def cells(links: DataFrame) -> DataFrame:
+    """The trace matrix in long form: from_id, to_id, linked (1); no limit on rows and columns."""
+    return links.select("from_id", "to_id").distinct().withColumn("linked", F.lit(1))
+
+
+def search_index(m: Model, page: str = ".html") -> DataFrame:
+    """Every requirement for a search over all documents: id, title, doc_path, href."""
+    return graph.definitions(m).select("id", "title", "doc_path", F.concat("doc_path", F.lit(f"{page}#"), "id").alias("href"))
+
+
+def attribute_rows(m: Model, properties: list[str]) -> DataFrame:
+    """The attributes that a requirement has: id, attr, value, position; ``properties`` in order, then members of ``attrs`` that aren't declared, A to Z."""
+    own = [F.struct(F.lit(p).alias("attr"), F.col(attributes.COLUMN_OF.get(p, p)).cast("string").alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if attributes.COLUMN_OF.get(p, p) in m.nodes.columns]
+    rows = F.array(*own)
+    if "attrs" in m.nodes.columns:
+        members = F.map_entries(F.coalesce(F.from_json("attrs", "map<string,string>"), F.create_map().cast("map<string,string>")))
+        rest = F.array_sort(F.filter(members, lambda e: ~e["key"].isin(*properties)))
+        declared = [F.struct(F.lit(p).alias("attr"), F.element_at(F.from_json("attrs", "map<string,string>"), F.lit(p)).alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if attributes.COLUMN_OF.get(p, p) not in m.nodes.columns]
+        rows = F.concat(rows, *([F.array(*declared)] if declared else []), F.transform(rest, lambda e, i: F.struct(e["key"].alias("attr"), e["value"].alias("value"), (i + len(properties) + 1).alias("position"))))
+    x = m.nodes.filter("kind = 'req'").select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    return x.filter("value IS NOT NULL")
+
+
+def page_model(m: Model) -> DataFrame:
+    """What a requirement's card shows: id, doc_path, state, verdict, up_links (declared), down_links (distinct)."""
+    m = graph.prepared(m)
+    up = graph.traces(m).groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("up_links"))
+    down = graph.last_refs(m).groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("down_links"))
+    x = coverage.coverage_state(m).select("id", "doc_path", "state").join(up, "id", "left").join(down, "id", "left")
+    x = x.join(verify.verdicts(verify.evidence(m)).select("id", "verdict"), "id", "left") if m.results is not None else x.withColumn("verdict", F.lit(None).cast("string"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return x.select("id", "doc_path", "state", "verdict", zero("up_links"), zero("down_links"))
+
+
+def real_links(m: Model) -> DataFrame:
+    """Declared references of authored requirements, without those to synthetic nodes: the rows of ``graph.traces``."""
+    t = graph.traces(m)
+    synthetic = r"^(RESULT|TC):"
+    return t.filter(~F.col("from_id").rlike(synthetic) & ~F.coalesce(F.col("to_id").rlike(synthetic), F.lit(False)))
+
+
+def chips(status: Column, state: Column, verdict: Column) -> Column:
+    """The labels of a card: status, then coverage unless not required, then the verdict."""
+    words = {"covered": "covered", "missing-coverage": "missing coverage", "unresolved": "unresolved source"}
+    cover = reduce(lambda a, kv: a.when(state == kv[0], kv[1]), list(words.items())[1:], F.when(state == "covered", "covered"))
+    return F.filter(F.array(F.coalesce(F.nullif(status, F.lit("")), F.lit("approved")), cover, verdict), lambda x: x.isNotNull())
+
+
 def matrix(links: DataFrame, most_cells: int = 20_000) -> DataFrame:
     """Rows by id, a column for each target with 1 or null; refused above ``most_cells``."""
     rows, columns = links.agg(F.countDistinct("from_id"), F.countDistinct("to_id")).first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import expr
 from tracelake.functions import refs as R
-from tracelake.operators import attributes, coverage, diff, graph, tree, verify, views
+from tracelake.operators import attributes, checks, coverage, diff, graph, tree, verify, views
 from tracelake.plans.projection import BLOCKS_SQL, CTES, Model, model, on_spark, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +43,21 @@ def on_model(sql: str, name: str, f: Callable[[Model], DataFrame]) -> None:
 # ------------------------------------------------------------ resolution, pins, identity
 
 on_model(
-    "SELECT 'WARNING' AS level, 'broken-ref' AS code, from_id AS req_id, n_.file, concat('broken reference: ', ref) AS message FROM t_ JOIN n_ ON n_.id = from_id WHERE to_id IS NULL",
+    "SELECT 'WARNING' AS level, 'broken-ref' AS code, from_id AS req_id, n_.file, concat('broken reference: ', ref) AS message FROM t_ JOIN p_ n_ ON n_.id = from_id WHERE to_id IS NULL AND NOT contains(sup, ',broken-ref,')",
     "findings_broken_ref", graph.broken)
 on_model(
     "SELECT from_id, to_id, n_.doc_path, ref, n_.file, coalesce(pin, 0) AS pin, to_id IS NOT NULL AS resolved FROM t_ JOIN n_ ON n_.id = from_id",
     "traces_export", graph.traces)
-on_model("SELECT from_id, to_id, ref, pin, pos FROM e_", "edges", graph.edges)
+on_model("SELECT from_id, to_id, ref, pin, pos, kind FROM e_", "edges_with_parents", graph.edges)
+on_model("SELECT from_id, to_id, ref, pin, pos FROM e_ WHERE kind = 'trace'", "edges", lambda m: graph.trace_edges(m).drop("kind"))
+on_model("SELECT c.id AS req_id, c.parent_id FROM n_ c WHERE c.parent_id IS NOT NULL AND c.parent_id NOT IN (SELECT id FROM n_)", "lost_parents", graph.lost_parents)
+on_model("SELECT count(*) AS nodes, (SELECT count(*) FROM e_ WHERE kind = 'trace') AS trace_edges, (SELECT count(*) FROM e_ WHERE kind = 'parent') AS parent_edges, (SELECT count(*) FROM d_) AS documents FROM n_", "graph_counters", graph.counters)
+on_model(
+    """, f AS (SELECT id, direction, neighbour, min(struct_pack(l := kind = 'parent', d := doc_ord, f := file, o := ord, p := pos)) AS spot FROM (
+      SELECT e_.from_id AS id, 'up' AS direction, e_.to_id AS neighbour, e_.kind, s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id
+      UNION ALL SELECT e_.to_id, 'down', e_.from_id, e_.kind, s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id) GROUP BY ALL)
+    SELECT id, direction, neighbour, cast(row_number() OVER (PARTITION BY id, direction ORDER BY spot, neighbour) AS int) AS position FROM f""",
+    "neighbours", graph.neighbours)
 on_model("SELECT from_id, to_id, ref, pin FROM l_", "last_refs", graph.last_refs)
 on_model(
     "SELECT from_id, to_id, pin, version, CASE WHEN pin < version THEN 'outdated' ELSE 'predated' END AS direction FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin <> version",
@@ -89,49 +98,53 @@ def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ coverage
 
-_TOKENS = """, w AS (SELECT id, doc_path, unnest(string_split(rtf, ',')) AS token FROM p_ JOIN d_ USING (doc_path) WHERE rtf <> ''),
-i AS (SELECT to_id AS id, s.doc_path AS src, s.provider, row_number() OVER (PARTITION BY to_id ORDER BY s.doc_ord, s.file, s.ord, min(pos)) AS k
-      FROM e_ JOIN p_ s ON s.id = from_id GROUP BY to_id, s.doc_path, s.provider, s.doc_ord, s.file, s.ord, s.id),
+_TOKENS = """, w AS (SELECT id, doc_path, unnest(string_split(eff, ',')) AS token FROM p_ WHERE eff <> ''),
+i AS (SELECT to_id AS id, s.doc_path AS src, s.provider, row_number() OVER (PARTITION BY to_id ORDER BY kind = 'parent', s.doc_ord, s.file, s.ord, pos) AS k
+      FROM e_ JOIN p_ s ON s.id = from_id),
 f AS (SELECT w.id, w.token, min(k) FILTER (src = token AND provider) AS first FROM w LEFT JOIN i USING (id) GROUP BY ALL),
-s AS (SELECT f.id, f.token, f.first IS NOT NULL AS covered, cast(count(*) FILTER (NOT provider AND (f.first IS NULL OR k < f.first)) AS int) AS drafts FROM f LEFT JOIN i USING (id) GROUP BY ALL)
+s AS (SELECT f.id, f.token, f.token IN (SELECT doc_path FROM d_) AS known, f.first IS NOT NULL AS covered,
+      cast(CASE WHEN f.token IN (SELECT doc_path FROM d_) THEN count(*) FILTER (NOT provider AND (f.first IS NULL OR k < f.first)) ELSE 0 END AS int) AS drafts FROM f LEFT JOIN i USING (id) GROUP BY f.id, f.token, f.first)
 """
-_STATE = _TOKENS + """, c AS (SELECT p_.id, p_.doc_path, CASE WHEN rtf IS NULL THEN CASE WHEN EXISTS (FROM e_ WHERE to_id = p_.id) THEN 'covered' WHEN is_root THEN 'not-required' ELSE 'missing-coverage' END
-  WHEN rtf = '' THEN 'not-required' WHEN EXISTS (FROM s WHERE s.id = p_.id AND NOT covered) THEN 'missing-coverage' ELSE 'covered' END AS state,
+_STATE = _TOKENS + """, c AS (SELECT p_.id, p_.doc_path, CASE WHEN contains(sup, ',requires-trace-from-coverage,') THEN 'not-required'
+  WHEN eff IS NULL THEN CASE WHEN EXISTS (FROM e_ WHERE to_id = p_.id) THEN 'covered' WHEN is_root OR is_child OR contains(sup, ',untraced,') THEN 'not-required' ELSE 'missing-coverage' END
+  WHEN eff = '' THEN 'not-required' WHEN EXISTS (FROM s WHERE s.id = p_.id AND NOT known) THEN 'unresolved' WHEN EXISTS (FROM s WHERE s.id = p_.id AND NOT covered) THEN 'missing-coverage' ELSE 'covered' END AS state,
   coalesce((SELECT cast(sum(drafts) AS bigint) FROM s WHERE s.id = p_.id), 0) AS drafts, coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM s WHERE s.id = p_.id AND NOT covered), '') AS misses
-  FROM p_ JOIN d_ USING (doc_path))
+  FROM p_)
 """
-on_model("SELECT id, p_.doc_path, rtf FROM p_ JOIN d_ USING (doc_path)", "effective_rtf", lambda m: coverage.effective_rtf(m).select("id", "doc_path", F.array_join("rtf", ",").alias("rtf")))
+on_model("SELECT id, doc_path, eff AS rtf FROM p_", "effective_rtf", lambda m: coverage.effective_rtf(m).select("id", "doc_path", F.array_join("rtf", ",").alias("rtf")))
 on_model("SELECT doc_path, is_root, is_leaf FROM d_", "doc_boundaries", coverage.boundaries)
 on_model(_TOKENS + "SELECT id, token, covered, drafts FROM s", "draft_counts", lambda m: coverage.token_state(m).select("id", "token", "covered", "drafts"))
 on_model(_STATE + "SELECT * FROM c", "coverage_state", coverage.coverage_state)
+_COVERAGE = """SELECT 'requires-trace-from' AS code, s.id AS req_id, concat('no upstream trace: no approved requirement from "', token, '" traces to this item', CASE WHEN c.drafts > 0 THEN concat(' (', c.drafts, ' draft downstreams ignored)') ELSE '' END) AS message FROM s JOIN c USING (id) JOIN p_ USING (id) WHERE known AND NOT covered AND NOT contains(sup, ',requires-trace-from-coverage,')
+    UNION ALL SELECT 'unknown-source', s.id, concat('unknown coverage source: "', token, '"') FROM s JOIN p_ USING (id) WHERE NOT known AND NOT contains(sup, ',requires-trace-from-coverage,')
+    UNION ALL SELECT 'untraced', id, 'untraced: no downstream reference' FROM p_ WHERE eff IS NULL AND NOT is_root AND NOT is_child AND NOT contains(sup, ',untraced,') AND id NOT IN (SELECT to_id FROM e_)
+    UNION ALL SELECT 'no-upstream', id, 'no upstream reference' FROM p_ WHERE eff IS NULL AND NOT is_leaf AND NOT contains(sup, ',no-downstream,') AND id NOT IN (SELECT from_id FROM e_)"""
+on_model(_STATE + _COVERAGE, "coverage_findings", coverage.findings)
 on_model(
-    _STATE + """SELECT 'requires-trace-from' AS code, s.id AS req_id, concat('no upstream trace: no approved requirement from "', token, '" traces to this item', CASE WHEN c.drafts > 0 THEN concat(' (', c.drafts, ' draft downstreams ignored)') ELSE '' END) AS message FROM s JOIN c USING (id) WHERE NOT covered
-    UNION ALL SELECT 'untraced', id, 'untraced: no downstream reference' FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_root AND id NOT IN (SELECT to_id FROM e_)
-    UNION ALL SELECT 'no-upstream', id, 'no upstream reference' FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_leaf AND id NOT IN (SELECT from_id FROM e_)""",
-    "coverage_findings", coverage.findings)
-on_model(
-    "SELECT id AS req_id FROM p_ JOIN d_ USING (doc_path) WHERE rtf IS NULL AND NOT is_root AND id NOT IN (SELECT to_id FROM e_)",
+    "SELECT id AS req_id FROM p_ WHERE eff IS NULL AND NOT is_root AND NOT is_child AND NOT contains(sup, ',untraced,') AND id NOT IN (SELECT to_id FROM e_)",
     "untraced", lambda m: coverage.findings(m).filter("code = 'untraced'").select("req_id"))
 on_model(
     _STATE + "SELECT doc_path, count(*) AS total, count(*) FILTER (state = 'covered') AS covered, count(*) FILTER (state = 'missing-coverage') AS missing, count(*) FILTER (state = 'unresolved') AS unresolved, count(*) FILTER (state = 'not-required') AS not_required FROM c GROUP BY ROLLUP (doc_path)",
     "coverage_summary", coverage.summary)
 on_model(
-    ", g AS (SELECT id FROM p_ WHERE provider AND doc_path = 'tests') SELECT id, doc_path, EXISTS (FROM e_ WHERE to_id = p_.id AND from_id IN (FROM g)) AS covered FROM p_ WHERE doc_path = 'software' AND verify IS NOT NULL",
+    ", g AS (SELECT id FROM p_ WHERE provider AND doc_path = 'tests') SELECT id, doc_path, NOT contains(sup, ',requires-trace-from-coverage,') AND EXISTS (FROM e_ WHERE to_id = p_.id AND from_id IN (FROM g)) AS covered FROM p_ WHERE doc_path = 'software' AND verify IS NOT NULL",
     "filtered_coverage",
     lambda m: coverage.coverage_state(m, m.nodes.filter("doc_path = 'tests' OR (doc_path = 'software' AND verify IS NOT NULL)").select("id")).filter("doc_path = 'software'").select("id", "doc_path", (F.col("state") == "covered").alias("covered")))
 
 # ------------------------------------------------------------ verification
 
-_LATEST = """, x AS (SELECT regexp_replace(measure_id, '~[0-9]+$', '') AS measure_id, case_key, outcome, verified_at, source, load_ord FROM v_),
+_LATEST = """, x AS (SELECT regexp_replace(measure_id, '~[0-9]+$', '') AS measure_id, case_key, outcome, verified_at, source, load_ord, verifies, measure_id AS ref FROM v_),
 y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY measure_id, case_key ORDER BY verified_at DESC, source, load_ord) = 1),
-z AS (SELECT measure_id AS id, case_key, CASE outcome WHEN 'pass' THEN 1 WHEN 'skipped' THEN 2 WHEN 'inconclusive' THEN 3 ELSE 4 END AS sev FROM y WHERE measure_id IN (SELECT id FROM n_)),
-u AS (SELECT id, case_key, sev FROM z UNION SELECT e_.to_id, u.case_key, u.sev FROM u JOIN e_ ON e_.from_id = u.id JOIN p_ ON p_.id = u.id AND p_.provider),
-ev AS (SELECT id, case_key, max(sev) AS sev FROM u GROUP BY ALL),
+z AS (SELECT measure_id AS id, CASE WHEN case_key = '' AND starts_with(measure_id, 'TC:') THEN substr(measure_id, 4) ELSE case_key END AS case_key, CASE outcome WHEN 'pass' THEN 1 WHEN 'skipped' THEN 2 WHEN 'inconclusive' THEN 3 ELSE 4 END AS sev FROM y WHERE measure_id IN (SELECT id FROM n_) OR starts_with(measure_id, 'TC:')),
+tc AS (SELECT * FROM (SELECT measure_id AS child, unnest(string_split(verifies, ',')) AS parent FROM y WHERE starts_with(measure_id, 'TC:')) WHERE parent IN (SELECT id FROM n_)),
+eu AS (SELECT from_id AS child, to_id AS parent FROM e_ JOIN p_ ON p_.id = from_id AND p_.provider UNION SELECT child, parent FROM tc),
+u AS (SELECT id, case_key, sev FROM z UNION SELECT eu.parent, u.case_key, u.sev FROM u JOIN eu ON eu.child = u.id),
+ev AS (SELECT id, case_key, max(sev) AS sev FROM u WHERE NOT starts_with(id, 'TC:') GROUP BY ALL),
 vd AS (SELECT id, max(sev) AS sev, count(*) AS cases, coalesce(string_agg(case_key, ',' ORDER BY case_key) FILTER (sev = 4), '') AS failing FROM ev GROUP BY id),
 ms AS (SELECT id, doc_path, verify, provider AND coalesce(disposition, '') NOT IN ('deferred', 'rejected') AS gated FROM p_ WHERE coalesce(verify, '') <> '')
 """
 _NAME = "CASE {} WHEN 1 THEN 'pass' WHEN 2 THEN 'skipped' WHEN 3 THEN 'inconclusive' WHEN 4 THEN 'fail' END"
-on_model(_LATEST + "SELECT * FROM y", "latest_results", lambda m: verify.latest(m.results))
+on_model(_LATEST + "SELECT measure_id, case_key, outcome, verified_at, source, load_ord FROM y", "latest_results", lambda m: verify.latest(m.results))
 on_model(
     _LATEST + "SELECT measure_id, outcome, source FROM y QUALIFY row_number() OVER (PARTITION BY measure_id ORDER BY verified_at DESC, source, load_ord) = 1",
     "latest_per_target", lambda m: verify.latest_per_target(m.results))
@@ -164,7 +177,7 @@ on_model(_ATTR + "SELECT doc_path, attr, string_agg(DISTINCT value, ',' ORDER BY
 on_model(
     "SELECT doc_path, coalesce(nullif(status, ''), 'approved') AS status, count(*) AS n, CASE coalesce(nullif(status, ''), 'approved') WHEN 'draft' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END AS rank FROM n_ GROUP BY ALL",
     "status_breakdown", attributes.status_breakdown)
-on_model("SELECT id, doc_path, disposition FROM n_ WHERE disposition IN ('deferred', 'rejected') AND trim(coalesce(disposition_reason, '')) = ''", "disposition_reasons", attributes.disposition_reasons)
+on_model("SELECT id, doc_path, disposition FROM n_ WHERE coalesce(disposition, '') NOT IN ('', 'implemented') AND trim(coalesce(disposition_reason, '')) = ''", "disposition_reasons", attributes.disposition_reasons)
 on_model("SELECT id, doc_path FROM n_ JOIN d_ USING (doc_path) WHERE mandatory AND coalesce(disposition, '') = ''", "mandatory_disposition", attributes.mandatory_dispositions)
 on_model("SELECT doc_path, count(*) AS requirements, cast(0 AS bigint) AS items FROM n_ GROUP BY doc_path", "document_summary", attributes.document_summary)
 on_model(
@@ -247,16 +260,20 @@ def two_view_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.requirements(*views_, ["doc_path", "id"], ["status", "verify"])
 
 
-_PROPS = "SELECT user_id AS doc_path, event_type AS path, {agg} AS value FROM {{events}} WHERE {where} GROUP BY user_id, event_type"
-_S_OLD, _S_NEW = _PROPS.format(agg="max(props)", where="event_id % 2 = 0"), _PROPS.format(agg="max(props)", where="event_id % 3 = 0")
+_SCHEMAS = ({"properties": {"status": {"enum": ["draft", "approved"]}, "old": {"type": "string"}}, "required": ["title"]}, {"properties": {"status": {"enum": ["draft", "final"]}, "new": {"minLength": 2}}, "required": ["title"]})
 
 
 @query(
-    f"WITH a AS ({plain(_S_OLD)}), b AS ({plain(_S_NEW)}) SELECT doc_path, path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS old_value, b.value AS new_value FROM a FULL JOIN b USING (doc_path, path) WHERE a.value IS DISTINCT FROM b.value",
+    """SELECT concat('part-', p_partkey) AS doc_path, path, change, old_value, new_value FROM part, (VALUES ('properties.new.minLength', 'added', NULL, '2'), ('properties.old.type', 'removed', '"string"', NULL), ('properties.status.enum.1', 'changed', '"approved"', '"final"')) v(path, change, old_value, new_value) WHERE p_partkey % 2 = 0""",
     ctes=False,
 )
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.schemas(on_spark(spark, sf_dir, _S_OLD), on_spark(spark, sf_dir, _S_NEW))
+    """Schemas of the parts as documents: every other one changes."""
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part-"), "p_partkey").alias("doc_path"), (F.col("p_partkey") % 2 == 0).alias("new"))
+    flat = [spark.createDataFrame([r[1:] for r in diff.flatten_schema("", s)], "path string, value string") for s in _SCHEMAS]
+    old = docs.join(F.broadcast(flat[0])).select("doc_path", "path", "value")
+    new = docs.filter("new").join(F.broadcast(flat[1])).select("doc_path", "path", "value").unionByName(docs.filter("NOT new").join(F.broadcast(flat[0])).select("doc_path", "path", "value"))
+    return diff.schemas(old, new)
 
 
 _M_OLD = "SELECT p_name AS path, concat(p_brand, '0123456789') AS sha FROM {part} WHERE p_partkey % 5 <> 0"
@@ -305,11 +322,11 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.anchors(on_spark(spark, sf_dir, BLOCKS_SQL), "file").select("file", "ord", "anchor")
 
 
-@query(", x AS (SELECT id, (SELECT min(to_id) FROM e_ WHERE from_id = id AND pos = 1) AS parent_id FROM n_ WHERE doc_path IN ('stakeholder', 'system', 'software')), y AS (SELECT id, 0 AS depth FROM x WHERE parent_id IS NULL UNION ALL SELECT x.id, depth + 1 FROM y JOIN x ON x.parent_id = y.id) SELECT id, depth FROM y")
+@query(", x AS (SELECT id, (SELECT min(to_id) FROM e_ WHERE from_id = id AND pos = 1) AS parent_id FROM n_), y AS (SELECT id, 0 AS depth FROM x WHERE parent_id IS NULL UNION ALL SELECT x.id, depth + 1 FROM y JOIN x ON x.parent_id = y.id) SELECT id, depth FROM y")
 def order_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
     up = graph.edges(m).filter("pos = 1").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("parent_id"))
-    return tree.by_depth(m.nodes.filter("doc_path IN ('stakeholder', 'system', 'software')").select("id").join(up, "id", "left"))
+    return tree.by_depth(m.nodes.select("id").join(up, "id", "left"))
 
 
 @query(", x AS (SELECT DISTINCT a.doc_path AS f, b.doc_path AS t FROM e_ JOIN n_ a ON a.id = from_id JOIN n_ b ON b.id = to_id), y AS (SELECT 'tests' AS id, 0 AS depth UNION SELECT x.t, depth + 1 FROM y JOIN x ON x.f = y.id WHERE depth < 9) SELECT id, min(depth) AS depth FROM y GROUP BY id")
@@ -318,7 +335,7 @@ def doc_chain_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = m.nodes.select("id", "doc_path")
     e = graph.edges(m).join(at.withColumnsRenamed({"id": "from_id", "doc_path": "f"}), "from_id").join(at.withColumnsRenamed({"id": "to_id", "doc_path": "t"}), "to_id")
     e = e.select(F.col("f").alias("from_id"), F.col("t").alias("to_id")).distinct()
-    return graph.tiers(e, F.col("id") == "tests")
+    return graph.tiers(e, spark.createDataFrame([("tests",)], "id string"))
 
 
 # ------------------------------------------------------------ search and views
@@ -331,7 +348,9 @@ def search_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.palette(on_spark(spark, sf_dir, _ITEMS), " ART ")
 
 
-@query()
+@query(f"""WITH x AS ({plain(_ITEMS)}), y AS (SELECT *, lower(concat_ws(' ', id, title)) AS t FROM x), a AS (SELECT *, strpos(t, 'p') AS i FROM y),
+    b AS (SELECT *, strpos(substr(t, i + 1), '0') AS j FROM a WHERE i > 0), c AS (SELECT *, strpos(substr(t, i + j + 1), '7') AS k FROM b WHERE j > 0)
+    SELECT id, title, cast(i + j + k - 3 AS int) AS score FROM c WHERE k > 0 ORDER BY score, ord LIMIT 30""", ctes=False)
 def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fuzzy(on_spark(spark, sf_dir, _ITEMS), "p07")
 
@@ -341,21 +360,29 @@ def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facet_search(on_spark(spark, sf_dir, _ITEMS), "1", {"p_brand": ["Brand#11", "Brand#23"], "p_size": [1, 5, 9, 13, 17, 21]}, ["id", "title", "p_type"]).select("id")
 
 
-@query(_STATE + ", x AS (SELECT state AS queue, id FROM c WHERE state = 'missing-coverage' UNION ALL SELECT 'broken', from_id FROM t_ WHERE to_id IS NULL), y AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY id) AS position, count(*) OVER (PARTITION BY queue) AS total FROM x) SELECT queue, id, cast(position AS int) AS position, total FROM y WHERE position <= 50")
+@query(
+    _STATE + _LATEST + """, qx AS (SELECT state AS queue, id FROM c WHERE state IN ('missing-coverage', 'unresolved')
+    UNION ALL SELECT 'broken', from_id FROM t_ JOIN p_ ON p_.id = from_id WHERE to_id IS NULL AND NOT contains(sup, ',broken-ref,')
+    UNION ALL SELECT DISTINCT 'stale', from_id FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin < version
+    UNION ALL SELECT 'missing-verdict', id FROM ms WHERE gated AND id NOT IN (SELECT id FROM ev)
+    UNION ALL SELECT 'failing', ms.id FROM ms JOIN vd USING (id) WHERE gated AND sev = 4),
+    qy AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY id) AS position, count(*) OVER (PARTITION BY queue) AS total FROM qx) SELECT queue, id, cast(position AS int) AS position, total FROM qy WHERE position <= 50"""
+)
 def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = model(spark, sf_dir)
-    lost = coverage.coverage_state(m).filter("state = 'missing-coverage'").select(F.col("state").alias("queue"), "id")
-    bad = graph.broken(m).select(F.lit("broken").alias("queue"), F.col("req_id").alias("id"))
-    return views.queue(lost.unionByName(bad), ["id"]).select("queue", "id", "position", "total")
+    """The first 50 of each queue of work: coverage, references, pins and verdicts."""
+    return views.queue(views.work(model(spark, sf_dir)), ["id"]).select("queue", "id", "position", "total")
 
 
-@query("SELECT id, row_number() OVER (ORDER BY status IS NULL, lower(status), id) AS position FROM n_ WHERE doc_path = 'software'")
+@query("SELECT id, row_number() OVER (ORDER BY status IS NULL, lower(status), id) AS position FROM n_")
 def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of the software table sorted by status, empties last."""
-    from pyspark.sql import Window
+    """Positions of all requirements sorted by status, empties last."""
+    return views.positions(model(spark, sf_dir).nodes.select("id", "status"), [*views.table_order(F.col("status")), F.col("id")]).select("id", "position")
 
-    n = model(spark, sf_dir).nodes.filter("doc_path = 'software'")
-    return n.select("id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*views.table_order(F.col("status")), "id")).cast("long").alias("position"))
+
+@query("SELECT from_id, to_id, cast(1 AS int) AS linked FROM (SELECT DISTINCT from_id, to_id FROM e_)", name="trace_cells")
+def trace_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the whole trace matrix, in long form: any number of rows and columns."""
+    return views.cells(graph.edges(model(spark, sf_dir)))
 
 
 @query(", x AS (SELECT DISTINCT from_id, to_id FROM e_ WHERE starts_with(from_id, 'NAT')) SELECT from_id, " + ", ".join(f"max(1) FILTER (to_id = 'REG-00000000{i}') AS \"REG-00000000{i}\"" for i in range(5)) + " FROM x GROUP BY from_id")
@@ -384,22 +411,53 @@ def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", F.array_join(found, ",").alias("ids"))
 
 
-@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'pass' WHEN 'signup' THEN 'skipped' ELSE 'inconclusive' END AS outcome FROM events", ctes=False)
+_REPORTS = """SELECT concat('run-', cast(user_id as string), '.ctrf.json') AS path, event_id, event_type, concat('{"name": "t', cast(event_id as string), '", "status": "',
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'passed' WHEN 'signup' THEN 'skipped' ELSE 'other' END, '", "stop": ', cast(event_id * 1000 as string), ', "extra": {"x-tool": ',
+  CASE WHEN event_id % 3 = 0 THEN concat('{"id": "E-', cast(event_id as string), '", "case": "', event_type, '"}') WHEN event_id % 3 = 1 THEN concat('{"verifies": ["E-', cast(event_id as string), '"]}') ELSE '{}' END, '}}') AS test FROM {events}"""
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'pass' WHEN 'signup' THEN 'skipped' ELSE 'inconclusive' END"
+
+
+@query(
+    f"""SELECT concat('E-', event_id) AS measure_id, event_type AS case_key, {_OUTCOME} AS outcome, '' AS verifies, epoch_ms(event_id * 1000) AS verified_at FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT concat('TC:s/t', event_id), concat('s/t', event_id), {_OUTCOME}, concat('E-', event_id), epoch_ms(event_id * 1000) FROM events WHERE event_id % 3 = 1""",
+    ctes=False,
+)
 def ctrf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "signup", "skipped").otherwise("other")
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), R.ctrf_outcome(status, F.lit(False)).alias("outcome"))
+    """The events of each user as a test report, read by the report reader."""
+    from tracelake.sources.readers import bind_reports
 
+    t = on_spark(spark, sf_dir, _REPORTS.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}"))
+    files = t.groupBy("path").agg(F.concat(F.lit('{"results": {"suite": "s", "tests": ['), F.concat_ws(", ", F.collect_list("test")), F.lit("]}}")).alias("value"))
+    found, _ = bind_reports(files, "tool")
+    at = F.when(F.col("verified_at").isNull(), F.timestamp_millis(F.lit(0))).otherwise(F.col("verified_at")).cast("timestamp_ntz")
+    return found.select("measure_id", "case_key", "outcome", F.coalesce(F.array_join("verifies", ","), F.lit("")).alias("verifies"), at.alias("verified_at"))
 
-@query()
+
+@query(
+    """WITH h AS (SELECT p_partkey, list_reduce(list_prepend(cast(69346085 AS bigint), list_transform(string_split(p_type, ''), lambda c: cast(ord(c) AS bigint))), lambda h, c: (xor(h, c) * 435) & 268435455) AS a,
+    list_transform(string_split(p_name, ''), lambda c: cast(ord(c) AS bigint)) AS b FROM part)
+    SELECT p_partkey, lower(lpad(to_hex(list_reduce(list_prepend(xor(a, 58), b), lambda h, c: (xor(h, c) * 435) & 268435455)), 7, '0')) AS hash FROM h""",
+    ctes=False,
+)
 def short_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short ids of (type, name) of the parts; tests/test_functions.py has a plain version (no SQL: 64-bit wrapping products)."""
+    """Short ids of (type, name) of the parts; tests/test_sources.py compares them with the plain version too."""
     from tracelake.functions.hashes import short_hash as h
 
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey", h(F.col("p_type"), F.col("p_name")).alias("hash"))
 
 
+@query(
+    ", c AS (SELECT unnest(range(3)) AS copy), i AS (SELECT id, copy, CASE WHEN copy = 0 THEN id ELSE regexp_replace(id, '-([0-9]+)$', concat('-R', copy, '-\\1')) END AS new FROM n_, c) SELECT a.new AS from_id, b.new AS to_id, pos FROM e_ JOIN i a ON a.id = from_id JOIN i b ON b.id = to_id AND b.copy = a.copy WHERE kind = 'trace'",
+    name="replicated_edges",
+)
+def replicated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of three copies of the whole model: each copy refers to itself."""
+    from tracelake.sources.replicate import replicate as copy
+
+    return graph.trace_edges(copy(model(spark, sf_dir), 3)).select("from_id", "to_id", "pos")
+
+
 @query("SELECT nation.n_nationkey + 25 * i AS n_nationkey, concat(n_name, '-', i) AS name, n_regionkey + 5 * i AS n_regionkey FROM nation, range(4) r(i)", ctes=False)
 def replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four copies of the nations with renamed ids and references."""
@@ -411,23 +469,23 @@ def replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ streaming
 
 
-@query(_LATEST + "SELECT measure_id, case_key, outcome, source FROM y")
+@query(_LATEST + "SELECT measure_id, case_key, outcome, source FROM y WHERE NOT starts_with(measure_id, 'TC:')")
 def stream_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of one batch, upserted into the latest-wins state; equals the batch merge."""
+    """The events as a stream, upserted into latest-wins state files; equals the batch merge of the same results."""
     import uuid
 
     from tracelake.plans.projection import RESULTS_SQL
-    from tracelake.streaming.results import latest_stream
+    from tracelake.streaming.results import read_latest, scratch, upsert_latest
 
     folder, glob = sf_dir.rstrip("/"), "events.parquet*"
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     name = f"events_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(name)
-    out = latest_stream(spark.sql(RESULTS_SQL.replace("{events}", name)))
-    q = out.writeStream.format("memory").queryName(f"latest_{name}").outputMode("complete").trigger(availableNow=True).start()
+    folder = scratch(spark, name)
+    q = upsert_latest(spark.sql(RESULTS_SQL.replace("{events}", name)), f"{folder}/state", f"{folder}/offsets")
     q.awaitTermination()
-    return spark.table(f"latest_{name}").select("measure_id", "case_key", "outcome", "source")
+    return read_latest(spark, f"{folder}/state").select("measure_id", "case_key", "outcome", "source")
 
 
 on_model(
@@ -435,5 +493,57 @@ on_model(
     SELECT l_.to_id AS id, l_.from_id, n_.title, coalesce(h, 'ok') AS health FROM l_ JOIN n_ ON n_.id = l_.from_id LEFT JOIN ph ON ph.from_id = l_.from_id AND ph.to_id = l_.to_id""",
     "downstream_mirror", verify.mirror)
 on_model(
-    _LATEST + ", o AS (SELECT measure_id AS id, arg_min(source, load_ord) AS source FROM y GROUP BY 1) SELECT ms.id, o.source FROM ms JOIN o USING (id)",
+    _LATEST + """, o AS (SELECT measure_id AS id, arg_min(source, load_ord) AS source FROM y GROUP BY 1),
+    ws AS (SELECT measure_id AS id, CASE outcome WHEN 'pass' THEN 1 WHEN 'skipped' THEN 2 WHEN 'inconclusive' THEN 3 ELSE 4 END AS sev, load_ord, source FROM y),
+    wu AS (SELECT id, sev, load_ord, source FROM ws UNION SELECT eu.parent, wu.sev, wu.load_ord, wu.source FROM wu JOIN eu ON eu.child = wu.id),
+    wb AS (SELECT id, arg_max(source, (sev, -load_ord, source)) AS source FROM wu GROUP BY id)
+    SELECT ms.id, coalesce(o.source, wb.source) AS source FROM ms JOIN wb USING (id) LEFT JOIN o USING (id)""",
     "verdict_source", verify.representative)
+
+# ------------------------------------------------------------ results as nodes, all checks
+
+_SYNTHETIC = """, rn AS (SELECT concat('RESULT:', measure_id, CASE WHEN case_key <> '' THEN concat('#', case_key) ELSE '' END) AS id, measure_id, ref,
+  CASE WHEN regexp_matches(ref, '~[0-9]+$') THEN cast(regexp_extract(ref, '~([0-9]+)$', 1) AS bigint) END AS pin FROM y),
+rp AS (SELECT rn.id AS from_id, p_.id AS to_id, pin, p_.version FROM rn JOIN p_ ON p_.id = rn.measure_id WHERE pin IS NOT NULL AND NOT external AND p_.version <> 0 AND pin <> p_.version)
+"""
+on_model(
+    _LATEST + _SYNTHETIC + "SELECT from_id, to_id, pin, version, CASE WHEN pin < version THEN 'outdated' ELSE 'predated' END AS direction FROM rp",
+    "synthetic_pins", lambda m: graph.pin_health(verify.synthetic(m)).filter("from_id LIKE 'RESULT:%'"))
+on_model(
+    _LATEST + _SYNTHETIC + "SELECT id, measure_id AS to_id FROM rn WHERE measure_id IN (SELECT id FROM n_) OR starts_with(measure_id, 'TC:') UNION ALL SELECT child, parent FROM tc",
+    "synthetic_edges", lambda m: graph.trace_edges(verify.synthetic(m)).filter("from_id RLIKE '^(RESULT|TC):'").select(F.col("from_id").alias("id"), "to_id"))
+on_model(
+    _LATEST + "SELECT measure_id AS id, arg_min(outcome, case_key) AS outcome, arg_min(source, case_key) AS source FROM y WHERE measure_id IN (SELECT id FROM n_) GROUP BY 1",
+    "attached_outcome", verify.attached)
+_DRAFTS = """, dd AS (SELECT e_.to_id AS id, e_.from_id AS draft FROM e_ JOIN p_ ON p_.id = from_id AND NOT provider UNION SELECT eu.parent, dd.draft FROM dd JOIN eu ON eu.child = dd.id),
+dc AS (SELECT id, count(*) AS drafts FROM dd GROUP BY id)
+"""
+on_model(_LATEST + _DRAFTS + "SELECT id, drafts FROM dc", "ignored_drafts", verify.ignored_drafts)
+on_model(
+    _STATE + _LATEST + _DRAFTS + _SYNTHETIC + ", cf AS (" + _COVERAGE + """)
+    SELECT 'WARNING' AS level, 'broken-ref' AS code, from_id AS req_id, concat('broken reference: ', ref) AS message FROM t_ JOIN p_ ON p_.id = from_id WHERE to_id IS NULL AND NOT contains(sup, ',broken-ref,')
+    UNION ALL SELECT 'ERROR', 'parent', id, concat('parent requirement "', parent_id, '" not found') FROM n_ WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM n_)
+    UNION ALL SELECT 'WARNING', code, req_id, message FROM cf
+    UNION ALL SELECT 'WARNING', 'disposition-reason', id, concat('disposition without reason for "', disposition, '"') FROM n_ WHERE coalesce(disposition, '') NOT IN ('', 'implemented') AND trim(coalesce(disposition_reason, '')) = ''
+    UNION ALL SELECT 'ERROR', 'mandatory-disposition', id, 'disposition is required (mandatory-disposition is set)' FROM n_ JOIN d_ USING (doc_path) WHERE mandatory AND coalesce(disposition, '') = ''
+    UNION ALL SELECT 'ERROR', 'version-pin', from_id, concat(CASE WHEN pin < version THEN 'outdated' ELSE 'predated' END, ' pin on ', to_id) FROM (SELECT from_id, to_id, pin, version FROM l_ JOIN p_ ON p_.id = to_id WHERE NOT external AND version <> 0 AND pin <> version UNION ALL SELECT from_id, to_id, pin, version FROM rp)
+    UNION ALL SELECT 'WARNING', 'missing-verdict', ms.id, concat('missing verdict: no verification result or downstream test-case result covers this measure', CASE WHEN drafts > 0 THEN concat(' (', drafts, ' draft downstreams ignored)') ELSE '' END) FROM ms JOIN p_ ON p_.id = ms.id LEFT JOIN dc ON dc.id = ms.id WHERE gated AND NOT contains(sup, ',missing-verdict,') AND ms.id NOT IN (SELECT id FROM ev)
+    UNION ALL SELECT 'ERROR', 'failing-verdict', ms.id, concat('failing verdict: rolled-up verification result is fail: ', failing) FROM ms JOIN p_ ON p_.id = ms.id JOIN vd ON vd.id = ms.id WHERE gated AND sev = 4 AND NOT contains(sup, ',failing-verdict,')
+    UNION ALL SELECT 'INFO', 'verdict', p_.id, concat('verified: ', """ + _NAME.format("sev") + """) FROM p_ JOIN vd ON vd.id = p_.id WHERE coalesce(verify, '') <> '' AND coalesce(disposition, '') NOT IN ('deferred', 'rejected')""",
+    "check_findings", lambda m: checks.findings(m).select("level", "code", "req_id", "message"))
+on_model(
+    "SELECT coalesce(file, '') AS file, coalesce(kind, '') AS kind, count(*) AS n FROM (SELECT f.file, CASE WHEN pin < p_.version THEN 'outdated' ELSE 'predated' END AS kind FROM l_ JOIN p_ ON p_.id = to_id JOIN n_ f ON f.id = from_id WHERE NOT external AND p_.version <> 0 AND pin <> p_.version) GROUP BY CUBE (file, kind)",
+    "repin_summary", lambda m: graph.repin_summary(graph.repin_deltas(m)).fillna(""))
+on_model(
+    "SELECT attr, count(*) AS n FROM (SELECT unnest(['status', 'verify', 'disposition', 'disposition-reason', 'version']) AS attr, unnest([status, verify, disposition, disposition_reason, CASE WHEN version <> 0 THEN 'x' END]) AS v FROM n_) WHERE v IS NOT NULL GROUP BY attr",
+    "attribute_universe", attributes.universes)
+on_model("SELECT doc_path, 'req' AS kind, count(*) AS n FROM n_ GROUP BY ROLLUP (doc_path)", "type_breakdown", attributes.type_breakdown)
+on_model(
+    "SELECT id, title, n_.doc_path, concat(n_.doc_path, '.html#', id) AS href FROM n_",
+    "search_index", views.search_index)
+on_model(
+    _STATE + _LATEST + f"SELECT p_.id, p_.doc_path, state, {_NAME.format('sev')} AS verdict, (SELECT count(*) FROM t_ WHERE from_id = p_.id) AS up_links, (SELECT count(*) FROM l_ WHERE to_id = p_.id) AS down_links FROM p_ JOIN c ON c.id = p_.id LEFT JOIN vd ON vd.id = p_.id",
+    "page_model", views.page_model)
+on_model(
+    "SELECT id, attr, value, position FROM (SELECT id, unnest(['status', 'verify', 'disposition']) AS attr, unnest([status, verify, disposition]) AS value, unnest([1, 2, 3]) AS position FROM n_) WHERE value IS NOT NULL",
+    "attribute_rows", lambda m: views.attribute_rows(m, ["status", "verify", "disposition"]))

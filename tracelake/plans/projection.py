@@ -28,21 +28,25 @@ def _id(prefix: str, key: str) -> str:
 _NULL = "cast(null as string)"
 
 
-def _node(doc: str, table: str, prefix: str, key: str, title: str, status: str = _NULL, version: str = "0", verify: str = _NULL, disposition: str = _NULL, reason: str = _NULL) -> str:
+def _node(doc: str, table: str, prefix: str, key: str, title: str, status: str = _NULL, version: str = "0", verify: str = _NULL, disposition: str = _NULL, reason: str = _NULL, suppress: str = _NULL, own_rtf: str = _NULL, parent: str = _NULL) -> str:
     return (
         f"SELECT '{doc}' AS doc_path, '{doc}/{table}.md' AS file, cast({key} as bigint) AS ord, {_id(prefix, key)} AS id, {title} AS title, {status} AS status, "
-        f"cast({version} as int) AS version, {verify} AS verify, {disposition} AS disposition, {reason} AS disposition_reason FROM {{{table}}}"
+        f"cast({version} as int) AS version, {verify} AS verify, {disposition} AS disposition, {reason} AS disposition_reason, "
+        f"{suppress} AS suppress, {own_rtf} AS own_rtf, {parent} AS parent_id FROM {{{table}}}"
     )
 
 
 NODES_SQL = " UNION ALL ".join([
     _node("stakeholder", "region", "REG", "r_regionkey", "r_name", "'approved'"),
-    _node("system", "nation", "NAT", "n_nationkey", "n_name", "CASE WHEN n_nationkey % 5 = 0 THEN 'draft' ELSE 'approved' END", "n_nationkey % 4"),
-    _node("software", "customer", "CUS", "c_custkey", "c_name", f"CASE c_mktsegment WHEN 'BUILDING' THEN 'draft' WHEN 'MACHINERY' THEN 'Approved' ELSE {_NULL} END", "c_custkey % 4", f"CASE WHEN c_custkey % 2 = 0 THEN 'Test' ELSE {_NULL} END"),
-    _node("suppliers", "supplier", "SUP", "s_suppkey", "s_name", version="1"),
-    _node("parts", "part", "PRT", "p_partkey", "p_name", version="p_size"),
+    _node("system", "nation", "NAT", "n_nationkey", "n_name", "CASE WHEN n_nationkey % 5 = 0 THEN 'draft' ELSE 'approved' END", "n_nationkey % 4",
+          own_rtf=f"CASE n_nationkey % 7 WHEN 5 THEN 'suppliers,nowhere' WHEN 6 THEN '' ELSE {_NULL} END"),
+    _node("software", "customer", "CUS", "c_custkey", "c_name", f"CASE c_mktsegment WHEN 'BUILDING' THEN 'draft' WHEN 'MACHINERY' THEN 'Approved' ELSE {_NULL} END", "c_custkey % 4", f"CASE WHEN c_custkey % 2 = 0 THEN 'Test' ELSE {_NULL} END",
+          suppress=f"CASE WHEN c_custkey % 13 = 0 THEN 'requires-trace-from-coverage' WHEN c_custkey % 11 = 0 THEN 'missing-verdict,failing-verdict' ELSE {_NULL} END"),
+    _node("suppliers", "supplier", "SUP", "s_suppkey", "s_name", version="1", suppress=f"CASE WHEN s_suppkey % 20 = 0 THEN 'untraced' ELSE {_NULL} END",
+          parent=f"CASE s_suppkey % 10 WHEN 0 THEN {_NULL} WHEN 9 THEN 'SUP-none' ELSE {_id('SUP', 's_suppkey - s_suppkey % 10')} END"),
+    _node("parts", "part", "PRT", "p_partkey", "p_name", version="p_size", suppress=f"CASE WHEN p_partkey % 9 = 0 THEN 'no-downstream' ELSE {_NULL} END"),
     _node("tests", "orders", "ORD", "o_orderkey", "o_orderpriority", f"CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'draft' ELSE {_NULL} END", "1", "'Test'",
-          f"CASE o_orderpriority WHEN '5-LOW' THEN 'deferred' WHEN '4-NOT SPECIFIED' THEN {_NULL} ELSE 'implemented' END", "CASE WHEN o_orderkey % 2 = 0 THEN 'phase 2' ELSE ' ' END"),
+          f"CASE o_orderpriority WHEN '5-LOW' THEN 'deferred' WHEN '4-NOT SPECIFIED' THEN {_NULL} ELSE 'implemented' END", "CASE WHEN o_orderkey % 2 = 0 THEN 'phase 2' ELSE ' ' END", suppress=f"CASE WHEN o_orderkey % 150 = 0 THEN 'broken-ref' ELSE {_NULL} END"),
 ])
 
 REFS_SQL = " UNION ALL ".join([
@@ -59,6 +63,11 @@ RESULTS_SQL = (
     "CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'inconclusive' WHEN 'signup' THEN 'skipped' ELSE 'pass' END AS outcome, "
     "ts AS verified_at, concat('run-', cast(event_id % 10 as string), '.ctrf.json') AS source, cast(event_id as bigint) AS load_ord FROM {events}"
 )
+#: Test cases of events: each verifies a customer and a nation.
+CASES_SQL = (
+    "SELECT concat('TC:case-', cast(user_id % 40 as string)) AS measure_id, '' AS case_key, CASE event_type WHEN 'error' THEN 'fail' ELSE 'pass' END AS outcome, ts AS verified_at, "
+    f"'cases.ctrf.json' AS source, cast(event_id + 1000000000 as bigint) AS load_ord, concat({_id('CUS', 'user_id + 20')}, ',', {_id('NAT', 'user_id % 25')}) AS verifies FROM {{events}} WHERE event_id % 20 = 3"
+)
 BLOCKS_SQL = (
     "SELECT cast(conv_id as string) AS file, cast(turn as bigint) AS ord, CASE role WHEN 'system' THEN 2 WHEN 'user' THEN 3 ELSE 4 END AS level, "
     "CASE WHEN turn % 2 = 1 THEN 'req' ELSE 'info' END AS kind, concat('C-', cast(conv_id as string), '-', cast(turn as string)) AS id FROM {conversations}"
@@ -78,8 +87,10 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     from pyspark.sql import functions as F
 
     nodes = on_spark(spark, sf_dir, NODES_SQL)
-    nodes = nodes.withColumns({"kind": F.lit("req"), "suppressions": F.lit(None).cast("array<string>"), "requires_trace_from": F.lit(None).cast("array<string>")})
-    return Model(spark.createDataFrame(DOCUMENT_ROWS, DOCUMENTS), nodes, on_spark(spark, sf_dir, REFS_SQL), on_spark(spark, sf_dir, RESULTS_SQL))
+    listed = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
+    nodes = nodes.withColumns({"kind": F.lit("req"), "suppressions": listed("suppress"), "requires_trace_from": listed("own_rtf")}).drop("suppress", "own_rtf")
+    results = on_spark(spark, sf_dir, RESULTS_SQL).unionByName(on_spark(spark, sf_dir, CASES_SQL).withColumn("verifies", F.split("verifies", ",")), allowMissingColumns=True)
+    return Model(spark.createDataFrame(DOCUMENT_ROWS, DOCUMENTS), nodes, on_spark(spark, sf_dir, REFS_SQL), results)
 
 
 def _documents() -> str:
@@ -92,11 +103,12 @@ def _documents() -> str:
 CTES = f"""WITH RECURSIVE d_ AS ({_documents()}),
 n_ AS ({plain(NODES_SQL)}),
 r_ AS ({plain(REFS_SQL)}),
-v_ AS ({plain(RESULTS_SQL)}),
-p_ AS (SELECT n_.*, d_.doc_ord, d_.external, lower(coalesce(nullif(status, ''), 'approved')) = 'approved' AS provider FROM n_ JOIN d_ USING (doc_path)),
+v_ AS (SELECT *, cast(null as varchar) AS verifies FROM ({plain(RESULTS_SQL)}) UNION ALL {plain(CASES_SQL)}),
+p_ AS (SELECT n_.*, d_.doc_ord, d_.external, d_.is_root, d_.is_leaf, coalesce(own_rtf, d_.rtf) AS eff, concat(',', coalesce(suppress, ''), ',') AS sup, parent_id IS NOT NULL AS is_child, lower(coalesce(nullif(status, ''), 'approved')) = 'approved' AS provider FROM n_ JOIN d_ USING (doc_path)),
 b_ AS (SELECT *, CASE WHEN regexp_matches(ref, '~[0-9]+$') THEN cast(regexp_extract(ref, '~([0-9]+)$', 1) AS bigint) END AS pin, regexp_replace(ref, '~[0-9]+$', '') AS bare FROM r_),
 q_ AS (SELECT *, CASE WHEN contains(bare, '/') THEN split_part(bare, '/', 1) END AS q, CASE WHEN contains(bare, '/') THEN split_part(bare, '/', 2) ELSE bare END AS lid FROM b_),
 t_ AS (SELECT q_.from_id, q_.pos, q_.ref, q_.pin, t.id AS to_id FROM q_ LEFT JOIN n_ t ON t.id = q_.lid AND (q_.q IS NULL OR t.doc_path = q_.q)),
-e_ AS (SELECT from_id, to_id, ref, pin, pos FROM t_ WHERE to_id IS NOT NULL),
-l_ AS (SELECT from_id, to_id, arg_max(ref, pos) AS ref, arg_max(pin, pos) FILTER (pin IS NOT NULL) AS pin FROM e_ GROUP BY ALL)
+e_ AS (SELECT from_id, to_id, ref, pin, pos, 'trace' AS kind FROM t_ WHERE to_id IS NOT NULL
+       UNION ALL SELECT c.id, q.id, NULL, NULL, 2147483647, 'parent' FROM n_ c JOIN n_ q ON q.id = c.parent_id),
+l_ AS (SELECT from_id, to_id, arg_max(ref, pos) AS ref, arg_max(pin, pos) FILTER (pin IS NOT NULL) AS pin FROM e_ WHERE kind = 'trace' GROUP BY ALL)
 """

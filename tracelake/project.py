@@ -8,58 +8,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import expr
-from tracelake.operators import attributes, coverage, diff, graph, verify, views
+from tracelake.model import cut
+from tracelake.operators import attributes, checks, coverage, diff, graph, verify, views
 from tracelake.sources import readers, sinks
 
 
 class Project:
     """Requirements under ``root``, optionally with test reports; every method returns a DataFrame."""
 
-    def __init__(self, spark: SparkSession, root: str, results: str | None = None):
-        self.spark = spark
-        self.model, self.blocks, self.schemas = readers.read_tree(spark, root)
+    def __init__(self, spark: SparkSession, root: str, results: str | None = None, tool: str | None = None):
+        """``tool`` is the name in extension keys (``x-<tool>``); without it the only one in use counts, and several are an error."""
+        self.spark, self.tool = spark, tool
+        self.model, self.blocks, self.schemas = readers.read_tree(spark, root, tool)
         self.warnings: DataFrame | None = None
         if results:
-            found, self.warnings = readers.read_reports(spark, results)
-            self.model = self.model.with_(results=found)
-
-    def check(self, filter: str | None = None, relaxed_versions: bool = False) -> DataFrame:
-        """All findings: level, code, req_id, message. A filter limits coverage and verdict checks, never resolution."""
-        m, f = self.model, lambda level, code, id_, text: [F.lit(level).alias("level"), F.lit(code).alias("code"), id_.alias("req_id"), text.alias("message")]
-        parts = [
-            self.blocks.filter("kind = 'error'").select(*f("ERROR", "parse", F.col("file"), F.col("error"))),
-            graph.duplicate_ids(m).select(*f("ERROR", "duplicate-id", F.col("id"), F.concat(F.lit("already defined in "), "first_doc"))),
-            graph.broken(m).select("level", "code", "req_id", "message"),
-            graph.cyclic_nodes(graph.edges(m)).select(*f("ERROR", "circular", F.col("id"), F.lit("circular dependency"))),
-            coverage.findings(m).select(F.lit("WARNING").alias("level"), "code", "req_id", "message"),
-            attributes.disposition_reasons(m).select(*f("WARNING", "disposition-reason", F.col("id"), F.lit("disposition without a reason"))),
-            attributes.mandatory_dispositions(m).select(*f("ERROR", "mandatory-disposition", F.col("id"), F.lit("disposition is mandatory"))),
-            graph.prefix_checks(m).select(*f("ERROR", "id-prefix", F.col("req_id"), F.concat_ws(" in ", "problem", "file"))),
-            graph.pin_health(m).select(F.when((F.col("direction") == "outdated") & F.lit(relaxed_versions), "WARNING").otherwise("ERROR").alias("level"), F.lit("version-pin").alias("code"), F.col("from_id").alias("req_id"), F.concat_ws(" ", "direction", F.lit("pin on"), "to_id").alias("message")),
-        ]
-        known = {d: self._known(x) for d, x in self.schemas.items()}
-        known = {d: x for d, x in known.items() if attributes.compile_schema(x)}
-        if known:
-            parts.append(attributes.schema_errors(m, known).select(*f("ERROR", "schema", F.col("id"), F.concat_ws(": ", "attr", "problem"))))
-        if m.results is not None:
-            parts += [
-                verify.missing(m).select(*f("WARNING", "missing-verdict", F.col("id"), F.lit("no result"))),
-                verify.failing(m).select(*f("ERROR", "failing-verdict", F.col("id"), F.concat(F.lit("failing: "), "failing"))),
-                self.warnings.select(*f("WARNING", "unbound-result", F.lit(""), F.col("message"))),
-            ]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        if filter is None:
-            return out
-        scoped = F.col("code").isin("requires-trace-from", "unknown-source", "untraced", "no-upstream", "missing-verdict", "failing-verdict", "disposition-reason", "mandatory-disposition", "version-pin")
-        ids = self.matching(filter).select(F.col("id").alias("req_id"))
-        return out.filter(~scoped).unionByName(out.filter(scoped).join(ids, "req_id", "left_semi").select(*out.columns))
-
-    def _known(self, schema: dict) -> dict:
-        """The part of a schema about attributes that are columns."""
-        have = {"status", "version", "verify", "disposition", "title"}
-        return {"required": [a for a in schema.get("required", []) if a in have], "properties": {a: r for a, r in schema.get("properties", {}).items() if a in have and isinstance(r, dict)}}
+            found, self.warnings = readers.read_reports(spark, results, tool)
+            self.model = self.model.with_(results=cut(found))
+        self.model = graph.prepared(self.model)
+
+    def check(self, filter: str | None = None, relaxed_versions: bool = False, ignore_unbound: bool = False, disjoint: tuple[str, ...] = ()) -> DataFrame:
+        """All findings: level, code, direction, outcome, req_id, file, message.
+
+        A filter limits coverage, disposition, pin and verdict checks, never
+        resolution. Attributes named in ``disjoint``, or by the schemas' own
+        ``disjoint-check``, must share a value along every edge.
+        """
+        rows = [("ERROR", "config", "", "", "", "", x) for x in readers.config_errors(self.schemas, self.tool)]
+        parse = self.blocks.filter("kind = 'error'").select(F.lit("ERROR").alias("level"), F.lit("parse").alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.col("file").alias("req_id"), "file", F.col("error").alias("message"))
+        names = {*disjoint, *(a for s in self.schemas.values() for a in readers.extension(s, self.tool).get("disjoint-check") or [])}
+        listed = lambda a: F.from_json(F.get_json_object("attrs", f"$['{a}']"), "array<string>")
+        values = {a: self.blocks.filter("kind = 'req' AND attrs IS NOT NULL").select("id", listed(a).alias("vals")).filter("vals IS NOT NULL") for a in sorted(names)}
+        ids = None if filter is None else self.matching(filter)
+        out = checks.findings(self.model, ids, relaxed_versions, self.schemas, values).drop("check_ord")
+        out = parse.unionByName(out).unionByName(self.spark.createDataFrame(rows, out.select(*parse.columns).schema).select(*parse.columns))
+        if self.warnings is not None and not ignore_unbound:
+            out = out.unionByName(self.warnings.select(F.lit("WARNING").alias("level"), F.lit("unbound-result").alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.lit("").alias("req_id"), F.col("source").alias("file"), "message"))
+        return out
+
+    def documents(self) -> DataFrame:
+        """doc_path, title, meta (frontmatter) and what the schema says."""
+        return self.model.documents.join(readers.document_meta(self.blocks), "doc_path", "left")
+
+    def attributes(self) -> DataFrame:
+        """What a filter may name: attr, declared, found."""
+        return attributes.filterable(self.model, {d: list(s.get("properties") or {}) for d, s in self.schemas.items()})
 
     def matching(self, filter: str, relaxed: bool = False) -> DataFrame:
         return expr.matching_ids(self.model.nodes, filter, relaxed)
@@ -77,7 +69,7 @@ class Project:
         sinks.ndjson(graph.traces(self.model), f"{path}/traces", ["from_id", "ref"])
         sinks.ndjson(self.check(), f"{path}/findings", ["req_id", "code", "message"])
         if self.model.results is not None:
-            sinks.ndjson(verify.export(self.model), f"{path}/results", ["measure_id"])
+            sinks.ndjson(verify.nested(self.model), f"{path}/results", ["measure_id"])
 
     def repin(self, promote_unpinned: bool = False) -> DataFrame:
         return graph.repin_deltas(self.model, promote_unpinned)
@@ -91,8 +83,10 @@ class Project:
         return diff.requirements(self.blocks.filter("kind = 'req'"), other.blocks.filter("kind = 'req'"), ["doc_path", "id"], own)
 
 
-def at_tag(spark: SparkSession, repository: str, tag: str, shared_dir: str | None = None) -> Project:
-    """The project as of a git tag, unpacked under ``shared_dir``, which all executors must see."""
+def at_tag(spark: SparkSession, repository: str, tag: str, shared_dir: str | None = None, tool: str | None = None) -> Project:
+    """The project as of a git tag, unpacked under ``shared_dir``, which all executors must see; only a single process does without."""
+    if shared_dir is None and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("shared_dir: name a folder that all executors see")
     target = tempfile.mkdtemp(prefix=f"tag-{tag}-".replace("/", "-"), dir=shared_dir)
-    return Project(spark, readers.git_archive(repository, tag, target))
+    return Project(spark, readers.git_archive(repository, tag, target), tool=tool)
 

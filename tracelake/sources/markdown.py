@@ -125,8 +125,32 @@ def _blocks(lines: list[str]):
             yield "paragraph", "".join(x.strip() for x in lines[start:i]).strip()
 
 
-def parse(text: str, path: str = "") -> tuple[list[Block], str, dict]:
-    """(blocks in order, title, frontmatter)."""
+def split_roots(text: str, most: int = 1 << 18) -> list[str]:
+    """A large document in parts of about ``most`` characters that parse one by one to the same blocks: cut before level-2 requirements only.
+
+    A heading counts if it stands outside fences and an ``attr`` fence follows.
+    """
+    if len(text) < most:
+        return [text]
+    lines, parts, begin, size, fence = text.replace("\r\n", "\n").split("\n"), [], 0, 0, ""
+    first = next((i for i in range(1, len(lines)) if lines[i].rstrip() == "---"), 0) if lines[0].rstrip() == "---" else 0
+    for i, line in enumerate(lines):
+        if i > first and not fence and size >= most and re.match(r"## \S", line):
+            nxt = next((x for x in lines[i + 1 : i + 50] if x.strip()), "")
+            if re.match(r" {0,3}(?:`{3,}|~{3,})[ \t]*attr[ \t]*$", nxt) and not lines[i - 1].strip():
+                parts.append("\n".join(lines[begin:i]))
+                begin, size = i, 0
+        size += len(line) + 1
+        if i > first and (m := re.match(r" {0,3}(`{3,}|~{3,})", line)):
+            if not fence:
+                fence = m[1]
+            elif m[1].startswith(fence[0] * len(fence)) and not line.strip().strip(fence[0]):
+                fence = ""
+    return [*parts, "\n".join(lines[begin:])]
+
+
+def parse(text: str, path: str = "", tool: str | None = None) -> tuple[list[Block], str, dict]:
+    """(blocks in order, title, frontmatter). Suppressions are the list under ``<tool>-suppress``; without ``tool``, under the only key that ends so."""
     lines = text.replace("\r\n", "\n").split("\n")
     front: dict = {}
     if lines and lines[0].rstrip() == "---":
@@ -172,7 +196,10 @@ def parse(text: str, path: str = "") -> tuple[list[Block], str, dict]:
                 cur.attrs = decode_attrs(data[1])
             except MarkdownError as e:
                 raise MarkdownError(f"{path}: {cur.id}: {e}") from e
-            for key in [x for x in cur.attrs if x.endswith("-suppress")]:
+            keys = [x for x in cur.attrs if (x.endswith("-suppress") if tool is None else x == f"{tool}-suppress")]
+            if len(keys) > 1:
+                raise MarkdownError(f"{path}: {cur.id}: {', '.join(keys)}: name the tool")
+            for key in keys:
                 value = cur.attrs.pop(key)
                 cur.suppressions = [s for s in value if isinstance(s, str)] if isinstance(value, list) else []
             waiting = False

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions import refs as R
 from tracelake.model import Model
-from tracelake.operators import graph
+from tracelake.operators import checks, graph
 
 
 def ndjson(df: DataFrame, path: str, order: list[str]) -> None:
@@ -29,12 +30,14 @@ def requirements(blocks: DataFrame) -> DataFrame:
 
 
 def csv(blocks: DataFrame, path: str, properties: list[str], verdicts: DataFrame | None = None) -> None:
-    """Type, ID, Title, the properties in order, Body, Rationale and, if given, Verdict (``verdicts``: id, verdict)."""
+    """Type, ID, Title, the properties in order, Body, Rationale and, if given, Verdict, Verdict Source, Verdict Cases (``verdicts``: id, verdict[, source, cases])."""
     own = {"status": F.col("status"), "version": F.col("version").cast("string"), "verify": F.col("verify"), "disposition": F.col("disposition"), "disposition-reason": F.col("disposition_reason"), "trace": F.array_join("trace", ", "), "requires-trace-from": F.array_join("requires_trace_from", ", ")}
     cell = lambda p: F.coalesce(own[p] if p in own else F.get_json_object("attrs", f"$['{p}']"), F.lit(""))
-    x = blocks if verdicts is None else blocks.join(verdicts.select("id", "verdict"), "id", "left")
+    extra = [] if verdicts is None else [c for c in ("verdict", "source", "cases") if c in verdicts.columns]
+    x = blocks if verdicts is None else blocks.join(verdicts.select("id", *extra), "id", "left")
     cols = [F.col("kind").alias("Type"), F.coalesce("id", F.lit("")).alias("ID"), F.col("title").alias("Title"), *(cell(p).alias(p) for p in properties), F.col("body").alias("Body"), F.col("rationale").alias("Rationale")]
-    cols += [] if verdicts is None else [F.coalesce("verdict", F.lit("")).alias("Verdict")]
+    names = {"verdict": "Verdict", "source": "Verdict Source", "cases": "Verdict Cases"}
+    cols += [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(names[c]) for c in extra]
     x.filter("kind <> 'error'").orderBy("file", "ord").select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -48,7 +51,7 @@ def property_graph(m: Model, path: str, raw_refs: bool = False) -> None:
     if raw_refs:
         e = m.refs.join(v.select(F.col("id").alias("ref")), "ref", "left_semi").select(F.col("from_id").alias("src"), F.col("ref").alias("dst"))
     else:
-        e = graph.edges(m).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+        e = graph.trace_edges(m).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     v.write.mode("overwrite").parquet(f"{path}/vertices")
     e.distinct().write.mode("overwrite").parquet(f"{path}/edges")
 
@@ -130,8 +133,65 @@ def bundle(documents: list[dict]) -> str:
 
 
 def findings_text(findings: DataFrame, most: int = 1000) -> tuple[str, int]:
-    """A report of at most ``most`` findings, all counts, and the exit code: 1 with an error, else 0."""
+    """A report of at most ``most`` findings, all counts, and the exit code: 2 with a file that can't be parsed, 1 with an error, else 0."""
     counts = {r["level"]: r["n"] for r in findings.groupBy("level").agg(F.count("*").alias("n")).collect()}
     lines = [f"{r['level']}: {r['req_id']}: {r['message']}" for r in findings.orderBy("req_id", "code", "message").limit(most).collect()]
     lines.append(f"{counts.get('ERROR', 0)} errors, {counts.get('WARNING', 0)} warnings")
-    return "\n".join(lines), int(bool(counts.get("ERROR")))
+    return "\n".join(lines), checks.exit_code(findings)
+
+
+def findings_json(findings: DataFrame) -> DataFrame:
+    """One JSON text a finding, in order, for any number of them."""
+    return findings.orderBy("req_id", "code", "message").select(F.to_json(F.struct(*findings.columns)).alias("value"))
+
+
+def list_text(nodes: DataFrame, most: int = 1000) -> str:
+    """At most ``most`` nodes, one a line: kind, id, title, under their documents."""
+    lines, doc = [], None
+    for r in nodes.orderBy("doc_path", "file", "ord").limit(most).collect():
+        if r["doc_path"] != doc:
+            doc = r["doc_path"]
+            lines.append(doc)
+        lines.append("  " + "  ".join(x for x in (r["kind"], r["id"], r["title"]) if x))
+    return "\n".join(lines)
+
+
+def stats_text(stats: DataFrame) -> str:
+    """One line a document, its counts by name."""
+    names = [c for c in stats.columns if c != "doc_path"]
+    return "\n".join(f"{r['doc_path']}: " + ", ".join(f"{r[c]} {c}" for c in names) for r in stats.orderBy("doc_path").collect())
+
+
+def repin_text(deltas: DataFrame, most: int = 1000) -> str:
+    """At most ``most`` references to rewrite in the order of file, requirement and reference, then all counts."""
+    counts = {(r["file"], r["kind"]): r["n"] for r in graph.repin_summary(deltas).filter("file IS NULL").collect()}
+    if not counts.get((None, None)):
+        return "no version-pin changes needed\n"
+    files = deltas.select("file").distinct().count()
+    rows = deltas.orderBy("file", "req_id", "source_ref").limit(most).select("file", "req_id", R.strip_pin(F.col("source_ref")).alias("old"), "new_ref").collect()
+    lines = [f"{r['file']}  {r['req_id']}  {r['old']} → {r['new_ref']}" for r in rows]
+    n = {k: counts.get((None, k), 0) for k in ("outdated", "unpinned", "predated")}
+    return "\n".join([*lines, ", ".join(f"{v} {k}" for k, v in n.items()) + f" across {files} files."]) + "\n"
+
+
+def diff_text(changes: DataFrame, attrs: DataFrame, old: str, new: str, schemas: DataFrame | None = None, submodules: DataFrame | None = None, most: int = 1000) -> str:
+    """At most ``most`` changes between two snapshots by document, with their attributes, then schemas, submodules and all counts."""
+    mark = {"added": "+", "removed": "-", "modified": "~"}
+    shown = changes.filter("category <> 'unchanged'").orderBy("doc_path", "id").limit(most)
+    more: dict[tuple, list[str]] = {}
+    for r in attrs.join(shown.filter("category = 'modified'").select("doc_path", "id"), ["doc_path", "id"], "left_semi").orderBy("attr").collect():
+        text = f"{r['new_value']} (new)" if r["old_value"] is None else f"{r['old_value']} (removed)" if r["new_value"] is None else f"{r['old_value']} → {r['new_value']}"
+        more.setdefault((r["doc_path"], r["id"]), []).append(f"      {r['attr']}: {text}")
+    lines, doc = [f"=== Baseline Diff: {old} → {new} ==="], None
+    for r in shown.collect():
+        if r["doc_path"] != doc:
+            doc = r["doc_path"]
+            lines.append(f"--- {doc.rpartition('/')[2]}/ ---")
+        lines += [f"  {mark[r['category']]} {r['id']}  ({r['category']})", *more.get((doc, r["id"]), [])]
+    for title, x in (("Schema Changes", schemas), ("Submodules", submodules)):
+        rows = x.orderBy("path").limit(most).collect() if x is not None else []
+        values = lambda r: (r["old_value"], r["new_value"]) if "old_value" in r else (r["old_sha"], r["new_sha"])
+        lines += [f"--- {title} ---", *(f"  {r['change']} {r['path']}: " + " → ".join(v for v in values(r) if v is not None) for r in rows)] if rows else []
+    n = {r["category"]: r["n"] for r in changes.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    lines.append("Summary: " + ", ".join(f"{n.get(k, 0)} {k}" for k in ("added", "removed", "modified", "unchanged") if n.get(k) or k == "unchanged"))
+    return "\n".join(lines) + "\n"

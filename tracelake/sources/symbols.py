@@ -231,6 +231,11 @@ def read_symbols(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInPandas(run, SCHEMA)
 
 
+def ordered(symbols: DataFrame) -> DataFrame:
+    """Symbols by file, line and name."""
+    return symbols.orderBy("file", "start_line", "name")
+
+
 def native_ids(symbols: DataFrame) -> DataFrame:
     """Symbols with native_key, parent (the receiver's type in the same package, or null) and traces; the first of each key stays."""
     key = F.when(F.coalesce(F.col("receiver"), F.lit("")) != "", F.concat_ws(".", "receiver", "name")).otherwise(F.col("name"))
