@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import expr
 from tracelake.functions import text as T
-from tracelake.functions.hashes import short_hash_text
+from tracelake.functions.hashes import short_hash, short_hash_text
+from tracelake.model import RESULTS
+from tracelake.operators import checks, diff, verify
 from tracelake.project import Project
 from tracelake.sources import imports, markdown, readers, sinks, symbols
 from tracelake.streaming import results as streams
@@ -187,3 +189,83 @@ def test_manual_results_and_config(spark):
     got = {r["measure_id"]: (r["outcome"], str(r["verified_at"])[:10]) for r in readers.manual_results(blocks).collect()}
     assert got == {"M-1~2": ("pass", "None"), "R-2": ("fail", "2024-02-03")}
     assert len(readers.config_errors({"a": {"x-t": {"requires-trace-from": 3, "additional-status-values": [""]}}})) == 3
+
+
+def test_documents_results_and_configuration_are_connected(spark, tmp_path):
+    def put(path, text):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+
+    put("spec/sys/schema.yaml", "$schema: x\nx-tool:\n  document-id: sys\n  additional-status-values: 3\nx-other:\n  document-id: no\nproperties:\n  prio: {type: integer}\n  variant: {type: array, items: {type: string}}\n")
+    put("spec/sys/a.md", "---\nowner: me\nteam: one\n---\n# First\n\n## S-1: Top\n\n```attr\nverify: Test\nprio: high\nvariant: [Base]\n```\n\n### S-2: Below\n\n```attr\nstatus: draft\ntool-suppress: [untraced]\nvariant: [Sport]\n```\n\n## Loose\n\n### More\n")
+    put("spec/sys/b.md", "---\nteam: two\nsince: 2020\n---\n# Second\n\n## S-3: Other\n\n```attr\nverify: Review\nversion: 2\n```\n")
+    put("res/manual/schema.yaml", "$schema: x\nx-tool:\n  document-id: res\n")
+    put("res/manual/r.md", "## R-1: Review\n\n```attr\ntrace: [S-3~1]\nx-tool.outcome: pass\nx-tool.verified-at: 2024-02-03\n```\n")
+    put("res/run.json", json.dumps({"results": {"suite": "s", "tests": [{"name": "t", "status": "failed", "extra": {"x-tool": {"verifies": ["S-1"]}}}, {"name": "u", "status": "passed", "extra": {"x-tool": {}}}]}}))
+    put("res/other.json", "{}")
+    put("res/bad.ctrf.json", "[]")
+    with pytest.raises(ValueError, match="name the tool"):
+        Project(spark, str(tmp_path / "spec"))
+    p = Project(spark, str(tmp_path / "spec"), str(tmp_path / "res"), tool="tool")
+    d = p.documents().first()
+    assert (d["title"], d["meta"]) == ("First", {"owner": "me", "team": "one", "since": "2020"})
+    assert {(r["id"], r["parent_id"], r["kind"]) for r in p.model.nodes.collect()} == {("S-1", None, "req"), ("S-2", "S-1", "req"), (None, None, "container"), (None, None, "info"), ("S-3", None, "req")}
+    found = {(r["code"], r["req_id"]) for r in p.check(disjoint=("variant",)).collect()}
+    assert {("config", ""), ("schema", "S-1"), ("failing-verdict", "S-1"), ("verdict", "S-3"), ("version-pin", "RESULT:S-3"), ("unbound-result", ""), ("disjoint", "S-2")} <= found
+    assert ("untraced", "S-2") not in found
+    assert not p.check(ignore_unbound=True).filter("code = 'unbound-result'").count()
+    assert checks.exit_code(p.check()) == 1
+    got = {r["attr"]: (r["declared"], r["found"]) for r in p.attributes().collect()}
+    assert got["prio"] == (True, 1) and got["verify"][1] == 2
+    latest, warned = readers.read_latest(spark, str(tmp_path / "res"), "tool")
+    assert {(r["measure_id"], r["case_key"], r["outcome"]) for r in latest.collect()} == {("TC:s/t", "s/t", "fail"), ("S-3", "", "pass")} and warned.count() == 2
+    assert sinks.list_text(p.ls()).count("\n") == 5 and "requirements" in sinks.stats_text(p.stats())
+    assert sinks.findings_json(p.check()).count() == p.check().count()
+    blocks, errors = readers.read_file(spark, str(tmp_path / "spec/sys/b.md"), str(tmp_path / "spec/sys/schema.yaml"), "tool")[:2], None
+    assert blocks[0].count() == 1 and blocks[1].count() == 0
+    sinks.csv(p.blocks, str(tmp_path / "csv"), ["status"], verify.rollup(p.model).join(verify.representative(p.model), "id", "left"))
+    assert "Verdict Source" in next((tmp_path / "csv").glob("part-*")).read_text()
+
+
+def test_reports_of_changes(spark):
+    a = spark.createDataFrame([("d/x", "A", "1"), ("d/x", "B", "1")], "doc_path string, id string, v string")
+    b = spark.createDataFrame([("d/x", "A", "2"), ("d/y", "C", None)], "doc_path string, id string, v string")
+    text = sinks.diff_text(diff.requirements(a, b, ["doc_path", "id"], ["v"]), diff.attributes(a, b, ["doc_path", "id"], ["v"]), "v1", "v2", submodules=diff.submodules(spark.createDataFrame([("m", "0" * 40)], "path string, sha string"), spark.createDataFrame([("m", "1" * 40)], "path string, sha string")))
+    assert "  ~ A  (modified)\n      v: 1 → 2\n  - B  (removed)" in text and "--- y/ ---\n  + C  (added)" in text and "updated m: 0000000 → 1111111" in text and text.endswith("Summary: 1 added, 1 removed, 1 modified, 0 unchanged\n")
+    d = spark.createDataFrame([("f", "A-1", "B-1~1", "outdated", "B-1~2"), ("f", "A-1", "x/B-2", "unpinned", "x/B-2~1")], "file string, req_id string, source_ref string, kind string, new_ref string")
+    assert sinks.repin_text(d) == "f  A-1  B-1 → B-1~2\nf  A-1  x/B-2 → x/B-2~1\n1 outdated, 1 unpinned, 0 predated across 1 files.\n"
+    assert sinks.repin_text(d.limit(0)) == "no version-pin changes needed\n"
+
+
+def test_large_files_parse_alike_in_parts():
+    text = "---\na: 1\n---\n# T\n\nintro\n\n" + "".join(f"## R-{i}: t\n\n```attr\nversion: {i}\n```\n\nBody {i}.\n\n### Sub {i}\n\n```md\n## not: one\n```\n\n" for i in range(60))
+    whole = markdown.parse(text)
+    parts = markdown.split_roots(text, 400)
+    got = [markdown.parse(p) for p in parts]
+    assert len(parts) > 5 and [b for g in got for b in g[0]] == whole[0] and got[0][1:] == whole[1:]
+
+
+def test_hashes_links_and_streams(spark, tmp_path):
+    df = spark.createDataFrame([("p", "n"), ("", "é x"), ("a/b", "")], "p string, n string")
+    assert [r["h"] for r in df.select(short_hash(F.col("p"), F.col("n")).alias("h")).collect()] == [short_hash_text("p", "n"), short_hash_text("", "é x"), short_hash_text("a/b", "")]
+    one = spark.range(1).select(T.relative_link(F.lit("a/b/x.html"), F.lit("c/y.html"), F.lit("I-1")).alias("a"), T.relative_link(F.lit("x.html"), F.lit("x.html"), F.lit("I")).alias("b"), T.attribute_label(F.lit("disposition-reason")).alias("c"), T.format_scalar(F.lit("1.0E-7"), F.lit("DOUBLE")).alias("d"), T.format_scalar(F.lit("3"), F.lit("BIGINT")).alias("e")).first()
+    assert tuple(one) == ("../../c/y.html#I-1", "#I", "Disposition reason", "0.0000001", "3")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("path string").json(str(tmp_path / "in"))
+    told = []
+    q = streams.notify(stream, [lambda i: 1 / 0, told.append], str(tmp_path / "ck"), "0 seconds")
+    (tmp_path / "in/x.json").write_text('{"path": "p"}\n')
+    q.processAllAvailable()
+    q.stop()
+    assert told == [0] and streams.watched_folders("r/x.json", False) == ["r"] and streams.watched_folders("r/", True) == ["r"]
+
+
+def test_upserts_keep_the_latest_over_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    row = lambda m, o, t, k: json.dumps({"measure_id": m, "case_key": "", "outcome": o, "verified_at": t, "source": "s", "load_ord": k}) + "\n"
+    for i, lines in enumerate(([row("A", "fail", "2024-01-02T00:00:00Z", 1), row("B", "pass", "2024-01-01T00:00:00Z", 2)], [row("A~1", "pass", "2024-01-01T00:00:00Z", 3), row("B", "fail", "2024-01-03T00:00:00Z", 4)])):
+        (tmp_path / f"in/{i}.json").write_text("".join(lines))
+        stream = spark.readStream.schema(RESULTS).json(str(tmp_path / "in"))
+        streams.upsert_latest(stream, str(tmp_path / "state"), str(tmp_path / "offsets")).awaitTermination()
+    assert {(r["measure_id"], r["outcome"]) for r in streams.read_latest(spark, str(tmp_path / "state")).collect()} == {("A", "fail"), ("B", "fail")}

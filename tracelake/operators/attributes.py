@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,14 @@ def _of_type(c: Column, kind: Column, wanted: str | list[str], is_array: bool) -
     return F.coalesce(ok, F.lit(False))
 
 
+def _bad_item(keyword: str, wanted: object) -> Callable[[Column], Column]:
+    if keyword == "enum":
+        return lambda x: ~x.isin(*map(str, wanted))
+    if keyword == "pattern":
+        return lambda x: ~x.rlike(wanted)
+    return (lambda x: F.length(x) < wanted) if keyword == "minLength" else (lambda x: F.length(x) > wanted)
+
+
 def compile_schema(schema: dict, columns: list[str] | None = None, arrays: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
     """(attribute, problem, violated?) for a JSON schema of attributes; a keyword that isn't understood is an error.
 
@@ -141,8 +150,7 @@ def compile_schema(schema: dict, columns: list[str] | None = None, arrays: tuple
                         continue
                     if ik not in ("enum", "pattern", "minLength", "maxLength"):
                         raise ValueError(f"{a}: items: unknown keyword {ik!r}")
-                    bad = {"enum": lambda x, w=iv: ~x.isin(*map(str, w)), "pattern": lambda x, w=iv: ~x.rlike(w), "minLength": lambda x, w=iv: F.length(x) < w, "maxLength": lambda x, w=iv: F.length(x) > w}[ik]
-                    out.append((a, f"items.{ik}", F.coalesce(F.exists(items, bad), F.lit(False))))
+                    out.append((a, f"items.{ik}", F.coalesce(F.exists(items, _bad_item(ik, iv)), F.lit(False))))
             elif k in tests:
                 out.append((a, k, c.isNotNull() & F.coalesce(tests[k](v), F.lit(False))))
             elif k not in _NOTES:
