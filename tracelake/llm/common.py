@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -175,10 +176,21 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix(x + np.uint64(k))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again and again, and would keep the most that any task took."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
     """Python values of the columns, row by row, of Arrow batches."""
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+    give_back()
 
 
 def _forest(batches: Iterator) -> Iterator:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, batches_of, cut, min_label, mix, release, rows_of, shingles, table, words
+from .common import attach, batches_of, cut, give_back, min_label, mix, release, rows_of, shingles, table, words
 
 FLUSH = 1 << 19  # signatures combined in a task at once
 A_BUCKET = 1_000_000  # signatures a reduce group gets on average
@@ -226,6 +226,7 @@ def _verify(pe: PartEnum):
             a, b = (batch.column(c).to_pylist() for c in ("fa", "fb"))
             ok = [pe.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
+        give_back()
 
     return run
 
@@ -283,16 +284,26 @@ def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame)
     right = body.select(F.col("block").alias("q"), F.col("docs").alias("dq"), F.col("low").alias("lq"), F.col("high").alias("hq"))
     rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("dp", "dq")
 
-    def arrays(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = [np.array([d[c] for d in docs], np.int64) for c in ("id", "component", "size")]
-        return *n, np.frombuffer(b"".join(d["sketch"] for d in docs), np.uint8).reshape(-1, SKETCH)
+    def blocks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(ids, components, sizes, sketches) of each list, as views of the batch."""
+        at, v = lists.offsets.to_numpy(), lists.values
+        sk = v.field("sketch")
+        first = np.frombuffer(sk.buffers()[1], np.int32)[sk.offset]
+        s = np.frombuffer(sk.buffers()[2], np.uint8)[first : first + len(sk) * SKETCH].reshape(-1, SKETCH)
+        cols = [*(v.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")), s]
+        for a, b in zip(at[:-1], at[1:]):
+            yield tuple(c[a:b] for c in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dp, dq in rows_of(batches, "dp", "dq"):
-            (i, ci, ni, si), (j, cj, nj, sj) = arrays(dp), arrays(dq)
-            ok = np.stack([pe.possible(n, k, nj, sj) & (c != cj) & (d != j) for d, c, n, k in zip(i, ci, ni, si)])
-            x, y = np.nonzero(ok)
-            yield pa.record_batch({"a": pa.array(np.maximum(i[x], j[y]), pa.int64()), "b": pa.array(np.minimum(i[x], j[y]), pa.int64())})
+        for batch in batches:
+            for (i, ci, ni, si), (j, cj, nj, sj) in zip(blocks(batch.column("dp")), blocks(batch.column("dq"))):
+                low, high = np.minimum(ni[:, None], nj), np.maximum(ni[:, None], nj)
+                x, y = np.nonzero((pe.den * low >= pe.num * high) & (ci[:, None] != cj) & (i[:, None] != j))
+                ok = pe.possible(ni[x], si[x], nj[y], sj[y])
+                x, y = x[ok], y[ok]
+                if len(x):
+                    yield pa.record_batch({"a": pa.array(np.maximum(i[x], j[y]), pa.int64()), "b": pa.array(np.minimum(i[x], j[y]), pa.int64())})
+        give_back()
 
     return out.unionByName(rows.mapInArrow(run, "a long, b long")).distinct()
 
@@ -333,6 +344,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
                 x.append(int(mix(f).sum(dtype=np.uint64).view(np.int64)) if len(f) else 0)
                 y.append(int(mix(f ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(f) else 0)
             yield pa.record_batch({"id": batch.column("id"), "n_shingles": pa.array(size, pa.int64()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+        give_back()
 
     measured = cut(src.mapInArrow(measure, "id long, n_shingles long, x long, y long"))
     full = measured.filter("n_shingles > 0 AND id IS NOT NULL")
@@ -360,6 +372,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
         for batch in batches:
             f = [feature_set(t, n) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"id": batch.column("id"), "size": pa.array([len(x) for x in f], pa.int64()), "features": pa.array([x.tobytes() for x in f], pa.binary()), "sketch": pa.array([sketch(x).tobytes() for x in f], pa.binary())})
+        give_back()
 
     release(spark)
     sets = cut(within(distinct, ends, near, "id").mapInArrow(pack, "id long, size long, features binary, sketch binary").dropDuplicates(["id"]))

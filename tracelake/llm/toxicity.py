@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BASE, SIGNS, bounded_sample, cut, held_out, mix, rows_of, shingles, table, words
+from .common import _LOWER, BASE, SIGNS, bounded_sample, cut, give_back, held_out, mix, rows_of, shingles, table, words
 
 MAX_TRAIN = 20_000  # labelled documents that the model is fitted on at most, about
 PRIOR = 1.0  # weight of the Dirichlet prior, as a share of the toxic texts' tokens
@@ -260,6 +260,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([m.probability(*m.scan(t)[1:]) < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
