@@ -45,3 +45,19 @@ def test_stages(spark, kept):
 
 def test_run(spark):
     assert P.run(spark, D).count() > 0
+
+
+def test_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, "a calm text of nine words that stands alone"), (3, "a calm text of nine words that stands alone"), (None, "text without an id but words"), (4, long), (5, long + " end"), (6, "   ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, dedup_sha string, score double")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {None, 2, 3, 4, 6}
+    assert sorted((r["doc_id"], r["start"]) for r in got if r["doc_id"] != 4 and r["doc_id"] is not None) == [(2, 0), (3, 0), (6, 0)]
+    assert sum(r["length"] for r in got if r["doc_id"] == 4) == next(r["doc_tokens"] for r in got if r["doc_id"] == 4)

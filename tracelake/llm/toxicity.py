@@ -29,6 +29,7 @@ PRIOR = 1.0  # weight of the Dirichlet prior, as a share of the toxic texts' tok
 DRIFT = -0.05
 SOFT = 2.0  # standard errors that log-odds are shrunk by towards nought
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes; of tokens longer than that
+NOTHING_KNOWN = -5.0  # log-odds of a text for a model that saw no labels
 SIGNIFICANT = 0.01  # chance that a clean text of this length has such a segment
 
 
@@ -158,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Fit on about ``most`` labelled documents (``labels``: doc_id, toxic 0/1), chosen by a hash of doc_id.
 
     Null labels count for nothing, several of one id by their largest. Without
-    both labels the model knows no token and scores every text alike.
+    both labels the model knows no token and scores every text alike, near 0:
+    there is nothing to reject a text for.
     """
     y = bounded_sample(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")), "doc_id", most)
     use = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(y), "doc_id").select("t", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
@@ -168,8 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     docs_of = counts.filter("token = 0").select("clean", "toxic").first()
     n0, n1 = counts.filter("token <> 0").agg(F.sum("clean"), F.sum("toxic")).first()
     if not docs_of or not docs_of[0] or not docs_of[1] or not n0 or not n1:
-        share = (docs_of[1] + 1) / (docs_of[0] + docs_of[1] + 2) if docs_of and docs_of[0] is not None else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 1.0, 1.0, (math.log(share / (1 - share)), 0.0, 0.0))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 1.0, 1.0, (NOTHING_KNOWN, 0.0, 0.0))
     weight = PRIOR * n1
     prior = weight * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
