@@ -176,10 +176,19 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix(x + np.uint64(k))
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers are used again and again, and would keep the most that any task took."""
+CACHES: dict[str, dict] = {}  # what a worker keeps from task to task, by the operator it serves
+
+
+def give_back(but: str = "") -> None:
+    """Return memory to the system: Python workers are used again and again, and would keep the most that any task took.
+
+    Caches of operators other than ``but`` go, too.
+    """
     import pyarrow as pa
 
+    for k, v in CACHES.items():
+        if k != but:
+            v.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SIGNS, shingles, table, words
+from .common import give_back, shingles, SIGNS, table, words
 
 LEAST_RUN = 5
 COVERAGE = 0.8
@@ -146,6 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             x = shared.value
             for batch in batches:
                 rows = [(d, x.ids[i], c, len(x.words[i]), c / len(x.words[i]), [{"start": int(s[a]), "end": int(e[a + n - 1]), "item_word": b, "words": n} for a, b, n in tiles])
@@ -166,6 +167,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.matches(t, coverage) for t in batch.column(place).to_pylist()], pa.bool_()))
 

@@ -336,6 +336,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             size, x, y = [], [], []
             for t in batch.column("text").to_pylist():

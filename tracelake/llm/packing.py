@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, table
+from .common import CACHES, cut, give_back, rows_of, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -79,7 +79,7 @@ class WordCache:
         return out
 
 
-_caches: dict[str, WordCache] = {}
+_caches: dict[str, WordCache] = CACHES.setdefault("packing", {})
 
 
 def _cache(path: str) -> WordCache:
@@ -99,6 +99,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("packing")
         cache, end = _cache(tokenizer or default_tokenizer()), array("I", [END_ID]).tobytes()
 
         def emit(held: list[tuple]) -> pa.RecordBatch:

@@ -113,6 +113,7 @@ class Model:
 
 def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds a hash of three min-hashes of the five-word shingles, which most near copies share."""
+    give_back()
     for batch in batches:
         low = [int(mix(np.array([sum(int(mix(s ^ np.uint64(m)).min()) for m in (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)) % (1 << 64)], np.uint64)).view(np.int64)[0]) if len(s := shingles(words(t)[0], 5)) else 0 for t in batch.column("t").to_pylist()]
         yield pa.record_batch({"t": batch.column("t"), "y": batch.column("y"), "key": pa.array(low, pa.int64())})
@@ -258,6 +259,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([m.probability(*m.scan(t)[1:]) < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
