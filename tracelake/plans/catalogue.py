@@ -53,10 +53,10 @@ on_model("SELECT from_id, to_id, ref, pin, pos FROM e_ WHERE kind = 'trace'", "e
 on_model("SELECT c.id AS req_id, c.parent_id FROM n_ c WHERE c.parent_id IS NOT NULL AND c.parent_id NOT IN (SELECT id FROM n_)", "lost_parents", graph.lost_parents)
 on_model("SELECT count(*) AS nodes, (SELECT count(*) FROM e_ WHERE kind = 'trace') AS trace_edges, (SELECT count(*) FROM e_ WHERE kind = 'parent') AS parent_edges, (SELECT count(*) FROM d_) AS documents FROM n_", "graph_counters", graph.counters)
 on_model(
-    """, f AS (SELECT id, direction, neighbour, min(struct_pack(l := kind = 'parent', d := doc_ord, f := file, o := ord, p := pos)) AS spot FROM (
-      SELECT e_.from_id AS id, 'up' AS direction, e_.to_id AS neighbour, e_.kind, s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id
-      UNION ALL SELECT e_.to_id, 'down', e_.from_id, e_.kind, s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id) GROUP BY ALL)
-    SELECT id, direction, neighbour, cast(row_number() OVER (PARTITION BY id, direction ORDER BY spot, neighbour) AS int) AS position FROM f""",
+    """, f AS (SELECT *, row_number() OVER (PARTITION BY id, direction, neighbour ORDER BY late, doc_ord, file, ord, pos) AS k FROM (
+      SELECT e_.from_id AS id, 'up' AS direction, e_.to_id AS neighbour, e_.kind = 'parent' AS late, s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id
+      UNION ALL SELECT e_.to_id, 'down', e_.from_id, e_.kind = 'parent', s.doc_ord, s.file, s.ord, e_.pos FROM e_ JOIN p_ s ON s.id = e_.from_id))
+    SELECT id, direction, neighbour, cast(row_number() OVER (PARTITION BY id, direction ORDER BY late, doc_ord, file, ord, pos, neighbour) AS int) AS position FROM f WHERE k = 1""",
     "neighbours", graph.neighbours)
 on_model("SELECT from_id, to_id, ref, pin FROM l_", "last_refs", graph.last_refs)
 on_model(
@@ -448,7 +448,7 @@ def short_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", c AS (SELECT unnest(range(3)) AS copy), i AS (SELECT id, copy, CASE WHEN copy = 0 THEN id ELSE regexp_replace(id, '-([0-9]+)$', concat('-R', copy, '-\\1')) END AS new FROM n_, c) SELECT a.new AS from_id, b.new AS to_id, pos FROM e_ JOIN i a ON a.id = from_id JOIN i b ON b.id = to_id AND b.copy = a.copy WHERE kind = 'trace'",
+    ", c AS (SELECT unnest(range(3)) AS copy) SELECT " + ", ".join(f"CASE WHEN copy = 0 THEN {x} ELSE regexp_replace({x}, '-([0-9]+)$', concat('-R', copy, '-\\1')) END AS {x}" for x in ("from_id", "to_id")) + ", pos FROM e_, c WHERE kind = 'trace'",
     name="replicated_edges",
 )
 def replicated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
