@@ -50,6 +50,13 @@ def _inbound(m: Model, in_filter: DataFrame | None) -> DataFrame:
     return e if in_filter is None else e.join(in_filter.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
 
 
+def _ends(m: Model, end: str, other: str, in_filter: DataFrame | None) -> DataFrame:
+    """Ids at one end of edges whose other end is in the filter; only existence counts, so ids combine before they shuffle."""
+    e = graph.edges(m).select(end, other)
+    e = e if in_filter is None else e.join(in_filter.select(F.col("id").alias(other)).distinct(), other, "left_semi")
+    return e.select(F.col(end).alias("id")).distinct()
+
+
 def token_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     """One row per requirement and token of its effective list: known, covered, drafts (seen before the first covering inbound)."""
     want = effective_rtf(m).filter("rtf IS NOT NULL").select("id", F.explode("rtf").alias("token"))
@@ -74,7 +81,7 @@ def coverage_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
         F.sum("drafts").alias("drafts"),
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("known") | ~F.col("covered"), F.col("token")))), ",").alias("misses"),
     )
-    has = _inbound(m, in_filter).select(F.col("to_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    has = _ends(m, "to_id", "from_id", in_filter).withColumn("has", F.lit(True))
     x = rtf.join(t, "id", "left").join(has, "id", "left")
     generic = F.when(F.col("has"), "covered").when(F.col("is_root") | F.col("is_child") | R.suppressed(F.col("suppressions"), "untraced"), "not-required").otherwise("missing-coverage")
     state = (
@@ -98,10 +105,10 @@ def findings(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     note = F.when(F.col("all_drafts") > 0, F.concat(F.lit(" ("), F.col("all_drafts"), F.lit(" draft downstreams ignored)"))).otherwise("")
     text = F.concat(F.lit('no upstream trace: no approved requirement from "'), "token", F.lit('" traces to this item'), note)
     missed = t.filter("known AND NOT covered").select(F.lit("requires-trace-from").alias("code"), F.col("id").alias("req_id"), text.alias("message"))
-    free = rtf.filter("rtf IS NULL").join(bounds, "doc_path").join(graph.degrees(m, in_filter), "id")
-    lost = free.filter("downstream = 0 AND NOT is_root AND NOT is_child").filter(~R.suppressed(F.col("suppressions"), "untraced"))
+    free = rtf.filter("rtf IS NULL").join(bounds, "doc_path")
+    lost = free.filter("NOT is_root AND NOT is_child").join(_ends(m, "to_id", "from_id", in_filter), "id", "left_anti").filter(~R.suppressed(F.col("suppressions"), "untraced"))
     lost = lost.select(F.lit("untraced").alias("code"), F.col("id").alias("req_id"), F.lit("untraced: no downstream reference").alias("message"))
-    top = free.filter("upstream = 0 AND NOT is_leaf").filter(~R.suppressed(F.col("suppressions"), "no-downstream"))
+    top = free.filter("NOT is_leaf").join(_ends(m, "from_id", "to_id", in_filter), "id", "left_anti").filter(~R.suppressed(F.col("suppressions"), "no-downstream"))
     top = top.select(F.lit("no-upstream").alias("code"), F.col("id").alias("req_id"), F.lit("no upstream reference").alias("message"))
     return unknown.unionByName(missed).unionByName(lost).unionByName(top)
 
