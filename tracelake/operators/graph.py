@@ -168,7 +168,7 @@ def neighbours(m: Model) -> DataFrame:
     up = e.select(F.col("from_id").alias("id"), F.lit("up").alias("direction"), F.col("to_id").alias("neighbour"), at.alias("at"))
     down = e.select(F.col("to_id").alias("id"), F.lit("down").alias("direction"), F.col("from_id").alias("neighbour"), at.alias("at"))
     first = up.unionByName(down).groupBy("id", "direction", "neighbour").agg(F.min("at").alias("at"))
-    return first.select("id", "direction", "neighbour", F.row_number().over(Window.partitionBy("id", "direction").orderBy("at")).alias("position"))
+    return first.select("id", "direction", "neighbour", F.row_number().over(Window.partitionBy("id", "direction").orderBy("at", "neighbour")).alias("position"))
 
 
 def _trimmed(e: DataFrame) -> DataFrame:
