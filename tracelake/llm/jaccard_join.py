@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, batches_of, cut, give_back, min_label, mix, release, rows_of, shingles, table, words
+from .common import HOT_KEYS, attach, batches_of, cut, give_back, min_label, mix, release, rows_of, shingles, table, words
 
 FLUSH = 1 << 19  # signatures combined in a task at once
 A_BUCKET = 1_000_000  # signatures a reduce group gets on average
@@ -433,7 +433,10 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
             label = labels(links.unionByName(more.filter("ok")))
     joined = cut(label.filter("id <> component"))
     low = F.coalesce("component", "rep").alias("component")
-    return attach(member, joined.withColumnRenamed("id", "rep").join(classes.select("rep", "copies").groupBy("rep").agg(F.sum("copies").alias("copies")), "rep"), "rep", "copies", total).select("id", "n_shingles", low)
+    sizes = cut(classes.groupBy("rep").agg(F.sum("copies").alias("copies")))
+    moved = joined.withColumnRenamed("id", "rep").join(sizes, "rep").select("rep", "component", "copies")
+    large = sizes.filter(F.col("copies") > total // HOT_KEYS).join(moved.select("rep"), "rep", "left_anti")  # few; else their rows would meet in the join
+    return attach(member, moved.unionByName(large.select("rep", F.col("rep").alias("component"), "copies")), "rep", "copies", total).select("id", "n_shingles", low)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
