@@ -276,10 +276,15 @@ def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame)
     placed = attach(one, cut(parts), "cluster", "docs", one.count())
     placed = cut(placed.select("id", "component", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
     seen = cut(many.select("sig", "id").join(placed, "id").select("sig", "block").distinct())
-    x, y = (seen.select("sig", F.col("block").alias(c)) for c in ("p", "q"))
-    met = x.join(y, (x["sig"] == y["sig"]) & (x["p"] <= y["q"])).select("p", "q").distinct()
+    # signatures that lie in the same blocks make the same pairs of blocks: one of them does
+    whole = seen.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "block")).alias("y"))
+    seen = seen.join(whole.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
     docs = F.collect_list(F.struct("id", "component", "size", "sketch")).alias("docs")
     body = cut(placed.join(sets.select("id", "size", "sketch"), "id").groupBy("block").agg(docs, F.min("component").alias("low"), F.max("component").alias("high")))
+    seen = cut(seen.join(body.select("block", "low", "high"), "block"))
+    x, y = (seen.select("sig", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in ("p", "q"))
+    across = F.least(x["lp"], y["lq"]) < F.greatest(x["hp"], y["hq"])
+    met = x.join(y, (x["sig"] == y["sig"]) & (x["p"] <= y["q"]) & across).select("p", "q").distinct()
     left = body.select(F.col("block").alias("p"), F.col("docs").alias("dp"), F.col("low").alias("lp"), F.col("high").alias("hp"))
     right = body.select(F.col("block").alias("q"), F.col("docs").alias("dq"), F.col("low").alias("lq"), F.col("high").alias("hq"))
     rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("dp", "dq")
