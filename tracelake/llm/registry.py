@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 
