@@ -3,9 +3,11 @@
 Texts are split into words in Spark and gathered in chunks: each chunk holds
 its distinct words once and, for every position, the place of its word among
 them. The chunks' words, made distinct over the corpus, are encoded once each;
-their ids join back on the word and return to the chunk by position. Decoding
-does the same with ids: a chunk's distinct ids join the id-to-piece table. A
-word lies at most once in a chunk, so however often it occurs, it holds only
+their ids join back on the word and return to the chunk by position, where a
+sort within partitions brings a chunk's body and its answers together, so no
+group is ever collected. Decoding asks for a chunk's distinct ids by a join
+with the id-to-piece table, which is as large as the vocabulary and broadcast.
+A word lies at most once in a chunk, so however often it occurs, it holds only
 as many rows as there are chunks.
 """
 
@@ -13,11 +15,15 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import CACHES, cut, give_back, rows_of, table
 from .packing import _WORD, _plain, default_tokenizer
 
-CHUNK_CHARS = 1 << 22  # a chunk ends once it holds so many characters or ids
-CHUNK_ROWS = 20_000
+CHUNK_CHARS = 1 << 24  # a chunk of texts ends once it holds so many characters,
+CHUNK_IDS = 1 << 21  # one of ids once it holds so many ids,
+CHUNK_ROWS = 50_000  # and either at so many rows
 
 
 class Words:
@@ -87,55 +94,105 @@ def _tokenizer(path: str) -> Words:
     return _words[path]
 
 
-def _squeeze(codes: np.ndarray) -> bytes:
-    return pa.compress(codes.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+def _planes(codes: np.ndarray) -> bytes:
+    """Codes byte by byte, all lowest bytes first: most of the others are 0."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _codes(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<u4")
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-def _gather(batches: Iterator[pa.RecordBatch], column: str, kind: pa.DataType, code: Callable[[list], tuple[list, list[int], np.ndarray]], size: Callable) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows: (chunk, doc_ids, lengths, codes, entries). ``code`` gives entries, lengths and codes of the values of a chunk."""
-    part, made = TaskContext.get().partitionId(), 0
+def _body(ids: list, lengths: list[int], codes: np.ndarray, entries: np.ndarray | None = None) -> bytes:
+    return pickle.dumps((ids, np.array(lengths, np.int64), len(codes), _planes(codes), entries))
 
-    def chunk(ids: list, values: list) -> pa.RecordBatch:
-        nonlocal made
-        entries, lengths, codes = code(values)
-        row = {"chunk": (part << 33) + made, "doc_ids": ids, "lengths": lengths, "codes": _squeeze(codes), "entries": entries}
-        made += 1
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(kind)]
-        return pa.record_batch([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
+def _chunks(rows: Iterator[tuple], size: Callable, most: int) -> Iterator[tuple[int, list, list]]:
+    """(chunk, doc_ids, values) of consecutive rows (doc_id, value); a chunk's number is unique among all partitions."""
+    chunk = TaskContext.get().partitionId() << 33
     ids, values, held = [], [], 0
-    for doc, value in rows_of(batches, "doc_id", column):
+    for doc, value in rows:
         ids.append(doc)
         values.append(value)
         held += size(value)
-        if held >= CHUNK_CHARS or len(ids) >= CHUNK_ROWS:
-            yield chunk(ids, values)
-            ids, values, held = [], [], 0
+        if held >= most or len(ids) >= CHUNK_ROWS:
+            yield chunk, ids, values
+            chunk, ids, values, held = chunk + 1, [], [], 0
     if ids:
-        yield chunk(ids, values)
+        yield chunk, ids, values
 
 
-def _chunks(kind: str) -> str:
-    return f"chunk long, doc_ids array<long>, lengths array<long>, codes binary, entries array<{kind}>"
+@dataclass(frozen=True)
+class _Answered:
+    ids: list  # doc_id of each row
+    bounds: np.ndarray  # where each row's codes begin, and the last ones end
+    codes: np.ndarray
+    ends: np.ndarray  # where the answers begin in ``data``, and the last one ends
+    data: bytes
+    entries: np.ndarray | None
 
 
-def _answered(held: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk with the answers (entry, value) to its entries, in their order; entries without one have a null value."""
-    asked = held.select("chunk", F.posexplode("entries").alias("at", "entry"))
-    found = asked.join(answers, "entry", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("found"))
-    return held.join(found, "chunk", "left")
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Answered]:
+    """The chunks in a stream of rows (at, data): a chunk's body (at -1), then the answers to its entries in order; none is null data."""
+    body, ends, parts, held, place = None, [], [], 0, 0
 
+    def done() -> _Answered:
+        ids, lengths, n, codes, entries = pickle.loads(body)
+        start = lambda x: np.concatenate([[0], *x]).astype(np.int64)
+        return _Answered(ids, start([np.cumsum(lengths)]), _codes(codes, n), start(ends), b"".join(parts), entries)
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, pa.StructArray]]:
-    """Of each chunk: ids of its rows, where each row's codes begin and end, the codes, the answers."""
-    for i in range(batch.num_rows):
-        ends = np.concatenate([[0], np.cumsum(batch.column("lengths")[i].values.to_numpy(zero_copy_only=False))]).astype(np.int64)
-        found = batch.column("found")[i].values
-        yield batch.column("doc_ids")[i].as_py(), ends, _codes(batch.column("codes")[i].as_py(), int(ends[-1])), found
+    for batch in batches:
+        at, data = batch.column("at").to_numpy(), batch.column("data")
+        cuts = np.unique([0, *np.flatnonzero(at == -1), len(at)]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            if at[a] == -1:
+                if body is not None:
+                    yield done()
+                body, ends, parts, held, place = data[a].as_py(), [], [], 0, 0
+                a += 1
+            if b > a:
+                if not (at[a:b] == np.arange(place, place + b - a)).all():
+                    raise RuntimeError("answers to a chunk are out of order")
+                own = data.slice(a, b - a)
+                after = held + np.cumsum(pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                ends.append(after)
+                parts.append(b"".join(own.drop_null().to_pylist()))
+                held, place = int(after[-1]), place + b - a
+    if body is not None:
+        yield done()
+
+
+def _dump(words: list[str]) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.record_batch({"entry": pa.array(words, pa.string())})
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... (n of them) of each run, one run after the other."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _arrays(lists: pa.Array) -> Iterator[np.ndarray]:
+    """Lists of integers as arrays, null as an empty one."""
+    for x in lists:
+        yield x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
+
+
+def _lists_batch(ids: list, bounds: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))})
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and the place of each id among them."""
+    if not len(ids) or ids.min() < 0 or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(ids.max() + 1, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen).astype(np.int32), (np.cumsum(seen, dtype=np.uint32) - 1)[ids]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -148,45 +205,45 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(path)
-
-        def code(texts: list) -> tuple[list, list[int], np.ndarray]:
+        for chunk, ids, texts in _chunks(rows_of(batches, "doc_id", "text"), lambda t: len(t or ""), CHUNK_CHARS):
             place: dict[str, int] = {}
             codes, lengths = [], []
             for t in texts:
                 found = words.of(t) if t else []
                 lengths.append(len(found))
                 codes.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
-            return list(place), lengths, np.concatenate(codes)
+            yield pa.record_batch({"chunk": [chunk], "data": pa.array([_body(ids, lengths, np.concatenate(codes))], pa.binary()), "entries": pa.array([_dump(list(place))], pa.binary())})
 
-        yield from _gather(batches, "text", pa.string(), code, lambda t: len(t or ""))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, entries in rows_of(batches, "chunk", "entries"):
+            words = pa.ipc.open_stream(entries).read_all().column("entry").combine_chunks()
+            for a in range(0, len(words), 10_000):
+                own = words.slice(a, 10_000)
+                yield pa.record_batch({"chunk": pa.array([chunk] * len(own), pa.int64()), "at": pa.array(range(a, a + len(own)), pa.int32()), "entry": own})
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(path)
         for batch in batches:
             entries = batch.column("entry")
-            yield pa.record_batch({"entry": entries, "value": pa.array(words.ids(entries.to_pylist()), pa.list_(pa.int32()))})
+            found = [array("I", x).tobytes() for x in words.ids(entries.to_pylist())]
+            yield pa.record_batch({"entry": entries, "data": pa.array(found, pa.binary())})
         give_back("bpe")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, ends, codes, found in _parts(batch):
-                if not len(codes):
-                    flat = np.zeros(0, np.int32)
-                    bounds = np.zeros(len(ids) + 1, np.int32)
-                else:
-                    value = found.field("value")
-                    start = value.offsets.to_numpy()
-                    n = np.diff(start)[codes]
-                    after = np.concatenate([[0], np.cumsum(n)])
-                    own = np.arange(after[-1]) + np.repeat(start[codes] - after[:-1], n)
-                    flat, bounds = value.values.to_numpy()[own].astype(np.int32), after[ends].astype(np.int32)
-                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))})
+        for x in _answered(batches):
+            start = x.ends // 4
+            n = np.diff(start)[x.codes]
+            after = np.concatenate([[0], np.cumsum(n)])[x.bounds]
+            yield _lists_batch(x.ids, after, np.frombuffer(x.data, "<i4")[_ragged(start[x.codes], n)])
         give_back()
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = cut(src.mapInArrow(split, _chunks("string")))
-    answers = held.select(F.explode("entries").alias("entry")).distinct().mapInArrow(lookup, "entry string, value array<int>")
-    return _answered(held, answers).select("doc_ids", "lengths", "codes", "found").mapInArrow(spell, "doc_id long, ids array<int>")
+    held = cut(src.mapInArrow(split, "chunk long, data binary, entries binary"))
+    asked = held.select("chunk", "entries").mapInArrow(ask, "chunk long, at int, entry string")
+    answers = asked.select("entry").distinct().mapInArrow(lookup, "entry string, data binary")
+    found = asked.join(answers.hint("shuffle_hash"), "entry").select("chunk", "at", "data")
+    rows = held.select("chunk", F.lit(-1).alias("at"), "data").unionByName(found)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "at").select("at", "data").mapInArrow(spell, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
@@ -204,50 +261,29 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", d
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def code(lists: list) -> tuple[list, list[int], np.ndarray]:
-            flat = np.concatenate([np.asarray(x if x is not None else [], np.int32) for x in lists])
-            entries, codes = np.unique(flat, return_inverse=True)
-            return entries.tolist(), [len(x) if x is not None else 0 for x in lists], codes
-
-        def arrays() -> Iterator[pa.RecordBatch]:  # lists of ids as arrays, not as Python numbers
-            for batch in batches:
-                yield _Lists(batch)
-
-        yield from _gather(arrays(), "ids", pa.int32(), code, lambda x: len(x) if x is not None else 0)
+        rows = (row for batch in batches for row in zip(batch.column("doc_id").to_pylist(), _arrays(batch.column("ids")), strict=True))
+        for _, docs, lists in _chunks(rows, len, CHUNK_IDS):
+            entries, codes = _distinct(np.concatenate(lists))
+            body = _body(docs, [len(x) for x in lists], codes, entries)
+            yield pa.record_batch({"at": pa.array([-1], pa.int32()), "entry": pa.array([None], pa.int32()), "data": pa.array([body], pa.binary())})
+            for a in range(0, len(entries), 10_000):
+                own = entries[a : a + 10_000]
+                yield pa.record_batch({"at": pa.array(range(a, a + len(own)), pa.int32()), "entry": pa.array(own, pa.int32()), "data": pa.nulls(len(own), pa.binary())})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (docs, ends, codes, found) in enumerate(_parts(batch)):
-                entries = batch.column("entries")[i].values.to_numpy(zero_copy_only=False)
-                word = np.array(found.field("value").to_pylist() if len(codes) else [], object)
-                gone = np.array([w is None for w in word], bool)
-                texts = []
-                for a, b in zip(ends, ends[1:]):
-                    c = codes[a:b]
-                    texts.append(" ".join(word[c[~gone[c]] if gone.any() else c]))
-                flat = entries[codes].astype(np.int32) if len(codes) else np.zeros(0, np.int32)
-                yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), "text": pa.array(texts, pa.string())})
+        for x in _answered(batches):
+            known = np.diff(x.ends) > 0
+            word = np.array([*(x.data[a:b].decode() for a, b in zip(x.ends, x.ends[1:])), None], object)
+            texts = [" ".join(word[c if known.all() else c[known[c]]]) for a, b in zip(x.bounds, x.bounds[1:]) for c in (x.codes[a:b],)]
+            ids = _lists_batch(x.ids, x.bounds, x.entries[x.codes])
+            yield pa.record_batch({"doc_id": ids.column("doc_id"), "ids": ids.column("ids"), "text": pa.array(texts, pa.string())})
         give_back()
 
     src = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
-    held = cut(src.mapInArrow(split, _chunks("int")))
-    answers = F.broadcast(pieces(encoded.sparkSession, tokenizer).toDF("entry", "value"))
-    return _answered(held, answers).select("doc_ids", "lengths", "codes", "entries", "found").mapInArrow(join, "doc_id long, ids array<int>, text string")
-
-
-class _Lists:
-    """A batch whose lists read as numpy arrays."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.batch = batch
-
-    def column(self, name: str):
-        column = self.batch.column(name)
-        return column if name == "doc_id" else self
-
-    def to_pylist(self) -> list:
-        lists = self.batch.column("ids")
-        return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in lists]
+    asked = src.mapInArrow(split, "at int, entry int, data binary")
+    table_ = pieces(encoded.sparkSession, tokenizer).select(F.col("id").alias("entry"), F.encode("piece", "UTF-8").alias("piece"))
+    answered = asked.join(F.broadcast(table_), "entry", "left")  # leaves rows where and in the order they are; _answered makes sure of it
+    return answered.select("at", F.coalesce("data", "piece").alias("data")).mapInArrow(join, "doc_id long, ids array<int>, text string")
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
