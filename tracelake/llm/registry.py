@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, ranked_search, secret_scan, sharding, spelling, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
         "op13_bpe": bpe.op13_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_url_filter": url_filter.OP6_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_url_filter": url_filter.OP6_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_ranked_search": ranked_search.OP12_SQL}
