@@ -2,10 +2,11 @@
 
 Texts are split into words in Spark and gathered in chunks: each chunk holds
 its distinct words once and, for every position, the place of its word among
-them. The chunks' words, made distinct over the corpus, are encoded once each;
-their ids join back on the word and return to the chunk by position, where a
-sort within partitions brings a chunk's body and its answers together, so no
-group is ever collected. Decoding asks for a chunk's distinct ids by a join
+them. All chunks' words are dealt out and sorted by word, so that a run of equal
+words is one entry of the distributed table of distinct words: it is encoded
+once, and its ids go back to each chunk by position. No group is ever
+collected: chunks and their answers meet in a sort within partitions.
+Decoding asks for a chunk's distinct ids by a join
 with the id-to-piece table, which is as large as the vocabulary and broadcast.
 A word lies at most once in a chunk, so however often it occurs, it holds only
 as many rows as there are chunks.
@@ -34,6 +35,7 @@ from .packing import _WORD, _plain, default_tokenizer
 CHUNK_CHARS = 1 << 24  # a chunk of texts ends once it holds so many characters,
 CHUNK_IDS = 1 << 21  # one of ids once it holds so many ids,
 CHUNK_ROWS = 50_000  # and either at so many rows
+PACK_BATCHES = 64  # Arrow batches of words whose ids are packed together
 
 
 class Words:
@@ -108,6 +110,12 @@ def _body(ids: list, lengths: list[int], codes: np.ndarray, entries: np.ndarray
     return pickle.dumps((ids, np.array(lengths, np.int64), len(codes), _planes(codes), entries))
 
 
+def _open(body: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of a chunk: doc_id of each row, where its codes begin (and the last ones end), the codes, the entries."""
+    ids, lengths, n, codes, entries = pickle.loads(body)
+    return ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), _codes(codes, n), entries
+
+
 def _chunks(rows: Iterator[tuple], size: Callable, most: int) -> Iterator[tuple[int, list, list]]:
     """(chunk, doc_ids, values) of consecutive rows (doc_id, value); a chunk's number is unique among all partitions."""
     chunk = TaskContext.get().partitionId() << 33
@@ -138,9 +146,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Answered]:
     body, ends, parts, held, place = None, [], [], 0, 0
 
     def done() -> _Answered:
-        ids, lengths, n, codes, entries = pickle.loads(body)
-        start = lambda x: np.concatenate([[0], *x]).astype(np.int64)
-        return _Answered(ids, start([np.cumsum(lengths)]), _codes(codes, n), start(ends), b"".join(parts), entries)
+        ids, bounds, codes, entries = _open(body)
+        return _Answered(ids, bounds, codes, np.concatenate([[0], *ends]).astype(np.int64), b"".join(parts), entries)
 
     for batch in batches:
         at, data = batch.column("at").to_numpy(), batch.column("data")
@@ -212,38 +219,84 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
                 found = words.of(t) if t else []
                 lengths.append(len(found))
                 codes.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
-            yield pa.record_batch({"chunk": [chunk], "data": pa.array([_body(ids, lengths, np.concatenate(codes))], pa.binary()), "entries": pa.array([_dump(list(place))], pa.binary())})
+            flat = np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")  # common words get small codes
+            rank = np.empty(len(place), np.uint32)
+            rank[order] = np.arange(len(place))
+            words_ = list(place)
+            yield pa.record_batch({"chunk": [chunk], "data": pa.array([_body(ids, lengths, rank[flat])], pa.binary()), "entries": pa.array([_dump([words_[i] for i in order])], pa.binary())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, entries in rows_of(batches, "chunk", "entries"):
             words = pa.ipc.open_stream(entries).read_all().column("entry").combine_chunks()
+            order = pc.sort_indices(words)  # like words together, which packs better
             for a in range(0, len(words), 10_000):
-                own = words.slice(a, 10_000)
-                yield pa.record_batch({"chunk": pa.array([chunk] * len(own), pa.int64()), "at": pa.array(range(a, a + len(own)), pa.int32()), "entry": own})
+                at = order.slice(a, 10_000)
+                yield pa.record_batch({"entry": words.take(at), "chunk": pa.array([chunk] * len(at), pa.int64()), "at": at.cast(pa.int32())})
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(path)
+        """Rows in order of their word: a run of equal words is encoded once, and its ids go to each place; packed by chunk."""
+        words, held, last, ids = _tokenizer(path), [], None, []
+
+        def emit() -> pa.RecordBatch:
+            chunk, at, n, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((at, chunk))
+            start = np.cumsum(n) - n
+            head = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            packs = []
+            for a, b in zip(head, [*head[1:], len(order)]):
+                own = order[a:b]
+                packs.append(pickle.dumps((b - a, _planes(np.diff(at[own], prepend=0)), _planes(n[own]), int(n[own].sum()), _planes(flat[_ragged(start[own], n[own])]))))
+            held.clear()
+            return pa.record_batch({"chunk": pa.array(chunk[order[head]], pa.int64()), "data": pa.array(packs, pa.binary())})
+
         for batch in batches:
-            entries = batch.column("entry")
-            found = [array("I", x).tobytes() for x in words.ids(entries.to_pylist())]
-            yield pa.record_batch({"entry": entries, "data": pa.array(found, pa.binary())})
+            entry = batch.column("entry").to_pylist()
+            new = [k for k, w in enumerate(entry) if w != (entry[k - 1] if k else last)]
+            found = [ids, *words.ids([entry[k] for k in new])]
+            last, ids = entry[-1], found[-1]
+            own = np.zeros(len(entry), np.int64)
+            own[new] = 1
+            own = np.cumsum(own)
+            n = np.array([len(x) for x in found])
+            flat = np.array([i for x in found for i in x], np.int64)
+            held.append((batch.column("chunk").to_numpy(), batch.column("at").to_numpy().astype(np.int64), n[own], flat[_ragged((np.cumsum(n) - n)[own], n[own])]))
+            if len(held) >= PACK_BATCHES:
+                yield emit()
+        if held:
+            yield emit()
         give_back("bpe")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _answered(batches):
-            start = x.ends // 4
-            n = np.diff(start)[x.codes]
-            after = np.concatenate([[0], np.cumsum(n)])[x.bounds]
-            yield _lists_batch(x.ids, after, np.frombuffer(x.data, "<i4")[_ragged(start[x.codes], n)])
-        give_back()
+        def chunk(body: bytes, packs: list[bytes]) -> pa.RecordBatch:
+            ids, bounds, codes, _ = _open(body)
+            parts = [(np.cumsum(_codes(at, k), dtype=np.int64), _codes(n, k), _codes(flat, total)) for k, at, n, total, flat in map(pickle.loads, packs)]
+            at, n, flat = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+            n = n.astype(np.int64)
+            if not np.array_equal(np.sort(at), np.arange(codes.max() + 1 if len(codes) else 0)):
+                raise RuntimeError("a chunk's words and their ids don't match")
+            start, length = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            start[at], length[at] = np.cumsum(n) - n, n
+            n = length[codes]
+            return _lists_batch(ids, np.concatenate([[0], np.cumsum(n)])[bounds], flat[_ragged(start[codes], n)])
+
+        body, packs = None, []
+        for first, data in rows_of(batches, "first", "data"):
+            if first:
+                if body is not None:
+                    yield chunk(body, packs)
+                body, packs = data, []
+            else:
+                packs.append(data)
+        if body is not None:
+            yield chunk(body, packs)
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = cut(src.mapInArrow(split, "chunk long, data binary, entries binary"))
-    asked = held.select("chunk", "entries").mapInArrow(ask, "chunk long, at int, entry string")
-    answers = asked.select("entry").distinct().mapInArrow(lookup, "entry string, data binary")
-    found = asked.join(answers.hint("shuffle_hash"), "entry").select("chunk", "at", "data")
-    rows = held.select("chunk", F.lit(-1).alias("at"), "data").unionByName(found)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "at").select("at", "data").mapInArrow(spell, "doc_id long, ids array<int>")
+    asked = held.select("chunk", "entries").mapInArrow(ask, "entry string, chunk long, at int")
+    found = asked.repartition("entry").sortWithinPartitions("entry").mapInArrow(lookup, "chunk long, data binary")
+    rows = held.select("chunk", F.lit(True).alias("first"), "data").unionByName(found.withColumn("first", F.lit(False)))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("first")).select("first", "data").mapInArrow(spell, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
