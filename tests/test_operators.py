@@ -109,6 +109,12 @@ def test_diff_and_views(spark):
     t = spark.createDataFrame([(1, "10"), (2, "9"), (3, "b"), (4, "A"), (5, ""), (6, None)], "k int, v string")
     assert [r["k"] for r in t.orderBy(*views.table_order(F.col("v")), "k").collect()] == [2, 1, 4, 3, 5, 6]
     assert [r["k"] for r in t.orderBy(*views.table_order(F.col("v"), True), "k").collect()][-2:] == [5, 6]
+    names = ["Item 1", "item 10", "item 9", "Item 09b", "état 2", "Etat 10", "", None, "7", "12", "item 100000000000000000000", "a.b"]
+    want = ["7", "12", "a.b", "état 2", "Etat 10", "Item 1", "item 9", "Item 09b", "item 10", "item 100000000000000000000"]
+    d = spark.createDataFrame([(x,) for x in names], "v string")
+    assert [r["v"] for r in d.orderBy(*views.table_order(F.col("v"))).collect()][:10] == want
+    assert [r["v"] for r in d.orderBy(*views.table_order(F.col("v"), True)).collect()][:10] == ["12", "7", *want[:1:-1]]
+    assert [r["v"] for r in views.positions(d.filter("v LIKE '%tem%'"), views.table_order(F.col("v"))).orderBy("position").collect()] == want[5:]
     assert views.subsequence_score("abcabc", "cc") == 4 and views.subsequence_score("abc", "ca") is None
 
 

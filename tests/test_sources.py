@@ -118,6 +118,61 @@ def test_filters(spark):
         ids("s startsWith 'q'")
 
 
+def test_filters_on_declared_attributes(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("a/schema.yaml", "$schema: x\nx-t: {document-id: a}\nproperties:\n  prio: {type: string}\n  size: {type: integer}\n  tags: {type: array}\n  ratio: {type: number}\n  ok: {type: boolean}\n")
+    put("a/a.md", "".join(f"## A-{i}: T\n\n```attr\n{x}\n```\n\n" for i, x in enumerate([
+        "prio: high\nsize: 3\ntags: [x, 3]\nok: true\nratio: 1.5", "prio: low\nsize: 12\ntags: []\nok: false", "prio: 3\nsize: big\nother: 1", "status: draft\nprio: null\ntags: [xy, {m: 1}, null]",
+    ])))
+    p = Project(spark, str(tmp_path))
+
+    def ids(text, **kw):
+        return "".join(sorted(r["id"][-1] for r in p.matching(text, **kw).collect()))
+
+    assert ids("prio == 'high'") == "0" and ids("prio != 'high'") == "123" and ids("prio == 3") == "2" and ids("prio == '3'") == "" and ids("prio == nil") == "3" and ids("prio in ['low', 3]") == "12"
+    assert ids("size == 3") == "0" and ids("size != nil and (size == 'big' or size == 12)") == "12" and ids("size == '3'") == "" and ids("prio in ['high', 'low'] and size < 10") == "0" and ids("prio == 'low' and size >= 12.0") == "1"
+    assert ids("'x' in tags") == "0" and ids("3 in tags") == "0" and ids("'3' in tags") == "" and ids("tags == nil") == "2" and ids("tags != nil and len(tags) == 0") == "1" and ids("any(tags, {# == 'xy'})") == "3" and ids("tags == []") == "1"
+    assert ids("ok") == "0" and ids("ok == false") == "1" and ids("ratio == 1.5") == "0" and ids("prio in ['high'] and prio startsWith 'hi'") == "0"
+    assert ids("status == 'draft' or title == 'X'") == "3" and ids("prio == size") == "3" and ids("count(filter(tags, {# == 'x' or # == 3}), {true}) == 2") == "0"
+    for bad in ("other == 1", "priority == 'high'", "doc_path == 'a'", "verify == nil"):
+        with pytest.raises(expr.ExpressionError):
+            p.matching(bad)
+    assert ids("other == 1", relaxed=True) == "2" and p.filter_warnings("other == 1 or nowhere == 2 or prio == 'x'") == ['unknown attribute "nowhere"', 'attribute "other" is declared by no schema']
+    with pytest.raises(Exception, match="another type"):
+        ids("size < 5")
+    assert {(r["attr"], r["value"], r["n"]) for r in p.histogram().collect()} == {("prio", "high", 1), ("prio", "low", 1), ("size", "big", 1)}
+    assert {r["attr"]: r["values"] for r in p.facets().collect()} == {"prio": "3,high,low", "size": "12,3,big", "tags": "3,x,xy", "ok": "false,true"}
+    assert {r["id"] for r in p.ls("prio == 'high'").filter("kind = 'req'").collect()} == {"A-0"} and p.check(filter="prio == 'high'").count() >= 0
+
+
+def test_what_cannot_be_read_is_a_finding(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("s/a/schema.yaml", "$schema: x\nx-t: {document-id: one}\n")
+    put("s/a/good.md", "## A-1: T\n\n```attr\nstatus: approved\ntrace: [one/B-1]\n```\n")
+    put("s/a/front.md", "---\n{a: [\n---\n## A-2: T\n")
+    put("s/a/list.md", "---\n- a\n---\n## A-3: T\n")
+    put("s/b/schema.yaml", "$schema: x\nx-t: {document-id: one}\n")  # the last document of an id counts
+    put("s/b/b.md", "## B-1: T\n\n```attr\nstatus: approved\n```\n")
+    put("s/c/schema.yaml", "a: [\n")
+    put("s/d/schema.yaml", "- a\n")
+    put("r/x.ctrf.json", '{"a": 1}')
+    put("r/y.json", json.dumps({"results": {"tests": [{"name": "free", "status": "passed", "extra": {"x-t": {}}}]}}))
+    p = Project(spark, str(tmp_path / "s"), str(tmp_path / "r"))
+    found = p.check().collect()
+    codes = {(r["code"], r["level"]) for r in found}
+    assert {r["file"] for r in found if r["code"] == "parse"} == {"a/front.md", "a/list.md"}
+    assert {r["message"].split(":")[0] for r in found if r["code"] == "config"} == {"c", "d", "not a report"} and ("unbound-result", "WARNING") in codes and ("broken-ref", "WARNING") not in codes
+    left = {r["code"] for r in p.check(ignore_unbound=True).collect()}
+    assert "config" in left and "unbound-result" not in left and checks.exit_code(p.check()) == 2
+    assert [(r["from_id"], r["to_id"]) for r in p.model.derived["edges"].collect()] == [("A-1", "B-1")]
+
+
 def test_symbols(spark, tmp_path):
     src = {
         "a.py": '# top\nLIMIT = 3\n\n# does f\ndef f():\n    """Doc.\n\n    x:trace REQ-1\n    """\n\nclass C:\n    def m(self): pass\n',

@@ -6,12 +6,18 @@ Grammar: ``or``/``||``, ``and``/``&&``, ``not``/``!``, comparisons (== != < <=
 the calls len, all, any, none, one, filter, map, count, find with a predicate
 in braces where ``#`` is the element. A missing attribute is nil: equality
 is null-safe, membership false, ordered comparison with nil an error.
+
+Names are columns, or members of the JSON text ``attrs``. Members are variants:
+each value keeps the type that it has, what it is compared with says as what it
+is taken, and a value of another type equals nothing but is an error to order.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,22 +28,72 @@ CALLS = ("len", "all", "any", "none", "one", "filter", "map", "count", "find")
 WORDS = ("contains", "startsWith", "endsWith", "matches", "in", "and", "or", "not", "true", "false", "nil")
 
 
+#: Attributes that every requirement may be asked for (fixed values of the format), and columns that hold attributes.
+BUILTIN = {"id", "title", "status", "disposition", "trace", "version"}
+_COLUMN_OF = {"disposition-reason": "disposition_reason", "requires-trace-from": "requires_trace_from"}
+_FIXED = {"id", "title", "status", "version", "verify", "disposition", "disposition_reason", "trace", "requires_trace_from"}
+
+
 class ExpressionError(ValueError):
     pass
 
 
+def _kind(d: T.DataType) -> str:
+    kinds = ((T.StringType, "str"), (T.NumericType, "num"), (T.BooleanType, "bool"), (T.ArrayType, "list"), (T.VariantType, "variant"))
+    return next((k for t, k in kinds if isinstance(d, t)), "any")
+
+
 @dataclass
 class Value:
     column: Column
-    kind: str  # bool, num, str, list, nil, any
+    kind: str  # bool, num, str, list, nil, variant, any
     null: bool = True  # may be nil
+    items: list[Value] | None = None  # of a list literal
+    element: str = "any"  # kind of a list's elements
+
+    def is_nil(self) -> Column:
+        return self.column.isNull() | F.is_variant_null(self.column) if self.kind == "variant" else self.column.isNull()
+
+    def of(self, kind: str) -> Column:
+        """The value taken as a kind; of a variant, null if it has another."""
+        if self.kind != "variant" or kind == "variant":
+            return self.column
+        pattern, to = _TAKEN[kind]
+        return F.when(F.schema_of_variant(self.column).rlike(pattern), F.try_variant_get(self.column, "$", to))
+
+
+#: By kind, what a variant's own type must be and what it is taken as.
+_TAKEN = {"str": ("^STRING", "string"), "num": ("^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "double"), "bool": ("^BOOLEAN", "boolean"), "list": ("^ARRAY", "array<variant>")}
+
+
+def _equal(x: Value, y: Value) -> Column:
+    """Whether two values are equal, nil only to nil; values of different kinds aren't."""
+    kinds = {x.kind, y.kind}
+    if "nil" in kinds:
+        return y.is_nil() if x.kind == "nil" else x.is_nil()
+    if "variant" not in kinds:
+        return F.lit(False) if len(kinds) > 1 and "any" not in kinds else x.column.eqNullSafe(y.column)
+    if kinds <= {"variant", "list"}:
+        same = F.to_json(x.column) == F.to_json(y.column)
+    elif "any" in kinds:
+        same = x.of("str") == y.of("str")
+    else:
+        kind = (kinds - {"variant"}).pop()
+        same = x.of(kind) == y.of(kind)
+    return F.when(x.is_nil() | y.is_nil(), x.is_nil() & y.is_nil()).otherwise(F.coalesce(same, F.lit(False)))
 
 
 class Filter:
-    """A compiled expression: ``column`` (boolean), the attributes it names, and warnings about unknown ones."""
+    """A compiled expression: ``column`` (boolean), the attributes it names, and warnings about unknown ones.
+
+    Without ``declared``, names are the columns and ``known``, which are nil.
+    With it, exactly the built-in names and the declared ones may be named:
+    others are an error or, if ``relaxed``, a warning, and are looked up in
+    ``attrs`` all the same.
+    """
 
-    def __init__(self, text: str, schema: T.StructType, relaxed: bool = False, known: set[str] | None = None):
-        self.text, self.schema, self.relaxed = text, {f.name: f.dataType for f in schema.fields}, relaxed
+    def __init__(self, text: str, schema: T.StructType, relaxed: bool = False, known: set[str] | None = None, declared: set[str] | None = None):
+        self.text, self.schema, self.relaxed, self.declared = text, {f.name: f.dataType for f in schema.fields}, relaxed, declared
         self.known = self.schema.keys() | (known or set())
         self.refs: list[str] = []
         self.warnings: list[str] = []
@@ -53,9 +109,9 @@ class Filter:
         value = self._or()
         if self.at < len(self.tokens):
             raise ExpressionError(f"unexpected {self.tokens[self.at][1]!r} in {text!r}")
-        if value.kind not in ("bool", "any"):
+        if value.kind not in ("bool", "any", "variant"):
             raise ExpressionError(f"{text!r} isn't a condition")
-        self.column = F.coalesce(value.column.cast("boolean"), F.lit(False))
+        self.column = self._bool(value)
 
     def _peek(self) -> str | None:
         return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] != "str" else None
@@ -88,9 +144,9 @@ class Filter:
         return self._compare()
 
     def _bool(self, v: Value) -> Column:
-        if v.kind not in ("bool", "any"):
+        if v.kind not in ("bool", "any", "variant"):
             raise ExpressionError(f"a condition is expected in {self.text!r}")
-        return F.coalesce(v.column.cast("boolean"), F.lit(False))
+        return F.coalesce(v.of("bool").cast("boolean"), F.lit(False))
 
     def _compare(self) -> Value:
         x = self._primary()
@@ -103,31 +159,44 @@ class Filter:
             return x
         y = self._primary()
         if op in ("==", "!="):
-            if x.kind != y.kind and "nil" not in (x.kind, y.kind) and "any" not in (x.kind, y.kind):
-                same = F.lit(False)
-            else:
-                same = x.column.isNull() if y.kind == "nil" else y.column.isNull() if x.kind == "nil" else x.column.eqNullSafe(y.column)
+            same = _equal(x, y)
             return Value(same if op == "==" else ~same, "bool", False)
         if op == "in":
-            if y.kind not in ("list", "nil", "any"):
+            if y.kind not in ("list", "nil", "any", "variant"):
                 raise ExpressionError(f"a list is expected after in: {self.text!r}")
-            found = F.lit(False) if y.kind == "nil" else F.coalesce(F.array_contains(y.column, x.column), F.lit(False))
+            found = self._member(x, y)
             return Value(~found if negate else found, "bool", False)
         if op in ("startsWith", "endsWith", "contains", "matches"):
-            if "str" not in (x.kind, y.kind) and "any" not in (x.kind, y.kind):
+            if "str" not in (x.kind, y.kind) and not {"any", "variant"} & {x.kind, y.kind}:
                 raise ExpressionError(f"{op} needs texts: {self.text!r}")
             f = {"startsWith": F.startswith, "endsWith": F.endswith, "contains": F.contains, "matches": F.rlike}[op]
-            return Value(self._guard(x, y, f(x.column, y.column), op), "bool", False)
-        if x.kind != y.kind and "any" not in (x.kind, y.kind):
+            return Value(self._guard(x, y, f(x.of("str"), y.of("str")), op, "str"), "bool", False)
+        if x.kind != y.kind and not {"any", "variant"} & {x.kind, y.kind}:
             raise ExpressionError(f"{x.kind} {op} {y.kind} can't be compared: {self.text!r}")
-        c = {"<": x.column < y.column, "<=": x.column <= y.column, ">": x.column > y.column, ">=": x.column >= y.column}[op]
-        return Value(self._guard(x, y, c, op), "bool", False)
+        order = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[op]
+        if x.kind == y.kind == "variant":  # numbers or texts, as they are
+            both = F.when(x.of("num").isNotNull() & y.of("num").isNotNull(), order(x.of("num"), y.of("num"))).otherwise(order(x.of("str"), y.of("str")))
+            return Value(F.coalesce(both, self._error(op)), "bool", False)
+        kind = y.kind if x.kind in ("variant", "any") else x.kind
+        kind = "str" if kind in ("any", "nil") else kind
+        return Value(self._guard(x, y, order(x.of(kind), y.of(kind)), op, kind), "bool", False)
 
-    def _guard(self, x: Value, y: Value, c: Column, op: str) -> Column:
+    def _member(self, x: Value, y: Value) -> Column:
+        if y.kind == "nil":
+            return F.lit(False)
+        if y.items is not None and "variant" in {x.kind, *(i.kind for i in y.items)}:
+            return reduce(or_, (_equal(x, i) for i in y.items), F.lit(False))
+        if y.kind == "variant" or y.element == "variant":
+            return F.coalesce(F.exists(y.of("list"), lambda e: _equal(Value(e, "variant"), x)), F.lit(False))
+        return F.coalesce(F.array_contains(y.column, x.of(y.element if y.element in _TAKEN else "str")), F.lit(False))
+
+    def _error(self, op: str) -> Column:
+        return F.raise_error(F.lit(f"{op} with nil or a value of another type in {self.text!r}")).cast("boolean")
+
+    def _guard(self, x: Value, y: Value, c: Column, op: str, kind: str) -> Column:
         if not (x.null or y.null):
             return c
-        nil = x.column.isNull() | y.column.isNull()
-        return F.when(nil, F.raise_error(F.lit(f"{op} with nil in {self.text!r}")).cast("boolean")).otherwise(c)
+        return F.when(x.of(kind).isNull() | y.of(kind).isNull(), self._error(op)).otherwise(c)
 
     def _primary(self) -> Value:
         if self.at >= len(self.tokens):
@@ -149,7 +218,8 @@ class Filter:
                 if not self._take(","):
                     self._need("]")
                     break
-            return Value(F.array(*(i.column for i in items)), "list", False)
+            kinds = {i.kind for i in items}
+            return Value(F.array(*(i.column for i in items)) if len(kinds) == 1 else F.array(), "list", False, items, kinds.pop() if len(kinds) == 1 else "any")
         if t == "#":
             if not self.element:
                 raise ExpressionError(f"# outside a predicate: {self.text!r}")
@@ -166,22 +236,37 @@ class Filter:
 
     def _name(self, t: str) -> Value:
         self.refs.append(t)
-        if t not in self.schema:
+        own = _COLUMN_OF.get(t, t)
+        if self.declared is not None:
+            if t not in self.declared | BUILTIN:
+                if not self.relaxed:
+                    raise ExpressionError(f"unknown attribute {t!r}: no schema declares it")
+                self.warnings.append(f"attribute {t!r} is declared by no schema")
+            if own not in _FIXED or own not in self.schema:
+                return self._attribute(t)
+        elif own not in self.schema:
             if t not in self.known and not self.relaxed:
                 raise ExpressionError(f"unknown attribute {t!r}")
             self.warnings.append(f"unknown attribute {t!r}")
+            return self._attribute(t)
+        d = self.schema[own]
+        return Value(F.col(f"`{own}`"), _kind(d), element=_kind(d.elementType) if isinstance(d, T.ArrayType) else "any")
+
+    def _attribute(self, t: str) -> Value:
+        if "attrs" not in self.schema:
             return Value(F.lit(None), "nil")
-        d = self.schema[t]
-        kind = "str" if isinstance(d, T.StringType) else "num" if isinstance(d, T.NumericType) else "bool" if isinstance(d, T.BooleanType) else "list" if isinstance(d, T.ArrayType) else "any"
-        return Value(F.col(f"`{t}`"), kind)
+        path = t.replace("\\", "\\\\").replace('"', '\\"')
+        return Value(F.try_variant_get(F.try_parse_json("attrs"), f'$["{path}"]', "variant"), "variant")
 
     def _call(self, name: str) -> Value:
         self._need("(")
         x = self._or()
         if name == "len":
             self._need(")")
-            n = F.size(x.column) if x.kind == "list" else F.length(x.column)
-            return Value(F.when(x.column.isNull(), F.raise_error(F.lit(f"len of nil in {self.text!r}")).cast("int")).otherwise(n), "num", False)
+            n = F.size(x.column) if x.kind == "list" else F.length(x.column) if x.kind != "variant" else F.coalesce(F.when(x.of("list").isNotNull(), F.size(x.of("list"))), F.length(x.of("str")))
+            return Value(F.when(F.when(x.is_nil(), None).otherwise(n).isNull(), F.raise_error(F.lit(f"len of nil in {self.text!r}")).cast("int")).otherwise(n), "num", False)
+        if x.kind == "variant":
+            x = Value(x.of("list"), "list", element="variant")
         if x.kind != "list":
             raise ExpressionError(f"{name} needs a list: {self.text!r}")
         self._need(",")
@@ -191,14 +276,15 @@ class Filter:
 
         def body(e: Column) -> Column:
             self.at = start
-            self.element.append(Value(e, "any", False))
+            self.element.append(Value(e, "variant" if x.element == "variant" else "any", x.element == "variant"))
             v = self._or()
             self.element.pop()
             kind["e"] = v.kind
             return v.column if name == "map" else self._bool(v)
 
         f = {"all": F.forall, "any": F.exists, "none": F.exists, "map": F.transform}.get(name, F.filter)
-        out = f(F.coalesce(x.column, F.array().cast("array<string>")) if name != "map" else x.column, body)
+        empty = F.array().cast(f"array<{'variant' if x.element == 'variant' else 'string'}>")
+        out = f(F.coalesce(x.column, empty) if name != "map" else x.column, body)
         if brace:
             self._need("}")
         self._need(")")
@@ -207,10 +293,10 @@ class Filter:
         if name == "count":
             return Value(F.size(out), "num", False)
         if name == "find":
-            return Value(F.get(out, F.lit(0)), "any")
-        return Value(out, "list")
+            return Value(F.get(out, F.lit(0)), "variant" if x.element == "variant" else "any")
+        return Value(out, "list", element=kind["e"] if name == "map" else x.element)
 
 
-def matching_ids(nodes, text: str, relaxed: bool = False):
+def matching_ids(nodes, text: str, relaxed: bool = False, declared: set[str] | None = None):
     """Ids of the requirements that match."""
-    return nodes.filter("kind = 'req'").filter(Filter(text, nodes.schema, relaxed).column).select("id").distinct()
+    return nodes.filter("kind = 'req'").filter(Filter(text, nodes.schema, relaxed, declared=declared).column).select("id").distinct()

@@ -22,13 +22,47 @@ def attribute_rows(m: Model, names: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     return x.select("doc_path", "id", "p.attr", "p.value").filter("value IS NOT NULL")
 
 
-def histogram(m: Model) -> DataFrame:
-    return attribute_rows(m).groupBy("doc_path", "attr", "value").agg(F.count("*").alias("n"))
+def attribute_values(m: Model, names: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """doc_path, id, attr, value (a variant) for every attribute that is set: the columns ``names`` and the members of ``attrs``, in one pass."""
+    fixed = F.array(*(F.struct(F.lit(a).alias("key"), F.col(a).cast("variant").alias("value")) for a in names if a in m.nodes.columns))
+    own = F.filter(fixed, lambda e: e["value"].isNotNull())
+    if "attrs" in m.nodes.columns:
+        more = F.map_entries(F.try_variant_get(F.try_parse_json("attrs"), "$", "map<string,variant>"))
+        own = F.concat(own, F.coalesce(more, F.filter(fixed, lambda e: F.lit(False))))
+    x = m.nodes.filter("kind = 'req'").select("doc_path", "id", F.explode(own).alias("p"))
+    return x.select("doc_path", "id", F.col("p.key").alias("attr"), "p.value")
 
 
-def facets(m: Model, least: int = 2) -> DataFrame:
-    """Attributes with at least ``least`` distinct values in a document: doc_path, attr, values (comma-joined)."""
-    v = attribute_rows(m).select("doc_path", "attr", "value").distinct().groupBy("doc_path", "attr").agg(F.array_sort(F.collect_list("value")).alias("v"))
+def texts_of(value: Column) -> Column:
+    """A variant as the texts that it is shown by: the items of a list, or a scalar; maps and nulls have none."""
+    plain = lambda v: ~F.is_variant_null(v) & ~F.schema_of_variant(v).startswith("OBJECT")
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    listed = F.transform(F.filter(F.try_variant_get(value, "$", "array<variant>"), plain), text)
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).when(plain(value), F.array(text(value))).otherwise(F.array().cast("array<string>"))
+
+
+def histogram(m: Model, declared: dict[str, list[str]] | None = None) -> DataFrame:
+    """How often each attribute has each text in a document: doc_path, attr, value, n; other types aren't counted.
+
+    With ``declared`` (names by document) only what a document's schema declares.
+    """
+    x = attribute_values(m).filter(F.schema_of_variant("value") == "STRING").select("doc_path", "attr", F.try_variant_get("value", "$", "string").alias("value"))
+    if declared is not None:
+        names = m.nodes.sparkSession.createDataFrame([(d, a.replace("-", "_") if a == "disposition-reason" else a) for d, own in declared.items() for a in own], "doc_path string, attr string")
+        x = x.join(names, ["doc_path", "attr"], "left_semi")
+    return x.groupBy("doc_path", "attr", "value").agg(F.count("*").alias("n"))
+
+
+def facets(m: Model, least: int = 2, names: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """Attributes with at least ``least`` distinct values in a document: doc_path, attr, values (comma-joined).
+
+    A list counts by its items; numbers and booleans by their text; trace
+    never, and status not in documents that ignore it.
+    """
+    free = m.documents.filter("ignore_status").select("doc_path", F.lit("status").alias("attr"))
+    x = attribute_values(m, names).filter("attr <> 'trace'").join(free, ["doc_path", "attr"], "left_anti")
+    x = x.select("doc_path", "attr", F.explode(texts_of(F.col("value"))).alias("value")).distinct()
+    v = x.groupBy("doc_path", "attr").agg(F.array_sort(F.collect_list("value")).alias("v"))
     return v.filter(F.size("v") >= least).select("doc_path", "attr", F.array_join("v", ",").alias("values"))
 
 

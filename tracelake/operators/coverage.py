@@ -19,8 +19,8 @@ def effective_rtf(m: Model) -> DataFrame:
 
 
 def sources_of(m: Model) -> DataFrame:
-    """(token, dir): a coverage token names a document id, or else a level with all its directories."""
-    by_id = m.documents.filter("document_id <> ''").select(F.col("document_id").alias("token"), F.col("doc_path").alias("dir"))
+    """(token, dir): a coverage token names a document id (of the last document that has it), or else a level with all its directories."""
+    by_id = graph.document_ids(m).select(F.col("document_id").alias("token"), F.col("doc_path").alias("dir"))
     by_level = m.documents.filter("level <> ''").select(F.col("level").alias("token"), F.col("doc_path").alias("dir"))
     return by_id.unionByName(by_level.join(by_id.select("token"), "token", "left_anti"))
 

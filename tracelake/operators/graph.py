@@ -44,6 +44,11 @@ def duplicate_ids(m: Model) -> DataFrame:
     return ranked.filter("rn > 1").select("id", "doc_path", "first_doc")
 
 
+def document_ids(m: Model) -> DataFrame:
+    """document_id, doc_path: of documents that share an id the last one counts."""
+    return m.documents.filter("document_id <> ''").groupBy("document_id").agg(F.max_by("doc_path", "doc_ord").alias("doc_path"))
+
+
 def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     """All declared references: from_id, pos, ref, pin, to_id (null if broken).
 
@@ -52,7 +57,7 @@ def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     """
     bare = R.strip_pin(F.col("ref"))
     r = m.refs.select("from_id", "pos", "ref", R.pin(F.col("ref")).alias("pin"), R.qualifier(bare).alias("_q"), R.local_id(bare).alias("_id"))
-    by_id = m.documents.filter("document_id <> ''").select(F.col("document_id").alias("_q"), F.col("doc_path").alias("_dir"))
+    by_id = document_ids(m).select(F.col("document_id").alias("_q"), F.col("doc_path").alias("_dir"))
     r = r.join(by_id, "_q", "left")
     target = definitions(m).select(F.col("id").alias("_id"), F.col("id").alias("to_id"), F.col("doc_path").alias("_at"))
     r = r.join(target, "_id", "left")

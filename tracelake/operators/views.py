@@ -88,11 +88,22 @@ def work(m: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, lost)
 
 
+def natural(text: Column) -> Column:
+    """A key that sorts texts as people do: runs of digits by value, letters without case or accents.
+
+    A run of digits becomes its length and itself without leading zeros, so
+    that comparing keys compares numbers of any length.
+    """
+    value = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    run = lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(value(r)).cast("string"), 9, "0"), value(r))).otherwise(r)
+    return F.collate(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), run), ""), "UNICODE_CI_AI")
+
+
 def table_order(column: Column, descending: bool = False) -> list[Column]:
-    """Sort keys: empties last either way, numbers by value before texts in any case."""
+    """Sort keys: empties last either way, numbers by value before texts in natural order."""
     text = F.nullif(F.trim(column.cast("string")), F.lit(""))
     number = text.try_cast("double")
-    keys = [F.nanvl(number, F.lit(None)), F.lower(text)]
+    keys = [F.nanvl(number, F.lit(None)), natural(text)]
     return [text.isNull().asc(), number.isNull().asc(), *(k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys)]
 
 

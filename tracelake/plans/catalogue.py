@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import expr
 from tracelake.functions import refs as R
 from tracelake.operators import attributes, checks, coverage, diff, graph, tree, verify, views
-from tracelake.plans.projection import BLOCKS_SQL, CTES, Model, model, on_spark, plain
+from tracelake.plans.projection import BLOCKS_SQL, CTES, Model, attributed, model, on_spark, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -225,6 +225,36 @@ FILTERS = {
 for _name, (_text, _where) in FILTERS.items():
     on_model(f"SELECT DISTINCT id FROM n_ WHERE {_where}", _name, lambda m, t=_text: expr.matching_ids(m.nodes.withColumn("tags", F.array(F.coalesce("status", F.lit("x")))), t))
 
+# Attributes outside the core columns, as a schema would declare them.
+_MORE = """, m_ AS (SELECT n_.id, n_.doc_path, p_brand AS brand, p_size AS size, CASE WHEN c_custkey % 3 = 0 THEN 'L' WHEN c_custkey IS NOT NULL THEN 'S' END AS csize, coalesce([p_type, p_brand], CASE WHEN c_custkey IS NOT NULL THEN ['MED', cast(c_nationkey AS varchar)] END) AS tags,
+    CASE WHEN p_size > 40 THEN p_partkey % 2 = 0 END AS exotic, lower(c_mktsegment) AS segment, c_custkey % 7 + 0.5 AS rate, status
+    FROM n_ LEFT JOIN part ON n_.doc_path = 'parts' AND ord = p_partkey LEFT JOIN customer ON n_.doc_path = 'software' AND ord = c_custkey)"""
+DECLARED = {"parts": ["brand", "size", "tags", "exotic"], "software": ["segment", "size", "tags", "rate"]}
+ATTR_FILTERS = {
+    "filter_attr_eq": ("brand == 'Brand#13' or segment == 'building'", "brand = 'Brand#13' OR segment = 'building'"),
+    "filter_attr_mixed_types": ("size == 7 or size == 'L' or size in [9, 'XL']", "size IN (7, 9) OR csize = 'L'"),
+    "filter_attr_order": ("rate != nil and rate > 3 or brand != nil and size >= 45", "rate > 3 OR size >= 45"),
+    "filter_attr_list": ("'PROMO' in tags and not (exotic or brand == nil) or any(tags, {# startsWith 'LAR'}) and len(tags) == 2", "list_contains(tags, 'PROMO') AND NOT coalesce(exotic, false) AND brand IS NOT NULL OR len(list_filter(tags, lambda t: starts_with(t, 'LAR'))) > 0 AND len(tags) = 2"),
+    "filter_attr_nil": ("brand == nil and segment != nil and count(filter(tags, {# matches '^[0-9]+$'}), {true}) == 1 and status != 'draft'", "brand IS NULL AND segment IS NOT NULL AND coalesce(status, '') <> 'draft'"),
+    "filter_attr_bool": ("exotic or exotic == false and brand contains '2'", "exotic OR exotic = false AND contains(brand, '2')"),
+}
+for _name, (_text, _where) in ATTR_FILTERS.items():
+    query(_MORE + f" SELECT DISTINCT id FROM m_ WHERE {_where}", name=_name)(lambda spark, sf_dir, t=_text: expr.matching_ids(attributed(spark, sf_dir).nodes, t, declared={a for v in DECLARED.values() for a in v}))
+
+
+@query(_MORE + _ATTR + """, h AS (SELECT doc_path, attr, value FROM a UNION ALL SELECT doc_path, unnest(['brand', 'segment', 'size']), unnest([brand, segment, csize]) FROM m_) SELECT doc_path, attr, value, count(*) AS n FROM h WHERE value IS NOT NULL GROUP BY ALL""")
+def declared_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all attributes, in and outside the core columns."""
+    return attributes.histogram(attributed(spark, sf_dir))
+
+
+@query(_MORE + _ATTR + """, h AS (SELECT doc_path, attr, value FROM a UNION ALL SELECT doc_path, unnest(['brand', 'segment', 'size', 'size', 'exotic', 'rate']), unnest([brand, segment, csize, cast(size AS varchar), cast(exotic AS varchar), cast(rate AS varchar)]) FROM m_ UNION ALL SELECT doc_path, 'tags', unnest(tags) FROM m_)
+    SELECT doc_path, attr, string_agg(DISTINCT value, ',' ORDER BY value) AS values FROM h WHERE value IS NOT NULL GROUP BY doc_path, attr HAVING count(DISTINCT value) >= 2""")
+def declared_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all attributes, lists by their items."""
+    return attributes.facets(attributed(spark, sf_dir))
+
+
 # ------------------------------------------------------------ snapshots
 
 _OLD = "SELECT o_orderkey AS id, 'tests' AS doc_path, o_orderpriority AS priority, o_orderstatus AS status FROM {orders} WHERE o_orderdate < timestamp '1999-01-01 00:00:00'"
@@ -379,6 +409,16 @@ def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.positions(model(spark, sf_dir).nodes.select("id", "status"), [*views.table_order(F.col("status")), F.col("id")]).select("id", "position")
 
 
+_LABEL = "concat(CASE ord % 3 WHEN 0 THEN 'Item ' WHEN 1 THEN 'item ' ELSE 'ITÉM ' END, CASE WHEN ord % 5 = 0 THEN '00' ELSE '' END, cast(ord AS varchar), CASE WHEN ord % 2 = 0 THEN 'b' ELSE '.A' END)"
+
+
+@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN ord % 11 = 0 THEN 2 WHEN ord % 7 = 0 THEN 0 ELSE 1 END, CASE WHEN ord % 11 <> 0 THEN ord END DESC, id) AS position FROM n_""")
+def table_sort_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, then labels by the numbers in them, backwards, whatever their case and accents; empties last."""
+    n = model(spark, sf_dir).nodes.withColumn("label", F.expr(f"CASE WHEN ord % 11 = 0 THEN ' ' WHEN ord % 7 = 0 THEN cast(ord AS string) ELSE {_LABEL.replace('varchar', 'string')} END"))
+    return views.positions(n.select("id", "label"), [*views.table_order(F.col("label"), True), F.col("id")]).select("id", "position")
+
+
 @query("SELECT from_id, to_id, cast(1 AS int) AS linked FROM (SELECT DISTINCT from_id, to_id FROM e_)", name="trace_cells")
 def trace_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of the whole trace matrix, in long form: any number of rows and columns."""

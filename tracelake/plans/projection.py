@@ -93,6 +93,17 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     return Model(spark.createDataFrame(DOCUMENT_ROWS, DOCUMENTS), nodes, on_spark(spark, sf_dir, REFS_SQL), results)
 
 
+#: Attributes outside the core columns: texts, numbers, lists and booleans; ``size`` is a number of parts and a text of customers.
+ATTRS_SQL = f"""SELECT {_id('PRT', 'p_partkey')} AS id, to_json(named_struct('brand', p_brand, 'size', p_size, 'tags', array(p_type, p_brand), 'exotic', CASE WHEN p_size > 40 THEN p_partkey % 2 = 0 END)) AS attrs FROM {{part}}
+UNION ALL SELECT {_id('CUS', 'c_custkey')}, to_json(named_struct('segment', lower(c_mktsegment), 'size', CASE WHEN c_custkey % 3 = 0 THEN 'L' ELSE 'S' END, 'tags', array('MED', cast(c_nationkey as string)), 'rate', c_custkey % 7 + 0.5)) FROM {{customer}}"""
+
+
+def attributed(spark: SparkSession, sf_dir: str) -> Model:
+    """The model whose parts and customers have attributes outside the core columns."""
+    m = model(spark, sf_dir)
+    return m.with_(nodes=m.nodes.join(on_spark(spark, sf_dir, ATTRS_SQL), "id", "left"))
+
+
 def _documents() -> str:
     used = {s for r in DOCUMENT_ROWS for s in r[9]}
     row = "SELECT '{}' AS doc_path, {} AS doc_ord, '{}' AS id_prefix, {} AS external, {} AS mandatory, {} AS is_root, {} AS is_leaf, {} AS rtf"

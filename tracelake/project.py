@@ -30,7 +30,9 @@ class Project:
         """All findings: level, code, direction, outcome, req_id, file, message.
 
         A filter limits coverage, disposition, pin and verdict checks, never
-        resolution. Attributes named in ``disjoint``, or by the schemas' own
+        resolution. ``ignore_unbound`` leaves out unbound tests, but no other
+        trouble with results. What can't be read is a finding (``parse``,
+        ``config``), never an error of this method. Attributes named in ``disjoint``, or by the schemas' own
         ``disjoint-check``, must share a value along every edge.
         """
         rows = [("ERROR", "config", "", "", "", "", x) for x in readers.config_errors(self.schemas, self.tool)]
@@ -41,8 +43,11 @@ class Project:
         ids = None if filter is None else self.matching(filter)
         out = checks.findings(self.model, ids, relaxed_versions, self.schemas, values).drop("check_ord")
         out = parse.unionByName(out).unionByName(self.spark.createDataFrame(rows, out.select(*parse.columns).schema).select(*parse.columns))
-        if self.warnings is not None and not ignore_unbound:
-            out = out.unionByName(self.warnings.select(F.lit("WARNING").alias("level"), F.lit("unbound-result").alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.lit("").alias("req_id"), F.col("source").alias("file"), "message"))
+        if self.warnings is not None:
+            unbound = F.col("message").startswith("unbound-result:")
+            said = self.warnings if not ignore_unbound else self.warnings.filter(~unbound)
+            level, code = F.when(unbound, "WARNING").otherwise("ERROR"), F.when(unbound, "unbound-result").otherwise("config")
+            out = out.unionByName(said.select(level.alias("level"), code.alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.lit("").alias("req_id"), F.col("source").alias("file"), "message"))
         return out
 
     def documents(self) -> DataFrame:
@@ -51,10 +56,30 @@ class Project:
 
     def attributes(self) -> DataFrame:
         """What a filter may name: attr, declared, found."""
-        return attributes.filterable(self.model, {d: list(s.get("properties") or {}) for d, s in self.schemas.items()})
+        return attributes.filterable(self.model, self.declared())
+
+    def declared(self) -> dict[str, list[str]]:
+        """The attributes that each document's schema declares."""
+        return {d: list(s.get("properties") or {}) for d, s in self.schemas.items()}
 
     def matching(self, filter: str, relaxed: bool = False) -> DataFrame:
-        return expr.matching_ids(self.model.nodes, filter, relaxed)
+        """Ids of the requirements that match; an attribute that no schema declares is an error unless ``relaxed``."""
+        return expr.matching_ids(self.model.nodes, filter, relaxed, {a for own in self.declared().values() for a in own})
+
+    def filter_warnings(self, filter: str) -> list[str]:
+        """What a relaxed filter warns of: names that no schema declares, and whether any requirement has them."""
+        declared = {a for own in self.declared().values() for a in own}
+        odd = sorted(set(expr.Filter(filter, self.model.nodes.schema, True, declared=declared).refs) - declared - expr.BUILTIN)
+        found = {r["attr"] for r in attributes.universes(self.model).filter(F.col("attr").isin(odd)).collect()} if odd else set()
+        return [f'attribute "{a}" is declared by no schema' if a in found else f'unknown attribute "{a}"' for a in odd]
+
+    def histogram(self) -> DataFrame:
+        """How often each declared attribute has each text: doc_path, attr, value, n."""
+        return attributes.histogram(self.model, self.declared())
+
+    def facets(self) -> DataFrame:
+        """Attributes worth choosing from: doc_path, attr, values."""
+        return attributes.facets(self.model)
 
     def ls(self, filter: str | None = None) -> DataFrame:
         n = sinks.requirements(self.blocks)

@@ -49,6 +49,32 @@ def load_yaml(text: str) -> object:
     return yaml.load(text, _Loader)  # noqa: S506  a SafeLoader
 
 
+def _mapping(text: str, where: str) -> dict:
+    try:
+        out = load_yaml(text) or {}
+    except yaml.YAMLError as e:
+        raise MarkdownError(f"{where}: {e}") from e
+    if not isinstance(out, dict):
+        raise MarkdownError(f"{where}: a map is expected")
+    return out
+
+
+class Unreadable(dict):
+    """An empty schema in place of one that can't be read; ``error`` says why."""
+
+    def __init__(self, error: str):
+        super().__init__()
+        self.error = error
+
+
+def load_schema(text: str) -> dict:
+    """A schema file's map, or an ``Unreadable`` one."""
+    try:
+        return _mapping(text, "schema.yaml")
+    except MarkdownError as e:
+        return Unreadable(str(e))
+
+
 def decode_attrs(text: str) -> dict:
     """A flat block: scalars, lists and flow values; nested block maps, repeated keys and list items at the margin are errors."""
     seen, open_key = set(), None
@@ -156,7 +182,7 @@ def parse(text: str, path: str = "", tool: str | None = None) -> tuple[list[Bloc
     if lines and lines[0].rstrip() == "---":
         for i in range(1, len(lines)):
             if lines[i].rstrip() == "---":
-                front = load_yaml("\n".join(lines[1:i])) or {}
+                front = _mapping("\n".join(lines[1:i]), f"{path}: frontmatter")
                 lines = lines[i + 1 :]
                 break
     out: list[Block] = []

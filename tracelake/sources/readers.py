@@ -76,8 +76,11 @@ def extension(schema: dict, tool: str | None = None) -> dict:
 
 def document_row(doc_path: str, doc_ord: int, schema: dict, tool: str | None = None) -> tuple:
     """A row of ``documents`` from a schema."""
-    x = extension(schema, tool)
-    up = x.get("upstream") or {}
+    try:
+        x = extension(schema, tool)
+    except ValueError:  # ``config_errors`` reports it
+        x = {}
+    up = x["upstream"] if isinstance(x.get("upstream"), dict) else {}
     return (doc_path, doc_ord, x.get("document-id") or "", x.get("level") or "", x.get("id-prefix") or "", bool(x.get("external")), bool(x.get("mandatory-disposition")), bool(x.get("ignore-status")), _strings(x.get("requires-trace-from") or ([] if x.get("requires-trace-from") == [] else None)), _strings(up.get("sources")) or [])
 
 
@@ -90,7 +93,7 @@ def read_tree(spark: SparkSession, root: str, tool: str | None = None) -> tuple[
     blocks are written once to the shared checkpoint folder, so that no check
     parses the files again.
     """
-    found = {r["path"].rpartition("/")[0]: markdown.load_yaml(r["value"]) or {} for r in _text(spark, root, "schema.yaml").collect()}
+    found = {r["path"].rpartition("/")[0]: markdown.load_schema(r["value"]) for r in _text(spark, root, "schema.yaml").collect()}
     if not found:
         raise ValueError(f"no documents under {root}")
     jvm = spark.sparkContext._jvm
@@ -132,7 +135,9 @@ def read_file(spark: SparkSession, path: str, schema: str, tool: str | None = No
     """(blocks, schema errors) of a single file under a given schema file: no graph, so no graph checks."""
     text = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), "value")
     blocks = cut(text.mapInPandas(_parser(tool), PARSED).withColumn("doc_path", F.lit(".")))
-    rules = markdown.load_yaml(spark.read.text(schema, wholetext=True).first()["value"]) or {}
+    rules = markdown.load_schema(spark.read.text(schema, wholetext=True).first()["value"])
+    if isinstance(rules, markdown.Unreadable):
+        raise ValueError(rules.error)
     nodes = with_parents(blocks).filter("kind <> 'error'")
     return blocks, attributes.schema_errors(Model(spark.createDataFrame([], DOCUMENTS), nodes, nodes.limit(0).select(F.col("id").alias("from_id"), F.lit(1).alias("pos"), F.col("id").alias("ref"))), {".": rules})
 
@@ -145,7 +150,7 @@ BINDING = "id string, `case` string, verifies array<string>, description string"
 def read_reports(spark: SparkSession, root: str, tool: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, warnings) under ``root``: test reports, by name or by shape, and results written by hand, wherever there is a schema.
 
-    Other files are left out, but a ``*.ctrf.json`` that is no report is a warning.
+    Other files are left out, but a ``*.ctrf.json`` that is no report is among the warnings, as ``not a report``, and an error to ``check``.
     """
     files = _text(spark, root, "*.json")
     report = looks_like_report(F.col("value"))
@@ -252,9 +257,12 @@ def manual_results(blocks: DataFrame, tool: str | None = None) -> DataFrame:
 
 
 def config_errors(schemas: dict[str, dict], tool: str | None = None) -> list[str]:
-    """Malformed extension blocks: status additions and coverage defaults that aren't lists of texts, a missing ``$schema``."""
+    """Schemas that can't be read or compiled, malformed extension blocks (status additions and coverage defaults that aren't lists of texts), a missing ``$schema``."""
     bad = []
     for d, s in sorted(schemas.items()):
+        if isinstance(s, markdown.Unreadable):
+            bad.append(f"{d}: {s.error}")
+            continue
         try:
             x = extension(s, tool)
         except ValueError as e:
