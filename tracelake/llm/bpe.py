@@ -4,8 +4,8 @@ Texts are split into words in Spark and gathered in chunks: each chunk holds
 its distinct words once and, for every position, the place of its word among
 them. All chunks' words are dealt out and sorted by word, so that a run of equal
 words is one entry of the distributed table of distinct words: it is encoded
-once, and its ids go back to each chunk by position. No group is ever
-collected: chunks and their answers meet in a sort within partitions.
+once, and its ids go back to each chunk by position, packed. Nothing larger
+than a chunk is ever collected.
 Decoding asks for a chunk's distinct ids by a join
 with the id-to-piece table, which is as large as the vocabulary and broadcast.
 A word lies at most once in a chunk, so however often it occurs, it holds only
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, cut, give_back, rows_of, table
+from .common import CACHES, give_back, rows_of, table
 from .packing import _WORD, _plain, default_tokenizer
 
 CHUNK_CHARS = 1 << 24  # a chunk of texts ends once it holds so many characters,
@@ -206,7 +206,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
     """(doc_id, ids): the token ids of every whole text, as the tokenizer itself gives them without special tokens of its own.
 
     Null and empty texts have no ids. Rows repeated or with a null doc_id are
-    rows like any other; no documents give no rows.
+    rows like any other; no documents give no rows. The rows of a partition
+    must come in the same order each time, as scans give them.
     """
     path = tokenizer or default_tokenizer()
 
@@ -224,11 +225,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
             rank = np.empty(len(place), np.uint32)
             rank[order] = np.arange(len(place))
             words_ = list(place)
-            yield pa.record_batch({"chunk": [chunk], "data": pa.array([_body(ids, lengths, rank[flat])], pa.binary()), "entries": pa.array([_dump([words_[i] for i in order])], pa.binary())})
+            yield pa.record_batch({"chunk": [chunk], "data": pa.array([pickle.dumps((_body(ids, lengths, rank[flat]), _dump([words_[i] for i in order])))], pa.binary())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, entries in rows_of(batches, "chunk", "entries"):
-            words = pa.ipc.open_stream(entries).read_all().column("entry").combine_chunks()
+        for chunk, data in rows_of(batches, "chunk", "data"):
+            words = pa.ipc.open_stream(pickle.loads(data)[1]).read_all().column("entry").combine_chunks()
             order = pc.sort_indices(words)  # like words together, which packs better
             for a in range(0, len(words), 10_000):
                 at = order.slice(a, 10_000)
@@ -280,23 +281,15 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
             n = length[codes]
             return _lists_batch(ids, np.concatenate([[0], np.cumsum(n)])[bounds], flat[_ragged(start[codes], n)])
 
-        body, packs = None, []
-        for first, data in rows_of(batches, "first", "data"):
-            if first:
-                if body is not None:
-                    yield chunk(body, packs)
-                body, packs = data, []
-            else:
-                packs.append(data)
-        if body is not None:
-            yield chunk(body, packs)
+        for data, packs in rows_of(batches, "data", "packs"):
+            yield chunk(pickle.loads(data)[0], packs or [])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = cut(src.mapInArrow(split, "chunk long, data binary, entries binary"))
-    asked = held.select("chunk", "entries").mapInArrow(ask, "entry string, chunk long, at int")
+    held = src.mapInArrow(split, "chunk long, data binary").repartition("chunk")  # one exchange, read twice
+    asked = held.mapInArrow(ask, "entry string, chunk long, at int")
     found = asked.repartition("entry").sortWithinPartitions("entry").mapInArrow(lookup, "chunk long, data binary")
-    rows = held.select("chunk", F.lit(True).alias("first"), "data").unionByName(found.withColumn("first", F.lit(False)))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("first")).select("first", "data").mapInArrow(spell, "doc_id long, ids array<int>")
+    packs = found.groupBy("chunk").agg(F.collect_list("data").alias("packs"))  # of a chunk's own words: as bounded as the chunk
+    return held.join(packs, "chunk", "left").select("data", "packs").mapInArrow(spell, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
