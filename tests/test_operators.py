@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import DOCUMENTS, NODES, REFS, RESULTS, Model
-from tracelake.operators import attributes, checks, coverage, diff, graph, tree, verify, views
+from tracelake.operators import attributes, checks, coverage, diff, graph, reach, tree, verify, views
 from tracelake.sources.replicate import replicate
 
 
@@ -84,10 +84,83 @@ def test_cycles_end(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a")], "from_id string, to_id string")
     assert rows(graph.cyclic_nodes(e), "id") == [("a",), ("b",), ("c",)]
     up = e.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))
-    got = graph.propagate(up, spark.createDataFrame([("x", 2), ("d", 4)], "id string, sev int"), [], "sev")
+    got = reach.propagate(up, spark.createDataFrame([("x", 2), ("d", 4)], "id string, sev int"), [], "sev")
     assert rows(got, "id", "sev") == [("a", 2), ("b", 2), ("c", 2), ("d", 4), ("x", 2)]
 
 
+def _plain_components(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    seen = {}
+    for a in {x for e in edges for x in e}:
+        todo, got = [a], set()
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y not in got:
+                    got.add(y)
+                    todo.append(y)
+        seen[a] = got
+    return {a: frozenset(b for b in seen[a] if a in seen[b]) for a in seen if a in seen[a]}
+
+
+def _groups(df):
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["comp"], set()).add(r["id"])
+    return {i: frozenset(g) for g in by.values() for i in g}
+
+
+def test_components_of_chains_rings_and_branches(spark, monkeypatch):
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    other = [(f"q{i}", f"q{(i + 1) % 9}") for i in range(9)]
+    for edges in (
+        ring + [("in0", "r3"), ("in1", "in0"), ("r5", "out0"), ("out0", "out1")],
+        ring + other + [("r7", "q2"), ("q2", "z"), ("z", "q4"), ("y", "y"), ("r1", "r1")],
+        ring + [("r0", "s0"), ("s0", "s1"), ("s1", "r20"), ("r20", "t0"), ("t0", "dead")],
+        [(a, b) for a in "abcd" for b in "abcd" if a != b] + [("d", "e"), ("e", "f"), ("f", "e"), ("f", "g")],
+    ):
+        e = spark.createDataFrame(edges, "from_id string, to_id string")
+        assert _groups(reach.components(e)) == _plain_components(edges)
+
+
+def test_long_chain_with_a_cycle_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(reach, "cut", lambda df, own=reach.cut: rounds.append(1) or own(df))
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(1000)] + [("n1000", "n990")]
+    e = spark.createDataFrame(edges, "from_id string, to_id string")
+    assert rows(graph.cyclic_nodes(e), "id") == sorted((f"n{i}",) for i in range(990, 1001))
+    assert len(rounds) <= 30
+
+
+@settings(max_examples=12, deadline=None)
+@given(edges=st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=24))
+def test_components_against_reachability(spark, edges):
+    edges = [(str(a), str(b)) for a, b in edges]
+    assert _groups(reach.components(spark.createDataFrame(edges, "from_id string, to_id string"))) == _plain_components(edges)
+
+
+@pytest.mark.parametrize("steps", [8, 1])
+def test_reach_of_chains_diamonds_and_cycles(spark, monkeypatch, steps):
+    monkeypatch.setattr(reach, "STEPS", steps)
+    edges = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("f", "g"), ("h", "h"), ("h", "g")]
+    e = spark.createDataFrame(edges, "child string, parent string")
+    seeds = spark.createDataFrame([("a", "k", 1), ("f", "k", 3), ("h", "k", 2), ("c", "j", 4), ("none", "k", 1)], "id string, key string, v int")
+    got = reach.reach(e, seeds.select("id")).lift(seeds, ["key"], "v")
+    want = {("a", "k"): 1, ("b", "k"): 1, ("c", "k"): 1, ("none", "k"): 1, ("h", "k"): 2, **{(x, "k"): 3 for x in "defg"}, **{(x, "j"): 4 for x in "cdefg"}}
+    assert {(r["id"], r["key"]): r["v"] for r in got.collect()} == want
+
+
+def test_evidence_climbs_a_chain_of_200(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(reach, "cut", lambda df, own=reach.cut: rounds.append(1) or own(df))
+    e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(200)], "child string, parent string")
+    seeds = spark.createDataFrame([("n000", "x", 1), ("n150", "x", 4), ("n100", "y", 2)], "id string, key string, v int")
+    got = {(r["id"], r["key"]): r["v"] for r in reach.reach(e, seeds.select("id")).lift(seeds, ["key"], "v").collect()}
+    assert got == {(f"n{i:03}", "x"): 4 if i >= 150 else 1 for i in range(201)} | {(f"n{i:03}", "y"): 2 for i in range(100, 201)}
+    assert len(rounds) < 60
+
+
 def test_dispositions_prefixes_disjoint_and_schema(spark):
     docs = [("d", ("d", "d", None, []), {"prefix": "D-", "mandatory": True})]
     m = model(spark, docs, [("d", "D-1", {"disposition": "deferred", "reason": "  "}), ("d", "E-2", {"file": "d/b.md", "status": "odd"})], [])
@@ -187,7 +260,7 @@ def test_cyclic_nodes_against_reachability(spark, pairs):
 def test_loops_run_to_their_fixpoint(spark):
     n = 12
     e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "from_id string, to_id string")
-    got = graph.propagate(e.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), spark.createDataFrame([("n000", 3)], "id string, v int"), [], "v")
+    got = reach.propagate(e.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), spark.createDataFrame([("n000", 3)], "id string, v int"), [], "v")
     assert got.count() == n + 1
     assert max(r["depth"] for r in graph.tiers(e, spark.createDataFrame([("n000",)], "id string")).collect()) == n
     up = e.select(F.col("from_id").alias("id"), F.col("to_id").alias("parent_id")).union(spark.createDataFrame([(f"n{n:03}", None)], "id string, parent_id string"))

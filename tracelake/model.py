@@ -42,8 +42,8 @@ class Model:
     nodes: DataFrame
     refs: DataFrame
     results: DataFrame | None = None
-    #: Frames derived once for all checks (``graph.prepared``): definitions, edges.
-    derived: dict[str, DataFrame] = field(default_factory=dict, init=False, compare=False, repr=False)
+    #: What is derived once for all checks: definitions, resolved references, edges (``graph.prepared``), latest results, reach (``verify``).
+    derived: dict[str, object] = field(default_factory=dict, init=False, compare=False, repr=False)
 
     def with_(self, **frames: DataFrame) -> Model:
         return replace(self, **frames)

@@ -7,13 +7,12 @@ partition by requirement or reference pair, and loops cut their lineage.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import Model, column, cut
+from tracelake.operators.reach import components, tiers
 
 
 PARENT_POS = (1 << 31) - 1  # parent edges come after all references
@@ -29,9 +28,10 @@ def definitions(m: Model) -> DataFrame:
 
 
 def prepared(m: Model) -> Model:
-    """The model with its definitions and edges written once, for operators that read them several times."""
+    """The model with its definitions, resolved references and edges written once, for operators that read them several times."""
     if "edges" not in m.derived:
         m.derived.setdefault("definitions", cut(definitions(m)))
+        m.derived.setdefault("resolved", cut(resolve(m)))
         m.derived["edges"] = cut(edges(m))
     return m
 
@@ -55,6 +55,8 @@ def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     Unqualified ids resolve globally; ``doc/ID`` by document id, then (with
     ``directory_fallback``, as the checks do) by directory.
     """
+    if directory_fallback and "resolved" in m.derived:
+        return m.derived["resolved"]
     bare = R.strip_pin(F.col("ref"))
     r = m.refs.select("from_id", "pos", "ref", R.pin(F.col("ref")).alias("pin"), R.qualifier(bare).alias("_q"), R.local_id(bare).alias("_id"))
     by_id = document_ids(m).select(F.col("document_id").alias("_q"), F.col("doc_path").alias("_dir"))
@@ -176,44 +178,13 @@ def neighbours(m: Model) -> DataFrame:
     return first.select("id", "direction", "neighbour", F.row_number().over(Window.partitionBy("id", "direction").orderBy("at", "neighbour")).alias("position"))
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges left when nodes without an incoming or outgoing edge go, again and again."""
-    n = e.count()
-    while n:
-        sources, targets = e.select(F.col("from_id").alias("to_id")).distinct(), e.select(F.col("to_id").alias("from_id")).distinct()
-        e = cut(e.join(sources, "to_id", "left_semi").join(targets, "from_id", "left_semi").select("from_id", "to_id"))
-        before, n = n, e.count()
-        if n == before:
-            break
-    return e
-
-
 def cyclic_nodes(e: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
-    """Ids that lie on a cycle of ``e`` (from_id, to_id); ``suppressed`` (id) are nodes that no cycle is followed through.
-
-    Strongly connected components by colouring: what is left after trimming
-    takes the largest id that reaches it as its colour; the component of that
-    id is what reaches it back within the colour. Components with an edge
-    inside are cycles; they go, and the rest is trimmed and coloured again.
-    """
+    """Ids that lie on a cycle of ``e`` (from_id, to_id); ``suppressed`` (id) are nodes that no cycle is followed through."""
     e = e.select("from_id", "to_id").distinct()
     if suppressed is not None:
         gone = suppressed.select(F.col("id").alias("from_id")).distinct()
         e = e.join(gone, "from_id", "left_anti").join(gone.withColumnRenamed("from_id", "to_id"), "to_id", "left_anti").select("from_id", "to_id")
-    e = _trimmed(cut(e))
-    found = e.select(F.col("from_id").alias("id")).limit(0)
-    while e.limit(1).count():
-        ids = e.select(F.col("from_id").alias("id")).distinct()
-        colour = cut(propagate(e.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), ids.withColumn("c", F.col("id")), [], "c"))
-        inside = e.join(colour.withColumnsRenamed({"id": "from_id", "c": "cf"}), "from_id").join(colour.withColumnsRenamed({"id": "to_id", "c": "ct"}), "to_id").filter("cf = ct")
-        inside = cut(inside.select("from_id", "to_id"))
-        whole = cut(tiers(inside.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), colour.filter("id = c").select("id")).select("id"))
-        on = inside.join(whole.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(whole.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-        found = found.unionByName(cut(on.select(F.col("from_id").alias("id")).union(on.select("to_id")).distinct()))
-        done = colour.filter("id = c").select("id").unionByName(whole).distinct()
-        rest = e.join(done.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(done.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-        e = _trimmed(cut(rest.select("from_id", "to_id")))
-    return found.distinct()
+    return components(e).select("id")
 
 
 def circular(m: Model) -> DataFrame:
@@ -222,45 +193,6 @@ def circular(m: Model) -> DataFrame:
     return cyclic_nodes(edges(m), off)
 
 
-def propagate(e: DataFrame, seeds: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Least fixpoint of (id, keys..., value) under ``value = max`` along edges child -> parent.
-
-    ``e`` (child, parent), ``seeds`` (id, keys..., value). Only entries that
-    are new or have risen move on, so each round's join is as small as the
-    change, and the maximum is idempotent, so cycles end too. The state is the
-    union of the rounds' changes, merged only now and then.
-    """
-    e = cut(e.select("child", "parent").distinct())
-    front = cut(seeds.groupBy("id", *keys).agg(F.max(value).alias(value)))
-    parts = [front]
-    while front.limit(1).count():
-        state = reduce(DataFrame.unionByName, parts)
-        if len(parts) > 4:
-            state = cut(state.groupBy("id", *keys).agg(F.max(value).alias(value)))
-            parts = [state]
-        moved = front.withColumnRenamed("id", "child").join(e, "child").select(F.col("parent").alias("id"), *keys, F.col(value).alias("_new"))
-        both = moved.withColumn("_old", F.lit(None).cast(state.schema[value].dataType)).unionByName(state.select("id", *keys, F.lit(None).cast(state.schema[value].dataType).alias("_new"), F.col(value).alias("_old")))
-        risen = both.groupBy("id", *keys).agg(F.max("_new").alias(value), F.max("_old").alias("_old")).filter(F.col(value).isNotNull() & (F.col("_old").isNull() | (F.col(value) > F.col("_old"))))
-        front = cut(risen.select("id", *keys, value))
-        parts.append(front)
-    return reduce(DataFrame.unionByName, parts).groupBy("id", *keys).agg(F.max(value).alias(value))
-
-
-def tiers(e: DataFrame, start: DataFrame) -> DataFrame:
-    """Breadth-first distance from the ids of ``start`` (id): (id, depth), along from_id -> to_id, until nothing new is reached."""
-    e = cut(e.select("from_id", "to_id").distinct())
-    front = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    state, depth = front, 0
-    while front.limit(1).count():
-        depth += 1
-        step = front.select(F.col("id").alias("from_id")).join(e, "from_id").select(F.col("to_id").alias("id")).distinct()
-        front = cut(step.join(state, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        state = state.unionByName(front)
-        if depth % 8 == 0:
-            state = cut(state)
-    return state
-
-
 def chain(links: DataFrame, doc: str) -> DataFrame:
     """The document chain around ``doc`` (links: from_id, to_id of documents): id, depth, direction.
 

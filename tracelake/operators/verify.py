@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.functions import text as T
-from tracelake.model import Model, column
+from tracelake.model import Model, column, cut
 from tracelake.operators import graph
+from tracelake.operators.reach import Reach, reach
 
 
 EXTRA = {"verifies": "array<string>", "name": "string", "description": "string"}
@@ -32,6 +33,13 @@ def _latest(results: DataFrame, columns: list[str]) -> DataFrame:
     return r.groupBy("measure_id", "case_key").agg(best.alias("b")).select("measure_id", "case_key", "b.*")
 
 
+def latest_of(m: Model) -> DataFrame:
+    """The latest results of a model, with what they verify, written once."""
+    if "latest" not in m.derived:
+        m.derived["latest"] = cut(_latest(m.results, ["outcome", "verified_at", "source", "load_ord", "ref", "verifies", "name", "description"]))
+    return m.derived["latest"]
+
+
 def latest_per_target(results: DataFrame) -> DataFrame:
     """The latest result of each target over all its cases: measure_id, outcome, source."""
     when = F.coalesce(F.unix_micros(F.col("verified_at").cast("timestamp")), F.lit(-(1 << 62)))
@@ -46,7 +54,7 @@ def synthetic(m: Model) -> Model:
     TC:<case> to what the latest run of that case verifies, so references,
     cycles, pins and neighbours of results need no code of their own.
     """
-    best = _latest(m.results, ["ref", "source", "load_ord", "verifies", "name", "description"])
+    best = latest_of(m)
     blank = lambda skip: [F.lit(None).cast(f.dataType).alias(f.name) for f in m.nodes.schema if f.name not in skip]
     common = [F.lit(RESULTS_PATH).alias("doc_path"), F.coalesce("source", F.lit("")).alias("file"), F.col("load_ord").alias("ord"), F.lit("req").alias("kind")]
     node = T.result_id(F.col("measure_id"), F.col("case_key"))
@@ -58,12 +66,14 @@ def synthetic(m: Model) -> Model:
     refs = best.select(node.alias("from_id"), F.lit(1).alias("pos"), "ref").unionByName(cases.select(F.col("measure_id").alias("from_id"), F.posexplode("verifies").alias("p", "ref")).select("from_id", (F.col("p") + 1).alias("pos"), "ref"))
     document = {"doc_path": RESULTS_PATH, "doc_ord": 1 << 30, "document_id": "", "level": "verify-results", "id_prefix": "", "external": False, "mandatory_disposition": False, "ignore_status": False, "upstream_sources": []}
     row = m.documents.sparkSession.createDataFrame([tuple(document.get(f.name) for f in m.documents.schema)], m.documents.schema)
-    return m.with_(documents=m.documents.unionByName(row), nodes=m.nodes.unionByName(own.select(*names)).unionByName(case.select(*names)), refs=m.refs.unionByName(refs))
+    g = m.with_(documents=m.documents.unionByName(row), nodes=m.nodes.unionByName(own.select(*names)).unionByName(case.select(*names)), refs=m.refs.unionByName(refs))
+    g.derived["latest"] = latest_of(m)
+    return g
 
 
 def _case_edges(m: Model) -> DataFrame:
     """(child, parent): synthesised test cases and the requirements that their latest run verifies."""
-    best = _latest(m.results.filter(F.col("measure_id").startswith("TC:")), ["verifies", "description"])
+    best = latest_of(m).filter(F.col("measure_id").startswith("TC:"))
     best = best.groupBy("measure_id").agg(F.min_by("verifies", F.struct(F.coalesce("description", F.lit("")) == "", F.col("case_key"))).alias("verifies"))
     refs = best.select(F.col("measure_id").alias("from_id"), F.posexplode("verifies").alias("pos", "ref"))
     own = m.with_(refs=refs)
@@ -80,19 +90,31 @@ def _upward(m: Model, in_filter: DataFrame | None) -> DataFrame:
     return up.unionByName(_case_edges(m)) if in_filter is None and "verifies" in m.results.columns else up
 
 
+def reached(m: Model, in_filter: DataFrame | None) -> Reach:
+    """What evidence reaches from every requirement or test case with results, and from every traced one; found once for a model without a filter."""
+    if in_filter is None and "reach" in m.derived:
+        return m.derived["reach"]
+    starts = latest_of(m).select(F.col("measure_id").alias("id")).union(graph.edges(m).select("to_id")).distinct()
+    r = reach(_upward(m, in_filter), starts)
+    if in_filter is None:
+        m.derived["reach"] = r
+    return r
+
+
 def evidence(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     """Worst severity of each case that reaches a requirement: id, case_key, sev.
 
     Own results and those of every requirement or test case that traces to it
-    through approved ones. Severities travel up as a lattice maximum.
+    through approved ones. Which requirements a result reaches is found once
+    for a model; then each result moves to all of them in one exchange.
     """
     m = graph.prepared(m)
     target = F.col("measure_id")
     known = graph.definitions(m).select(F.col("id").alias("measure_id"))
-    last = latest(m.results).withColumn("case_key", F.when(F.col("case_key") != "", F.col("case_key")).otherwise(F.when(target.startswith("TC:"), F.substr(target, F.lit(4))).otherwise("")))
+    last = latest_of(m).withColumn("case_key", F.when(F.col("case_key") != "", F.col("case_key")).otherwise(F.when(target.startswith("TC:"), F.substr(target, F.lit(4))).otherwise("")))
     seeds = last.filter(~target.startswith("TC:")).join(known, "measure_id", "left_semi").unionByName(last.filter(target.startswith("TC:")))
     seeds = seeds.select(target.alias("id"), "case_key", R.severity(F.col("outcome")).alias("sev"))
-    return graph.propagate(_upward(m, in_filter), seeds, ["case_key"], "sev").filter(~F.col("id").startswith("TC:"))
+    return reached(m, in_filter).lift(seeds, ["case_key"], "sev").filter(~F.col("id").startswith("TC:"))
 
 
 def ignored_drafts(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
@@ -102,7 +124,7 @@ def ignored_drafts(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     if in_filter is not None:
         draft = draft.join(in_filter.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
     first = graph.edges(m).select(F.col("from_id").alias("child"), F.col("to_id").alias("id")).join(draft, "child").select("id", F.col("child").alias("draft"), F.lit(1).alias("one"))
-    return graph.propagate(_upward(m, in_filter), first, ["draft"], "one").filter(~F.col("id").startswith("TC:")).groupBy("id").agg(F.count("*").alias("drafts"))
+    return reached(m, in_filter).lift(first, ["draft"], "one").filter(~F.col("id").startswith("TC:")).groupBy("id").agg(F.count("*").alias("drafts"))
 
 
 def verdicts(ev: DataFrame) -> DataFrame:
@@ -165,10 +187,10 @@ def nested(m: Model) -> DataFrame:
 def representative(m: Model) -> DataFrame:
     """Where each measure's verdict comes from: its own latest result's source, else that of the worst evidence; id, source."""
     m = graph.prepared(m)
-    last = latest(m.results).withColumnRenamed("measure_id", "id")
+    last = latest_of(m).withColumnRenamed("measure_id", "id")
     own = last.groupBy("id").agg(F.min_by("source", "load_ord").alias("own"))
     seeds = last.select("id", F.struct(R.severity(F.col("outcome")).alias("sev"), (-F.col("load_ord")).alias("o"), F.col("source").alias("source")).alias("w"))
-    worst = graph.propagate(_upward(m, None), seeds, [], "w")
+    worst = reached(m, None).lift(seeds, [], "w")
     return measures(m).join(worst, "id").join(own, "id", "left").select("id", F.coalesce("own", F.col("w")["source"]).alias("source"))
 
 
