@@ -116,6 +116,14 @@ def _open(body: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray | None]
     return ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), _codes(codes, n), entries
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text) row by row; few texts at a time become Python texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+
+
 def _chunks(rows: Iterator[tuple], size: Callable, most: int) -> Iterator[tuple[int, list, list]]:
     """(chunk, doc_ids, values) of consecutive rows (doc_id, value); a chunk's number is unique among all partitions."""
     chunk = TaskContext.get().partitionId() << 33
@@ -212,20 +220,35 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
     path = tokenizer or default_tokenizer()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(path)
-        for chunk, ids, texts in _chunks(rows_of(batches, "doc_id", "text"), lambda t: len(t or ""), CHUNK_CHARS):
-            place: dict[str, int] = {}
-            codes, lengths = [], []
-            for t in texts:
-                found = words.of(t) if t else []
-                lengths.append(len(found))
-                codes.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
+        words, chunk = _tokenizer(path), TaskContext.get().partitionId() << 33
+        place: dict[str, int] = {}
+        ids, lengths, codes, chars = [], [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal chunk, chars
             flat = np.concatenate(codes)
             order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")  # common words get small codes
             rank = np.empty(len(place), np.uint32)
             rank[order] = np.arange(len(place))
-            words_ = list(place)
-            yield pa.record_batch({"chunk": [chunk], "data": pa.array([pickle.dumps((_body(ids, lengths, rank[flat]), _dump([words_[i] for i in order])))], pa.binary())})
+            known = list(place)
+            data = pickle.dumps((_body(ids, lengths, rank[flat]), _dump([known[i] for i in order])))
+            out = pa.record_batch({"chunk": [chunk], "data": pa.array([data], pa.binary())})
+            chunk, chars = chunk + 1, 0
+            for x in (place, ids, lengths, codes):
+                x.clear()
+            return out
+
+        for doc, t in _rows(batches):  # only codes are kept, not texts
+            found = words.of(t) if t else []
+            ids.append(doc)
+            lengths.append(len(found))
+            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
+            chars += len(t or "")
+            if chars >= CHUNK_CHARS or len(ids) >= CHUNK_ROWS:
+                yield emit()
+        if ids:
+            yield emit()
+        give_back("bpe")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, data in rows_of(batches, "chunk", "data"):
