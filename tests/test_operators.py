@@ -151,6 +151,33 @@ def test_reach_of_chains_diamonds_and_cycles(spark, monkeypatch, steps):
     assert {(r["id"], r["key"]): r["v"] for r in got.collect()} == want
 
 
+def test_hub_targets_are_not_one_task(spark):
+    """Nine tenths of the references go to one requirement, and Spark may not split tasks by itself."""
+    own = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
+        spark.conf.set(k, v)
+    try:
+        n = 20_000
+        nodes = spark.range(n, numPartitions=4).selectExpr("if(id < 100, 'sys', 'tst') AS doc_path", "'a.md' AS file", "id AS ord", "concat('R-', id) AS id")
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], NODES).schema if f.name not in (*nodes.columns, "kind")]
+        m = two(spark, [], [])
+        m = m.with_(nodes=nodes.select("*", F.lit("req").alias("kind"), *blank), refs=spark.range(100, n, numPartitions=4).selectExpr("concat('R-', id) AS from_id", "1 AS pos", "if(id % 10 < 9, 'R-0', concat('system/R-', id % 97)) AS ref"))
+        assert graph.hot(m)["target"] == ["R-0"]
+        r = graph.resolve(m)
+        sizes = sorted(x["count"] for x in r.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == n - 100 and sizes[-1] <= 2 * sizes[len(sizes) // 2] and r.filter("to_id IS NULL").count() == 0
+        inbound = coverage._inbound(m, None).select(F.col("to_id").alias("id"), "src_dir")
+        from tracelake.operators import skew
+
+        sizes = sorted(x["count"] for x in skew.attach(inbound, m.nodes.select("id", "title"), "id", "inner", graph.hot(m)["target"]).groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        got = {r["id"]: (r["covered"], r["drafts"]) for r in coverage.token_state(m).collect()}
+        assert len(got) == 100 and got["R-0"] == (True, 0) and got["R-99"] == (False, 0)
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def test_evidence_climbs_a_chain_of_200(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(reach, "cut", lambda df, own=reach.cut: rounds.append(1) or own(df))

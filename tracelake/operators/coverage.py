@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import Model, column
-from tracelake.operators import graph
+from tracelake.operators import graph, skew
 
 
 def effective_rtf(m: Model) -> DataFrame:
@@ -46,7 +46,7 @@ def _inbound(m: Model, in_filter: DataFrame | None) -> DataFrame:
     """Inbound edges (a repeated reference counts each time) with the source's directory and whether it provides coverage; in order, parents last."""
     own = graph.definitions(m).select(F.col("id").alias("from_id"), F.col("doc_path").alias("src_dir"), "doc_ord", "file", "ord", R.is_provider(F.col("status"), F.col("ignore_status")).alias("provider"))
     at = F.struct((F.col("kind") == "parent").alias("last"), "doc_ord", "file", "ord", "pos")
-    e = graph.edges(m).select("from_id", "to_id", "kind", "pos").join(own, "from_id").select("from_id", "to_id", "src_dir", "provider", at.alias("at"))
+    e = skew.attach(graph.edges(m).select("from_id", "to_id", "kind", "pos"), own, "from_id", "inner", graph.hot(m)["source"]).select("from_id", "to_id", "src_dir", "provider", at.alias("at"))
     return e if in_filter is None else e.join(in_filter.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
 
 
@@ -64,11 +64,15 @@ def token_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     known = dirs.select("token").distinct().withColumn("known", F.lit(True))
     want = want.join(known, "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     inbound = _inbound(m, in_filter).select(F.col("to_id").alias("id"), "src_dir", "provider", "at")
-    x = want.join(inbound, "id", "left").join(dirs.select("token", F.col("dir").alias("src_dir"), F.lit(True).alias("hit")), ["token", "src_dir"], "left")
+    hubs = sorted({*graph.hot(m)["target"], *graph.hot(m)["parent"]})
+    met = skew.attach(inbound, want, "id", "inner", hubs)  # the edges are the long side: a hub's stay where they are
+    x = met.unionByName(want.select("id", "token", "known"), allowMissingColumns=True).join(dirs.select("token", F.col("dir").alias("src_dir"), F.lit(True).alias("hit")), ["token", "src_dir"], "left")
     covers = F.coalesce(F.col("provider") & F.col("hit"), F.lit(False))
     x = x.groupBy("id", "token", "known").agg(F.min(F.when(covers, F.col("at"))).alias("first"))
     drafts = inbound.filter("NOT provider").select("id", F.col("at").alias("draft"))
-    y = x.join(drafts, "id", "left").groupBy("id", "token", "known").agg(F.count_if(F.col("draft").isNotNull() & (F.col("first").isNull() | (F.col("draft") < F.col("first")))).alias("n"), F.bool_or(F.col("first").isNotNull()).alias("covered"))
+    before = F.col("first").isNull() | (F.col("draft") < F.col("first"))
+    n = skew.attach(drafts, x, "id", "inner", hubs).filter(before).groupBy("id", "token").agg(F.count("*").alias("n"))
+    y = x.join(n, ["id", "token"], "left").select("id", "token", "known", F.col("first").isNotNull().alias("covered"), F.coalesce("n", F.lit(0)).alias("n"))
     return y.select("id", "token", "known", "covered", F.when(F.col("known"), F.col("n")).otherwise(0).cast("int").alias("drafts"))
 
 

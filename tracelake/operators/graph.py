@@ -1,8 +1,10 @@
 """Trace graph: resolution, edges, pins, repin deltas, identity checks, cycles.
 
 All frames stay distributed: references resolve by equi joins (documents are
-broadcast: one row per directory, checked by Spark's own threshold), windows
-partition by requirement or reference pair, and loops cut their lineage.
+broadcast: one row per directory, checked by Spark's own threshold; heavily
+referenced requirements are found by a sketch and join where the references
+lie), windows partition by requirement or reference pair, and loops cut their
+lineage.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import Model, column, cut
+from tracelake.operators import skew
 from tracelake.operators.reach import components, tiers
 
 
@@ -49,6 +52,16 @@ def document_ids(m: Model) -> DataFrame:
     return m.documents.filter("document_id <> ''").groupBy("document_id").agg(F.max_by("doc_path", "doc_ord").alias("doc_path"))
 
 
+def hot(m: Model) -> dict[str, list]:
+    """Ids that are a hot key of references, as their target or their source, and of nesting, as the parent; found once a model."""
+    if "hot" not in m.derived:
+        found = skew.hot_keys(m.refs, target=R.local_id(R.strip_pin(F.col("ref"))), source="from_id")
+        if "parent_id" in m.nodes.columns:
+            found |= skew.hot_keys(m.nodes.filter("coalesce(parent_id, '') <> ''"), parent="parent_id")
+        m.derived["hot"] = {"target": [], "source": [], "parent": []} | found
+    return m.derived["hot"]
+
+
 def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     """All declared references: from_id, pos, ref, pin, to_id (null if broken).
 
@@ -62,7 +75,7 @@ def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
     by_id = document_ids(m).select(F.col("document_id").alias("_q"), F.col("doc_path").alias("_dir"))
     r = r.join(by_id, "_q", "left")
     target = definitions(m).select(F.col("id").alias("_id"), F.col("id").alias("to_id"), F.col("doc_path").alias("_at"))
-    r = r.join(target, "_id", "left")
+    r = skew.attach(r, target, "_id", "left", hot(m)["target"])
     direct = F.col("_dir").isNotNull() & (F.col("_at") == F.col("_dir"))
     local = F.col("_at") == F.col("_q")
     if not directory_fallback:
@@ -74,7 +87,7 @@ def resolve(m: Model, directory_fallback: bool = True) -> DataFrame:
 def parent_edges(m: Model) -> DataFrame:
     """Edges from nested requirements to the requirement around them: from_id, to_id; to_id is null if there is none of that id."""
     own = m.nodes.filter("kind = 'req'").select(F.col("id").alias("from_id"), column(m.nodes, "parent_id", "string").alias("_p")).filter("coalesce(_p, '') <> ''")
-    return own.join(definitions(m).select(F.col("id").alias("_p"), F.col("id").alias("to_id")), "_p", "left").select("from_id", "to_id", F.col("_p").alias("parent_id"))
+    return skew.attach(own, definitions(m).select(F.col("id").alias("_p"), F.col("id").alias("to_id")), "_p", "left", hot(m)["parent"]).select("from_id", "to_id", F.col("_p").alias("parent_id"))
 
 
 def edges(m: Model) -> DataFrame:
@@ -106,7 +119,7 @@ def broken(m: Model) -> DataFrame:
 def traces(m: Model) -> DataFrame:
     """One row per declared reference: from_id, to_id, doc_path, ref, file, pin, resolved."""
     own = definitions(m).select(F.col("id").alias("from_id"), "doc_path", "file")
-    return resolve(m, directory_fallback=False).join(own, "from_id").select("from_id", "to_id", "doc_path", "ref", "file", F.coalesce("pin", F.lit(0)).alias("pin"), F.col("to_id").isNotNull().alias("resolved"))
+    return skew.attach(resolve(m, directory_fallback=False), own, "from_id", "inner", hot(m)["source"]).select("from_id", "to_id", "doc_path", "ref", "file", F.coalesce("pin", F.lit(0)).alias("pin"), F.col("to_id").isNotNull().alias("resolved"))
 
 
 def last_refs(m: Model) -> DataFrame:
