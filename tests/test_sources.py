@@ -309,18 +309,10 @@ def test_hashes_links_and_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("path string").json(str(tmp_path / "in"))
     told = []
+    before = sum(streams.failures.values())
     q = streams.notify(stream, [lambda i: 1 / 0, told.append], str(tmp_path / "ck"), "0 seconds")
     (tmp_path / "in/x.json").write_text('{"path": "p"}\n')
     q.processAllAvailable()
     q.stop()
+    assert sum(streams.failures.values()) == before + 1
     assert told == [0] and streams.watched_folders("r/x.json", False) == ["r"] and streams.watched_folders("r/", True) == ["r"]
-
-
-def test_upserts_keep_the_latest_over_batches(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    row = lambda m, o, t, k: json.dumps({"measure_id": m, "case_key": "", "outcome": o, "verified_at": t, "source": "s", "load_ord": k}) + "\n"
-    for i, lines in enumerate(([row("A", "fail", "2024-01-02T00:00:00Z", 1), row("B", "pass", "2024-01-01T00:00:00Z", 2)], [row("A~1", "pass", "2024-01-01T00:00:00Z", 3), row("B", "fail", "2024-01-03T00:00:00Z", 4)])):
-        (tmp_path / f"in/{i}.json").write_text("".join(lines))
-        stream = spark.readStream.schema(RESULTS).json(str(tmp_path / "in"))
-        streams.upsert_latest(stream, str(tmp_path / "state"), str(tmp_path / "offsets")).awaitTermination()
-    assert {(r["measure_id"], r["outcome"]) for r in streams.read_latest(spark, str(tmp_path / "state")).collect()} == {("A", "fail"), ("B", "fail")}

@@ -511,11 +511,13 @@ def replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LATEST + "SELECT measure_id, case_key, outcome, source FROM y WHERE NOT starts_with(measure_id, 'TC:')")
 def stream_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, upserted into latest-wins state files; equals the batch merge of the same results."""
+    """The events as a stream, folded into keyed latest-wins state and compacted; equals the batch merge of the same results."""
     import uuid
 
+    from tracelake.model import RESULTS
     from tracelake.plans.projection import RESULTS_SQL
-    from tracelake.streaming.results import read_latest, scratch, upsert_latest
+    from tracelake.streaming.results import scratch
+    from tracelake.streaming.state import ResultState, upsert
 
     folder, glob = sf_dir.rstrip("/"), "events.parquet*"
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -523,9 +525,9 @@ def stream_latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"events_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(name)
     folder = scratch(spark, name)
-    q = upsert_latest(spark.sql(RESULTS_SQL.replace("{events}", name)), f"{folder}/state", f"{folder}/offsets")
-    q.awaitTermination()
-    return read_latest(spark, f"{folder}/state").select("measure_id", "case_key", "outcome", "source")
+    state = ResultState(spark, f"{folder}/state", RESULTS, buckets=64, compact_every=1)
+    upsert(spark.sql(RESULTS_SQL.replace("{events}", name)), state, f"{folder}/offsets").awaitTermination()
+    return state.read().select("measure_id", "case_key", "outcome", "source")
 
 
 on_model(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
+import logging
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tracelake.functions import refs as R
 from tracelake.model import cut
 
+_log = logging.getLogger(__name__)
+#: How often each listener has failed.
+failures: Counter[str] = Counter()
+
 
 def latest_stream(results: DataFrame) -> DataFrame:
     """Latest result of each (target, case) of a stream, for update mode.
@@ -32,53 +37,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
 
 
-def upsert_latest(results: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of results into latest-wins state files under ``folder``.
-
-    Each batch merges the state's last version with the batch's results into a
-    new version, so state lives in files
-    and not in the driver, and a batch that runs again writes the same version.
-    """
-    spark, schema = results.sparkSession, results.schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        from tracelake.operators import verify
-
-        old = _versions(spark, folder, batch_id)
-        both = batch if not old else batch.unionByName(spark.read.schema(schema).parquet(f"{folder}/v{old[-1]}"))
-        verify.latest(both).select(*schema.names).write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
-
-    return results.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _versions(spark: SparkSession, folder: str, before: int) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(path)]
-    done = [int(n[1:]) for n in names if n[1:].isdigit() and int(n[1:]) < before and fs.exists(path.suffix(f"/{n}/_SUCCESS"))]
-    return sorted(done)
-
-
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version that ``upsert_latest`` has finished."""
-    return spark.read.parquet(f"{folder}/v{_versions(spark, folder, 1 << 62)[-1]}")
-
-
 def watched_folders(results_path: str, is_folder: bool) -> list[str]:
     """The folders to watch for results: the path itself, or the one that a single report lies in."""
     return [results_path.rstrip("/") if is_folder else results_path.rpartition("/")[0] or "."]
 
 
 def notify(stream: DataFrame, listeners: list[Callable[[int], None]], checkpoint: str, interval: str = "500 milliseconds") -> StreamingQuery:
-    """Tell every listener of each batch of changes; one that fails misses the message and stops nobody else."""
+    """Tell every listener of each batch of changes; one that fails misses the message, which is logged and counted in ``failures``, and stops nobody else."""
 
     def send(batch: DataFrame, batch_id: int) -> None:
         if batch.limit(1).count():
             for f in listeners:
-                with contextlib.suppress(Exception):
+                try:
                     f(batch_id)
+                except Exception:
+                    failures[getattr(f, "__qualname__", repr(f))] += 1
+                    _log.exception("listener failed on batch %s", batch_id)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
@@ -99,6 +73,6 @@ def rebuild_on_change(stream: DataFrame, rebuild: Callable[[SparkSession, int],
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Polled snapshots (path, mtime): path, op (add, modify, delete)."""
+    """Two snapshots (path, mtime): path, op (add, modify, delete). For a stream of them see ``watch.changes``."""
     x = before.select("path", F.col("mtime").alias("o")).join(after.select("path", F.col("mtime").alias("n")), "path", "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
     return x.select("path", F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "delete").otherwise("modify").alias("op"))
