@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import DOCUMENTS, NODES, REFS, RESULTS, Model
-from tracelake.operators import attributes, checks, coverage, diff, graph, reach, tree, verify, views
+from tracelake.operators import attributes, checks, coverage, diff, graph, reach, schema, tree, verify, views
 from tracelake.sources.replicate import replicate
 
 
@@ -194,7 +194,7 @@ def test_dispositions_prefixes_disjoint_and_schema(spark):
     assert rows(attributes.disposition_reasons(m), "id") == [("D-1",)]
     assert rows(attributes.mandatory_dispositions(m), "id") == [("E-2",)]
     assert rows(graph.prefix_checks(m), "req_id", "problem") == [("D-", "collision"), ("E-2", "mismatch")]
-    assert rows(attributes.schema_errors(m, {"d": {"required": ["verify"], "properties": {"status": {"enum": ["draft"]}}}}), "id", "problem") == [("D-1", "required"), ("E-2", "enum"), ("E-2", "required")]
+    assert rows(schema.schema_errors(m, {"d": {"required": ["verify"], "properties": {"status": {"enum": ["draft"]}}}}), "id", "problem") == [("D-1", "required"), ("E-2", "enum"), ("E-2", "required")]
     v = spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", ["x", "y"]), ("n", [])], "id string, vals array<string>")
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "n")], "from_id string, to_id string")
     assert rows(attributes.disjoint(e, v), "to_id") == [("b",)]
@@ -321,16 +321,107 @@ def test_results_of_test_cases_are_nodes(spark):
 def test_schema_keywords(spark):
     x = spark.createDataFrame([("d", "A", "req", '{"n": 3, "tags": ["Base", "x"], "s": "ab"}'), ("d", "B", "req", '{"n": "3", "tags": "Base", "extra": 1}'), ("d", "C", "req", None)], "doc_path string, id string, kind string, attrs string")
     m = Model(x, x, x)
-    schema = {"required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "minimum": 4}, "tags": {"type": "array", "items": {"type": "string", "enum": ["Base"]}, "maxItems": 1}, "s": {"type": "string", "pattern": "^b"}}}
-    assert rows(attributes.schema_errors(m, {"d": schema}), "id", "attr", "problem") == [
-        ("A", "n", "minimum"), ("A", "s", "pattern"), ("A", "tags", "items.enum"), ("A", "tags", "maxItems"), ("B", "", "additionalProperties"), ("B", "n", "minimum"), ("B", "n", "type"), ("B", "tags", "type"), ("C", "n", "required"),
+    rules = {"required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "minimum": 4}, "tags": {"type": "array", "items": {"type": "string", "enum": ["Base"]}, "maxItems": 1}, "s": {"type": "string", "pattern": "^b"}}}
+    assert rows(schema.schema_errors(m, {"d": rules}), "id", "attr", "problem") == [
+        ("A", "n", "minimum"), ("A", "s", "pattern"), ("A", "tags", "maxItems"), ("A", "tags[1]", "enum"), ("B", "extra", "additionalProperties"), ("B", "n", "type"), ("B", "tags", "type"), ("C", "n", "required"),
     ]
-    for bad in ({"properties": {"n": {"multipleOf": 2}}}, {"properties": {"n": {"type": "date"}}}, {"properties": {"status": {"type": "integer"}}}, {"properties": {"n": {"items": {"not": 1}}}}):
-        with pytest.raises(ValueError):
-            attributes.compile_schema(bad, ["attrs"])
+    for bad in (
+        {"properties": {"n": {"multipleOf": 0}}}, {"properties": {"n": {"type": "date"}}}, {"properties": {"status": {"type": "integer"}}}, {"properties": {"n": {"items": {"not": 1}}}}, {"properties": []}, {"required": "n"},
+        {"properties": {"n": {"pattern": "("}}}, {"patternProperties": {"[": {}}}, {"properties": {"n": {"$ref": "#/$defs/none"}}}, {"properties": {"n": {"$ref": "http://x"}}}, {"allOf": {}}, {"properties": {"n": {"frobnicate": 1}}}, {"enum": 3}, [],
+    ):
+        assert len(schema.problems(bad)) == 1, bad
+        if isinstance(bad, dict):
+            assert schema.schema_errors(m, {"d": bad}).count() >= 0  # the rest of it counts, and no check is broken off
+    assert not schema.problems({"$schema": "x", "x-tool": {"a": 1}, "title": "t", "properties": {"n": {"format": "date", "description": "d"}}})
     assert rows(attributes.universes(m), "attr", "n") == [("extra", 1), ("n", 2), ("s", 1), ("tags", 2)]
 
 
+TREE = {"$defs": {"tree": {"type": "object", "properties": {"name": {"type": "string"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}, "required": ["name"]}}, "properties": {"v": {"$ref": "#/$defs/tree"}}}
+KEYWORDS = [
+    ({"type": "integer"}, [1, 1.0, 1.5, "1", True, None, [], {}]), ({"type": ["string", "null"]}, ["a", None, 1, []]), ({"type": "number"}, [1, 2.5, "x"]), ({"type": "boolean"}, [True, 0]), ({"type": "object"}, [{}, []]),
+    ({"enum": ["a", 1, None, [1, "b"], {"k": 2}]}, ["a", 1, 1.0, None, [1, "b"], ["b", 1], {"k": 2}, {"k": 3}, "1", True]), ({"const": 3}, [3, 3.0, "3", [3]]), ({"const": False}, [False, 0, None]),
+    ({"minLength": 2, "maxLength": 3}, ["a", "ab", "été", "abcd", 5]), ({"pattern": "^a.*z$"}, ["az", "abz", "za", 3]), ({"minimum": 2, "maximum": 4}, [1, 2, 4, 4.5, "9"]), ({"exclusiveMinimum": 2, "exclusiveMaximum": 4}, [2, 3, 4]),
+    ({"multipleOf": 0.5}, [1, 1.5, 1.25, "x"]), ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, [[], [1], [1, 1], [1, "1", 2], "x"]), ({"items": {"type": "string", "minLength": 2}}, [["ab", "c", 3], [], "x"]),
+    ({"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": False}, [["a", 1], ["a", "b"], ["a", 1, 2], [1]]), ({"contains": {"type": "integer"}}, [["a"], ["a", 1], []]), ({"contains": {"const": 1}, "minContains": 2, "maxContains": 3}, [[1], [1, 1], [1, 1, 1, 1]]),
+    ({"properties": {"a": {"type": "string"}, "b": {"properties": {"c": {"minimum": 3}}}}, "required": ["a", "z"]}, [{"a": 1}, {"a": "x", "z": None, "b": {"c": 2}}, {"b": {"c": 5}}, []]),
+    ({"patternProperties": {"^n_": {"type": "integer"}, "_t$": {"minLength": 2}}, "additionalProperties": {"type": "boolean"}}, [{"n_a": 1, "n_t": "x", "o": True}, {"o": 1, "x_t": "ab"}]),
+    ({"properties": {"a": {}}, "patternProperties": {"^x": {}}, "additionalProperties": False}, [{"a": 1, "x1": 2}, {"a": 1, "b": 2, "c": 3}]), ({"propertyNames": {"maxLength": 2}}, [{"ab": 1}, {"abc": 1}, {}]), ({"minProperties": 1, "maxProperties": 2}, [{}, {"a": 1}, {"a": 1, "b": 2, "c": 3}]),
+    ({"dependentRequired": {"a": ["b", "c"]}}, [{"a": 1, "b": 2}, {"b": 1}]), ({"dependentSchemas": {"a": {"required": ["q"]}}}, [{"a": 1}, {"a": 1, "q": 1}, {}]),
+    ({"allOf": [{"minimum": 2}, {"maximum": 1}]}, [1, 2, 1.5]), ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 4, 2]), ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [1, 4, 2.5, 3.5]), ({"not": {"enum": ["a"]}}, ["a", "b"]),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"required": ["a"]}, "else": {"required": ["b"]}}, [{"k": 1}, {"k": 1, "a": 1}, {"k": 2}, {"b": 1}]), ({"if": {"type": "string"}, "then": {"minLength": 2}}, ["a", "ab", 1]),
+    (True, [1]), (False, [1]), ({}, [1, None]), (TREE, [{"name": "a", "kids": [{"name": 1}, {"kids": [{"name": "x"}, {}]}]}, {"kids": "x"}, 3]), ({"format": "date"}, ["2024-01-31", "2024-13-01", 3]),
+]
+
+
+def _plain_errors(root, s, v, path):
+    """(path, keyword) of every violation, by the rules of the specification, one value at a time."""
+    import re
+
+    if isinstance(s, bool):
+        return set() if s else {(path, "false")}
+    num = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    same = lambda a, b: type(a) is type(b) and a == b if isinstance(a, bool) or isinstance(b, bool) else a == b
+    types = {"string": isinstance(v, str), "boolean": isinstance(v, bool), "array": isinstance(v, list), "object": isinstance(v, dict), "null": v is None, "number": num(v), "integer": num(v) and v == int(v)}
+    ok = lambda x: not _plain_errors(root, x, v, "")
+    out, at = set(), lambda n: f"{path}.{n}" if path else n
+    simple = {
+        "type": lambda w: any(types[t] for t in ([w] if isinstance(w, str) else w)), "enum": lambda w: any(same(v, x) for x in w), "const": lambda w: same(v, w), "minLength": lambda w: not types["string"] or len(v) >= w, "maxLength": lambda w: not types["string"] or len(v) <= w,
+        "pattern": lambda w: not types["string"] or re.search(w, v), "minimum": lambda w: not num(v) or v >= w, "maximum": lambda w: not num(v) or v <= w, "exclusiveMinimum": lambda w: not num(v) or v > w, "exclusiveMaximum": lambda w: not num(v) or v < w,
+        "multipleOf": lambda w: not num(v) or v / w == int(v / w), "minItems": lambda w: not types["array"] or len(v) >= w, "maxItems": lambda w: not types["array"] or len(v) <= w, "uniqueItems": lambda w: not types["array"] or not any(same(a, b) for i, a in enumerate(v) for b in v[:i]),
+        "minProperties": lambda w: not types["object"] or len(v) >= w, "maxProperties": lambda w: not types["object"] or len(v) <= w, "anyOf": lambda w: any(map(ok, w)), "oneOf": lambda w: sum(map(ok, w)) == 1, "not": lambda w: not ok(w),
+        "contains": lambda w: not types["array"] or s.get("minContains", 1) <= sum(not _plain_errors(root, w, x, "") for x in v) <= s.get("maxContains", 99), "propertyNames": lambda w: not types["object"] or all(not _plain_errors(root, w, k, "") for k in v),
+    }
+    for k, w in s.items():
+        if k in simple and not simple[k](w):
+            out.add((path, k))
+        elif k == "$ref":
+            out |= _plain_errors(root, root["$defs"][w.split("/")[-1]], v, path)
+        elif k == "allOf":
+            out |= set().union(*(_plain_errors(root, x, v, path) for x in w))
+        elif k == "if":
+            out |= _plain_errors(root, s.get("then" if ok(w) else "else", True), v, path)
+        elif types["array"] and k == "prefixItems":
+            out |= set().union(*(_plain_errors(root, x, y, f"{path}[{i}]") for i, (x, y) in enumerate(zip(w, v))))
+        elif types["array"] and k == "items":
+            out |= {e for i, y in enumerate(v) if i >= len(s.get("prefixItems", ())) for e in _plain_errors(root, w, y, f"{path}[{i}]")}
+        elif types["object"] and k == "properties":
+            out |= {e for n, x in w.items() if n in v for e in _plain_errors(root, x, v[n], at(n))}
+        elif types["object"] and k == "required":
+            out |= {(at(n), k) for n in w if n not in v}
+        elif types["object"] and k == "dependentRequired":
+            out |= {(at(y), k) for n, ys in w.items() if n in v for y in ys if y not in v}
+        elif types["object"] and k == "dependentSchemas":
+            out |= {e for n, x in w.items() if n in v for e in _plain_errors(root, x, v, path)}
+        elif types["object"] and k == "patternProperties":
+            out |= {e for p, x in w.items() for n in v if re.search(p, n) for e in _plain_errors(root, x, v[n], at(n))}
+        elif types["object"] and k == "additionalProperties":
+            rest = [n for n in v if n not in s.get("properties", {}) and not any(re.search(p, n) for p in s.get("patternProperties", {}))]
+            out |= {(at(n), k) for n in rest} if w is False else {e for n in rest for e in _plain_errors(root, w, v[n], at(n))}
+    return out
+
+
+def test_schema_keywords_against_a_plain_validator(spark):
+    import json
+
+    schemas = {f"d{i}": s if s is TREE else {"properties": {"v": s}} for i, (s, _) in enumerate(KEYWORDS)}
+    data = [(f"d{i}", f"d{i}-{j}", "req", json.dumps({"v": v})) for i, (_, values) in enumerate(KEYWORDS) for j, v in enumerate(values)]
+    x = spark.createDataFrame(data, "doc_path string, id string, kind string, attrs string")
+    assert not any(schema.problems(s) for s in schemas.values())
+    got = {}
+    for r in schema.schema_errors(Model(x, x, x), schemas).collect():
+        got.setdefault(r["id"], set()).add((r["attr"], r["problem"]))
+    for d, i, _, attrs in data:
+        assert got.get(i, set()) == _plain_errors(schemas[d], schemas[d], json.loads(attrs), ""), (schemas[d], attrs)
+    dates = schema.schema_errors(Model(x, x, x), {f"d{len(KEYWORDS) - 1}": schemas[f"d{len(KEYWORDS) - 1}"]}, formats=True)
+    assert rows(dates, "id", "problem") == [(f"d{len(KEYWORDS) - 1}-1", "format")]
+
+
+def test_builtin_attributes_have_rules(spark):
+    nodes = [("d", "D-1", {"status": "odd", "disposition": "dropped"}), ("d", "D-2", {"status": "reviewed", "rtf": ["OK?"], "version": 2}), ("d", "D-3", {"status": "draft", "disposition": "deferred", "rtf": ["a_b"]})]
+    m = model(spark, [("d", ("d", "d", None, []), {})], nodes, [])
+    assert rows(schema.schema_errors(m, {"d": {"x-t": {"additional-status-values": ["reviewed"]}}}), "id", "attr", "problem") == [("D-1", "disposition", "enum"), ("D-1", "status", "enum"), ("D-2", "requires-trace-from[0]", "pattern")]
+
+
 def test_filter_as_seen_within_it(spark):
     m = two(spark, [("sys", "S-1", {}), ("tst", "T-1", {})], [("T-1", 1, "S-1")], rtf=None)
     assert [r["code"] for r in coverage.findings(m, m.nodes.filter("id = 'T-1'").select("id")).collect()] == []  # a leaf with an own empty list

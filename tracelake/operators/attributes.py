@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import refs as R
 from tracelake.model import Model
 from tracelake.operators import graph
+from tracelake.operators.schema import BUILTINS
 
 ATTRIBUTES = ("status", "verify", "disposition", "disposition_reason")
 
@@ -95,121 +95,6 @@ def disjoint(e: DataFrame, values: DataFrame) -> DataFrame:
     return x.filter((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")).select("from_id", "to_id")
 
 
-#: Attributes that every schema has without declaring them, with their rules (fixed values of the format).
-BUILTINS: dict[str, dict] = {
-    "trace": {"type": "array", "items": {"type": "string", "pattern": R.TRACE_ITEM}},
-    "disposition": {"type": "string"},
-    "disposition-reason": {"type": "string"},
-    "requires-trace-from": {"type": "array", "items": {"type": "string"}},
-    "version": {"type": "integer"},
-    "status": {"type": "string"},
-}
-COLUMN_OF = {"disposition-reason": "disposition_reason", "requires-trace-from": "requires_trace_from", "trace": "trace"}
-_NOTES = {"title", "description", "default", "examples", "deprecated", "$comment"}
-_TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
-
-
-def _value(name: str, columns: list[str]) -> tuple[Column, Column]:
-    """(value as text, variant type) of an attribute: a column if there is one, else a member of the JSON text ``attrs``."""
-    own = COLUMN_OF.get(name, name)
-    if own in columns and own != "attrs":
-        return F.col(own), F.lit(None).cast("string")
-    if "attrs" not in columns:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    v = F.try_variant_get(F.try_parse_json("attrs"), f'$["{name}"]', "variant")
-    return F.try_variant_get(F.try_parse_json("attrs"), f'$["{name}"]', "string"), F.schema_of_variant(v)
-
-
-def _of_type(c: Column, kind: Column, wanted: str | list[str], is_array: bool) -> Column:
-    """Whether a value that is set has one of the types; columns have theirs already, but for integers in texts."""
-    ok = F.lit(False)
-    for t in [wanted] if isinstance(wanted, str) else wanted:
-        if t == "number":
-            ok |= kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)") | (kind.isNull() & (F.lit(not is_array) if is_array else c.cast("string").try_cast("double").isNotNull()))
-        elif t in _TYPES:
-            plain = F.lit(t == "array") if is_array else c.cast("string").try_cast("bigint").isNotNull() if t == "integer" else F.lit(t == "string")
-            ok |= kind.startswith(_TYPES[t]) | (kind.isNull() & plain)
-        else:
-            raise ValueError(f"unknown type {t!r}")
-    return F.coalesce(ok, F.lit(False))
-
-
-def _bad_item(keyword: str, wanted: object) -> Callable[[Column], Column]:
-    if keyword == "enum":
-        return lambda x: ~x.isin(*map(str, wanted))
-    if keyword == "pattern":
-        return lambda x: ~x.rlike(wanted)
-    return (lambda x: F.length(x) < wanted) if keyword == "minLength" else (lambda x: F.length(x) > wanted)
-
-
-def compile_schema(schema: dict, columns: list[str] | None = None, arrays: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
-    """(attribute, problem, violated?) for a JSON schema of attributes; a keyword that isn't understood is an error.
-
-    Understood: required, properties with type, enum, const, pattern (found
-    anywhere), minLength, maxLength, minimum, maximum, items, minItems,
-    maxItems and uniqueItems, and additionalProperties false. Attributes that
-    every schema has may not be declared again with a ``type`` of another kind.
-    """
-    columns = columns if columns is not None else [*ATTRIBUTES, "version", "title"]
-    properties = schema.get("properties") or {}
-    out: list[tuple[str, str, Column]] = [(a, "required", _value(a, columns)[0].isNull()) for a in schema.get("required") or []]
-    for a, rule in properties.items():
-        if not isinstance(rule, dict):
-            raise ValueError(f"{a}: a rule must be a map")
-        if a in BUILTINS and rule.get("type", BUILTINS[a].get("type")) != BUILTINS[a].get("type"):
-            raise ValueError(f"{a}: declared again as another type")
-        is_array = COLUMN_OF.get(a, a) in arrays
-        c, kind = _value(a, columns)
-        if is_array:
-            items = c
-        else:
-            items = F.from_json(c.cast("string"), "array<string>")
-        tests = {
-            "type": lambda v, c=c, kind=kind, r=is_array: ~_of_type(c, kind, v, r),
-            "enum": lambda v, c=c: ~c.cast("string").isin(*(str(x).lower() if isinstance(x, bool) else str(x) for x in v)),
-            "const": lambda v, c=c: c.cast("string") != (str(v).lower() if isinstance(v, bool) else str(v)),
-            "pattern": lambda v, c=c: ~c.cast("string").rlike(v),
-            "minLength": lambda v, c=c: F.length(c.cast("string")) < v,
-            "maxLength": lambda v, c=c: F.length(c.cast("string")) > v,
-            "minimum": lambda v, c=c: c.cast("string").try_cast("double") < v,
-            "maximum": lambda v, c=c: c.cast("string").try_cast("double") > v,
-            "minItems": lambda v, i=items: F.size(i) < v,
-            "maxItems": lambda v, i=items: F.size(i) > v,
-            "uniqueItems": lambda v, i=items: F.lit(bool(v)) & (F.size(F.array_distinct(i)) < F.size(i)),
-        }
-        for k, v in rule.items():
-            if k == "items":
-                for ik, iv in v.items():
-                    if ik == "type" or ik in _NOTES:
-                        continue
-                    if ik not in ("enum", "pattern", "minLength", "maxLength"):
-                        raise ValueError(f"{a}: items: unknown keyword {ik!r}")
-                    out.append((a, f"items.{ik}", F.coalesce(F.exists(items, _bad_item(ik, iv)), F.lit(False))))
-            elif k in tests:
-                out.append((a, k, c.isNotNull() & F.coalesce(tests[k](v), F.lit(False))))
-            elif k not in _NOTES:
-                raise ValueError(f"{a}: unknown keyword {k!r}")
-    if schema.get("additionalProperties") is False and "attrs" in columns:
-        known = [*properties, *BUILTINS]
-        names = F.array_except(F.coalesce(F.json_object_keys("attrs"), F.array().cast("array<string>")), F.array(*(F.lit(k) for k in known)))
-        out.append(("", "additionalProperties", F.size(names) > 0))
-    return out
-
-
-def schema_errors(m: Model, schemas: dict[str, dict]) -> DataFrame:
-    """doc_path, id, attr, problem for each requirement that breaks its document's schema; one pass over the nodes.
-
-    Attributes are columns of the nodes, or members of their JSON text ``attrs`` if they have one.
-    """
-    none = F.lit(None).cast("struct<attr: string, problem: string>")
-    arrays = tuple(f.name for f in m.nodes.schema if f.dataType.typeName() == "array")
-    rules = [F.when((F.col("doc_path") == d) & bad, F.struct(F.lit(a).alias("attr"), F.lit(p).alias("problem"))).otherwise(none) for d, s in schemas.items() for a, p, bad in compile_schema(s, m.nodes.columns, arrays)]
-    if not rules:
-        return m.nodes.limit(0).select("doc_path", "id", F.lit("").alias("attr"), F.lit("").alias("problem"))
-    x = m.nodes.filter("kind = 'req'").select("doc_path", "id", F.explode(F.filter(F.array(*rules), lambda e: e.isNotNull())).alias("e"))
-    return x.select("doc_path", "id", "e.attr", "e.problem")
-
-
 def universes(m: Model) -> DataFrame:
     """Attributes that requirements have, by name and how many have them: attr, n. Columns and members of ``attrs``."""
     names = [c for c in (*ATTRIBUTES, "version") if c in m.nodes.columns]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import Model
-from tracelake.operators import attributes, coverage, graph, verify
+from tracelake.operators import attributes, coverage, graph, schema, verify
 
 COLUMNS = ("check_ord", "level", "code", "direction", "outcome", "req_id", "message")
 
@@ -60,7 +60,7 @@ def findings(m: Model, in_filter: DataFrame | None = None, relaxed_versions: boo
     for name in sorted(disjoint or {}):
         add(attributes.disjoint(graph.edges(g), disjoint[name]), "ERROR", "disjoint", "from_id", F.concat(F.lit(f'no common value of "{name}" with '), "to_id"), True)
     if schemas:
-        add(attributes.schema_errors(g, schemas), "ERROR", "schema", "id", F.concat_ws(": ", "attr", "problem"), False)
+        add(schema.schema_errors(g, schemas), "ERROR", "schema", "id", F.concat_ws(": ", "attr", "problem"), False)
     files = graph.definitions(g).select(F.col("id").alias("req_id"), "file")
     out = reduce(DataFrame.unionByName, parts).join(files, "req_id", "left")
     return out.select(*COLUMNS[:-1], F.coalesce("file", F.lit("")).alias("file"), "message")

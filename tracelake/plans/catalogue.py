@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import expr
 from tracelake.functions import refs as R
-from tracelake.operators import attributes, checks, coverage, diff, graph, tree, verify, views
+from tracelake.operators import attributes, checks, coverage, diff, graph, schema, tree, verify, views
 from tracelake.plans.projection import BLOCKS_SQL, CTES, Model, attributed, model, on_spark, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +193,7 @@ on_model(
     """SELECT * FROM (SELECT doc_path, id, unnest(['status', 'version', 'version', 'title', 'title']) AS attr, unnest(['required', 'minimum', 'maximum', 'pattern', 'maxLength']) AS problem,
       unnest([status IS NULL, version < 2, version > 45, NOT contains(title, 'a'), length(title) > 18]) AS bad FROM n_ WHERE doc_path = 'parts'
     UNION ALL SELECT doc_path, id, unnest(['status', 'title', 'title', 'verify']), unnest(['enum', 'minLength', 'pattern', 'const']), unnest([status <> 'approved', length(title) < 6, NOT regexp_matches(title, '^[1-5]-'), verify <> 'Test']) FROM n_ WHERE doc_path = 'tests') WHERE bad""".replace("SELECT * FROM (SELECT doc_path", "SELECT doc_path, id, attr, problem FROM (SELECT doc_path", 1),
-    "schema_validation", lambda m: attributes.schema_errors(m, SCHEMAS))
+    "schema_validation", lambda m: schema.schema_errors(m, SCHEMAS))
 
 _TAGS = "SELECT {id} AS id, {tags} AS tags FROM {{{table}}}"
 

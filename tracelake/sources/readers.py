@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
 from tracelake.model import DOCUMENTS, Model, cut
-from tracelake.operators import attributes, tree, verify
+from tracelake.operators import schema as schemas_
+from tracelake.operators import tree, verify
 from tracelake.sources import markdown
 
 PARSED = (
@@ -35,6 +36,13 @@ def _strings(v: object) -> list[str] | None:
     return None if v is None else [x for x in v if isinstance(x, str)] if isinstance(v, list) else [v] if isinstance(v, str) else []
 
 
+def _fits(name: str, value: object) -> bool:
+    """Whether an attribute has a column that holds its value whole."""
+    if name in ("trace", "requires-trace-from"):
+        return isinstance(value, list) and all(isinstance(x, str) for x in value)
+    return name in PROMOTED and (isinstance(value, int) and not isinstance(value, bool) if name == "version" else isinstance(value, str))
+
+
 def _parser(tool: str | None):
     return lambda batches: _parse(batches, tool)
 
@@ -56,7 +64,7 @@ def _parse(batches: Iterator[pd.DataFrame], tool: str | None) -> Iterator[pd.Dat
                 a = b.attrs
                 text_of = lambda n, a=a: a[n] if isinstance(a.get(n), str) else None
                 version = a.get("version")
-                rest = {x: y for x, y in a.items() if x not in PROMOTED}
+                rest = {x: y for x, y in a.items() if not _fits(x, y)}
                 rows.append({
                     "file": path, "ord": k, "level": b.level, "kind": b.kind, "id": b.id or None, "title": b.title, "body": b.body, "rationale": b.rationale, "suppressions": b.suppressions,
                     "trace": _strings(a.get("trace")) or [], "requires_trace_from": _strings(a.get("requires-trace-from")), "status": text_of("status"),
@@ -139,7 +147,7 @@ def read_file(spark: SparkSession, path: str, schema: str, tool: str | None = No
     if isinstance(rules, markdown.Unreadable):
         raise ValueError(rules.error)
     nodes = with_parents(blocks).filter("kind <> 'error'")
-    return blocks, attributes.schema_errors(Model(spark.createDataFrame([], DOCUMENTS), nodes, nodes.limit(0).select(F.col("id").alias("from_id"), F.lit(1).alias("pos"), F.col("id").alias("ref"))), {".": rules})
+    return blocks, schemas_.schema_errors(Model(spark.createDataFrame([], DOCUMENTS), nodes, nodes.limit(0).select(F.col("id").alias("from_id"), F.lit(1).alias("pos"), F.col("id").alias("ref"))), {".": rules})
 
 
 #: A test report's shape; the binding block is the map under an ``x-`` key of ``extra``.
@@ -268,6 +276,7 @@ def config_errors(schemas: dict[str, dict], tool: str | None = None) -> list[str
         except ValueError as e:
             bad.append(f"{d}: {e}")
             continue
+        bad += [f"{d}: {x}" for x in schemas_.problems(s)]
         if "$schema" not in s:
             bad.append(f"{d}: $schema is missing")
         for key in ("additional-status-values", "requires-trace-from"):
