@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import refs as R
-from tracelake.model import Model, column
+from tracelake.model import Model, column, cut
 from tracelake.operators import graph, skew
 
 
@@ -42,11 +42,15 @@ def boundaries(m: Model, resolve_paths: bool = False) -> DataFrame:
     return m.documents.join(used, "doc_path", "left").select("doc_path", root.alias("is_root"), F.col("_used").isNull().alias("is_leaf"))
 
 
-def _inbound(m: Model, in_filter: DataFrame | None) -> DataFrame:
-    """Inbound edges (a repeated reference counts each time) with the source's directory and whether it provides coverage; in order, parents last."""
+def _inbound(m: Model, in_filter: DataFrame | None, of: DataFrame | None = None) -> DataFrame:
+    """Inbound edges, of the ids in ``of`` (id) or of all (a repeated reference counts each time) with the source's directory and whether it provides coverage; in order, parents last."""
     own = graph.definitions(m).select(F.col("id").alias("from_id"), F.col("doc_path").alias("src_dir"), "doc_ord", "file", "ord", R.is_provider(F.col("status"), F.col("ignore_status")).alias("provider"))
     at = F.struct((F.col("kind") == "parent").alias("last"), "doc_ord", "file", "ord", "pos")
-    e = skew.attach(graph.edges(m).select("from_id", "to_id", "kind", "pos"), own, "from_id", "inner", graph.hot(m)["source"]).select("from_id", "to_id", "src_dir", "provider", at.alias("at"))
+    e = graph.edges(m).select("from_id", "to_id", "kind", "pos")
+    if of is not None:
+        hubs = sorted({*graph.hot(m)["target"], *graph.hot(m)["parent"]})
+        e = skew.attach(e, of.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi", hubs)
+    e = skew.attach(e, own, "from_id", "inner", graph.hot(m)["source"]).select("from_id", "to_id", "src_dir", "provider", at.alias("at"))
     return e if in_filter is None else e.join(in_filter.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
 
 
@@ -63,7 +67,7 @@ def token_state(m: Model, in_filter: DataFrame | None = None) -> DataFrame:
     dirs = sources_of(m)
     known = dirs.select("token").distinct().withColumn("known", F.lit(True))
     want = want.join(known, "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    inbound = _inbound(m, in_filter).select(F.col("to_id").alias("id"), "src_dir", "provider", "at")
+    inbound = cut(_inbound(m, in_filter, want).select(F.col("to_id").alias("id"), "src_dir", "provider", "at"))
     hubs = sorted({*graph.hot(m)["target"], *graph.hot(m)["parent"]})
     met = skew.attach(inbound, want, "id", "inner", hubs)  # the edges are the long side: a hub's stay where they are
     x = met.unionByName(want.select("id", "token", "known"), allowMissingColumns=True).join(dirs.select("token", F.col("dir").alias("src_dir"), F.lit(True).alias("hit")), ["token", "src_dir"], "left")

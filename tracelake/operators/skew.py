@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 512
-_TRACKED = 1 << 15  # items the sketch tracks: it misses no key over 1/(0.75 * _TRACKED) of the rows
+_TRACKED = 1 << 13  # items the sketch tracks: it misses no key over 1/(0.75 * _TRACKED) of the rows
 
 
 def hot_keys(df: DataFrame, **keys: Column | str) -> dict[str, list]:
