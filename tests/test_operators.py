@@ -88,6 +88,69 @@ def test_cycles_end(spark):
     assert rows(got, "id", "sev") == [("a", 2), ("b", 2), ("c", 2), ("d", 4), ("x", 2)]
 
 
+def _plain_score(ident, title, q):
+    """What the palette scores an item, one character after the other."""
+    low, head = q.strip().lower(), ident.lower()
+    need = "".join(c for c in low if c.isascii() and c.isalnum())
+    words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in head).split()]
+    alnum = lambda c: c.isascii() and c.isalnum()
+    starts = [k for k in range(1, len(head)) if head.startswith(low, k) and not alnum(head[k - 1])]
+    if head == low:
+        return 0.0
+    if head.startswith(low) or starts or len(need) >= 2 and any(w.startswith(need) for w in words[1:]):
+        return 1.0
+    for s, hit in ((2.0, low in head), (3.0, title.lower().startswith(low)), (4.0, low in title.lower())):
+        if hit:
+            return s
+    if len(need) < 2:
+        return None
+
+    def one(text):
+        text, out = text.lower(), []
+        if need in text:
+            k = text.index(need)
+            out.append(k * 0.2 + (4 if k and alnum(text[k - 1]) else 0))
+        dense = "".join(c for c in text if alnum(c))
+        if need[:2] in dense:
+            first = dense.rindex(need[:2])
+            at, skim = first + 2, 0
+            for c in need[2:]:
+                k = dense.find(c, at)
+                if k < 0:
+                    break
+                skim, at = skim + k - at, k + 1
+            else:
+                out.append(first * 0.2 + skim * 0.15)
+        cost, last, at = 6.0, -2, 0
+        for c in need:
+            k = text.find(c, at)
+            if k < 0:
+                break
+            gap = k - last - 1
+            cost += -2 if gap == 0 else -1 if gap <= 2 else gap
+            cost -= 0 if k and alnum(text[k - 1]) else 1.5
+            last, at = k, k + 1
+        else:
+            out += [cost] if cost >= 0 else []
+        return min(out, default=None)
+
+    best = [x + p for x, p in ((one(ident), 0), (one(title), 8)) if x is not None]
+    return 5 + min(best) if best else None
+
+
+def test_search_merges_tiers_and_fuzzy_hits(spark):
+    import random
+
+    rng = random.Random(5)
+    items = [(f"{rng.choice(['SYS', 'SW', 'Graph'])}-{rng.choice(['FMT', 'GRA', 'X_Y', 'FM'])}-{k:03}", " ".join(rng.choice(["Graph", "format", "Löad", "fm-1", "the", "sys", "5-low"]) for _ in range(3)), k) for k in range(150)]
+    d = spark.createDataFrame([*items, ("N-1", None, 200)], "id string, title string, ord int")
+    for q in ("sysfm1", "graph", " GRA ", "SW-GRA-001", "5", "fm-1", "tf", "l.w", "löa", "zz9", "n-1"):
+        want = sorted((s, k, i, t) for i, t, k in [*items, ("N-1", "", 200)] if (s := _plain_score(i, t, q)) is not None)
+        want = want[: 30 if sum(c.isascii() and c.isalnum() for c in q) >= 2 else 40]
+        got = [(round(r["score"], 6), r["id"]) for r in views.search(d, q).collect()]
+        assert got == [(round(s, 6), i) for s, _, i, _ in want], q
+
+
 def _plain_components(edges):
     out = {}
     for a, b in edges:

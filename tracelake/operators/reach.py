@@ -56,6 +56,7 @@ def components(e: DataFrame) -> DataFrame:
     the edges round for the next level, until nothing is left or nothing gives
     way; what then is left, where every id branches both ways, is coloured.
     """
+    e = cut(e.select(*_EDGE))
     own = e.filter("from_id = to_id").select(F.col("from_id").alias("id"), F.col("from_id").alias("comp")).distinct()
     e = cut(_trimmed(e.filter("from_id <> to_id").select(*_EDGE)).distinct())
     return _largest(cut(own).unionByName(_components(e, 0)))

@@ -96,6 +96,22 @@ def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cyclic_nodes(e.unionByName(back))
 
 
+_LINKED = "from_id = 'NAT-000000000' AND to_id LIKE 'REG-%' OR doc_path = 'system' AND ord % 3 = 1"
+
+
+@query(f""", x AS (SELECT from_id, to_id FROM e_ UNION SELECT to_id, from_id FROM e_ JOIN n_ ON n_.id = from_id WHERE {_LINKED} UNION SELECT 'REG-000000001', 'NAT-000000000' UNION SELECT 'REG-000000002', 'REG-000000002'),
+    y AS (SELECT * FROM x WHERE from_id NOT LIKE 'NAT-%4' AND to_id NOT LIKE 'NAT-%4'), z AS (SELECT * FROM y WHERE from_id SIMILAR TO '(NAT|REG)-.*' AND to_id SIMILAR TO '(NAT|REG)-.*'),
+    c AS (SELECT from_id, to_id FROM z UNION SELECT c.from_id, z.to_id FROM c JOIN z ON z.from_id = c.to_id) SELECT DISTINCT from_id AS id FROM c WHERE from_id = to_id""")
+def cycles_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles between regions and some of their nations, one linked to the next, a requirement that refers to itself, and suppressed nations that break some."""
+    m = model(spark, sf_dir)
+    e = graph.edges(m).select("from_id", "to_id").distinct()
+    at = m.nodes.select(F.col("id").alias("from_id"), "doc_path", "ord")
+    back = e.join(at, "from_id").filter(_LINKED).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    more = spark.createDataFrame([("REG-000000001", "NAT-000000000"), ("REG-000000002", "REG-000000002")], "from_id string, to_id string")
+    return graph.cyclic_nodes(e.unionByName(back).unionByName(more), m.nodes.filter("id LIKE 'NAT-%4'").select("id"))
+
+
 # ------------------------------------------------------------ coverage
 
 _TOKENS = """, w AS (SELECT id, doc_path, unnest(string_split(eff, ',')) AS token FROM p_ WHERE eff <> ''),
@@ -226,7 +242,7 @@ for _name, (_text, _where) in FILTERS.items():
     on_model(f"SELECT DISTINCT id FROM n_ WHERE {_where}", _name, lambda m, t=_text: expr.matching_ids(m.nodes.withColumn("tags", F.array(F.coalesce("status", F.lit("x")))), t))
 
 # Attributes outside the core columns, as a schema would declare them.
-_MORE = """, m_ AS (SELECT n_.id, n_.doc_path, p_brand AS brand, p_size AS size, CASE WHEN c_custkey % 3 = 0 THEN 'L' WHEN c_custkey IS NOT NULL THEN 'S' END AS csize, coalesce([p_type, p_brand], CASE WHEN c_custkey IS NOT NULL THEN ['MED', cast(c_nationkey AS varchar)] END) AS tags,
+_MORE = """, m_ AS (SELECT n_.id, n_.doc_path, p_brand AS brand, p_size AS size, CASE WHEN c_custkey % 3 = 0 THEN 'L' WHEN c_custkey IS NOT NULL THEN 'S' END AS csize, CASE WHEN p_partkey IS NOT NULL THEN [p_type, p_brand] WHEN c_custkey IS NOT NULL THEN ['MED', cast(c_nationkey AS varchar)] END AS tags,
     CASE WHEN p_size > 40 THEN p_partkey % 2 = 0 END AS exotic, lower(c_mktsegment) AS segment, c_custkey % 7 + 0.5 AS rate, status
     FROM n_ LEFT JOIN part ON n_.doc_path = 'parts' AND ord = p_partkey LEFT JOIN customer ON n_.doc_path = 'software' AND ord = c_custkey)"""
 DECLARED = {"parts": ["brand", "size", "tags", "exotic"], "software": ["segment", "size", "tags", "rate"]}
@@ -255,6 +271,26 @@ def declared_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.facets(attributed(spark, sf_dir))
 
 
+ATTR_SCHEMAS = {
+    "parts": {
+        "$defs": {"short": {"type": "string", "maxLength": 7}}, "properties": {"brand": {"pattern": "^Brand#[1-9]$"}, "size": {"type": "integer", "exclusiveMaximum": 40}, "tags": {"items": {"$ref": "#/$defs/short"}, "contains": {"enum": ["PROMO", "SMALL", "LARGE"]}}},
+        "if": {"required": ["exotic"]}, "then": {"properties": {"exotic": {"const": True}}}, "else": {"properties": {"size": {"not": {"multipleOf": 9}}}},
+    },
+    "software": {"required": ["owner"], "properties": {"segment": {"anyOf": [{"maxLength": 8}, {"pattern": "^f"}]}, "size": {"type": ["integer", "null"]}, "rate": {"multipleOf": 1.5}}, "patternProperties": {"^ta": {"uniqueItems": True, "prefixItems": [{"const": "MED"}, {"pattern": "^1"}]}}, "additionalProperties": False},
+}
+
+
+@query(_MORE + """, x AS (SELECT doc_path, id, unnest([
+      {'a': 'brand', 'p': 'pattern', 'b': NOT regexp_full_match(brand, 'Brand#[1-9]')}, {'a': 'size', 'p': 'exclusiveMaximum', 'b': size >= 40}, {'a': 'tags[0]', 'p': 'maxLength', 'b': length(tags[1]) > 7}, {'a': 'tags[1]', 'p': 'maxLength', 'b': length(tags[2]) > 7},
+      {'a': 'tags', 'p': 'contains', 'b': tags[1] NOT IN ('PROMO', 'SMALL', 'LARGE')}, {'a': 'exotic', 'p': 'const', 'b': NOT exotic}, {'a': 'size', 'p': 'not', 'b': exotic IS NULL AND size % 9 = 0}]) AS e FROM m_ WHERE doc_path = 'parts'
+    UNION ALL SELECT m_.doc_path, m_.id, unnest([{'a': 'owner', 'p': 'required', 'b': true}, {'a': 'segment', 'p': 'anyOf', 'b': length(segment) > 8 AND segment[1] <> 'f'}, {'a': 'size', 'p': 'type', 'b': true}, {'a': 'rate', 'p': 'multipleOf', 'b': rate NOT IN (1.5, 4.5)},
+      {'a': 'tags[1]', 'p': 'pattern', 'b': tags[2][1] <> '1'}, {'a': 'verify', 'p': 'additionalProperties', 'b': n_.verify IS NOT NULL}, {'a': 'status', 'p': 'enum', 'b': n_.status = 'Approved'}, {'a': 'requires-trace-from', 'p': 'x', 'b': false}]) FROM m_ JOIN n_ USING (id) WHERE m_.doc_path = 'software')
+    SELECT doc_path, id, e.a AS attr, e.p AS problem FROM x WHERE e.b""")
+def schema_of_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas with references, combinators, conditions and patterns over attributes outside the core columns."""
+    return schema.schema_errors(attributed(spark, sf_dir), ATTR_SCHEMAS)
+
+
 # ------------------------------------------------------------ snapshots
 
 _OLD = "SELECT o_orderkey AS id, 'tests' AS doc_path, o_orderpriority AS priority, o_orderstatus AS status FROM {orders} WHERE o_orderdate < timestamp '1999-01-01 00:00:00'"
@@ -385,6 +421,13 @@ def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fuzzy(on_spark(spark, sf_dir, _ITEMS), "p07")
 
 
+@query("""SELECT id, title, CASE WHEN lower(id) = '5-l' THEN 0 WHEN starts_with(lower(id), '5-l') THEN 1 WHEN contains(lower(id), '5-l') THEN 2 WHEN starts_with(lower(title), '5-l') THEN 3 ELSE 4 END + 0e0 AS score
+    FROM n_ WHERE contains(lower(id), '5-l') OR contains(lower(title), '5-l') ORDER BY score, ord, id LIMIT 30""")
+def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all requirements; enough of them hold the query for no fuzzy match to come in."""
+    return views.search(model(spark, sf_dir).nodes, "5-L")
+
+
 @query(f"WITH x AS ({plain(_ITEMS)}) SELECT id FROM x WHERE contains(lower(concat_ws(' ', id, title, p_type)), '1') AND p_brand IN ('Brand#11', 'Brand#23') AND p_size IN (1, 5, 9, 13, 17, 21)", ctes=False)
 def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facet_search(on_spark(spark, sf_dir, _ITEMS), "1", {"p_brand": ["Brand#11", "Brand#23"], "p_size": [1, 5, 9, 13, 17, 21]}, ["id", "title", "p_type"]).select("id")

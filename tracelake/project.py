@@ -100,7 +100,8 @@ class Project:
         return graph.repin_deltas(self.model, promote_unpinned)
 
     def search(self, query: str) -> DataFrame:
-        return views.palette(self.model.nodes.filter("kind = 'req'").select("id", "title", "ord"), query)
+        """The best requirements for a query: id, title, score (less is better; from 5 on fuzzy)."""
+        return views.search(self.model.nodes.filter("kind = 'req'"), query)
 
     def diff(self, other: Project) -> DataFrame:
         """Requirements of ``other`` against these: doc_path, id, category."""
