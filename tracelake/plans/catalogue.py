@@ -104,7 +104,7 @@ _LINKED = "from_id = 'NAT-000000000' AND to_id LIKE 'REG-%' OR doc_path = 'syste
     c AS (SELECT from_id, to_id FROM z UNION SELECT c.from_id, z.to_id FROM c JOIN z ON z.from_id = c.to_id) SELECT DISTINCT from_id AS id FROM c WHERE from_id = to_id""")
 def cycles_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles between regions and some of their nations, one linked to the next, a requirement that refers to itself, and suppressed nations that break some."""
-    m = model(spark, sf_dir)
+    m = graph.prepared(model(spark, sf_dir))
     e = graph.edges(m).select("from_id", "to_id").distinct()
     at = m.nodes.select(F.col("id").alias("from_id"), "doc_path", "ord")
     back = e.join(at, "from_id").filter(_LINKED).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
