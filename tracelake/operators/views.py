@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.model import Model, cut
-from tracelake.operators import attributes, coverage, graph, verify
+from tracelake.operators import coverage, graph, schema, verify
 
 
 def palette(items: DataFrame, query: str, most: int = 40) -> DataFrame:
@@ -198,12 +198,12 @@ def search_index(m: Model, page: str = ".html") -> DataFrame:
 
 def attribute_rows(m: Model, properties: list[str]) -> DataFrame:
     """The attributes that a requirement has: id, attr, value, position; ``properties`` in order, then members of ``attrs`` that aren't declared, A to Z."""
-    own = [F.struct(F.lit(p).alias("attr"), F.col(attributes.COLUMN_OF.get(p, p)).cast("string").alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if attributes.COLUMN_OF.get(p, p) in m.nodes.columns]
+    own = [F.struct(F.lit(p).alias("attr"), F.col(schema.COLUMNS.get(p, p)).cast("string").alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if schema.COLUMNS.get(p, p) in m.nodes.columns]
     rows = F.array(*own)
     if "attrs" in m.nodes.columns:
         members = F.map_entries(F.coalesce(F.from_json("attrs", "map<string,string>"), F.create_map().cast("map<string,string>")))
         rest = F.array_sort(F.filter(members, lambda e: ~e["key"].isin(*properties)))
-        declared = [F.struct(F.lit(p).alias("attr"), F.element_at(F.from_json("attrs", "map<string,string>"), F.lit(p)).alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if attributes.COLUMN_OF.get(p, p) not in m.nodes.columns]
+        declared = [F.struct(F.lit(p).alias("attr"), F.element_at(F.from_json("attrs", "map<string,string>"), F.lit(p)).alias("value"), F.lit(i + 1).alias("position")) for i, p in enumerate(properties) if schema.COLUMNS.get(p, p) not in m.nodes.columns]
         rows = F.concat(rows, *([F.array(*declared)] if declared else []), F.transform(rest, lambda e, i: F.struct(e["key"].alias("attr"), e["value"].alias("value"), (i + len(properties) + 1).alias("position"))))
     x = m.nodes.filter("kind = 'req'").select("id", F.explode(rows).alias("r")).select("id", "r.*")
     return x.filter("value IS NOT NULL")
