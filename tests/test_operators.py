@@ -196,7 +196,7 @@ def test_long_chain_with_a_cycle_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 30
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(edges=st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=24))
 def test_components_against_reachability(spark, edges):
     edges = [(str(a), str(b)) for a, b in edges]

@@ -166,10 +166,10 @@ def test_what_cannot_be_read_is_a_finding(spark, tmp_path):
     p = Project(spark, str(tmp_path / "s"), str(tmp_path / "r"))
     found = p.check().collect()
     codes = {(r["code"], r["level"]) for r in found}
-    assert {r["file"] for r in found if r["code"] == "parse"} == {"a/front.md", "a/list.md"}
-    assert {r["message"].split(":")[0] for r in found if r["code"] == "config"} == {"c", "d", "not a report"} and ("unbound-result", "WARNING") in codes and ("broken-ref", "WARNING") not in codes
+    assert {r["file"] for r in found if r["code"] == "parse"} == {"a/front.md", "a/list.md", "c/schema.yaml", "d/schema.yaml"}
+    assert not [r for r in found if r["code"] == "config"] and {("unbound-result", "WARNING"), ("results", "ERROR")} <= codes and ("broken-ref", "WARNING") not in codes
     left = {r["code"] for r in p.check(ignore_unbound=True).collect()}
-    assert "config" in left and "unbound-result" not in left and checks.exit_code(p.check()) == 2
+    assert {"parse", "results"} <= left and "unbound-result" not in left and checks.exit_code(p.check()) == 2
     assert [(r["from_id"], r["to_id"]) for r in p.model.derived["edges"].collect()] == [("A-1", "B-1")]
 
 

@@ -67,6 +67,6 @@ def findings(m: Model, in_filter: DataFrame | None = None, relaxed_versions: boo
 
 
 def exit_code(found: DataFrame) -> int:
-    """2 with a file, schema or report that couldn't be read, else 1 with an error, else 0."""
-    worst = found.agg(F.max(F.when(F.col("code").isin("parse", "config"), 2).when(F.col("level") == "ERROR", 1).otherwise(0))).first()[0]
+    """2 with a file or schema that couldn't be read, else 1 with an error, else 0."""
+    worst = found.agg(F.max(F.when(F.col("code") == "parse", 2).when(F.col("level") == "ERROR", 1).otherwise(0))).first()[0]
     return worst or 0

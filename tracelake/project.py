@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import expr
 from tracelake.model import cut
 from tracelake.operators import attributes, checks, coverage, diff, graph, verify, views
-from tracelake.sources import readers, sinks
+from tracelake.sources import markdown, readers, sinks
 
 
 class Project:
@@ -32,10 +32,12 @@ class Project:
         A filter limits coverage, disposition, pin and verdict checks, never
         resolution. ``ignore_unbound`` leaves out unbound tests, but no other
         trouble with results. What can't be read is a finding (``parse``,
-        ``config``), never an error of this method. Attributes named in ``disjoint``, or by the schemas' own
+        ``config``, ``results``), never an error of this method. Attributes named in ``disjoint``, or by the schemas' own
         ``disjoint-check``, must share a value along every edge.
         """
         rows = [("ERROR", "config", "", "", "", "", x) for x in readers.config_errors(self.schemas, self.tool)]
+        lost = {d: s.error for d, s in sorted(self.schemas.items()) if isinstance(s, markdown.Unreadable)}
+        rows += [("ERROR", "parse", "", "", f"{d}/schema.yaml", f"{d}/schema.yaml", e) for d, e in lost.items()]
         parse = self.blocks.filter("kind = 'error'").select(F.lit("ERROR").alias("level"), F.lit("parse").alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.col("file").alias("req_id"), "file", F.col("error").alias("message"))
         names = {*disjoint, *(a for s in self.schemas.values() for a in readers.extension(s, self.tool).get("disjoint-check") or [])}
         listed = lambda a: F.from_json(F.get_json_object("attrs", f"$['{a}']"), "array<string>")
@@ -46,7 +48,7 @@ class Project:
         if self.warnings is not None:
             unbound = F.col("message").startswith("unbound-result:")
             said = self.warnings if not ignore_unbound else self.warnings.filter(~unbound)
-            level, code = F.when(unbound, "WARNING").otherwise("ERROR"), F.when(unbound, "unbound-result").otherwise("config")
+            level, code = F.when(unbound, "WARNING").otherwise("ERROR"), F.when(unbound, "unbound-result").otherwise("results")
             out = out.unionByName(said.select(level.alias("level"), code.alias("code"), F.lit("").alias("direction"), F.lit("").alias("outcome"), F.lit("").alias("req_id"), F.col("source").alias("file"), "message"))
         return out
 
