@@ -110,7 +110,7 @@ def read_tree(spark: SparkSession, root: str, tool: str | None = None) -> tuple[
     below = F.substr("file", F.instr("file", base) + len(base) + 1)
     blocks = _text(spark, root, "*.md").mapInPandas(_parser(tool), PARSED).withColumn("file", below)
     blocks = blocks.withColumn("doc_path", F.when(F.instr("file", "/") > 0, F.regexp_replace("file", "/[^/]*$", "")).otherwise("."))
-    blocks = cut(blocks.join(documents.select("doc_path"), "doc_path", "left_semi"))
+    blocks = cut(blocks.join(F.broadcast(documents.select("doc_path")), "doc_path", "left_semi"))
     blocks = with_parents(blocks)
     nodes = blocks.filter("kind <> 'error'").select("doc_path", "file", "ord", "kind", "id", "title", "status", "version", "verify", "disposition", "disposition_reason", "suppressions", "requires_trace_from", "parent_id", "trace", "attrs")
     refs = blocks.filter("kind = 'req'").select(F.col("id").alias("from_id"), F.posexplode("trace").alias("pos", "ref")).select("from_id", (F.col("pos") + 1).alias("pos"), "ref")
