@@ -1,6 +1,6 @@
 """What keeps a task's share from growing with the tables: documents come to the rows, shuffles get tasks by rows."""
 
-from tracelake.operators import attributes, coverage, graph, skew, views
+from tracelake.operators import attributes, coverage, diff, graph, skew, views
 from tracelake.plans.projection import model
 
 
@@ -32,3 +32,18 @@ def test_many_documents_and_many_rows_give_the_same(spark, sf_dir, monkeypatch):
     assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f", {parts}), REPARTITION_BY_NUM" in plan(graph.definitions(m))
     assert want == (rows(graph.last_refs(m)), rows(coverage.effective_rtf(m).drop("suppressions", "rtf")))
+
+
+def test_rows_that_are_alike_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(diff, "CHUNK", 4)
+    old = [("a", "1" * 9)] * 5 + [("a", "2" * 9), ("a", None), (None, "3" * 9), ("gone", "4" * 9), ("gone", "4" * 9)]
+    new = [("a", "1" * 9)] * 3 + [("a", "5" * 9)] * 7 + [(None, "3" * 9)] * 2
+    a, b = (spark.createDataFrame(x, "path string, sha string") for x in (old, new))
+    pairs = [(p, o, n) for p, o in old for q, n in new if p is not None and p == q]
+    pairs += [(p, o, None) for p, o in old if p is None or p not in {q for q, _ in new}] + [(p, None, n) for p, n in new if p is None]
+    cut = lambda s: s and s[:7]
+    want = [(p, "added" if o is None else "removed" if n is None else "updated", cut(o), cut(n)) for p, o, n in pairs if o != n]
+    got = diff.submodules(a, b)
+    assert rows(got) == sorted(want, key=str)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("FullOuter") < text.index("Aggregate")  # rows are counted below the join

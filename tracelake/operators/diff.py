@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 12  # rows of a piece of a result whose rows are counted
+
 
 def requirements(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
     """keys, category (added, removed, modified, unchanged) by presence and attribute values."""
@@ -60,7 +62,19 @@ def flatten_schema(doc_path: str, schema: object, path: str = "") -> list[tuple[
 
 
 def submodules(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, change, old_sha, new_sha (7 characters) of added, removed and updated submodules (path, sha)."""
-    x = old.select("path", F.col("sha").alias("o")).join(new.select("path", F.col("sha").alias("n")), "path", "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
+    """path, change, old_sha, new_sha (7 characters) of added, removed and updated submodules (path, sha).
+
+    A path may repeat: each of its old rows meets each new one. Rows that are
+    alike are counted and meet once; what they give is written out in pieces
+    of CHUNK rows, dealt out evenly.
+    """
+    a = old.groupBy("path", F.col("sha").alias("o")).agg(F.count("*").alias("_a"))
+    b = new.groupBy("path", F.col("sha").alias("n")).agg(F.count("*").alias("_b"))
+    x = a.join(b, "path", "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("updated")
-    return x.select("path", kind.alias("change"), F.left("o", F.lit(7)).alias("old_sha"), F.left("n", F.lit(7)).alias("new_sha"))
+    total = F.coalesce("_a", F.lit(1)) * F.coalesce("_b", F.lit(1))
+    x = x.select("path", kind.alias("change"), F.left("o", F.lit(7)).alias("old_sha"), F.left("n", F.lit(7)).alias("new_sha"), total.alias("_n"))
+    names, step = x.columns[:-1], F.lit(CHUNK).cast("long")
+    x = x.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), step)).alias("_at"))
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_at")
+    return x.select(*names, F.explode(F.sequence("_at", F.least("_n", F.col("_at") + step - 1))).alias("_row")).drop("_row")
