@@ -3,6 +3,7 @@
 import hashlib
 from functools import cache
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,6 +53,17 @@ def test_empty_tables_and_odd_lists(spark):
     assert {r["doc_id"]: r["ids"] for r in B.encode(blank).collect()} == {1: [], 2: []}
 
 
+def test_a_chunk_comes_back_in_bounded_batches(spark):
+    for sizes in ([], [0, 0, 0], [3, 1, 0, 2, 9, 0, 0, 4], [7], [9, 9]):
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        spans = list(B._spans(bounds, 5))
+        assert [i for a, b in spans for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b - a == 1 or bounds[b] - bounds[a] <= 5 for a, b in spans)
+    rows = [(i, f"word {i} " * 8000) for i in range(20)] + [(20, ""), (21, "end")]  # some 900,000 ids of one chunk
+    got = B.decode(B.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+    assert {r["doc_id"]: (r["ids"], r["text"]) for r in got} == {i: (whole(t), library().decode(whole(t), skip_special_tokens=False)) for i, t in rows}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40) | st.text("aJİΣ's<|endoftext|>½̖̇̌́ \n", max_size=30))
 def test_words_give_the_ids(text):

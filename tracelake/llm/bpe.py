@@ -35,6 +35,7 @@ from .packing import _WORD, _plain, default_tokenizer
 CHUNK_CHARS = 1 << 24  # a chunk of texts ends once it holds so many characters,
 CHUNK_IDS = 1 << 21  # one of ids once it holds so many ids,
 CHUNK_ROWS = 50_000  # and either at so many rows
+BATCH_IDS = 1 << 18  # ids of an Arrow batch that a chunk is given back in, but for a longer text
 PACK_BATCHES = 64  # Arrow batches of words whose ids are packed together
 
 
@@ -197,6 +198,15 @@ def _arrays(lists: pa.Array) -> Iterator[np.ndarray]:
         yield x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
 
 
+def _spans(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows a to b that hold at most ``most`` of what ``bounds`` counts together, or one row that holds more."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def _lists_batch(ids: list, bounds: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))})
 
@@ -292,7 +302,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
         give_back("bpe")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chunk(body: bytes, packs: list[bytes]) -> pa.RecordBatch:
+        def chunk(body: bytes, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
             ids, bounds, codes, _ = _open(body)
             parts = [(np.cumsum(_codes(at, k), dtype=np.int64), _codes(n, k), _codes(flat, total)) for k, at, n, total, flat in map(pickle.loads, packs)]
             at, n, flat = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
@@ -301,11 +311,13 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", do
                 raise RuntimeError("a chunk's words and their ids don't match")
             start, length = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
             start[at], length[at] = np.cumsum(n) - n, n
-            n = length[codes]
-            return _lists_batch(ids, np.concatenate([[0], np.cumsum(n)])[bounds], flat[_ragged(start[codes], n)])
+            for a, b in _spans(bounds, BATCH_IDS):  # a batch of a whole chunk would be held by Python and the JVM at once
+                own = codes[bounds[a] : bounds[b]]
+                n = length[own]
+                yield _lists_batch(ids[a:b], np.concatenate([[0], np.cumsum(n)])[bounds[a : b + 1] - bounds[a]], flat[_ragged(start[own], n)])
 
         for data, packs in rows_of(batches, "data", "packs"):
-            yield chunk(pickle.loads(data)[0], packs or [])
+            yield from chunk(pickle.loads(data)[0], packs or [])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = src.mapInArrow(split, "chunk long, data binary").repartition("chunk")  # one exchange, read twice
@@ -343,9 +355,12 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", d
         for x in _answered(batches):
             known = np.diff(x.ends) > 0
             word = np.array([*(x.data[a:b].decode() for a, b in zip(x.ends, x.ends[1:])), None], object)
-            texts = [" ".join(word[c if known.all() else c[known[c]]]) for a, b in zip(x.bounds, x.bounds[1:]) for c in (x.codes[a:b],)]
-            ids = _lists_batch(x.ids, x.bounds, x.entries[x.codes])
-            yield pa.record_batch({"doc_id": ids.column("doc_id"), "ids": ids.column("ids"), "text": pa.array(texts, pa.string())})
+            whole = known.all()
+            for a, b in _spans(x.bounds, BATCH_IDS):
+                own = x.bounds[a : b + 1]
+                texts = [" ".join(word[c if whole else c[known[c]]]) for p, q in zip(own, own[1:]) for c in (x.codes[p:q],)]
+                ids = _lists_batch(x.ids[a:b], own - own[0], x.entries[x.codes[own[0] : own[-1]]])
+                yield pa.record_batch({"doc_id": ids.column("doc_id"), "ids": ids.column("ids"), "text": pa.array(texts, pa.string())})
         give_back()
 
     src = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
