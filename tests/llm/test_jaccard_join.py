@@ -91,3 +91,37 @@ def test_large_group_over_many_components(spark):
     want = brute(rows, 3, 80, 100)
     assert 1 < len({c for _, c in want.values()})
     assert run(spark, rows, 3, 80, 100) == want
+
+
+def test_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Documents that share a passage but no rare words share signatures, but don't meet; groups dealt out over several rows lose no link."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(d, f"{passage} " + " ".join(f"w{d}_{i}" for i in range(30))) for d in range(60)]
+    rows += [(100 + d, passage + " " + " ".join(f"x{d}_{j}" if j in rng.choice(24, 2) else f"q{j}" for j in range(24))) for d in range(60)]
+    want = brute(rows, 3, 80, 100)
+    assert 1 < len({c for d, (_, c) in want.items() if d >= 100}) < 60
+    met = []
+    across = J._across
+
+    def watched(*args):
+        out = across(*args).cache()
+        met.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(J, "_across", watched)
+    monkeypatch.setattr(J, "GROUP_DOCS", 7)
+    assert run(spark, rows, 3, 80, 100) == want
+    assert not [p for p in met if min(p) < 60]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.randoms())
+def test_rarest_features_never_miss(size, changes, rnd):
+    pe = J.PartEnum(80, 100)
+    rng = np.random.default_rng(rnd.randint(0, 2**32))
+    a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    b = np.unique(np.r_[a[min(changes, len(a)) // 2 :], rng.integers(0, 1 << 63, changes - changes // 2, dtype=np.uint64)])
+    counts = rng.integers(0, 9, J.SLOTS).astype(np.uint16)
+    if len(b) and pe.linked(a, b):
+        assert set(pe.rarest(a, counts).tolist()) & set(pe.rarest(b, counts).tolist())

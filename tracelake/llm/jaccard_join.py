@@ -16,7 +16,8 @@ Equal sets become one class first. A first pass turns shared signatures into
 few pairs per document, verified exactly; links give components. A second pass
 over the documents of these pairs finds each signature that still spans two
 components, and verifies every pair across them, so no link between components
-is lost. Signatures are combined per task before they are shuffled.
+is lost; documents of a signature that many share must have one of their rarest
+features in common, too. Signatures are combined per task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, attach, batches_of, cut, give_back, min_label, mix, release, rows_of, shingles, table, words
+from .common import HOT_KEYS, attach, batches_of, bounded_sample, cut, give_back, min_label, mix, release, rows_of, shingles, table, words
 
 FLUSH = 1 << 19  # signatures combined in a task at once
 A_BUCKET = 1_000_000  # signatures a reduce group gets on average
 SKETCH = 256
-SMALL = 16  # documents of a signature whose pairs the second pass forms one by one; more are compared by blocks
-BLOCK_DOCS = 64  # documents of a block, on average
+SMALL = 16  # documents of a signature whose pairs the second pass forms one by one
+GROUP_DOCS = 256  # documents of a larger one that a task compares with as many, on average
+SLOTS = 1 << 21  # counters that tell common features from rare ones
+RANKED = 20_000  # documents that these are counted over, about
 BATCH_ROWS = 500  # documents or pairs of sets that Python holds at once
 BROADCAST_BYTES = 32 << 20
 _SIG_BYTES = 6  # a signature is cut to 48 bits; a chance meeting is verified like any other
@@ -96,6 +99,11 @@ class PartEnum:
         apart = np.abs(sketches.astype(np.int16) - sketch.astype(np.int16)).sum(axis=-1, dtype=np.int64)
         return fits & ((self.den + self.num) * apart <= (self.den - self.num) * (size + sizes))
 
+    def rarest(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The first ``len - ceil(t len) + 1`` features in the order of their slots' counts: linked sets have one of these in common, whatever the counts (the prefix filter)."""
+        first = len(features) - -(-self.num * len(features) // self.den) + 1
+        return features[np.lexsort((features, counts[features % np.uint64(len(counts))]))[:first]]
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
             return False
@@ -181,8 +189,8 @@ def _meet(t):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def _spread(pe: PartEnum, buckets: int):
-    """Map side of the second pass: (set, component) -> blobs of (signature, least and greatest component here)."""
+def _spread(sign, buckets: int):
+    """Map side of the second pass: (set, component) -> blobs of (signature, least and greatest component here); ``sign`` gives a set's signatures."""
 
     def flush(sigs, comps):
         sig, comp = np.concatenate(sigs) & _CUT, np.concatenate(comps)
@@ -196,7 +204,9 @@ def _spread(pe: PartEnum, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, comps, held = [], [], 0
         for blob, comp in rows_of(batches, "features", "component"):
-            s = pe.signatures(np.frombuffer(blob, np.uint64))
+            s = sign(np.frombuffer(blob, np.uint64))
+            if not len(s):
+                continue
             sigs.append(s)
             comps.append(np.full(len(s), comp, np.int64))
             held += len(s)
@@ -220,6 +230,53 @@ def _mixed(t):
     return pa.table({"sig": pa.array(sig[first][bad].astype(np.int64), pa.int64())})
 
 
+def _held(own: DataFrame, sign, buckets: int) -> DataFrame | None:
+    """(sig, id, component) of the signatures that more than one component of ``own`` (id, component, features) has; None if there are none."""
+    spark = own.sparkSession
+    blobs = own.select("features", "component").mapInArrow(_spread(sign, buckets), "bucket long, sig binary, low binary, high binary")
+    mixed = cut(blobs.groupBy("bucket").applyInArrow(_mixed, "sig long"))
+    release(spark)
+    spanning = mixed.count()
+    if not spanning:
+        return None
+    small = spanning * 8 <= BROADCAST_BYTES // 4
+    wanted = spark.sparkContext.broadcast(np.sort(mixed.toArrow().column("sig").to_numpy()) if small else None)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, comp, blob in rows_of(batches, "id", "component", "features"):
+            s = np.unique(sign(np.frombuffer(blob, np.uint64)) & _CUT).astype(np.int64)
+            if wanted.value is not None:
+                at = np.minimum(np.searchsorted(wanted.value, s), len(wanted.value) - 1)
+                s = s[wanted.value[at] == s]
+            yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
+
+    held = own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long")
+    held = cut(held if small else held.join(mixed, "sig", "left_semi"))
+    release(spark)
+    return held
+
+
+def _rare_first(pe: PartEnum, own: DataFrame):
+    """``pe.rarest`` by how many of RANKED documents of ``own`` have a feature.
+
+    What unrelated documents share, a passage or a line, is so left out unless
+    a set has little else. Counts decide the order alone, never a link, so a
+    sample will do and slots may be shared.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for (blob,) in rows_of(batches, "features"):
+            np.add.at(n, (np.frombuffer(blob, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        yield pa.record_batch({"n": pa.array([np.minimum(n, 65535).astype("<u2").tobytes()], pa.binary())})
+
+    some = bounded_sample(own.select("id", "features"), "id", RANKED).select("features").repartition(4)
+    counts = sum((np.frombuffer(r["n"], "<u2").astype(np.uint32) for r in some.mapInArrow(count, "n binary").collect()), np.zeros(SLOTS, np.uint32))
+    common = own.sparkSession.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))
+
+    return lambda features: pe.rarest(features, common.value)
+
+
 def _verify(pe: PartEnum):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,14 +306,18 @@ def _possible(pe: PartEnum, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "na", "sa", "nb", "sb").mapInArrow(_prune(pe), schema)
 
 
-def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
+def _with_sizes(held: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose signature is in ``some`` (sig, docs), with ``docs``."""
+    return attach(held, some, "sig", "docs", held.count()).filter("docs IS NOT NULL")
+
+
+def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, own: DataFrame, buckets: int) -> DataFrame:
     """Pairs (a, b) across components that share a signature of ``held`` (sig, id, component) and that sketches allow.
 
-    Signatures of few documents give their pairs one by one. Documents of a
-    larger one are gathered into blocks of about BLOCK_DOCS, those of one size
-    and one of ``clusters`` (id, component over all candidate pairs) together; blocks that
-    share a signature meet once, so a large group makes a row for each pair of
-    its blocks, not of its documents.
+    Signatures of few documents give their pairs one by one. The documents of
+    larger ones (of ``own``: id, component, features) are signed once more, by
+    their rarest features, so that those which merely share a common passage
+    don't meet; see ``_within_groups``.
     """
     size = cut(held.groupBy("sig").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig", "docs"))
     few = held.join(size.filter(F.col("docs") <= SMALL).select("sig"), "sig")
@@ -266,51 +327,53 @@ def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, clusters: DataFrame)
     big = size.filter(F.col("docs") > SMALL)
     if not big.limit(1).count():
         return out
-    total = held.count()
-    many = cut(attach(held, big, "sig", "docs", total).filter("docs IS NOT NULL").select("sig", "id", "component"))
-    one = many.groupBy("id").agg(F.min("component").alias("component")).join(clusters.select("id", F.col("component").alias("cluster")), "id", "left")
-    band = F.floor(F.log(pe.den / pe.num, F.greatest("size", F.lit(1))))
-    one = one.join(sets.select("id", "size"), "id").withColumn("cluster", F.xxhash64(F.coalesce("cluster", "id"), band)).drop("size")
-    one = cut(one)
-    parts = one.groupBy("cluster").agg(F.count("*").alias("docs")).select("cluster", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).alias("parts"))
-    placed = attach(one, cut(parts), "cluster", "docs", one.count())
-    placed = cut(placed.select("id", "component", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
-    seen = cut(many.select("sig", "id").join(placed, "id").select("sig", "block").distinct())
-    # signatures that lie in the same blocks make the same pairs of blocks: one of them does
-    whole = seen.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "block")).alias("y"))
-    seen = seen.join(whole.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
-    docs = F.collect_list(F.struct("id", "component", "size", "sketch")).alias("docs")
-    body = cut(placed.join(sets.select("id", "size", "sketch"), "id").groupBy("block").agg(docs, F.min("component").alias("low"), F.max("component").alias("high")))
-    seen = cut(seen.join(body.select("block", "low", "high"), "block"))
-    x, y = (seen.select("sig", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in ("p", "q"))
-    across = F.least(x["lp"], y["lq"]) < F.greatest(x["hp"], y["hq"])
-    met = x.join(y, (x["sig"] == y["sig"]) & (x["p"] <= y["q"]) & across).select("p", "q").distinct()
-    left = body.select(F.col("block").alias("p"), F.col("docs").alias("dp"), F.col("low").alias("lp"), F.col("high").alias("hp"))
-    right = body.select(F.col("block").alias("q"), F.col("docs").alias("dq"), F.col("low").alias("lq"), F.col("high").alias("hq"))
-    rows = met.join(left, "p").join(right, "q").filter("least(lp, lq) < greatest(hp, hq)").select("dp", "dq")
-
-    def blocks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(ids, components, sizes, sketches) of each list, as views of the batch."""
-        at, v = lists.offsets.to_numpy(), lists.values
-        sk = v.field("sketch")
-        first = np.frombuffer(sk.buffers()[1], np.int32)[sk.offset]
-        s = np.frombuffer(sk.buffers()[2], np.uint8)[first : first + len(sk) * SKETCH].reshape(-1, SKETCH)
-        cols = [*(v.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "size")), s]
-        for a, b in zip(at[:-1], at[1:]):
-            yield tuple(c[a:b] for c in cols)
+    ids = cut(_with_sizes(held, big).select("id").distinct())
+    docs = cut(within(own, ids, ids.count(), "id"))
+    rare = _held(docs, _rare_first(pe, docs), buckets)
+    return out if rare is None else out.unionByName(_within_groups(pe, rare, sets)).distinct()
+
+
+def _within_groups(pe: PartEnum, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components of each signature of ``held`` (sig, id, component) that sketches allow; repeated ones, too.
+
+    The documents of a signature are split into groups of about GROUP_DOCS,
+    and each pair of groups, or one group by itself, is a row of its own, so a
+    very large signature is dealt out over tasks. A task compares the sketches
+    of a row's documents where they are, without a row for each pair.
+    """
+    size = cut(held.groupBy("sig").agg(F.count("*").alias("docs")))
+    placed = _with_sizes(held, size).withColumn("groups", F.ceil(F.col("docs") / GROUP_DOCS).cast("int"))
+    placed = placed.select("sig", "id", "component", "groups", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("own"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    cells = each.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
+    docs = F.collect_list(F.struct("own", "id", "component", "size", "sketch")).alias("docs")
+    rows = cells.join(sets.select("id", "size", "sketch"), "id").groupBy("sig", "p", "q").agg(docs, F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.filter("low <> high").select("p", "q", "docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (i, ci, ni, si), (j, cj, nj, sj) in zip(blocks(batch.column("dp")), blocks(batch.column("dq"))):
-                low, high = np.minimum(ni[:, None], nj), np.maximum(ni[:, None], nj)
-                x, y = np.nonzero((pe.den * low >= pe.num * high) & (ci[:, None] != cj) & (i[:, None] != j))
-                ok = pe.possible(ni[x], si[x], nj[y], sj[y])
-                x, y = x[ok], y[ok]
-                if len(x):
-                    yield pa.record_batch({"a": pa.array(np.maximum(i[x], j[y]), pa.int64()), "b": pa.array(np.minimum(i[x], j[y]), pa.int64())})
+        for batch in (b.slice(i, 1) for b in batches for i in range(len(b))):
+            p, q, v = batch.column("p")[0].as_py(), batch.column("q")[0].as_py(), batch.column("docs").flatten()
+            part, ids, comp, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("own", "id", "component", "size"))
+            sk = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            order = np.lexsort((n, part))
+            part, ids, comp, n, sk = part[order], ids[order], comp[order], n[order], sk[order]
+            right = np.flatnonzero(part == q)
+            found = []
+            for i in np.flatnonzero(part == p):
+                a = right if p < q else right[right > i]
+                lo, hi = np.searchsorted(n[a], (-(-pe.num * n[i] // pe.den), pe.den * n[i] // pe.num + 1))
+                j = a[lo:hi]
+                j = j[(comp[j] != comp[i]) & (ids[j] != ids[i])]
+                if len(j):
+                    j = j[pe.possible(n[i], sk[i], n[j], sk[j])]
+                    found.append(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])]))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
         give_back()
 
-    return out.unionByName(rows.mapInArrow(run, "a long, b long")).distinct()
+    with batches_of(held.sparkSession, 16):
+        return cut(rows.mapInArrow(run, "a long, b long"))
 
 
 def without(docs: DataFrame, ids: DataFrame, count: int, column: str) -> DataFrame:
@@ -416,24 +479,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id:
 
     release(spark)
     own = sets.join(label, "id")
-    mixed = cut(own.select("features", "component").mapInArrow(_spread(pe, buckets), "bucket long, sig binary, low binary, high binary").groupBy("bucket").applyInArrow(_mixed, "sig long"))
-    release(spark)
-    if spanning := mixed.count():
-        small = spanning * 8 <= BROADCAST_BYTES // 4
-        wanted = spark.sparkContext.broadcast(np.sort(mixed.toArrow().column("sig").to_numpy()) if small else None)
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for doc, comp, blob in rows_of(batches, "id", "component", "features"):
-                s = np.unique(pe.signatures(np.frombuffer(blob, np.uint64)) & _CUT).astype(np.int64)
-                if wanted.value is not None:
-                    at = np.minimum(np.searchsorted(wanted.value, s), len(wanted.value) - 1)
-                    s = s[wanted.value[at] == s]
-                yield pa.record_batch({"sig": pa.array(s, pa.int64()), "id": pa.array(np.full(len(s), doc), pa.int64()), "component": pa.array(np.full(len(s), comp), pa.int64())})
-
-        held = own.select("id", "component", "features").mapInArrow(explode, "sig long, id long, component long")
-        held = cut(held if small else held.join(mixed, "sig", "left_semi"))
-        release(spark)
-        more = verified(cut(_across(pe, held, sets, min_label(pairs.select("a", "b"))).join(done, ["a", "b"], "left_anti")))
+    held = _held(own, pe.signatures, buckets)
+    if held is not None:
+        more = verified(cut(_across(pe, held, sets, own, buckets).join(done, ["a", "b"], "left_anti")))
         if more.filter("ok").count():
             label = labels(links.unionByName(more.filter("ok")))
     joined = cut(label.filter("id <> component"))
