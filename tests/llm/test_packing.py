@@ -81,3 +81,12 @@ def test_knapsack_is_optimal():
     best = max(a * v[0] + b * v[1] + c * v[2] for a in range(8) for b in range(6) for c in range(4) if 3 * a + 5 * b + 7 * c <= 23)
     value, n = P.knapsack(s, v, 23)
     assert abs(value - best) < 1e-9 and abs(n @ v - best) < 1e-9 and n @ s <= 23
+
+
+def test_words_encoded_as_one_text():
+    words = ["a", "'s", "s", "''", "ab'", "naïve", "7", "...", "zq" * 40, "ÿþ", "l", "'ll", "the"]
+    words = [w for w in words if P._WORD.fullmatch(w)]
+    cache = P.WordCache(P.default_tokenizer())
+    want = [array("I", tokenizer().encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+    assert len(words) > 8 and cache._each(words) == want
+    assert cache._each(["ab cd", "e"])[0] == array("I", tokenizer().encode("ab cd", add_special_tokens=False).ids).tobytes()

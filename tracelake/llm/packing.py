@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHES, cut, give_back, rows_of, table
+from .common import CACHES, batches_of, cut, give_back, rows_of, table
 
 CAPACITY = 2048
 END_ID = 1
+JOINED = 1_000  # words encoded as one text
+BATCH_ROWS = 1_000  # documents that Python holds at once
 RANK_CHUNK = 2_000  # items ranked in one window
 GAP = 0.002  # the linear program stops within this share of its bound
 
@@ -71,13 +73,24 @@ class WordCache:
         pack = lambda e: array("I", e.ids).tobytes()
         lists = [_WORD.findall(t.lower()) if _plain(t) else None for t in texts]
         new = list(set().union(*(x for x in lists if x)).difference(self.ids))
-        self.ids.update(zip(new, map(pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        for i in range(0, len(new), JOINED):
+            some = new[i : i + JOINED]
+            self.ids.update(zip(some, self._each(some)))
         out = [b"".join(map(self.ids.__getitem__, x)) if x is not None else pack(self.tokenizer.encode(t, add_special_tokens=False)) for x, t in zip(lists, texts)]
         if len(self.ids) > self.most:
             for w in new:
                 del self.ids[w]
         return out
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: of all as one text, cut where the tokenizer's own words end; one by one if those aren't these."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        at = e.word_ids
+        if None in at or len(set(at)) != len(words):
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids, ends = array("I", e.ids).tobytes(), (4 * np.searchsorted(np.array(at), np.arange(len(words)), side="right")).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
 
 _caches: dict[str, WordCache] = CACHES.setdefault("packing", {})
 
@@ -231,7 +244,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     ends = size_classes(capacity)
-    items = cut(pieces(docs, capacity, tokenizer, text, doc_id, keep_ids))
+    with batches_of(spark, BATCH_ROWS):
+        items = cut(pieces(docs, capacity, tokenizer, text, doc_id, keep_ids))
     step = ends[0]
     up = F.least(F.ceil(F.col("length") / step) * step, F.lit(capacity))
     items = items.withColumn("class", up.cast("long"))
