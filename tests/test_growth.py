@@ -34,6 +34,20 @@ def test_many_documents_and_many_rows_give_the_same(spark, sf_dir, monkeypatch):
     assert want == (rows(graph.last_refs(m)), rows(coverage.effective_rtf(m).drop("suppressions", "rtf")))
 
 
+def test_spark_does_not_merge_large_shuffles(spark, sf_dir, monkeypatch):
+    """Also where Spark's own number of partitions is enough: it would merge them by compressed bytes."""
+    monkeypatch.setattr(skew, "ROWS", 1000)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        m = model(spark, sf_dir)
+        parts = graph.rows(m) // 1000 + 1
+        assert 1 < parts < 40
+        assert f", {min(40, 4 * parts)}), REPARTITION_BY_NUM" in plan(graph.definitions(m))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def test_rows_that_are_alike_meet_once(spark, monkeypatch):
     monkeypatch.setattr(diff, "CHUNK", 4)
     old = [("a", "1" * 9)] * 5 + [("a", "2" * 9), ("a", None), (None, "3" * 9), ("gone", "4" * 9), ("gone", "4" * 9)]
