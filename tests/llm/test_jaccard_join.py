@@ -115,6 +115,27 @@ def test_common_passage_makes_no_pairs(spark, monkeypatch):
     assert not [p for p in met if min(p) < 60]
 
 
+def test_a_pair_of_many_common_features_comes_once(spark, monkeypatch):
+    """Near copies too far apart to link share most of their rare features; groups of three rows tell when they have met before."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in range(60):
+        changed = set(rng.choice(200, 4, replace=False).tolist())
+        rows.append((d, " ".join(f"x{d}_{j}" if j in changed else f"w{j}" for j in range(200))))
+    made = []
+    groups = J._within_groups
+
+    def watched(*args):
+        out = groups(*args)
+        made.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(J, "_within_groups", watched)
+    monkeypatch.setattr(J, "GROUP_DOCS", 20)
+    assert run(spark, rows, 3, 80, 100) == brute(rows, 3, 80, 100)
+    assert len(set(made)) > 100 and len(made) < 2 * len(set(made))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.randoms())
 def test_rarest_features_never_miss(size, changes, rnd):

@@ -37,6 +37,7 @@ A_BUCKET = 1_000_000  # signatures a reduce group gets on average
 SKETCH = 256
 SMALL = 16  # documents of a signature whose pairs the second pass forms one by one
 GROUP_DOCS = 256  # documents of a larger one that a task compares with as many, on average
+LEAST = 16  # of a document's signatures by which a pair is told to have met before
 SLOTS = 1 << 21  # counters that tell common features from rare ones
 RANKED = 20_000  # documents that these are counted over, about
 BATCH_ROWS = 500  # documents or pairs of sets that Python holds at once
@@ -334,29 +335,37 @@ def _across(pe: PartEnum, held: DataFrame, sets: DataFrame, own: DataFrame, buck
 
 
 def _within_groups(pe: PartEnum, held: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components of each signature of ``held`` (sig, id, component) that sketches allow; repeated ones, too.
+    """Pairs (a, b) across components of the signatures of ``held`` (sig, id, component) that sketches allow.
 
     The documents of a signature are split into groups of about GROUP_DOCS,
     and each pair of groups, or one group by itself, is a row of its own, so a
     very large signature is dealt out over tasks. A task compares the sketches
-    of a row's documents where they are, without a row for each pair.
+    of a row's documents where they are, without a row for each pair. Similar
+    documents share many signatures; a pair counts only where no lesser one is
+    among the LEAST least of both, so it comes for its least common one always,
+    and hardly ever again.
     """
     size = cut(held.groupBy("sig").agg(F.count("*").alias("docs")))
     placed = _with_sizes(held, size).withColumn("groups", F.ceil(F.col("docs") / GROUP_DOCS).cast("int"))
     placed = placed.select("sig", "id", "component", "groups", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("own"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     cells = each.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
-    docs = F.collect_list(F.struct("own", "id", "component", "size", "sketch")).alias("docs")
-    rows = cells.join(sets.select("id", "size", "sketch"), "id").groupBy("sig", "p", "q").agg(docs, F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.filter("low <> high").select("p", "q", "docs")
+    least = held.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LEAST).alias("least"))
+    docs = F.collect_list(F.struct("own", "id", "component", "size", "sketch", "least")).alias("docs")
+    rows = cells.join(sets.select("id", "size", "sketch").join(least, "id"), "id").groupBy("sig", "p", "q").agg(docs, F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.filter("low <> high").select("sig", "p", "q", "docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1) for b in batches for i in range(len(b))):
-            p, q, v = batch.column("p")[0].as_py(), batch.column("q")[0].as_py(), batch.column("docs").flatten()
+            (sig, p, q), v = (batch.column(c)[0].as_py() for c in ("sig", "p", "q")), batch.column("docs").flatten()
             part, ids, comp, n = (v.field(c).to_numpy(zero_copy_only=False) for c in ("own", "id", "component", "size"))
             sk = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            before = np.full((len(ids), LEAST), -1, np.int64)
+            for i, x in enumerate(v.field("least").to_pylist()):
+                x = [y for y in x if y < sig]
+                before[i, : len(x)] = x
             order = np.lexsort((n, part))
-            part, ids, comp, n, sk = part[order], ids[order], comp[order], n[order], sk[order]
+            part, ids, comp, n, sk, before = part[order], ids[order], comp[order], n[order], sk[order], before[order]
             right = np.flatnonzero(part == q)
             found = []
             for i in np.flatnonzero(part == p):
@@ -366,6 +375,8 @@ def _within_groups(pe: PartEnum, held: DataFrame, sets: DataFrame) -> DataFrame:
                 j = j[(comp[j] != comp[i]) & (ids[j] != ids[i])]
                 if len(j):
                     j = j[pe.possible(n[i], sk[i], n[j], sk[j])]
+                    met = before[i][before[i] >= 0]
+                    j = j[~np.isin(before[j], met).any(axis=1)]
                     found.append(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])]))
             if found:
                 a, b = np.concatenate(found, axis=1)
