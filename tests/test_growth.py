@@ -1,5 +1,7 @@
 """What keeps a task's share from growing with the tables: documents come to the rows, shuffles get tasks by rows."""
 
+import re
+
 from tracelake.operators import attributes, coverage, diff, graph, skew, views
 from tracelake.plans.projection import model
 
@@ -48,6 +50,15 @@ def test_spark_does_not_merge_large_shuffles(spark, sf_dir, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", own)
 
 
+def test_broken_references_deal_out_requirements_by_rows(spark, sf_dir, monkeypatch):
+    want = rows(graph.broken(model(spark, sf_dir)))
+    monkeypatch.setattr(skew, "ROWS", 500)
+    m = model(spark, sf_dir)
+    got = graph.broken(m)
+    assert re.search(rf"hashpartitioning\(from_id#\d+, {graph.rows(m) // 500 + 1}\), REPARTITION_BY_NUM", plan(got))
+    assert rows(got) == want
+
+
 def test_rows_that_are_alike_meet_once(spark, monkeypatch):
     monkeypatch.setattr(diff, "CHUNK", 4)
     old = [("a", "1" * 9)] * 5 + [("a", "2" * 9), ("a", None), (None, "3" * 9), ("gone", "4" * 9), ("gone", "4" * 9)]
